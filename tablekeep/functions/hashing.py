@@ -20,9 +20,14 @@ _PORTABLE_TEXT = (
 _PORTABLE_TIME = (T.TimestampNTZType, T.TimestampType)
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL, dots and back quotes included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column_of(name: str) -> Column:
-    """Column by exact name, dots and back quotes included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Column by exact name."""
+    return F.col(quoted(name))
 
 
 def _flat(data_type: T.DataType) -> bool:

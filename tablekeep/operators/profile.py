@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablekeep.functions.hashing import (
     column_of,
     fingerprint_parts,
     portable_columns,
     portable_row_hash,
+    quoted,
     row_hash,
 )
 
@@ -21,54 +22,27 @@ _TIME_FORMATS = {
 }
 
 
-def _column_stats(field: T.StructField) -> dict[str, Column]:
-    value, kind = column_of(field.name), field.dataType
-    text = number = None
+def _bounds(field: T.StructField, rows: str | None) -> list[str]:
+    """Bounds and sum of a column as SQL; ``rows`` is how often each value occurs."""
+    value, kind = quoted(field.name), field.dataType
+    texts, numbers = ["NULL", "NULL"], ["NULL", "NULL", "NULL"]
     if isinstance(kind, T.StringType):
-        text = lambda bound: bound
+        texts = [f"min({value})", f"max({value})"]
     elif type(kind) in _TIME_FORMATS:
-        text = lambda bound: F.date_format(bound, _TIME_FORMATS[type(kind)])
+        form = _TIME_FORMATS[type(kind)]
+        texts = [f"date_format({bound}({value}), '{form}')" for bound in ("min", "max")]
     elif isinstance(kind, T.NumericType):
-        number = lambda bound: bound.cast("double")
-    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    exact = value.cast("decimal(38,0)") if isinstance(kind, T.IntegralType) else value
-    return {
-        "non_null": F.count(value),
-        "min_text": text(F.min(value)) if text else no_text,
-        "max_text": text(F.max(value)) if text else no_text,
-        "min_number": number(F.min(value)) if number else no_number,
-        "max_number": number(F.max(value)) if number else no_number,
-        "sum_number": number(F.sum(exact)) if number else no_number,
-    }
-
-
-def table_profile(df: DataFrame, distinct: str = "approx") -> DataFrame:
-    """One row per column: rows, non-null values, distinct values, bounds and sum.
-
-    With ``distinct="approx"`` everything comes from one pass without a shuffle
-    of rows (a sketch per column). ``"exact"`` counts distinct values in a second
-    pass, kept apart so that neither pass has to sort: values are reduced to
-    distinct ones before they are shuffled, and spread by value, not by column.
-    ``"none"`` leaves the count NULL.
-    """
-    if distinct not in ("approx", "exact", "none"):
-        raise ValueError("distinct is one of approx, exact, none")
-    fields = df.schema.fields
-    stats = [_column_stats(f) for f in fields]
-    if distinct == "approx":
-        for field, columns in zip(fields, stats):
-            columns["distinct_count"] = F.approx_count_distinct(column_of(field.name))
-    profile = _by_column(df, [F.count(F.lit(1)).alias("row_count")], fields, stats)
-    if distinct == "approx":
-        return profile.select(*_PROFILE)
-    if distinct == "none":
-        return profile.withColumn("distinct_count", F.lit(None).cast("bigint")).select(*_PROFILE)
-    counts = [{"distinct_count": F.count_distinct(column_of(f.name))} for f in fields]
-    return profile.join(_by_column(df, [], fields, counts), "column_name").select(*_PROFILE)
+        # Whole numbers are summed exactly; a bigint sum could overflow.
+        whole = isinstance(kind, T.IntegralType)
+        addend = f"CAST({value} AS DECIMAL(20,0))" if whole else value
+        if rows:
+            addend += f" * CAST({rows} AS {'DECIMAL(18,0)' if whole else 'DOUBLE'})"
+        numbers = [f"min({value})", f"max({value})", f"sum({addend})"]
+    named = zip(texts + numbers, ["STRING"] * 2 + ["DOUBLE"] * 3, _PROFILE[3:])
+    return [f"CAST({column} AS {kind}) AS {name}" for column, kind, name in named]
 
 
 _PROFILE = [
-    "column_name",
     "row_count",
     "non_null",
     "distinct_count",
@@ -80,27 +54,41 @@ _PROFILE = [
 ]
 
 
-def _by_column(
-    df: DataFrame, shared: list[Column], fields: list[T.StructField], stats: list[dict[str, Column]]
-) -> DataFrame:
-    """Aggregate the whole table once and turn the one wide row into a row per column."""
-    wide = df.agg(
-        *shared,
-        *[
-            column.alias(f"c{i}_{name}")
-            for i, columns in enumerate(stats)
-            for name, column in columns.items()
-        ],
-    )
-    rows = [
-        F.struct(
-            F.lit(field.name).alias("column_name"),
-            *[F.col(name) for name in wide.columns[: len(shared)]],
-            *[F.col(f"c{i}_{name}").alias(name) for name in columns],
-        )
-        for i, (field, columns) in enumerate(zip(fields, stats))
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+def _column_profile(df: DataFrame, field: T.StructField, distinct: str) -> DataFrame:
+    value = quoted(field.name)
+    if distinct == "exact":
+        values = df.groupBy(column_of(field.name)).agg(F.expr("count(1) AS __rows"))
+        figures = [
+            "coalesce(sum(__rows), 0) AS row_count",
+            f"coalesce(sum(__rows) FILTER (WHERE {value} IS NOT NULL), 0) AS non_null",
+            f"count({value}) AS distinct_count",
+            *_bounds(field, "__rows"),
+        ]
+    else:
+        values = df
+        count = f"approx_count_distinct({value})" if distinct == "approx" else "NULL"
+        figures = [
+            "count(1) AS row_count",
+            f"count({value}) AS non_null",
+            f"CAST({count} AS BIGINT) AS distinct_count",
+            *_bounds(field, None),
+        ]
+    return values.agg(F.lit(field.name).alias("column_name"), *map(F.expr, figures))
+
+
+def table_profile(df: DataFrame, distinct: str = "approx") -> DataFrame:
+    """One row per column: rows, non-null values, distinct values, bounds and sum.
+
+    Every column is read by itself, so a columnar table is read once in all and
+    no row is carried through more than its own column. With ``approx`` (a
+    sketch) and ``none`` nothing but one row per task is shuffled. With ``exact``
+    each column is first reduced to its values and how often they occur, in every
+    task before the shuffle, and all figures come from those; a frequent value
+    costs one row per task.
+    """
+    if distinct not in ("approx", "exact", "none"):
+        raise ValueError("distinct is one of approx, exact, none")
+    return union_all(_column_profile(df, field, distinct) for field in df.schema.fields)
 
 
 def fingerprint(df: DataFrame, algorithm: str = "native", columns: list[str] | None = None) -> DataFrame:

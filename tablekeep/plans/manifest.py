@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.functions.times import moment
 from tablekeep.sources import files
+from tablekeep.sources.small import small_frame
 
 MANIFEST = (
     "snapshot_id string, run_id string, kind string, schema_name string, table_name string,"
@@ -30,11 +31,7 @@ MANIFEST = (
 REMOVED = "path string, removed_at timestamp_ntz"
 
 
-def column_names(ddl: str) -> list[str]:
-    return [part.split()[0] for part in ddl.split(", ")]
-
-
-COLUMNS = column_names(MANIFEST)
+COLUMNS = [part.split()[0] for part in MANIFEST.split(", ")]
 
 
 def new_run_id() -> str:
@@ -48,8 +45,7 @@ def table_folder(root: str, schema_name: str, table_name: str, copy: str) -> str
 
 
 def _append(spark: SparkSession, rows: list[dict], schema: str, path: str) -> None:
-    ordered = [tuple(row.get(name) for name in column_names(schema)) for row in rows]
-    spark.createDataFrame(ordered, schema).coalesce(1).write.mode("append").parquet(path)
+    small_frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
 def append_manifest(spark: SparkSession, root: str, rows: list[dict]) -> None:
@@ -62,7 +58,7 @@ def append_removed(spark: SparkSession, root: str, rows: list[dict]) -> None:
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not files.exists(spark, path):
-        return spark.createDataFrame([], schema)
+        return small_frame(spark, [], schema)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import copies_as_of, read_manifest
 from tablekeep.plans.snapshot import DEFAULT_PARALLELISM
 from tablekeep.sources import files
+from tablekeep.sources.small import small_frame
 from tablekeep.sources.tables import FrameTables, ParquetTables
 
 MODES = ("error", "append", "force")
@@ -105,7 +106,7 @@ def validate_copies(
                 None if error is None else f"{type(error).__name__}: {error}",
             )
         )
-    return spark.createDataFrame(rows, VALIDATION)
+    return small_frame(spark, rows, VALIDATION)
 
 
 def validate_snapshot(
@@ -146,7 +147,8 @@ def _stage(spark: SparkSession, copy: Row, path: str) -> str:
 
 
 def _report(spark: SparkSession, rows: list[Row], targets: list[str]) -> DataFrame:
-    return spark.createDataFrame(
+    return small_frame(
+        spark,
         [
             (c["schema_name"], c["table_name"], c["snapshot_id"], c["row_count"], target)
             for c, target in zip(rows, targets)

@@ -13,6 +13,7 @@ from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import append_removed, read_manifest
 from tablekeep.plans.snapshot import DEFAULT_PARALLELISM
 from tablekeep.sources import files
+from tablekeep.sources.small import small_frame
 
 
 def delete_planned(
@@ -45,5 +46,5 @@ def retention_apply(
     if not paths:
         return []
     append_removed(spark, root, [{"path": p, "removed_at": as_of} for p in paths])
-    gone = spark.createDataFrame([(p, True) for p in paths], "path string, removable boolean")
+    gone = small_frame(spark, [(p, True) for p in paths], "path string, removable boolean")
     return delete_planned(spark, gone, parallelism)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -13,14 +12,14 @@ from tablekeep.plans.copies import measure, read_copy, same_shape, write_copy
 from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import (
     append_manifest,
-    column_names,
     copies_as_of,
     new_run_id,
     read_manifest,
     table_folder,
 )
 from tablekeep.sources import files
-from tablekeep.sources.tables import TableSource
+from tablekeep.sources.small import small_frame
+from tablekeep.sources.tables import FileState, TableSource
 
 DEFAULT_PARALLELISM = 4
 REPORT = (
@@ -60,7 +59,11 @@ class _Run:
     run_id: str
     at: datetime
     options: SnapshotOptions
-    states: dict[tuple[str, str], str]
+    states: dict[tuple[str, str], FileState]
+
+    def token(self, table: tuple[str, str]) -> str | None:
+        state = self.states.get(table)
+        return None if state is None else state.token
 
     def row(self, table: tuple[str, str], kind: str, change: str, status: str, **more) -> dict:
         return {
@@ -72,7 +75,7 @@ class _Run:
             "change": change,
             "path": "",
             "format": self.options.format,
-            "source_state": self.states.get(table),
+            "source_state": self.token(table),
             "created_at": self.at,
             "status": status,
             **more,
@@ -102,12 +105,14 @@ class _Run:
 
 
 def _start(
-    source: TableSource, root: str, snapshot_id: str | None, at: datetime | None, options
+    source: TableSource,
+    root: str,
+    snapshot_id: str | None,
+    at: datetime | None,
+    options: SnapshotOptions,
+    tables: list[tuple[str, str]],
 ) -> _Run:
     at = at or datetime.now(timezone.utc).replace(tzinfo=None)
-    # Taken before any table is read: a file that changes later shows as changed.
-    states = source.states()
-    tokens = {(r[0], r[1]): r[2] for r in states.collect()} if states is not None else {}
     return _Run(
         source=source,
         root=root.rstrip("/"),
@@ -115,10 +120,17 @@ def _start(
         run_id=new_run_id(),
         at=at,
         options=options,
-        states=tokens,
+        # Taken before any table is read: a file that changes later shows as changed.
+        states=source.states(tables),
     )
 
 
+def _largest_first(run: _Run, tables: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Large tables start early, so that none is left running alone at the end."""
+    sizes = {table: state.size_bytes for table, state in run.states.items()}
+    return sorted(tables, key=lambda table: -sizes.get(table, 0))
+
+
 def _table_names(tables: DataFrame) -> list[tuple[str, str]]:
     return sorted((r[0], r[1]) for r in tables.select("schema_name", "table_name").collect())
 
@@ -137,8 +149,7 @@ def _finish(run: _Run, outcomes: list, kind: str) -> DataFrame:
     failed = [f"{r['schema_name']}.{r['table_name']}" for r in rows if r["status"] == "failed"]
     if failed and run.options.on_error == "raise":
         raise SnapshotError(f"snapshot {run.snapshot_id}: could not write {', '.join(failed)}")
-    names = column_names(REPORT)
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], REPORT)
+    return small_frame(spark, rows, REPORT)
 
 
 def snapshot_full(
@@ -155,10 +166,13 @@ def snapshot_full(
     of system schemas are taken. Up to ``options.parallelism`` tables are written
     at a time, each as one distributed write.
     """
-    run = _start(source, root, snapshot_id, at, options)
     chosen = _table_names(select_tables(source.tables()) if tables is None else tables)
+    run = _start(source, root, snapshot_id, at, options, chosen)
     outcomes = run_jobs(
-        source.spark, lambda table: run.write(table, "full", "full"), chosen, options.parallelism
+        source.spark,
+        lambda table: run.write(table, "full", "full"),
+        _largest_first(run, chosen),
+        options.parallelism,
     )
     return _finish(run, outcomes, "full")
 
@@ -194,32 +208,31 @@ def snapshot_incremental(
     a full copy, and a table that is gone gets a row without data.
     """
     spark = source.spark
-    run = _start(source, root, snapshot_id, at, options)
+    if changed is not None:
+        chosen = _table_names(changed)
+    else:
+        chosen = _table_names(select_tables(source.tables()) if tables is None else tables)
+    run = _start(source, root, snapshot_id, at, options, chosen)
     manifest = read_manifest(spark, run.root)
     if manifest.where("kind = 'full' AND status = 'ok'").isEmpty():
         raise NoBaseError("an incremental snapshot needs a full one before it")
     base = {
         (r["schema_name"], r["table_name"]): r for r in copies_as_of(manifest, run.at).collect()
     }
-    everything = _table_names(source.tables())
-    gone = []
-    if changed is not None:
-        chosen = _table_names(changed)
-        decide: Callable = lambda table: "changed" if table in base else "new"
-    else:
-        chosen = _table_names(select_tables(source.tables()) if tables is None else tables)
-        gone = sorted(set(base) - set(everything))
-        decide = lambda table: _change(run, table, base.get(table))
+    gone = set() if changed is not None else set(base) - set(_table_names(source.tables()))
 
     def work(table: tuple[str, str]) -> dict:
-        change = decide(table)
+        if changed is not None:
+            change = "changed" if table in base else "new"
+        else:
+            change = _change(run, table, base.get(table))
         if change == "unchanged":
             return run.row(table, "incremental", change, "unchanged", **_known(base[table]))
         return run.write(table, "full" if change == "new" else "incremental", change)
 
-    outcomes = run_jobs(spark, work, chosen, options.parallelism)
+    outcomes = run_jobs(spark, work, _largest_first(run, chosen), options.parallelism)
     outcomes += [
-        (table, run.row(table, "incremental", "dropped", "dropped"), None) for table in gone
+        (table, run.row(table, "incremental", "dropped", "dropped"), None) for table in sorted(gone)
     ]
     return _finish(run, outcomes, "incremental")
 
@@ -231,8 +244,8 @@ def _known(copy) -> dict:
 def _change(run: _Run, table: tuple[str, str], copy) -> str:
     if copy is None:
         return "new"
-    state = run.states.get(table)
-    if state is not None and state == copy["source_state"]:
+    token = run.token(table)
+    if token is not None and token == copy["source_state"]:
         return "unchanged"
     df = run.source.read(*table)
     old = read_copy(run.source.spark, copy["path"], copy["format"], copy["schema_json"])
@@ -255,7 +268,8 @@ def table_measures(
     for _, _, error in outcomes:
         if error is not None:
             raise error
-    return spark.createDataFrame(
+    return small_frame(
+        spark,
         [(*table, m["row_count"], m["fingerprint"]) for table, m, _ in outcomes],
         "schema_name string, table_name string, row_count bigint, fingerprint decimal(38,0)",
     )

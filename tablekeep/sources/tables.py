@@ -1,21 +1,45 @@
 """Where tables come from.
 
 A source lists its tables (``schema_name``, ``table_name``) and reads one of
-them as a DataFrame. ``states`` may give a cheap token per table that changes
-whenever its stored files do; it spares unchanged tables the scan.
+them as a DataFrame. ``states`` may tell from the stored files alone that a
+table did not change, which spares it the scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.sources import files
+from tablekeep.sources.small import small_frame
 
 TABLES_DDL = "schema_name string, table_name string"
 
 
+@dataclass(frozen=True)
+class FileState:
+    """A token that changes whenever the files of a table do, and their bytes."""
+
+    token: str
+    size_bytes: int
+
+
+def _listing_session(spark: SparkSession) -> SparkSession:
+    """A session whose scans pack files by their number, not their length.
+
+    Listing reads no content, yet Spark plans one task per 128 MB of files. With
+    the limit lifted it spreads the files evenly over the cores there are.
+    """
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 60))
+    return session
+
+
 class TableSource:
     # Whether counting rows costs next to nothing, as with Parquet footers.
     cheap_count = False
@@ -29,12 +53,12 @@ class TableSource:
     def read(self, schema_name: str, table_name: str) -> DataFrame:
         raise NotImplementedError
 
-    def states(self) -> DataFrame | None:
-        """(schema_name, table_name, source_state), or None if there is no cheap token."""
-        return None
+    def states(self, names: list[tuple[str, str]]) -> dict[tuple[str, str], FileState]:
+        """A state for each of the tables that has a cheap one."""
+        return {}
 
     def _table_set(self, names: list[tuple[str, str]]) -> DataFrame:
-        return self.spark.createDataFrame(names, TABLES_DDL)
+        return small_frame(self.spark, names, TABLES_DDL)
 
 
 class ParquetTables(TableSource):
@@ -76,31 +100,31 @@ class ParquetTables(TableSource):
             raise ValueError(f"no table {schema_name}.{table_name} in {self.folder}")
         return self.spark.read.parquet(f"{self.folder}/{table_name}{self.SUFFIX}")
 
-    def states(self) -> DataFrame:
+    def states(self, names: list[tuple[str, str]]) -> dict[tuple[str, str], FileState]:
         """File count, bytes and a hash of every file's path, size and time."""
+        if not names:
+            return {}
         listed = (
-            self.spark.read.format("binaryFile")
+            _listing_session(self.spark)
+            .read.format("binaryFile")
             .option("recursiveFileLookup", "true")
-            .load(self.folder)
+            .load([f"{self.folder}/{table}{self.SUFFIX}" for _, table in names])
             .select("path", "modificationTime", "length")
         )
         base = files.full_path(self.spark, self.folder).split(":", 1)[-1].lstrip("/")
         relative = F.substring_index(F.col("path"), base + "/", -1)
-        states = (
-            listed.withColumn("table_name", F.substring_index(relative, self.SUFFIX, 1))
-            .groupBy("table_name")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.sum("length").alias("bytes"),
-                F.sum(
-                    F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
-                ).alias("h"),
-            )
-            .select("table_name", F.concat_ws(":", "n", "bytes", "h").alias("source_state"))
-        )
-        return self.tables().join(states, "table_name").select(
-            "schema_name", "table_name", "source_state"
+        file_hash = F.xxhash64("path", "modificationTime", "length").cast("decimal(28,0)")
+        found = (
+            listed.groupBy(F.substring_index(relative, self.SUFFIX, 1).alias("table_name"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b"), F.sum(file_hash).alias("h"))
+            .collect()
         )
+        return {
+            (self.schema_of(r["table_name"]), r["table_name"]): FileState(
+                f"{r['n']}:{r['b']}:{r['h']}", r["b"]
+            )
+            for r in found
+        }
 
 
 class CatalogTables(TableSource):
