@@ -267,7 +267,7 @@ def restore_to_catalog(
     _raise_first(
         run_jobs(
             spark,
-            lambda pair: _read(spark, pair[0]).writeTo(pair[1]).append(),
+            lambda pair: _read(spark, pair[0]).write.mode("append").saveAsTable(pair[1]),
             grown,
             parallelism,
         )

@@ -28,7 +28,7 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
     Only a local session may go without one; it then gets a temporary folder,
-    kept in the session's settings for later calls.
+    kept as its checkpoint folder for later calls.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -37,7 +37,7 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tablekeep-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablekeep.functions.listing import is_blank, parse_line, split_lines
 from tablekeep.functions.naming import base_name
+from tablekeep.sources import files
+from tablekeep.sources.small import small_frame
+
+
+_LISTED = "name string, modified_at timestamp_ntz, size_bytes bigint, path string"
 
 
 def list_files(
@@ -13,19 +20,33 @@ def list_files(
 ) -> DataFrame:
     """Files below a prefix as (name, modified_at, size_bytes, path).
 
-    Only file metadata is read: the content column is pruned from the scan.
+    Only file metadata is read: the content column is pruned from the scan. Scans
+    pass over files of no length, which a listing must show above all, so those
+    are looked up one by one.
     """
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(prefix).select(
+    scan = reader.load(prefix)
+    found = scan.select(
         base_name(F.col("path")).alias("name"),
         F.col("modificationTime").cast("timestamp_ntz").alias("modified_at"),
         F.col("length").alias("size_bytes"),
         "path",
     )
+    everything = small_frame(spark, [(unquote(p),) for p in scan.inputFiles()], "path string")
+    same_form = F.regexp_replace("path", "^file:/+", "file:/")
+    empty = (
+        everything.select(same_form.alias("path"))
+        .join(found.select(same_form.alias("path")), "path", "left_anti")
+        .collect()
+    )
+    if not empty:
+        return found
+    rows = [(p.rsplit("/", 1)[-1], files.modified_at(spark, p), 0, p) for (p,) in empty]
+    return found.unionByName(small_frame(spark, rows, _LISTED))
 
 
 def lines_of(listing: DataFrame, column: str = "listing") -> DataFrame:
@@ -33,31 +54,39 @@ def lines_of(listing: DataFrame, column: str = "listing") -> DataFrame:
     return listing.select(F.explode(split_lines(F.col(column))).alias("line"))
 
 
+def _is_whole(entry: Column) -> Column:
+    return (
+        entry["name"].isNotNull()
+        & entry["modified_at"].isNotNull()
+        & entry["size_bytes"].isNotNull()
+    )
+
+
 def parse_listing(lines: DataFrame, column: str = "line") -> DataFrame:
     """Every line with its outcome: ``parsed``, ``blank`` or ``malformed``.
 
     A line is parsed only when date, size and name are all there and valid.
     """
-    entry = F.col("entry")
-    whole = (
-        entry["name"].isNotNull()
-        & entry["modified_at"].isNotNull()
-        & entry["size_bytes"].isNotNull()
+    outcome = (
+        F.when(_is_whole(F.col("entry")), "parsed")
+        .when(is_blank(F.col(column)), "blank")
+        .otherwise("malformed")
     )
     return (
         lines.withColumn("entry", parse_line(F.col(column)))
-        .withColumn(
-            "outcome",
-            F.when(whole, "parsed").when(is_blank(F.col(column)), "blank").otherwise("malformed"),
-        )
+        .withColumn("outcome", outcome)
         .select(*lines.columns, "outcome", "entry.*")
     )
 
 
 def listed_artifacts(lines: DataFrame, column: str = "line") -> DataFrame:
-    """The artifacts of a listing; other lines are left out."""
-    parsed = parse_listing(lines, column)
-    return parsed.where("outcome = 'parsed'").select("name", "modified_at", "size_bytes")
+    """The artifacts of a listing; other lines are left out.
+
+    Written as an array of one or no entry to be unpacked: a plain filter would
+    be pushed below the parsing and parse every line again.
+    """
+    entries = lines.select(F.array(parse_line(F.col(column))).alias("entries"))
+    return entries.select(F.inline(F.filter("entries", _is_whole)))
 
 
 def listing_report(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -65,6 +94,11 @@ def listing_report(lines: DataFrame, column: str = "line") -> DataFrame:
     return parse_listing(lines, column).groupBy("outcome").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def _decoded(uri: Column) -> Column:
+    """A path as listings show it; a plus sign stands for itself."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def dump_lines(spark: SparkSession, prefix: str, pattern: str = "*.sql.gz") -> DataFrame:
     """Text of dump files, line by line, as (path, name, value).
 
@@ -74,8 +108,8 @@ def dump_lines(spark: SparkSession, prefix: str, pattern: str = "*.sql.gz") -> D
         spark.read.option("pathGlobFilter", pattern)
         .text(prefix)
         .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("name"),
+            _decoded(F.col("_metadata.file_path")).alias("path"),
+            _decoded(F.col("_metadata.file_name")).alias("name"),
             "value",
         )
     )

@@ -6,8 +6,12 @@ Spark itself has no call to delete or rename a path.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import SparkSession
 
+_EPOCH = datetime(1970, 1, 1)
+
 
 def _at(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -26,6 +30,12 @@ def size_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(target).getLength()
 
 
+def modified_at(spark: SparkSession, path: str) -> datetime:
+    """Time of the last change, in UTC."""
+    fs, target = _at(spark, path)
+    return _EPOCH + timedelta(milliseconds=fs.getFileStatus(target).getModificationTime())
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder, without hidden ones."""
     fs, target = _at(spark, path)
@@ -42,6 +52,8 @@ def delete(spark: SparkSession, path: str) -> bool:
 def rename(spark: SparkSession, source: str, target: str) -> None:
     fs, old = _at(spark, source)
     _, new = _at(spark, target)
+    if not fs.exists(old):
+        raise FileNotFoundError(source)
     fs.mkdirs(new.getParent())
     if not fs.rename(old, new):
         raise IOError(f"could not rename {source} to {target}")
