@@ -156,7 +156,7 @@ def latest_per_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def find_by_name(spark: SparkSession, folder: str) -> DataFrame:
-    return catalogue.find_by_name(artifacts(spark, folder), "20240115_12", TIE)
+    return catalogue.find_by_name(artifacts(spark, folder), "20240115_1", TIE)
 
 
 def find_by_date(spark: SparkSession, folder: str) -> DataFrame:
@@ -342,7 +342,7 @@ QUERIES = {
     ),
     "find_by_name": (
         find_by_name,
-        f"{ARTIFACTS_SQL} SELECT * FROM art WHERE contains(name, '20240115_12')"
+        f"{ARTIFACTS_SQL} SELECT * FROM art WHERE contains(name, '20240115_1')"
         " ORDER BY modified_at DESC, event_id DESC LIMIT 1",
     ),
     "find_by_date": (

@@ -12,6 +12,11 @@ from tablekeep.sources import files
 from tablekeep.sources.small import small_frame
 
 
+def _one_slash(path: Column) -> Column:
+    """A local path as the file scan shows it: ``file:/x``, not ``file:///x``."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 _LISTED = "name string, modified_at timestamp_ntz, size_bytes bigint, path string"
 
 
@@ -37,12 +42,8 @@ def list_files(
         "path",
     )
     everything = small_frame(spark, [(unquote(p),) for p in scan.inputFiles()], "path string")
-    same_form = F.regexp_replace("path", "^file:/+", "file:/")
-    empty = (
-        everything.select(same_form.alias("path"))
-        .join(found.select(same_form.alias("path")), "path", "left_anti")
-        .collect()
-    )
+    here = everything.select(_one_slash(F.col("path")).alias("path"))
+    empty = here.join(found.select("path"), "path", "left_anti").collect()
     if not empty:
         return found
     rows = [(p.rsplit("/", 1)[-1], files.modified_at(spark, p), 0, p) for (p,) in empty]
@@ -108,7 +109,7 @@ def dump_lines(spark: SparkSession, prefix: str, pattern: str = "*.sql.gz") -> D
         spark.read.option("pathGlobFilter", pattern)
         .text(prefix)
         .select(
-            _decoded(F.col("_metadata.file_path")).alias("path"),
+            _one_slash(_decoded(F.col("_metadata.file_path"))).alias("path"),
             _decoded(F.col("_metadata.file_name")).alias("name"),
             "value",
         )

@@ -61,6 +61,8 @@ def test_validation_reports_empty_dumps(spark, folder):
         ("backup_e f+%20.sql.gz", True, True, True),
         ("backup_z.sql.gz", False, False, False),
     ]
+    by_path = validate_artifacts(listing, lines, "path")
+    assert rows(by_path.drop("path")) == rows(checked.drop("name"))
     assert [r["name"] for r in publishable(checked).orderBy("name").collect()] == [
         "backup_a.sql.gz",
         "backup_e f+%20.sql.gz",
