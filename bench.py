@@ -1,7 +1,7 @@
 """Headline timings; prints one JSON line.
 
 ``BENCH_SF_DIR`` names the folder of tables, ``BENCH_CPUS`` the cores. Each query
-runs once untimed (JVM warm-up, file cache) and then three times; the median
+runs once untimed (JVM warm-up, file cache) and then twice; the mean of those
 counts. Every result is written to a sink that drops it, so all of it is computed.
 """
 
@@ -78,17 +78,17 @@ def main() -> None:
     seconds = {}
     for name, query in work.items():
         times = []
-        for _ in range(4):
+        for _ in range(3):
             start = time.perf_counter()
             query(spark, folder).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
-        seconds[name] = round(statistics.median(times[1:]), 3)
+        seconds[name] = round(statistics.mean(times[1:]), 3)
 
     megabytes = sum(files.size_bytes(spark, f"{folder}/{n}.parquet") for n in TABLES) / 1e6
     print(
         json.dumps(
             {
-                "metric": "sum of median query times",
+                "metric": "sum of mean query times",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablekeep.functions.naming import backup_name_for_day, base_name, qualified
 from tablekeep.functions.sizes import readable
 from tablekeep.functions.times import moment
-from tablekeep.operators.ranking import number_in_order
+from tablekeep.operators.ranking import number_in_order, since_last
 
 
 class NoArtifactError(LookupError):
@@ -34,13 +34,32 @@ def from_manifest(manifest: DataFrame) -> DataFrame:
     )
 
 
-def artifact_list(artifacts: DataFrame, tie_break: str = "name") -> DataFrame:
-    """All artifacts newest first, with sizes for people."""
-    return artifacts.withColumn("size", readable(F.col("size_bytes"))).orderBy(
-        F.desc("modified_at"), F.desc(tie_break)
+def snapshots(manifest: DataFrame) -> DataFrame:
+    """The snapshots of a manifest as artifacts, one row each.
+
+    A snapshot is ``full`` if all its copies are.
+    """
+    return (
+        manifest.where("status = 'ok'")
+        .groupBy(F.col("snapshot_id").alias("name"))
+        .agg(
+            F.when(F.bool_and(F.col("kind") == "full"), "full")
+            .otherwise("incremental")
+            .alias("kind"),
+            F.max("created_at").alias("modified_at"),
+            F.count(F.lit(1)).alias("tables"),
+            F.sum("row_count").alias("row_count"),
+            F.sum("size_bytes").alias("size_bytes"),
+        )
     )
 
 
+def artifact_list(artifacts: DataFrame, tie_break: str = "name", by: str = "time") -> DataFrame:
+    """All artifacts with sizes for people, newest first or by name."""
+    orders = {"time": [F.desc("modified_at"), F.desc(tie_break)], "name": ["name"]}
+    return artifacts.withColumn("size", readable(F.col("size_bytes"))).orderBy(*orders[by])
+
+
 def _newest(artifacts: DataFrame, tie_break: str, group: list[str]) -> DataFrame:
     """Newest artifact per group; each task sends one row per group."""
     row = F.max_by(F.struct(*artifacts.columns), F.struct("modified_at", tie_break))
@@ -104,17 +123,8 @@ def restore_chain(
     chain.
     """
     until = artifacts.where(F.col("modified_at") <= moment(as_of))
-    order = F.struct(F.col("modified_at"), F.col(tie_break))
-    bases = (
-        until.where("kind = 'full'")
-        .groupBy("table_name")
-        .agg(F.max(order).alias("__base"))
-    )
-    chain = (
-        until.join(bases, "table_name")
-        .where(order >= F.col("__base"))
-        .select(*artifacts.columns)
-    )
+    full = F.col("kind") == "full"
+    chain = since_last(until, "table_name", "modified_at", tie_break, full)
     return number_in_order(chain, "table_name", "modified_at", tie_break, "step")
 
 

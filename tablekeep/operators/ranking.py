@@ -1,31 +1,63 @@
-"""Numbering rows inside groups of which one may be huge."""
+"""Numbering rows inside groups of which one may be huge.
+
+A window over a whole group would sort it in one task. Here a group is cut into
+slices of time. Figures per slice are few, so they can be put in order per group;
+rows only ever meet the other rows of their slice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+SLICE = "__slice"
+
+
+def with_slice(df: DataFrame, time: str, unit: str = "hour") -> DataFrame:
+    """Rows with the slice of time they fall in."""
+    return df.withColumn(SLICE, F.date_trunc(unit, F.col(time)).cast("timestamp_ntz"))
+
+
+def since_last(
+    df: DataFrame, group: str, time: str, tie_break: str, mark: Column, unit: str = "hour"
+) -> DataFrame:
+    """Rows from the last marked one of their group on; none of a group without a mark.
+
+    The last mark is found over slices, and rows are matched with it by group and
+    slice, so the rows of a huge group are spread over its slices.
+    """
+    order = F.struct(F.col(time), F.col(tie_break))
+    sliced = with_slice(df, time, unit)
+    slices = sliced.groupBy(group, SLICE).agg(F.max(F.when(mark, order)).alias("__last"))
+    last = F.max("__last").over(W.partitionBy(group))
+    starts = (
+        slices.select(group, SLICE, last.alias("__last"))
+        .where(F.col("__last").isNotNull())
+        .where(F.col(SLICE) >= F.date_trunc(unit, F.col("__last")[time]).cast("timestamp_ntz"))
+    )
+    return (
+        sliced.join(starts, [group, SLICE])
+        .where(order >= F.col("__last"))
+        .select(*df.columns)
+    )
+
 
 def number_in_order(
     df: DataFrame, group: str, time: str, tie_break: str, alias: str, unit: str = "hour"
 ) -> DataFrame:
     """Exact position (from 1) of each row within its group, by time and tie break.
 
-    A plain window would sort a whole group in one task. Here rows are numbered
-    within (group, hour), and the counts per hour, which are few, give each hour
-    its starting number.
+    Rows are numbered within their slice; the counts per slice give the number
+    each slice starts with.
     """
-    sliced = df.withColumn("__slice", F.date_trunc(unit, F.col(time)).cast("timestamp_ntz"))
-    slices = sliced.groupBy(group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before: Column = F.coalesce(
-        F.sum("__n").over(
-            W.partitionBy(group).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-        ),
-        F.lit(0),
+    sliced = with_slice(df, time, unit)
+    slices = sliced.groupBy(group, SLICE).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy(group).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    starts = slices.select(
+        group, SLICE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
     )
-    starts = slices.select(group, "__slice", before.alias("__before"))
-    inside = F.row_number().over(W.partitionBy(group, "__slice").orderBy(time, tie_break))
+    inside = F.row_number().over(W.partitionBy(group, SLICE).orderBy(time, tie_break))
     return (
-        sliced.join(starts, [group, "__slice"])
+        sliced.join(starts, [group, SLICE])
         .withColumn(alias, F.col("__before") + inside)
         .select(*df.columns, alias)
     )

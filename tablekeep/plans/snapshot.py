@@ -41,7 +41,9 @@ class SnapshotOptions:
     """How copies are written.
 
     ``format`` is ``parquet`` or ``json`` (gzip JSON lines). ``on_error`` is
-    ``raise`` (after all tables were tried) or ``record``.
+    ``raise`` (after all tables were tried) or ``record``. With ``verify`` every
+    copy is read again before the manifest calls it good; without, it is checked
+    as it is written, and again by whatever restores it.
     """
 
     format: str = "parquet"
@@ -49,6 +51,7 @@ class SnapshotOptions:
     max_records_per_file: int = 0
     parallelism: int = DEFAULT_PARALLELISM
     on_error: str = "raise"
+    verify: bool = False
 
 
 @dataclass(frozen=True)
@@ -92,13 +95,18 @@ class _Run:
             compression=options.compression,
             max_records_per_file=options.max_records_per_file,
         )
+        schema_json = df.schema.json()
+        if options.verify:
+            found = measure(read_copy(spark, path, options.format, schema_json))
+            if found != written:
+                raise SnapshotError(f"{path} holds {found}, written were {written}")
         return self.row(
             table,
             kind,
             change,
             "ok",
             path=path,
-            schema_json=df.schema.json(),
+            schema_json=schema_json,
             size_bytes=files.size_bytes(spark, path),
             **written,
         )

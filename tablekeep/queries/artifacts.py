@@ -143,6 +143,10 @@ def artifact_list(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue.artifact_list(artifacts(spark, folder), TIE)
 
 
+def artifact_list_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    return catalogue.artifact_list(artifacts(spark, folder), by="name")
+
+
 def latest_artifact(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue.latest_artifact(artifacts(spark, folder), TIE)
 
@@ -327,6 +331,10 @@ QUERIES = {
         f"{ARTIFACTS_SQL} SELECT *, {readable_sql('size_bytes')} AS size FROM art"
         " ORDER BY modified_at DESC, event_id DESC",
     ),
+    "artifact_list_by_name": (
+        artifact_list_by_name,
+        f"{ARTIFACTS_SQL} SELECT *, {readable_sql('size_bytes')} AS size FROM art ORDER BY name",
+    ),
     "latest_artifact": (
         latest_artifact,
         f"{ARTIFACTS_SQL} SELECT * FROM art ORDER BY modified_at DESC, event_id DESC LIMIT 1",

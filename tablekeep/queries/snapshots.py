@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.operators import change, selection
-from tablekeep.operators.catalogue import from_manifest
+from tablekeep.operators.catalogue import from_manifest, snapshots
 from tablekeep.plans import restore
 from tablekeep.plans.manifest import copies_as_of, read_manifest
 from tablekeep.plans.rotation import retention_apply as apply_retention
@@ -18,6 +18,7 @@ from tablekeep.plans.snapshot import (
     snapshot_schemas,
     table_measures,
 )
+from tablekeep.plans.workflow import back_up, restore_snapshot
 from tablekeep.queries.common import SCHEMAS, TABLES, source, table
 from tablekeep.queries.tables import NEW_LINEITEM_SQL, new_lineitem
 from tablekeep.session import scratch_folder
@@ -237,6 +238,41 @@ def restore_guarded_append(spark: SparkSession, folder: str) -> DataFrame:
     return _guarded(spark, folder, "append")
 
 
+def snapshot_list(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshots of two days, without their sizes and times."""
+    root = _two_days(spark, folder, "list")
+    known = snapshots(read_manifest(spark, root))
+    return known.select("name", "kind", "tables", "row_count")
+
+
+_LIST_SQL = f"""
+SELECT 'day1' AS name, 'full' AS kind, 3 AS tables,
+       (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM nation)
+         + (SELECT count(*) FROM customer) AS row_count
+UNION ALL
+SELECT 'day2', 'incremental', 2,
+       (SELECT count(*) FROM ({NEW_LINEITEM_SQL}))
+         + (SELECT count(DISTINCT c_mktsegment) FROM customer)
+"""
+
+
+def restore_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """The first day found by a part of its name, restored from the root of two days."""
+    root = _two_days(spark, folder, "by-name")
+    restore_snapshot(spark, root, f"{root}/restored", name="y1", tables="lineitem")
+    return spark.read.parquet(f"{root}/restored/sales/lineitem.parquet")
+
+
+def backup_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Two verified runs; the first is out of retention once the second is done."""
+    root, tables = scratch_folder(spark, "run"), source(spark, folder)
+    back_up(tables, root, "january", datetime(2024, 1, 1))
+    back_up(tables, root, "march", datetime(2024, 3, 1), retention_days=30)
+    return read_manifest(spark, root).select(
+        "schema_name", "table_name", "snapshot_id", "status", "row_count"
+    )
+
+
 def retention_apply(spark: SparkSession, folder: str) -> DataFrame:
     """Three full snapshots of some tables; what is left once retention was applied."""
     root = scratch_folder(spark, "rotation")
@@ -314,6 +350,12 @@ QUERIES = {
         restore_guarded_append,
         f"{NEW_LINEITEM_SQL} UNION ALL SELECT * FROM lineitem",
     ),
+    "snapshot_list": (snapshot_list, _LIST_SQL),
+    "restore_by_name": (restore_by_name, "SELECT * FROM lineitem"),
+    "backup_run": (
+        backup_run,
+        _counts_sql(TABLES, "'march' AS snapshot_id, 'ok' AS status"),
+    ),
     "retention_apply": (retention_apply, _APPLY_SQL),
     "incremental_stream": (incremental_stream, "SELECT * FROM events"),
 }
