@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+from tablekeep.functions.times import epoch_micros
+
 _PORTABLE_TEXT = (
     T.StringType,
     T.ByteType,
@@ -17,7 +19,7 @@ _PORTABLE_TEXT = (
     T.IntegerType,
     T.LongType,
 )
-_PORTABLE_TIME = (T.TimestampNTZType, T.TimestampType)
+_PORTABLE_TIME = (T.TimestampNTZType,)
 
 
 def quoted(name: str) -> str:
@@ -117,7 +119,7 @@ def portable_row_hash(schema: T.StructType, columns: list[str] | None = None) ->
     for name in names:
         value, data_type = column_of(name), schema[name].dataType
         if isinstance(data_type, _PORTABLE_TIME):
-            text = F.unix_micros(value.cast("timestamp")).cast("string")
+            text = epoch_micros(value).cast("string")
         else:
             text = value.cast("string")
         parts.append(

@@ -1,4 +1,8 @@
-"""Time expressions. "Now" is always an argument, so results are repeatable."""
+"""Time expressions.
+
+"Now" is always an argument, so results are repeatable. Times have no zone and
+none is put between, so results do not depend on the session's time zone.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,11 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, functions as F
 
-# Formats of times in artifact names and listings, and the
-# seconds in a day and the days an artifact is kept when nothing else is said.
-STAMP_FORMAT = "yyyyMMdd_HHmmss"
-DAY_FORMAT = "yyyyMMdd"
-LISTING_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# The shape of times in listings, the epoch, the seconds in a day
+# and the days an artifact is kept when nothing else is said. Artifact names
+# carry times as yyyymmdd_hhmmss or yyyymmdd.
+LISTING_TIME = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"
+EPOCH = "1970-01-01 00:00:00"
 SECONDS_PER_DAY = 86400
 DEFAULT_RETENTION_DAYS = 30
 
@@ -30,34 +34,47 @@ def moment(value: datetime | date | str | Column) -> Column:
 
 def stamp(value: Column) -> Column:
     """``20240315_120000``."""
-    return F.date_format(value, STAMP_FORMAT)
+    text = F.substring(value.cast("timestamp_ntz").cast("string"), 1, 19)
+    return F.translate(text, " -:", "_")
 
 
 def day_stamp(value: Column) -> Column:
     """``20240315``."""
-    return F.date_format(value, DAY_FORMAT)
+    return F.translate(F.substring(value.cast("string"), 1, 10), "-", "")
 
 
 def parse_listing_time(text: Column) -> Column:
-    """Timestamp from listing text, NULL where the text is no time."""
-    return F.try_to_timestamp(text, F.lit(LISTING_FORMAT)).cast("timestamp_ntz")
+    """Timestamp from ``yyyy-mm-dd hh:mm:ss``, NULL for any other text or no such time."""
+    return F.when(text.rlike(LISTING_TIME), text.try_cast("timestamp_ntz"))
+
+
+def _elapsed(start: Column, end: Column) -> Column:
+    """Seconds from one time to another with six decimals, with no time zone between."""
+    span = end.cast("timestamp_ntz") - start.cast("timestamp_ntz")
+    return span.cast("interval second").cast("decimal(20,6)")
 
 
 def epoch_seconds(value: Column) -> Column:
-    return F.unix_timestamp(value.cast("timestamp"))
+    """Full seconds since the epoch of a time without zone."""
+    return F.floor(_elapsed(F.lit(EPOCH), value)).cast("bigint")
+
+
+def epoch_micros(value: Column) -> Column:
+    """Microseconds since the epoch of a time without zone."""
+    return (_elapsed(F.lit(EPOCH), value) * F.lit(1_000_000)).cast("bigint")
 
 
 def from_epoch(seconds: Column) -> Column:
-    return F.timestamp_seconds(seconds).cast("timestamp_ntz")
+    return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def age_seconds(value: Column, as_of: Column) -> Column:
-    """Full seconds from ``value`` to ``as_of``."""
-    return F.timestamp_diff("SECOND", value, as_of)
+    """Full seconds from ``value`` to ``as_of``, rounded down."""
+    return F.floor(_elapsed(value, as_of)).cast("bigint")
 
 
 def age_days(value: Column, as_of: Column) -> Column:
-    """Full days from ``value`` to ``as_of``, rounded down also before ``as_of``."""
+    """Full days from ``value`` to ``as_of``, rounded down."""
     return F.floor(age_seconds(value, as_of) / F.lit(SECONDS_PER_DAY)).cast("bigint")
 
 

@@ -15,22 +15,12 @@ from tablekeep.functions.hashing import (
     row_hash,
 )
 
-_TIME_FORMATS = {
-    T.TimestampNTZType: "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    T.TimestampType: "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    T.DateType: "yyyy-MM-dd",
-}
-
-
 def _bounds(field: T.StructField, rows: str | None) -> list[str]:
     """Bounds and sum of a column as SQL; ``rows`` is how often each value occurs."""
     value, kind = quoted(field.name), field.dataType
     texts, numbers = ["NULL", "NULL"], ["NULL", "NULL", "NULL"]
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, (T.StringType, T.DatetimeType)):
         texts = [f"min({value})", f"max({value})"]
-    elif type(kind) in _TIME_FORMATS:
-        form = _TIME_FORMATS[type(kind)]
-        texts = [f"date_format({bound}({value}), '{form}')" for bound in ("min", "max")]
     elif isinstance(kind, T.NumericType):
         # Whole numbers are summed exactly; a bigint sum could overflow.
         whole = isinstance(kind, T.IntegralType)

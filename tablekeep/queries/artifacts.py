@@ -108,7 +108,7 @@ def artifact_names(spark: SparkSession, folder: str) -> DataFrame:
         naming.or_default(F.nullif(F.col("kind"), F.lit("full")), "none").alias("kind_or_none"),
         times.epoch_seconds(at).alias("epoch"),
         times.from_epoch(times.epoch_seconds(at)).alias("to_the_second"),
-        times.parse_listing_time(F.date_format(at, times.LISTING_FORMAT)).alias("parsed"),
+        times.parse_listing_time(F.substring(at.cast("string"), 1, 19)).alias("parsed"),
         times.age_seconds(at, as_of).alias("age_seconds"),
         times.age_days(at, as_of).alias("age_days"),
         sizes.in_unit(F.col("size_bytes"), "KB").alias("size_kb"),

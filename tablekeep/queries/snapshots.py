@@ -246,7 +246,7 @@ def snapshot_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LIST_SQL = f"""
-SELECT 'day1' AS name, 'full' AS kind, 3 AS tables,
+SELECT 'day1' AS name, 'full' AS kind, CAST(3 AS BIGINT) AS tables,
        (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM nation)
          + (SELECT count(*) FROM customer) AS row_count
 UNION ALL

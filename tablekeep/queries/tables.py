@@ -20,7 +20,7 @@ def _profile_sql() -> str:
     selects = []
     for name in TABLES:
         for column, kind in columns(name):
-            text = {"s": "{}({c})", "t": "strftime({}({c}), '%Y-%m-%d %H:%M:%S.%f')"}.get(kind)
+            text = "CAST({}({c}) AS VARCHAR)" if kind in "st" else None
             number = "CAST({}({c}) AS DOUBLE)" if kind in "id" else None
             total = "round(CAST(sum({c}) AS DOUBLE), 2)" if kind in "id" else "CAST(NULL AS DOUBLE)"
             text = text or "CAST(NULL AS VARCHAR)"

@@ -17,7 +17,7 @@ def _one_slash(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-_LISTED = "name string, modified_at timestamp_ntz, size_bytes bigint, path string"
+_LISTED = "name string, millis bigint, size_bytes bigint, path string"
 
 
 def list_files(
@@ -46,8 +46,11 @@ def list_files(
     empty = here.join(found.select("path"), "path", "left_anti").collect()
     if not empty:
         return found
-    rows = [(p.rsplit("/", 1)[-1], files.modified_at(spark, p), 0, p) for (p,) in empty]
-    return found.unionByName(small_frame(spark, rows, _LISTED))
+    rows = [(p.rsplit("/", 1)[-1], files.modified_millis(spark, p), 0, p) for (p,) in empty]
+    modified_at = F.timestamp_millis("millis").cast("timestamp_ntz").alias("modified_at")
+    return found.unionAll(
+        small_frame(spark, rows, _LISTED).select("name", modified_at, "size_bytes", "path")
+    )
 
 
 def lines_of(listing: DataFrame, column: str = "listing") -> DataFrame:

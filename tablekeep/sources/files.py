@@ -6,12 +6,8 @@ Spark itself has no call to delete or rename a path.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
-
 from pyspark.sql import SparkSession
 
-_EPOCH = datetime(1970, 1, 1)
-
 
 def _at(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -30,10 +26,10 @@ def size_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(target).getLength()
 
 
-def modified_at(spark: SparkSession, path: str) -> datetime:
-    """Time of the last change, in UTC."""
+def modified_millis(spark: SparkSession, path: str) -> int:
+    """Time of the last change, in milliseconds since the epoch."""
     fs, target = _at(spark, path)
-    return _EPOCH + timedelta(milliseconds=fs.getFileStatus(target).getModificationTime())
+    return fs.getFileStatus(target).getModificationTime()
 
 
 def children(spark: SparkSession, path: str) -> list[str]:

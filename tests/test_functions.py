@@ -63,6 +63,44 @@ def test_moments(spark):
     assert set(found.first()) == {datetime(2024, 3, 1)}
 
 
+def test_clock_changes_of_the_session_zone_do_not_matter(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    gap = datetime(2024, 3, 10, 2, 30, 0, 123456)  # an hour New York left out
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([(gap,)], "at timestamp_ntz")
+        at = F.col("at")
+        found = df.select(
+            times.stamp(at),
+            times.day_stamp(at),
+            times.epoch_seconds(at),
+            times.epoch_micros(at),
+            times.from_epoch(times.epoch_seconds(at)),
+            times.parse_listing_time(F.lit("2024-03-10 02:30:00")),
+            times.age_seconds(at, times.moment("2024-03-11 02:30:00")),
+            times.epoch_seconds(times.moment("1969-12-31 23:59:59.5")),
+        ).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    whole = gap.replace(microsecond=0)
+    assert tuple(found) == (
+        "20240310_023000",
+        "20240310",
+        1710037800,
+        1710037800123456,
+        whole,
+        whole,
+        86399,
+        -1,
+    )
+
+
+@pytest.mark.parametrize("text", ["2024-03-10", "2024-02-30 00:00:00", "x", "", None, "2024-3-1 1:2:3"])
+def test_other_texts_are_no_times(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(times.parse_listing_time(F.col("t"))).first()[0] is None
+
+
 def test_names(spark):
     at = times.moment("2024-03-15 12:00:00")
     table = naming.qualified(F.lit("sales"), F.lit("orders"))
