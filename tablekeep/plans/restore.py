@@ -158,6 +158,25 @@ def _report(spark: SparkSession, rows: list[Row], targets: list[str]) -> DataFra
     )
 
 
+def _swap(spark: SparkSession, moves: list[tuple[str, str, str]]) -> None:
+    """Move new folders into place and what was there aside; all of them or none."""
+    done = []
+    try:
+        for new, place, aside in moves:
+            there = files.exists(spark, place)
+            if there:
+                files.rename(spark, place, aside)
+            done.append((new, place, aside if there else None))
+            files.rename(spark, new, place)
+    except Exception:
+        for new, place, aside in reversed(done):
+            if files.exists(spark, place):
+                files.rename(spark, place, new)
+            if aside:
+                files.rename(spark, aside, place)
+        raise
+
+
 def restore_to_folder(
     spark: SparkSession,
     copies: DataFrame,
@@ -178,13 +197,9 @@ def restore_to_folder(
     _mode(mode)
     target = target.rstrip("/")
     rows = copies.collect()
-    final = {
-        (c["schema_name"], c["table_name"]): (
-            f"{target}/{c['schema_name']}/{c['table_name']}{ParquetTables.SUFFIX}"
-        )
-        for c in rows
-    }
-    places = [final[c["schema_name"], c["table_name"]] for c in rows]
+    places = [
+        f"{target}/{c['schema_name']}/{c['table_name']}{ParquetTables.SUFFIX}" for c in rows
+    ]
     if mode == "append":
         _require_valid(spark, copies, parallelism)
         _raise_first(
@@ -207,16 +222,13 @@ def restore_to_folder(
         rows,
         parallelism,
     )
-    try:
-        _raise_first(staged)
-        for copy, path, _ in staged:
-            place = final[copy["schema_name"], copy["table_name"]]
-            if files.exists(spark, place):
-                old = f"{staging}/old/{copy['schema_name']}/{copy['table_name']}"
-                files.rename(spark, place, old)
-            files.rename(spark, path, place)
-    finally:
-        files.delete(spark, staging)
+    bad = [error for _, _, error in staged if error is not None]
+    if not bad:
+        old = [f"{staging}/old/{c['schema_name']}/{c['table_name']}" for c in rows]
+        _swap(spark, list(zip([path for _, path, _ in staged], places, old)))
+    files.delete(spark, staging)
+    if bad:
+        raise bad[0]
     return _report(spark, rows, places)
 
 
@@ -260,10 +272,11 @@ def restore_to_catalog(
         parallelism,
     )
     _raise_first(staged)
-    for (_, name), path, _ in staged:
+    for (copy, name), path, _ in staged:
         # The table's files stay where they are: its entry has a location of its own.
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.catalog.createTable(name, path=path, source="parquet")
+        schema = _read(spark, copy).schema
+        spark.catalog.createTable(name, path=path, source="parquet", schema=schema)
     _raise_first(
         run_jobs(
             spark,

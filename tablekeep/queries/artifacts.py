@@ -167,6 +167,14 @@ def find_by_date(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue.find_by_date(artifacts(spark, folder), "2024-01-17", TIE)
 
 
+def find_by_day_name(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest artifact with the exact name of a day, where names carry days only."""
+    named = artifacts(spark, folder).withColumn(
+        "name", naming.backup_name_for_day(F.col("modified_at"))
+    )
+    return catalogue.find_by_date(named, "2024-01-17", TIE, exact_name=True)
+
+
 def _retention(rule: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         return retention.retention(artifacts(spark, folder), RETENTION_AS_OF, 30, rule)
@@ -358,6 +366,12 @@ QUERIES = {
         f"{ARTIFACTS_SQL} SELECT * FROM art WHERE CAST(modified_at AS DATE) = DATE '2024-01-17'"
         " ORDER BY modified_at DESC, event_id DESC LIMIT 1",
     ),
+    "find_by_day_name": (
+        find_by_day_name,
+        f"{ARTIFACTS_SQL} SELECT * REPLACE ('backup_20240117.sql.gz' AS name) FROM art"
+        " WHERE strftime(modified_at, '%Y%m%d') = '20240117'"
+        " ORDER BY modified_at DESC, event_id DESC LIMIT 1",
+    ),
     "retention_exact": (
         _retention("exact"),
         _retention_sql("modified_at < TIMESTAMP '2024-02-15' - INTERVAL 30 DAY"),

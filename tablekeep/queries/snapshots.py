@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,7 +23,7 @@ from tablekeep.plans.workflow import back_up, restore_snapshot
 from tablekeep.queries.common import SCHEMAS, TABLES, source, table
 from tablekeep.queries.tables import NEW_LINEITEM_SQL, new_lineitem
 from tablekeep.session import scratch_folder
-from tablekeep.sources.tables import FrameTables, TableSource
+from tablekeep.sources.tables import CatalogTables, FrameTables, TableSource
 from tablekeep.streaming.incremental import append_new_files, new_files
 
 DAY_1, DAY_2, DAY_3 = datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 3)
@@ -58,11 +59,11 @@ def snapshot_parallel(spark: SparkSession, folder: str, parallelism: int = 4) ->
     return report.select(*REPORT)
 
 
-def _restore(name: str, format: str):
+def _restore(name: str, format: str, compression: str | None = None):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         root = scratch_folder(spark, f"{format}-{name}")
         tables = source(spark, folder)
-        options = SnapshotOptions(format=format, parallelism=1)
+        options = SnapshotOptions(format=format, compression=compression, parallelism=1)
         take_full(tables, root, "one", DAY_1, _only(tables, [name]), options)
         return restore.restored_tables(spark, root).read(SCHEMAS[name], name)
 
@@ -238,6 +239,39 @@ def restore_guarded_append(spark: SparkSession, folder: str) -> DataFrame:
     return _guarded(spark, folder, "append")
 
 
+def catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables put into a database of the session's catalog, listed and measured there."""
+    database = f"tablekeep_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_folder(spark, database)}'")
+    for name in TABLES:
+        path = f"{folder}/{name}.parquet"
+        spark.catalog.createTable(f"{database}.{name}", path=path, source="parquet")
+    tables = CatalogTables(spark, [database])
+    measured = table_measures(tables, selection.select_tables(tables.tables(), exclude="labels"))
+    return measured.select("table_name", "row_count")
+
+
+def _catalog(spark: SparkSession, folder: str, mode: str) -> DataFrame:
+    """As :func:`_guarded`, with the catalog as the target."""
+    root = _two_days(spark, folder, f"catalog-{mode}")
+    database = f"tablekeep_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{root}/{database}'")
+    place = f"{root}/catalog"
+    newest = restore.chosen_copies(spark, root, tables="lineitem")
+    restore.restore_to_catalog(spark, newest, place, database=database)
+    first = restore.chosen_copies(spark, root, snapshot_id="day1", tables="lineitem")
+    restore.restore_to_catalog(spark, first, place, mode, database)
+    return spark.table(f"{database}.lineitem")
+
+
+def restore_catalog_force(spark: SparkSession, folder: str) -> DataFrame:
+    return _catalog(spark, folder, "force")
+
+
+def restore_catalog_append(spark: SparkSession, folder: str) -> DataFrame:
+    return _catalog(spark, folder, "append")
+
+
 def snapshot_list(spark: SparkSession, folder: str) -> DataFrame:
     """The snapshots of two days, without their sizes and times."""
     root = _two_days(spark, folder, "list")
@@ -350,6 +384,23 @@ QUERIES = {
         restore_guarded_append,
         f"{NEW_LINEITEM_SQL} UNION ALL SELECT * FROM lineitem",
     ),
+    "snapshot_plain_text_restore_documents": (
+        _restore("documents", "json", "none"),
+        "SELECT * FROM documents",
+    ),
+    "catalog_tables": (
+        catalog_tables,
+        "\nUNION ALL ".join(
+            f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}"
+            for n in TABLES
+            if n != "labels"
+        ),
+    ),
+    "restore_catalog_force": (restore_catalog_force, "SELECT * FROM lineitem"),
+    "restore_catalog_append": (
+        restore_catalog_append,
+        f"{NEW_LINEITEM_SQL} UNION ALL SELECT * FROM lineitem",
+    ),
     "snapshot_list": (snapshot_list, _LIST_SQL),
     "restore_by_name": (restore_by_name, "SELECT * FROM lineitem"),
     "backup_run": (

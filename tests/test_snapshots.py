@@ -253,9 +253,10 @@ def test_tables_left_out_are_not_dropped(spark, root):
 # validation and restore
 
 
-def spoil(spark, root, name):
+def spoil(spark, root, name, snapshot_id="one"):
     """Replace the files of a copy by others of the same shape."""
-    row = read_manifest(spark, root).where(F.col("table_name") == name).first()
+    copy = (F.col("table_name") == name) & (F.col("snapshot_id") == snapshot_id)
+    row = read_manifest(spark, root).where(copy).first()
     spark.createDataFrame([(99,)], "v int").write.mode("overwrite").parquet(row["path"])
 
 
@@ -305,6 +306,28 @@ def test_a_spoiled_copy_leaves_the_target_alone(spark, root, mode):
     assert (values(back, "a"), values(back, "b")) == ([1], [2])
 
 
+def test_a_move_that_fails_is_taken_back(spark, root, monkeypatch):
+    target = f"{root}/target"
+    snapshot_full(frames(spark, a=[1], b=[2], c=[3]), root, "one", DAYS[0])
+    snapshot_full(frames(spark, a=[5], b=[6], c=[7]), root, "two", DAYS[1])
+    first = restore.chosen_copies(spark, root, snapshot_id="one", tables="a,b")
+    restore.restore_to_folder(spark, first, target)
+    rename, moved = files.rename, []
+
+    def failing(session, old, new):
+        moved.append(new)
+        if len(moved) == 4:  # the second table, its old copy already aside
+            raise IOError("no rename")
+        rename(session, old, new)
+
+    monkeypatch.setattr(files, "rename", failing)
+    with pytest.raises(IOError):
+        restore.restore_to_folder(spark, restore.chosen_copies(spark, root), target, "force")
+    back = ParquetTables(spark, f"{target}/s", "s")
+    assert back.names() == ["a", "b"]
+    assert (values(back, "a"), values(back, "b")) == ([1], [2])
+
+
 def test_restore_to_catalog(spark, root):
     spark.sql("DROP DATABASE IF EXISTS s CASCADE")
     snapshot_full(frames(spark, a=[1], b=[2]), root, "one", DAYS[0])
@@ -321,7 +344,7 @@ def test_restore_to_catalog(spark, root):
     assert values(tables, "a") == [5]
     restore.restore_to_catalog(spark, first, place, "append")
     assert values(tables, "a") == [1, 5]
-    spoil(spark, root, "b")
+    spoil(spark, root, "b", "two")
     with pytest.raises(restore.InvalidSnapshotError):
         newest = restore.chosen_copies(spark, root, snapshot_id="two")
         restore.restore_to_catalog(spark, newest, place, "force")
