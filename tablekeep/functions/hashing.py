@@ -71,9 +71,12 @@ def _nested(value: Column, data_type: T.DataType) -> Column:
     return F.struct(value.isNull(), value)
 
 
-def row_hash(schema: T.StructType) -> Column:
-    """64-bit hash of a whole row; NULL positions count."""
-    columns, missing = [], []
+def row_hash(schema: T.StructType, salt: int | None = None) -> Column:
+    """64-bit hash of a whole row; NULL positions count.
+
+    Hashes with different salts are independent of each other.
+    """
+    columns, missing = [] if salt is None else [F.lit(salt)], []
     for field in schema.fields:
         value = column_of(field.name)
         if _flat(field.dataType):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tablekeep.functions.hashing import column_of
+from tablekeep.functions.hashing import column_of, row_hash
 from tablekeep.functions.naming import qualified
 from tablekeep.functions.times import moment
 
@@ -48,24 +48,49 @@ def changed_tables(current: DataFrame, base: DataFrame) -> DataFrame:
     )
 
 
-def row_delta(old: DataFrame, new: DataFrame) -> DataFrame:
+def row_delta(old: DataFrame, new: DataFrame, method: str = "content") -> DataFrame:
     """Rows inserted and deleted between two versions of a table, as bags.
 
     One row per distinct changed row: ``change`` and how many ``copies`` of it
-    came or went; no key is needed. Both versions go through one aggregation:
-    copies are counted before the shuffle, so a row held a billion times moves
-    as one row per task, and whole rows spread over all partitions by content.
+    came or went; no key is needed.
+
+    ``content`` puts both versions through one aggregation: copies are counted
+    before the shuffle, so a row held a billion times moves as one row per task,
+    and whole rows spread over all partitions by content.
+
+    ``digest`` is for large versions that differ little. It reads them twice but
+    shuffles only 128-bit digests and counts of rows; then only rows whose digest
+    has an uneven count are compared by content. A changed row could be missed
+    only if a different row with the same digest made up for it.
     """
     names = old.columns
     if set(names) != set(new.columns):
         raise ValueError("both versions must have the same columns")
-    signed = old.select(*map(column_of, names), F.lit(-1).alias("__sign")).unionAll(
-        new.select(*map(column_of, names), F.lit(1).alias("__sign"))
+    both = old.select(*map(column_of, names), F.lit(-1).alias(_SIGN)).unionAll(
+        new.select(*map(column_of, names), F.lit(1).alias(_SIGN))
+    )
+    if method == "content":
+        return _net_rows(both, names)
+    if method != "digest":
+        raise ValueError("method is one of content, digest")
+    digested = both.withColumns(
+        {"__d1": row_hash(old.schema), "__d2": row_hash(old.schema, salt=1)}
+    )
+    uneven = (
+        digested.groupBy("__d1", "__d2").agg(F.sum(_SIGN).alias("__net")).where("__net <> 0")
     )
-    net: Column = F.col("__net")
+    return _net_rows(digested.join(uneven, ["__d1", "__d2"], "left_semi"), names)
+
+
+_SIGN = "__sign"
+
+
+def _net_rows(signed: DataFrame, names: list[str]) -> DataFrame:
+    """Distinct rows whose signs do not add up to zero."""
+    net = F.col("__net")
     return (
         signed.groupBy(*map(column_of, names))
-        .agg(F.sum("__sign").alias("__net"))
+        .agg(F.sum(_SIGN).alias("__net"))
         .where(net != 0)
         .select(
             F.when(net > 0, "inserted").otherwise("deleted").alias("change"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,8 +41,12 @@ def new_run_id() -> str:
     return f"{now:%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
 
-def table_folder(root: str, schema_name: str, table_name: str, copy: str) -> str:
-    return f"{root}/tables/{schema_name}/{table_name}/{copy}"
+def copy_folder(
+    root: str, schema_name: str, table_name: str, snapshot_id: str, run_id: str
+) -> str:
+    """Folder of one copy; characters that mean something in a path are escaped."""
+    parts = [schema_name, table_name, f"{snapshot_id}-{run_id}"]
+    return f"{root}/tables/" + "/".join(quote(part, safe="") for part in parts)
 
 
 def _append(spark: SparkSession, rows: list[dict], schema: str, path: str) -> None:

@@ -12,10 +12,10 @@ from tablekeep.plans.copies import measure, read_copy, same_shape, write_copy
 from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import (
     append_manifest,
+    copy_folder,
     copies_as_of,
     new_run_id,
     read_manifest,
-    table_folder,
 )
 from tablekeep.sources import files
 from tablekeep.sources.small import small_frame
@@ -86,7 +86,7 @@ class _Run:
 
     def write(self, table: tuple[str, str], kind: str, change: str) -> dict:
         spark, options = self.source.spark, self.options
-        path = table_folder(self.root, *table, f"{self.snapshot_id}-{self.run_id}")
+        path = copy_folder(self.root, *table, self.snapshot_id, self.run_id)
         df = self.source.read(*table)
         written = write_copy(
             df,

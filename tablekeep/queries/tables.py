@@ -183,6 +183,11 @@ def row_delta(spark: SparkSession, folder: str) -> DataFrame:
     return change.row_delta(old_lineitem(spark, folder), new_lineitem(spark, folder))
 
 
+def row_delta_digest(spark: SparkSession, folder: str) -> DataFrame:
+    old, new = old_lineitem(spark, folder), new_lineitem(spark, folder)
+    return change.row_delta(old, new, "digest")
+
+
 def _delta_sql(old: str, new: str) -> str:
     return f"""
 WITH old AS ({old}), new AS ({new})
@@ -221,6 +226,7 @@ QUERIES = {
     ),
     "changed_since": (changed_since, CHANGED_SINCE_SQL),
     "row_delta": (row_delta, _delta_sql(OLD_LINEITEM_SQL, NEW_LINEITEM_SQL)),
+    "row_delta_digest": (row_delta_digest, _delta_sql(OLD_LINEITEM_SQL, NEW_LINEITEM_SQL)),
     "row_delta_documents": (
         row_delta_documents,
         _delta_sql("SELECT * FROM documents", NEW_DOCUMENTS_SQL),

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -82,6 +83,30 @@ def test_changed_since_is_strict_and_null_safe(spark):
     assert sorted(r["qualified_name"] for r in found.collect()) == ["s.a", "s.e"]
 
 
+@pytest.mark.parametrize("method", ["content", "digest"])
+@pytest.mark.parametrize("seed", range(3))
+def test_row_delta_against_brute_force(spark, seed, method):
+    draw = random.Random(seed)
+
+    def bag():
+        return [
+            (draw.choice([1, 2, None]), draw.choice(["a", "", None]), draw.choice([[1], [], None]))
+            for _ in range(60)
+        ]
+
+    old, new = bag(), bag()
+    ddl = "i int, s string, a array<int>"
+    found = change.row_delta(
+        spark.createDataFrame(old, ddl).repartition(3), spark.createDataFrame(new, ddl), method
+    )
+    count = lambda rows_: Counter(repr(r) for r in rows_)
+    gone, come = count(old) - count(new), count(new) - count(old)
+    expected = [("deleted", n, r) for r, n in gone.items()] + [
+        ("inserted", n, r) for r, n in come.items()
+    ]
+    assert sorted((r[0], r[1], repr(tuple(r[2:]))) for r in found.collect()) == sorted(expected)
+
+
 def test_row_delta_counts_copies_and_nulls(spark):
     old = spark.createDataFrame([(1, None), (1, None), (2, "b"), (3, "c")], "i int, s string")
     new = spark.createDataFrame([(1, None), (3, "c"), (3, "c"), (3, "c"), (2, None)], "i int, s string")

@@ -110,6 +110,16 @@ def test_an_id_is_made_from_the_time(spark, root):
     assert read_manifest(spark, root).first()["snapshot_id"] == "20240315_120000"
 
 
+def test_odd_names(spark, root):
+    df = spark.range(3)
+    odd = {("my schema", "a/b*[c]{d}?"): df, ("s", "50% off"): df, ("s", "ü:x"): df}
+    snapshot_full(FrameTables(spark, odd), root, "2024-01-01T00:00:00", DAYS[0])
+    back = restore.restored_tables(spark, root, snapshot_id="2024-01-01T00:00:00")
+    assert set(back.frames) == set(odd)
+    assert all(f.count() == 3 for f in back.frames.values())
+    assert restore.validate_snapshot(spark, root).where("valid").count() == 3
+
+
 def test_no_manifest_yet(spark, root):
     assert read_manifest(spark, root).isEmpty()
     with pytest.raises(LookupError):
