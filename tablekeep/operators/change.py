@@ -58,10 +58,10 @@ def row_delta(old: DataFrame, new: DataFrame, method: str = "content") -> DataFr
     before the shuffle, so a row held a billion times moves as one row per task,
     and whole rows spread over all partitions by content.
 
-    ``digest`` is for large versions that differ little. It reads them twice but
-    shuffles only 128-bit digests and counts of rows; then only rows whose digest
-    has an uneven count are compared by content. A changed row could be missed
-    only if a different row with the same digest made up for it.
+    ``digest`` is for large versions of wide rows that differ little. It reads
+    them twice but shuffles only 128-bit digests and counts of rows; then only
+    rows whose digest has an uneven count are compared by content. A changed row
+    could be missed only if a different row with the same digest made up for it.
     """
     names = old.columns
     if set(names) != set(new.columns):

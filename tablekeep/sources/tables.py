@@ -128,7 +128,7 @@ class ParquetTables(TableSource):
 
 
 class CatalogTables(TableSource):
-    """Tables of the session's catalog; its databases are the schemas."""
+    """Tables of the session's catalog, without views; its databases are the schemas."""
 
     def __init__(self, spark: SparkSession, databases: list[str] | None = None):
         super().__init__(spark)
@@ -144,7 +144,7 @@ class CatalogTables(TableSource):
                 (database, t.name)
                 for database in self.schemas()
                 for t in self.spark.catalog.listTables(database)
-                if not t.isTemporary
+                if not t.isTemporary and t.tableType != "VIEW"
             ]
         )
 

@@ -359,7 +359,9 @@ def test_restore_to_catalog(spark, root):
         newest = restore.chosen_copies(spark, root, snapshot_id="two")
         restore.restore_to_catalog(spark, newest, place, "force")
     assert values(tables, "b") == [2, 6]
-    # the catalog is a source as well
+    # the catalog is a source as well; views are not tables
+    spark.sql("CREATE VIEW s.seen AS SELECT * FROM s.a")
+    assert rows(tables.tables()) == [("s", "a"), ("s", "b")]
     snapshot_full(tables, f"{root}/again", "one", DAYS[0])
     assert values(restore.restored_tables(spark, f"{root}/again"), "a") == [1, 5]
     spark.sql("DROP DATABASE s CASCADE")
