@@ -144,6 +144,13 @@ def test_profile(spark, distinct):
     assert (found["a"]["row_count"], found["a"]["non_null"], found["a"]["distinct_count"]) == (3, 2, 1)
 
 
+def test_profile_of_odd_column_names(spark):
+    names = ["a.b", "it's", "c`d", "{x}", "back\\slash", "__rows2"]
+    df = spark.createDataFrame([tuple(range(6))], ", ".join("`" + n.replace("`", "``") + "` int" for n in names))
+    for distinct in ("approx", "exact"):
+        assert sorted(r["column_name"] for r in profile.table_profile(df, distinct).collect()) == sorted(names)
+
+
 def test_profile_of_no_rows(spark):
     df = spark.createDataFrame([], "i int, s string")
     for distinct in ("approx", "exact", "none"):
