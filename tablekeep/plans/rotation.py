@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablekeep.functions.times import DEFAULT_RETENTION_DAYS
 from tablekeep.operators.catalogue import from_manifest
-from tablekeep.operators.retention import retention_plan
+from tablekeep.operators.retention import retention, retention_plan
 from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import append_removed, read_manifest
 from tablekeep.plans.snapshot import DEFAULT_PARALLELISM
 from tablekeep.sources import files
+from tablekeep.sources.artifacts import list_files
 from tablekeep.sources.small import small_frame
 
 
@@ -27,6 +28,24 @@ def delete_planned(
     return sorted(paths)
 
 
+def rotate_files(
+    spark: SparkSession,
+    prefix: str,
+    as_of: datetime,
+    pattern: str = "backup_*",
+    days: int = DEFAULT_RETENTION_DAYS,
+    rule: str = "whole_days",
+    parallelism: int = DEFAULT_PARALLELISM,
+) -> list[str]:
+    """Delete files below a prefix which are out of retention by their own time.
+
+    Dump files know of no base and no table, so age alone decides. Returns the paths.
+    """
+    aged = retention(list_files(spark, prefix, pattern), as_of, days, rule)
+    plan = aged.withColumnRenamed("expired", "removable")
+    return delete_planned(spark, plan, parallelism)
+
+
 def retention_apply(
     spark: SparkSession,
     root: str,

@@ -42,8 +42,8 @@ class SnapshotOptions:
 
     ``format`` is ``parquet`` or ``json`` (gzip JSON lines). ``on_error`` is
     ``raise`` (after all tables were tried) or ``record``. With ``verify`` every
-    copy is read again before the manifest calls it good; without, it is checked
-    as it is written, and again by whatever restores it.
+    copy is read again before the manifest calls it good. Without, its row count
+    and fingerprint are noted as it is written, and whatever restores it checks it.
     """
 
     format: str = "parquet"
@@ -168,7 +168,7 @@ def snapshot_full(
     tables: DataFrame | None = None,
     options: SnapshotOptions = SnapshotOptions(),
 ) -> DataFrame:
-    """Copy a table set and report one row per table.
+    """Copy a table set and report one row per table. A root is for one source.
 
     ``tables`` comes from :func:`select_tables`; without it all tables but those
     of system schemas are taken. Up to ``options.parallelism`` tables are written

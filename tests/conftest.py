@@ -13,8 +13,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("shared")
-    session = local_session(
-        "8", "tablekeep-tests", spark__sql__warehouse__dir=str(base / "warehouse")
+    session = local_session(  # tasks may be run again, as on a cluster
+        "8,4", "tablekeep-tests", spark__sql__warehouse__dir=str(base / "warehouse")
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

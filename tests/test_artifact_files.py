@@ -2,11 +2,12 @@
 
 import gzip
 import os
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
 from tablekeep.operators.validate import publishable, validate_artifacts
+from tablekeep.plans.rotation import rotate_files
 from tablekeep.sources import files
 from tablekeep.sources.artifacts import dump_lines, list_files
 from tests.conftest import rows
@@ -69,6 +70,21 @@ def test_validation_reports_empty_dumps(spark, folder):
     ]
 
 
+@pytest.mark.parametrize("rule, left", [("whole_days", "abde"), ("exact", "abd")])
+def test_old_files_are_deleted(spark, folder, rule, left):
+    now = datetime(2024, 6, 1, tzinfo=timezone.utc)
+    ages = {"a": 0, "b": 3, "c": 31, "d": 30, "e f+%20": 30.5, "z": 400}
+    for name, days in ages.items():
+        at = (now - timedelta(days=days)).timestamp()
+        os.utime(f"{folder}/backup_{name}.sql.gz", (at, at))
+    os.utime(f"{folder}/notes.txt", (0, 0))
+    gone = rotate_files(spark, folder, now.replace(tzinfo=None), "backup_*.sql.gz", 30, rule)
+    assert len(gone) == len(ages) - len(left)
+    there = files.children(spark, folder)
+    assert "".join(n[7] for n in there if n.startswith("backup_")) == left
+    assert "notes.txt" in there
+
+
 def test_file_calls(spark, folder):
     assert files.exists(spark, folder) and not files.exists(spark, f"{folder}/none")
     assert files.size_bytes(spark, f"{folder}/notes.txt") == 17

@@ -122,6 +122,23 @@ def test_no_rows(spark, root, format):
         assert measure(back) == {"row_count": 0, "fingerprint": 0}
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_rows_of_tasks_run_again_count_once(spark, root, shuffled):
+    def lost_at_the_end(batches):
+        from pyspark import TaskContext
+
+        yield from batches
+        task = TaskContext.get()
+        if task.attemptNumber() == 0 and task.partitionId() % 2 == 0:
+            raise RuntimeError("executor lost")
+
+    df = spark.range(0, 10000, 1, 8).mapInPandas(lost_at_the_end, "id long")
+    if shuffled:
+        df = df.repartition(4, "id").mapInPandas(lost_at_the_end, "id long")
+    written = write_copy(df, root)
+    assert written == measure(spark.read.parquet(root)) == measure(spark.range(10000))
+
+
 def test_a_write_counts_rows_once_behind_a_shuffle(spark, root):
     df = spark.range(1000).repartition(16).groupBy((F.col("id") % 7).alias("k")).count()
     assert write_copy(df, root)["row_count"] == 7

@@ -3,7 +3,6 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from tablekeep.operators import catalogue, change, profile, retention, selection
 from tests.conftest import rows
