@@ -54,10 +54,15 @@ def write_copy(
     return {"row_count": 0, "fingerprint": Decimal(0), **seen.get}  # nothing is seen of no rows
 
 
+def schema_of(schema_json: str) -> T.StructType:
+    """The schema a manifest row holds."""
+    return T.StructType.fromJson(json.loads(schema_json))
+
+
 def read_copy(spark: SparkSession, path: str, format: str, schema_json: str) -> DataFrame:
     """A copy with the schema it was written with."""
-    schema = T.StructType.fromJson(json.loads(schema_json))
-    return spark.read.format(format).options(**FORMATS[format]["read"]).schema(schema).load(path)
+    reader = spark.read.format(format).options(**FORMATS[format]["read"])
+    return reader.schema(schema_of(schema_json)).load(path)
 
 
 def measure(df: DataFrame) -> dict:

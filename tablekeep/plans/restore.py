@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from tablekeep.operators.selection import select_tables
-from tablekeep.plans.copies import measure, read_copy, write_copy
+from tablekeep.plans.copies import measure, read_copy, schema_of, write_copy
 from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import copies_as_of, read_manifest
 from tablekeep.plans.snapshot import DEFAULT_PARALLELISM
@@ -53,6 +53,11 @@ def chosen_copies(
     return copies.join(wanted.select(*keys), keys, "left_semi")
 
 
+def _rows(copies: DataFrame) -> list[Row]:
+    """The manifest rows of copies, the largest first."""
+    return sorted(copies.collect(), key=lambda copy: -copy["size_bytes"])
+
+
 def _read(spark: SparkSession, copy: Row) -> DataFrame:
     return read_copy(spark, copy["path"], copy["format"], copy["schema_json"])
 
@@ -88,7 +93,7 @@ def validate_copies(
     A copy that cannot be read is invalid and stops no other check.
     """
     rows = []
-    checked = run_jobs(spark, lambda c: _check(spark, c), copies.collect(), parallelism)
+    checked = run_jobs(spark, lambda c: _check(spark, c), _rows(copies), parallelism)
     for copy, same, error in checked:
         same = same or {"row_count": False, "fingerprint": False}
         has_schema, has_data = bool(copy["schema_json"]), error is None
@@ -187,7 +192,7 @@ def restore_to_folder(
     """Restore into ``<target>/<schema>/<table>.parquet``; reports one row per table.
 
     - ``error``: refuses if any of the tables is there;
-    - ``force``: replaces them;
+    - ``force``: replaces them; other tables stay;
     - ``append``: adds the rows to what is there.
 
     For the first two all tables are first written beside the target, and checked
@@ -196,7 +201,7 @@ def restore_to_folder(
     """
     _mode(mode)
     target = target.rstrip("/")
-    rows = copies.collect()
+    rows = _rows(copies)
     places = [
         f"{target}/{c['schema_name']}/{c['table_name']}{ParquetTables.SUFFIX}" for c in rows
     ]
@@ -248,7 +253,7 @@ def restore_to_catalog(
     ``append`` inserts into the tables that are there.
     """
     _mode(mode)
-    rows = copies.collect()
+    rows = _rows(copies)
     names = [f"`{database or c['schema_name']}`.`{c['table_name']}`" for c in rows]
     there = {name: spark.catalog.tableExists(name) for name in names}
     taken = [name for name in names if there[name]]
@@ -275,7 +280,7 @@ def restore_to_catalog(
     for (copy, name), path, _ in staged:
         # The table's files stay where they are: its entry has a location of its own.
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        schema = _read(spark, copy).schema
+        schema = schema_of(copy["schema_json"])
         spark.catalog.createTable(name, path=path, source="parquet", schema=schema)
     _raise_first(
         run_jobs(
@@ -303,7 +308,7 @@ def restore_to_jdbc(
     """
     save_mode = {"error": "errorifexists", "append": "append", "force": "overwrite"}[_mode(mode)]
     _require_valid(spark, copies, parallelism)
-    rows = copies.collect()
+    rows = _rows(copies)
     names = [f'"{c["schema_name"]}"."{c["table_name"]}"' for c in rows]
 
     def work(pair: tuple[Row, str]) -> None:

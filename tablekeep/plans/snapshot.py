@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 
 from tablekeep.operators.selection import select_tables
-from tablekeep.plans.copies import measure, read_copy, same_shape, write_copy
+from tablekeep.plans.copies import measure, read_copy, same_shape, schema_of, write_copy
 from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import (
     append_manifest,
@@ -256,8 +256,7 @@ def _change(run: _Run, table: tuple[str, str], copy) -> str:
     if token is not None and token == copy["source_state"]:
         return "unchanged"
     df = run.source.read(*table)
-    old = read_copy(run.source.spark, copy["path"], copy["format"], copy["schema_json"])
-    if not same_shape(df.schema, old.schema):
+    if not same_shape(df.schema, schema_of(copy["schema_json"])):
         return "changed"
     if run.source.cheap_count and df.count() != copy["row_count"]:
         return "changed"
