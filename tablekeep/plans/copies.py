@@ -27,6 +27,17 @@ FORMATS = {
 _HASH = "__hash64"
 
 
+def _fits_text(data_type: T.DataType) -> bool:
+    """Whether JSON gives values of the type back as they were."""
+    if isinstance(data_type, T.StructType):
+        return all(_fits_text(f.dataType) for f in data_type.fields)
+    if isinstance(data_type, T.ArrayType):
+        return _fits_text(data_type.elementType)
+    if isinstance(data_type, T.MapType):
+        return isinstance(data_type.keyType, T.StringType) and _fits_text(data_type.valueType)
+    return not isinstance(data_type, T.VariantType)
+
+
 def write_copy(
     df: DataFrame,
     path: str,
@@ -41,6 +52,8 @@ def write_copy(
     once. The observation sits in the write's own stage, whose tasks count once
     even if they are run again.
     """
+    if format == "json" and not _fits_text(df.schema):
+        raise ValueError("text copies hold no variants and only maps with string keys")
     options = {**FORMATS[format]["write"], "maxRecordsPerFile": str(max_records_per_file)}
     if compression:
         options["compression"] = compression

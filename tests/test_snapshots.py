@@ -83,6 +83,38 @@ def test_awkward_values_survive(spark, root, format):
     assert restore.validate_snapshot(spark, root).first()["valid"]
 
 
+@pytest.mark.parametrize("format", ["parquet", "json"])
+def test_odd_columns_survive(spark, root, format):
+    names = ["a.b", "c d", "e`f", 'g"h', "é", "x,;{}()=", "UPPER", "new\tline"]
+    df = spark.range(3).select(
+        *[(F.col("id") + i).alias(n) for i, n in enumerate(names)],
+        F.struct(F.col("id").alias("x.y"), F.lit(None).cast("int").alias("z")).alias("s.t"),
+        F.array(F.struct(F.lit(1).alias("q r"))).alias("list"),
+        F.lit(float("inf")).alias("inf"),
+        F.lit(-0.0).alias("zero"),
+        F.col("id").cast("decimal(38,18)").alias("dec"),
+        F.expr("CAST(1.5 AS FLOAT)").alias("f"),
+        F.expr("CAST(3 AS TINYINT)").alias("tiny"),
+    )
+    options = SnapshotOptions(format=format)
+    source = FrameTables(spark, {("s", "t"): df})
+    snapshot_full(source, root, "one", DAYS[0], options=options)
+    back = restore.restored_tables(spark, root).read("s", "t")
+    assert back.columns == df.columns
+    assert rows(back) == rows(df)
+    assert restore.validate_snapshot(spark, root).first()["valid"]
+    assert report(snapshot_incremental(source, root, "two", DAYS[1]))["t"][0] == "unchanged"
+
+
+@pytest.mark.parametrize("value", ["map(1, 'x')", "array(parse_json('1'))", "array(map(1, 2))"])
+def test_text_refuses_what_it_would_not_give_back(spark, root, value):
+    source = FrameTables(spark, {("s", "t"): spark.sql(f"SELECT {value} AS v")})
+    with pytest.raises(SnapshotError):
+        snapshot_full(source, root, "text", DAYS[0], options=SnapshotOptions(format="json"))
+    snapshot_full(source, root, "columns", DAYS[1], options=SnapshotOptions(verify=True))
+    assert read_manifest(spark, root).where("status = 'ok'").count() == 1
+
+
 # manifest
 
 
