@@ -79,6 +79,14 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def unusable_copies(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of folders no restore reads: of replaced runs, and of tables that failed."""
+    log = _read(spark, f"{root}/manifest", MANIFEST).where("path <> ''")
+    removed = _read(spark, f"{root}/removed", REMOVED).select("path")
+    usable = read_manifest(spark, root).where("status = 'ok'").select("path")
+    return log.join(removed, "path", "left_anti").join(usable, "path", "left_anti")
+
+
 def copies_as_of(manifest: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     """Per table the newest row at or before a time; a dropped table has none.
 

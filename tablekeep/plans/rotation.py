@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablekeep.functions.times import DEFAULT_RETENTION_DAYS
+from tablekeep.functions.times import DEFAULT_RETENTION_DAYS, expired
 from tablekeep.operators.catalogue import from_manifest
 from tablekeep.operators.retention import retention, retention_plan
 from tablekeep.plans.jobs import run_jobs
-from tablekeep.plans.manifest import append_removed, read_manifest
+from tablekeep.plans.manifest import append_removed, read_manifest, unusable_copies
 from tablekeep.plans.snapshot import DEFAULT_PARALLELISM
 from tablekeep.sources import files
 from tablekeep.sources.artifacts import list_files
@@ -57,11 +57,16 @@ def retention_apply(
     """Remove the copies of a snapshot root which are out of retention.
 
     They leave the catalogue first and the storage second, so a run that dies in
-    between never leaves an entry without data. Returns the paths.
+    between never leaves an entry without data. What replaced and failed runs left
+    behind goes with its age. Returns the paths.
     """
     root = root.rstrip("/")
     plan = retention_plan(from_manifest(read_manifest(spark, root)), as_of, days, rule)
-    paths = [r[0] for r in plan.where("removable").select("path").toLocalIterator()]
+    left_behind = unusable_copies(spark, root).where(
+        expired(F.col("created_at"), as_of, days, rule)
+    )
+    removable = plan.where("removable").select("path").unionAll(left_behind.select("path"))
+    paths = [r[0] for r in removable.distinct().toLocalIterator()]
     if not paths:
         return []
     append_removed(spark, root, [{"path": p, "removed_at": as_of} for p in paths])

@@ -68,6 +68,9 @@ class _Run:
         state = self.states.get(table)
         return None if state is None else state.token
 
+    def folder(self, table: tuple[str, str]) -> str:
+        return copy_folder(self.root, *table, self.snapshot_id, self.run_id)
+
     def row(self, table: tuple[str, str], kind: str, change: str, status: str, **more) -> dict:
         return {
             "snapshot_id": self.snapshot_id,
@@ -86,7 +89,7 @@ class _Run:
 
     def write(self, table: tuple[str, str], kind: str, change: str) -> dict:
         spark, options = self.source.spark, self.options
-        path = copy_folder(self.root, *table, self.snapshot_id, self.run_id)
+        path = self.folder(table)
         df = self.source.read(*table)
         written = write_copy(
             df,
@@ -148,7 +151,8 @@ def _finish(run: _Run, outcomes: list, kind: str) -> DataFrame:
     rows = []
     for table, row, error in outcomes:
         if error is not None:
-            row = run.row(table, kind, "", "failed", error=f"{type(error).__name__}: {error}")
+            text = f"{type(error).__name__}: {error}"
+            row = run.row(table, kind, "", "failed", path=run.folder(table), error=text)
         rows.append(row)
     listed = [r for r in rows if r["status"] != "unchanged"]
     spark = run.source.spark

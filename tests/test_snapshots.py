@@ -422,6 +422,20 @@ def test_retention_deletes_planned_copies_only(spark, root):
     assert rotation.retention_apply(spark, root, DAYS[8], days=3) == []
 
 
+def test_what_replaced_and_failed_runs_left_goes_too(spark, root):
+    snapshot_full(frames(spark, a=[1]), root, "one", DAYS[0])
+    old = read_manifest(spark, root).first()["path"]
+    snapshot_full(broken(spark), root, "two", DAYS[0], options=SnapshotOptions(on_error="record"))
+    bad = read_manifest(spark, root).where("status = 'failed'").first()["path"]
+    snapshot_full(frames(spark, a=[2]), root, "one", DAYS[1])
+    assert files.exists(spark, old)
+    assert rotation.retention_apply(spark, root, DAYS[1], days=3) == []
+    gone = rotation.retention_apply(spark, root, DAYS[8], days=3)
+    assert set(gone) == {old, bad} and not files.exists(spark, old)
+    assert rotation.retention_apply(spark, root, DAYS[8], days=3) == []
+    assert values(restore.restored_tables(spark, root), "a") == [2]
+
+
 def test_a_base_and_the_newest_copy_are_kept(spark, root):
     snapshot_full(frames(spark, a=[0], b=[0]), root, "day0", DAYS[0])
     snapshot_incremental(frames(spark, a=[1], b=[1]), root, "day1", DAYS[1])
