@@ -111,7 +111,11 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def table_fingerprints(tables: Mapping[str, DataFrame], algorithm: str = "native") -> DataFrame:
-    """Fingerprints of several tables, one row each, in one job."""
+    """Fingerprints of several tables, one row each, in one job.
+
+    The plan grows with the tables; for thousands use ``table_measures``, which
+    runs a job per table.
+    """
     return union_all(
         fingerprint(df, algorithm).select(F.lit(name).alias("table_name"), "*")
         for name, df in tables.items()
