@@ -1 +1,8 @@
 """Operators of a training-data pipeline; nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions travel to the executors whole, so that these need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

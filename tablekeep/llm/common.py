@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tablekeep.session import scratch_folder
 
@@ -106,11 +108,9 @@ def per_text(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=texts).astype(np.int64)
 
 
-def same(a, b):
-    """Equality that holds for two nulls as well."""
-    return a.eqNullSafe(b)
-
-
-def salted(name: str, salts: int):
-    """A stable number below ``salts`` from a column."""
-    return F.pmod(F.xxhash64(name), F.lit(salts)).cast("int")
+def kept_in_process(name: str, make: Callable):
+    """What ``make`` gave the first time, for as long as the Python worker lives."""
+    store = sys.modules.setdefault("tablekeep_llm_kept", types.ModuleType("tablekeep_llm_kept"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablekeep.llm import sharding
+from tablekeep.llm import quality_rules, sharding, simhash
 from tablekeep.llm.common import table
 
 
@@ -29,7 +29,23 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document; a source stands for a host."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    judged = quality_rules.quality_rules(docs, "text", "source")
+    return judged.select(
+        "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "removed_words"
+    )
+
+
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate component of every document, shingles of 4 words, 4 bits."""
+    return simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4)
+
+
 # name -> (query taking (spark, folder), SQL or None)
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
+    "op5_quality_rules": (op5_quality_rules, None),
+    "op7_simhash": (op7_simhash, None),
 }

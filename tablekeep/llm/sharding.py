@@ -35,13 +35,12 @@ def assign_shards(
     is a stratum of its own; null values elsewhere are values. Rows equal in every column are
     counted before they are ordered and get ranks one after the other. The result depends on the
     rows, the seed and the number of shards only. An empty frame gives an empty frame. Columns
-    called ``shard`` or ``slot`` are refused.
+    called ``shard`` or ``slot`` are replaced.
     """
     if shards < 1 or buckets < 1:
         raise ValueError("shards and buckets must be positive")
+    rows = rows.drop("shard", "slot")
     names = rows.columns
-    if clash := {n for n in names if n.lower() in ("shard", "slot")}:
-        raise ValueError(f"columns {sorted(clash)} clash with the result's")
     keys = [f"c{i}" for i in range(len(names))]
     at = {n: k for n, k in zip(names, keys)}
     plain = rows.toDF(*keys)
@@ -102,6 +101,7 @@ def shard_rows(
     Shards are given out by a 128-bit digest of the row; equal rows take their slots in any order,
     as nothing tells them apart. Nested columns must be hashable by Spark (maps are not).
     """
+    rows = rows.drop("shard", "slot")
     names = rows.columns
     keys = [f"c{i}" for i in range(len(names))]
     digest = [F.xxhash64(F.lit(n), *keys).alias(f"d{n}") for n in range(2)]
