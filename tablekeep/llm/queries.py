@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablekeep.llm import quality_rules, sharding, simhash
+from tablekeep.llm import packing, quality_rules, sharding, simhash, warc
 from tablekeep.llm.common import table
+from tablekeep.session import scratch_folder
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return os.path.realpath(public_tokenizers.path(name))
 
 
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +39,12 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    docs = table(spark, folder, "documents")
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), capacity=4096, end_id=2)
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document; a source stands for a host."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
@@ -43,9 +59,21 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4)
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    path = scratch_folder(spark, "llm-warc")
+    warc.write_archives(table(spark, folder, "pages"), path, least_bytes=0)
+    found = warc.read_archives(spark, path)
+    return found.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
 # name -> (query taking (spark, folder), SQL or None)
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
+    "op2_packing": (op2_packing, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op7_simhash": (op7_simhash, None),
+    "op10_warc": (op10_warc, None),
 }
