@@ -27,13 +27,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tablekeep.llm.common import col, kept_in_process, slices, text_column
+from tablekeep.llm.common import col, kept_in_process, layout, slices, text_column
 
 CAPACITY = 4096
 END_ID = 2
 WINDOW_TOKENS = 1 << 20
 CARRIED = 16  # sequences' worth of pieces that wait for the next window
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+TEXT_BYTES = 8 << 20  # of texts encoded together
 
 # fixed values: how the tokenizer file describes white space and word splitting
 NORMALIZER = {
@@ -88,19 +89,36 @@ class Tokens:
             sizes = np.array([len(x.ids) for x in found], np.int64)
             flat = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32, sizes.sum())
             return flat, np.concatenate([[0], np.cumsum(sizes)])
-        split = pc.ascii_split_whitespace(texts)
-        words = split.flatten().dictionary_encode()
-        own = [self._word(w) for w in words.dictionary.to_pylist()]
+        plain = _plain_texts(texts)
+        if plain.all():
+            return self._gather(*_runs(texts), self._run)
+        others = ~plain
+        parts = [
+            self._gather(*_runs(texts.filter(pa.array(plain))), self._run),
+            self._gather(*_words(texts.filter(pa.array(others))), self._word),
+        ]
+        ids = np.concatenate([parts[0][0], parts[1][0]])
+        begin, sizes = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        for mask, (_, bounds), shift in zip((plain, others), parts, (0, len(parts[0][0]))):
+            begin[mask], sizes[mask] = bounds[:-1] + shift, np.diff(bounds)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ids[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+    @staticmethod
+    def _gather(units: pa.Array, counts: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts of ``counts`` units each, every different unit encoded once."""
+        units = units.dictionary_encode()
+        own = [encode(u) for u in units.dictionary.to_pylist()]
+        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        if not own:
+            return np.empty(0, np.uint32), bounds
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         flat = np.fromiter(chain.from_iterable(own), np.uint32, sizes.sum())
-        begin = np.cumsum(sizes) - sizes
-        codes = words.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[codes] if len(sizes) else np.empty(0, np.int64)
+        codes = units.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(begin[codes] - ends[:-1], lengths) if len(sizes) else ends[:0]
-        ids = flat[at + np.arange(ends[-1])] if ends[-1] else np.empty(0, np.uint32)
-        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-        return ids, ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], lengths)
+        return flat[at + np.arange(ends[-1])], ends[bounds]
 
     def _word(self, word: str) -> tuple[int, ...]:
         found = self.words.get(word)
@@ -128,6 +146,64 @@ class Tokens:
         return found
 
 
+# classes of bytes: white space, letter, digit, anything else, and what needs a closer look
+_SPACE, _LETTER, _DIGIT, _OTHER, _SPECIAL = range(5)
+
+
+def _byte_classes() -> np.ndarray:
+    classes = np.full(256, _SPECIAL, np.uint8)
+    classes[:128] = _OTHER
+    classes[[32, *range(9, 14)]] = _SPACE
+    classes[ord("0") : ord("9") + 1] = _DIGIT
+    for first, last in ("az", "AZ"):
+        classes[ord(first) : ord(last) + 1] = _LETTER
+    classes[0x80:0xC0] = classes[0xC3] = _LETTER  # in two bytes: the letters from C0 to FF
+    classes[[ord("'"), ord("<")]] = _SPECIAL  # contractions, special tokens
+    return classes
+
+
+_CLASSES = _byte_classes()
+
+
+def _plain_texts(texts: pa.Array) -> np.ndarray:
+    """Which texts are of ASCII and the Latin letters up to FF, without contractions and the like."""
+    data, bounds = layout(texts)
+    classes = _CLASSES[data]
+    odd = classes == _SPECIAL
+    signs = (data == 0x97) | (data == 0xB7)  # the two signs among those letters
+    signs[1:] &= data[:-1] == 0xC3
+    at = np.flatnonzero(odd | signs)
+    return np.diff(np.searchsorted(at, bounds)) == 0
+
+
+def _runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs of letters, single digits and runs of other signs of plain texts, in lower case."""
+    data, bounds = layout(texts)
+    classes = _CLASSES[data]
+    solid = classes != _SPACE
+    starts = solid.copy()
+    starts[1:] &= (classes[1:] != classes[:-1]) | (classes[1:] == _DIGIT)
+    firsts = bounds[:-1][bounds[:-1] < len(data)]
+    starts[firsts] = solid[firsts]
+    capital = (data >= ord("A")) & (data <= ord("Z"))
+    wide = (data >= 0x80) & (data <= 0x9E)
+    wide[1:] &= data[:-1] == 0xC3
+    low = data + np.uint8(32) * (capital | wide)
+    at = np.flatnonzero(starts)
+    places = np.cumsum(solid) - 1
+    offsets = np.append(places[at], places[-1] + 1 if len(places) else 0).astype(np.int32)
+    units = pa.StringArray.from_buffers(
+        len(at), pa.py_buffer(offsets), pa.py_buffer(low[solid].tobytes())
+    )
+    return units, np.diff(np.searchsorted(at, bounds))
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of any texts, in the case they have."""
+    split = pc.ascii_split_whitespace(texts)
+    return split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+
+
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """The multiset of lengths, at most ``counts`` of each, whose sum is closest below capacity."""
     reach, inside, steps = 1, (1 << (capacity + 1)) - 1, []
@@ -253,7 +329,7 @@ def pack(
         tokens = kept_in_process(f"tokens {tokenizer}", lambda: Tokens(tokenizer))
         packer = _Packer(capacity, TaskContext.get().partitionId() << 40)
         id_type = None
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, TEXT_BYTES):
             id_type = batch.column(0).type
             ids, bounds = tokens.encode(text_column(batch, 1))
             for i, doc in enumerate(batch.column(0).to_pylist()):
