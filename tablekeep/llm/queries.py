@@ -6,7 +6,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablekeep.llm import packing, quality_rules, sharding, simhash, warc
+from tablekeep.llm import (
+    html_text,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+    simhash,
+    warc,
+)
 from tablekeep.llm.common import table
 from tablekeep.session import scratch_folder
 
@@ -45,6 +53,18 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document, learnt from the labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, folder, "labels"))
+    return quality_model.score(docs, model).select(
+        "doc_id",
+        F.coalesce(quality_model.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        "predicted",
+    )
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document; a source stands for a host."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
@@ -54,6 +74,11 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate component of every document, shingles of 4 words, 4 bits."""
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4)
@@ -73,7 +98,9 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op2_packing": (op2_packing, None),
+    "op4_quality_classifier": (op4_quality_classifier, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op6_html_extraction": (op6_html_extraction, None),
     "op7_simhash": (op7_simhash, None),
     "op10_warc": (op10_warc, None),
 }
