@@ -91,7 +91,8 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？·¿¡\"'“”‘’«»()-–—")
 SMOOTHING = (0.25, 0.5, 1.0, 0.5, 0.25)
-THRESHOLD = 0.25
+THRESHOLD = 0.25  # of the page's usual score
+IN_ARTICLE = 0.04  # the same where an element says that it is the article
 LINKED = 0.5  # share of a path's text in links from which on it is a list of links
 
 _TOKEN = re.compile(
@@ -252,8 +253,9 @@ def main_text(page: str) -> str:
     In a page with an article or main element (not an empty one) only blocks in it can be content.
     """
     blocks = page_blocks(page)
+    threshold = THRESHOLD
     if any(block[2] for block in blocks):
-        blocks = [block for block in blocks if block[2]]
+        blocks, threshold = [block for block in blocks if block[2]], IN_ARTICLE
     if not blocks:
         return ""
     sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
@@ -280,7 +282,7 @@ def main_text(page: str) -> str:
     fused = 0.5 * plain + 0.5 * _smooth(plain)
     weight = np.array([len(block[0]) for block in blocks], float)
     usual = float((fused * weight).sum() / weight.sum())
-    chosen = (fused >= THRESHOLD * usual) & (np.array(links) < LINKED)
+    chosen = (fused >= threshold * usual) & (np.array(links) < LINKED)
     # a heading goes with the text that follows it
     for i in range(len(blocks) - 2, -1, -1):
         if blocks[i][3] and not chosen[i] and links[i] < LINKED:
