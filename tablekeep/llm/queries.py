@@ -13,6 +13,7 @@ from tablekeep.llm import (
     quality_rules,
     sharding,
     simhash,
+    topk,
     warc,
 )
 from tablekeep.llm.common import table
@@ -84,6 +85,12 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4)
 
 
+def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best of all embeddings for each whose id is divisible by 20."""
+    found = topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.drop("query_row")
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to archives and read back from them."""
     path = scratch_folder(spark, "llm-warc")
@@ -102,5 +109,6 @@ QUERIES = {
     "op5_quality_rules": (op5_quality_rules, None),
     "op6_html_extraction": (op6_html_extraction, None),
     "op7_simhash": (op7_simhash, None),
+    "op8_top_k": (op8_top_k, None),
     "op10_warc": (op10_warc, None),
 }
