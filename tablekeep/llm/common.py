@@ -45,9 +45,10 @@ def col(df: DataFrame, name: str):
 
 
 def text_column(batch: pa.RecordBatch, index: int) -> pa.Array:
-    """A string column with nulls as empty texts."""
+    """A column of strings or bytes with nulls as empty ones."""
     column = batch.column(index)
-    return column.fill_null("") if column.null_count else column
+    empty = b"" if pa.types.is_binary(column.type) else ""
+    return column.fill_null(empty) if column.null_count else column
 
 
 def layout(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from tablekeep.llm import (
     packing,
     quality_model,
     quality_rules,
+    repeats,
     sharding,
     simhash,
     topk,
@@ -91,6 +92,13 @@ def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("query_row")
 
 
+def op9_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """What repeated strings of 200 bytes take from every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = repeats.remove_repeats(docs, "text", length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to archives and read back from them."""
     path = scratch_folder(spark, "llm-warc")
@@ -110,5 +118,6 @@ QUERIES = {
     "op6_html_extraction": (op6_html_extraction, None),
     "op7_simhash": (op7_simhash, None),
     "op8_top_k": (op8_top_k, None),
+    "op9_suffix_array": (op9_suffix_array, None),
     "op10_warc": (op10_warc, None),
 }
