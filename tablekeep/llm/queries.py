@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablekeep.llm import (
     html_text,
     packing,
+    pieces,
     quality_model,
     quality_rules,
     repeats,
@@ -55,6 +56,22 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again; of the texts the check sums are returned."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, folder, "documents"), model)
+    encoded = encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    return pieces.decode(encoded, model).select(
+        "doc_id",
+        "n_chars",
+        "n_chunks",
+        "n_tokens",
+        "ids_crc32",
+        F.length("decoded").cast("long").alias("decoded_chars"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """The quality score of every document, learnt from the labels that are not held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -113,6 +130,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op2_packing": (op2_packing, None),
+    "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_quality_classifier": (op4_quality_classifier, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op6_html_extraction": (op6_html_extraction, None),
