@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablekeep.llm.common import col, settled, slices, text_column
 from tablekeep.llm.components import component_labels
@@ -30,7 +30,9 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 UNIT = 4096
-QUERIES = 256
+COMPARED = 1 << 15  # pairs of a query and a word that go through the planes together
+TEXT_BYTES = 1 << 20  # of texts whose shingles are hashed together
+GATHERED = 1 << 14  # fingerprints of units that are compared together
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -66,19 +68,33 @@ def _fingerprints(texts: list[str], shingle: int) -> np.ndarray:
     return result
 
 
-def fingerprints(docs: DataFrame, ident: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint as a signed number) of each document."""
-    narrow = docs.select(col(docs, ident).alias("id"), col(docs, text).alias("t"))
-    kind = narrow.schema["id"].dataType.simpleString()
+def fingerprints(
+    docs: DataFrame, ident: str, text: str, shingle: int = SHINGLE, row_keys: bool = False
+) -> DataFrame:
+    """``id`` and ``fp`` (the fingerprint as a signed number) of each document.
+
+    With ``row_keys`` also ``k1`` and ``k2``, see ``row_key``.
+    """
+    keys = row_key(docs, ident, text) if row_keys else []
+    narrow = docs.select(col(docs, ident).alias("id"), *keys, col(docs, text).alias("t"))
+    schema = narrow.drop("t").schema.add("fp", "long")
+    at = len(narrow.columns) - 1
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            values = _fingerprints(text_column(batch, 1).to_pylist(), shingle)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(values.view(np.int64))], names=["id", "fp"]
+        for batch in slices(batches, at, TEXT_BYTES):
+            values = _fingerprints(text_column(batch, at).to_pylist(), shingle)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:at], pa.array(values.view(np.int64))], schema.names
             )
 
-    return narrow.mapInArrow(hashed, f"id {kind}, fp long")
+    return narrow.mapInArrow(hashed, schema)
+
+
+def row_key(docs: DataFrame, ident: str, text: str) -> list:
+    """128 bits of a document's id and text, as ``k1`` and ``k2``."""
+    own = [col(docs, c) for c in (ident, text)]
+    nulls = [c.isNull() for c in own]
+    return [F.xxhash64(F.lit(n), *nulls, *own).alias(f"k{n}") for n in (1, 2)]
 
 
 def block_masks(blocks: int, agree: int) -> list[int]:
@@ -92,36 +108,48 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def near_in_unit(queries: np.ndarray, candidates: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs (query, candidate) of positions whose fingerprints differ in ``radius`` bits at most.
+def near_pairs(
+    units: list[tuple[np.ndarray, np.ndarray]], radius: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per unit of (queries, candidates) the pairs that differ in ``radius`` bits at most.
 
-    Words of 64 candidates are carried through the bit planes together with three kinds of
-    counters, from the ones upwards; a word leaves when no candidate of it is within the radius.
+    Returns the unit and the positions in its queries and candidates. All units go through the bit
+    planes together: the candidates of a unit fill whole words of 64, and each of its queries is
+    compared with each of its words. Counters of ones, twos, fours are carried from plane to plane;
+    a (query, word) leaves when no candidate of the word can be within the radius any more.
     """
-    n = len(candidates)
-    words = -(-n // 64)
-    padded = np.zeros((words * 64, 8), np.uint8)
-    padded[:n] = candidates.view(np.uint8).reshape(-1, 8)
-    bits = np.unpackbits(padded, axis=1, bitorder="little")  # candidate, bit
+    words = np.array([-(-len(c) // 64) for _, c in units])
+    first = np.cumsum(words) - words
+    total = int(words.sum())
+    padded = np.zeros(total * 64, np.uint64)
+    real = np.zeros(total * 64, np.uint8)
+    for (_, candidates), at in zip(units, (first * 64).tolist()):
+        padded[at : at + len(candidates)] = candidates
+        real[at : at + len(candidates)] = 1
+    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
     planes = np.ascontiguousarray(planes).view(np.uint64)  # bit, word
-    real = np.zeros(words * 64, np.uint8)
-    real[:n] = 1
-    real = np.packbits(real, bitorder="little").view(np.uint64)
+    unreal = ~np.packbits(real, bitorder="little").view(np.uint64)
+    queries = np.concatenate([q for q, _ in units])
+    asked = np.array([len(q) for q, _ in units])
+    owner = np.repeat(np.arange(len(units)), asked)
+    own_words = words[owner]
+    ends = np.cumsum(own_words)
     counters = max(1, radius.bit_length())
     limit = [(radius >> k) & 1 for k in range(counters)]
     everything = np.uint64(0xFFFFFFFFFFFFFFFF)
-    found: list[tuple[int, int]] = []
-    for start in range(0, len(queries), QUERIES):
-        block = queries[start : start + QUERIES]
-        # every (query, word) that is still in play
-        q = np.repeat(np.arange(len(block)), words)
-        w = np.tile(np.arange(words), len(block))
+    found = [np.empty((3, 0), np.int64)]
+    start = 0
+    while start < len(queries):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + COMPARED, "right")))
+        n = own_words[start:stop]
+        q = np.repeat(np.arange(start, stop), n)
+        w = first[owner[q]] + np.arange(len(q)) - np.repeat(ends[start:stop] - n - done, n)
         count = [np.zeros(len(q), np.uint64) for _ in range(counters)]
-        beyond = ~real[w]
+        beyond = unreal[w]
         for b in range(BITS):
-            own = (block >> np.uint64(b)) & np.uint64(1)
-            carry = planes[b][w] ^ (everything * own)[q]
+            carry = planes[b][w] ^ (everything * ((queries[q] >> np.uint64(b)) & np.uint64(1)))
             for k in range(counters):
                 count[k], carry = count[k] ^ carry, count[k] & carry
             beyond = beyond | carry
@@ -134,12 +162,14 @@ def near_in_unit(queries: np.ndarray, candidates: np.ndarray, radius: int) -> li
                 if not len(q):
                     break
         if len(q):
-            near = np.unpackbits(
-                np.ascontiguousarray(~beyond).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
-            )
-            rows, lanes = np.nonzero(near)
-            found += zip((start + q[rows]).tolist(), (w[rows] * 64 + lanes).tolist())
-    return found
+            lanes = np.ascontiguousarray(~beyond).view(np.uint8).reshape(-1, 8)
+            rows, lane = np.nonzero(np.unpackbits(lanes, axis=1, bitorder="little"))
+            q, w = q[rows], w[rows]
+            unit = owner[q]
+            begin = np.cumsum(asked) - asked
+            found.append(np.stack([unit, q - begin[unit], (w - first[unit]) * 64 + lane]))
+        start = stop
+    return tuple(np.concatenate(found, axis=1))
 
 
 def _above(count: list[np.ndarray], limit: list[int]) -> np.ndarray:
@@ -155,24 +185,9 @@ def _above(count: list[np.ndarray], limit: list[int]) -> np.ndarray:
     return above
 
 
-class _Forest:
-    """Union by smaller number, over positions."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.parent[max(i, j)] = min(i, j)
-
-
-def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = 0, unit: int = UNIT) -> DataFrame:
+def near_links(
+    prints: DataFrame, radius: int = RADIUS, blocks: int = 0, unit: int = UNIT
+) -> DataFrame:
     """Links (``a``, ``b``) that connect all distinct fingerprints (``fp``) within the radius.
 
     Every pair within the radius is connected by links, directly or over others of its unit.
@@ -203,8 +218,8 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = 0, unit: i
     spread = crowded.repartition("m", "k", "i", "j").sortWithinPartitions("m", "k", "i", "j")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fp, part, i, j in _units(batches):
-            links = _compared(fp, part, i, j, radius)
+        for group in _gathered(_units(batches)):
+            links = _compared(group, radius)
             if links:
                 a, b = zip(*links)
                 yield pa.record_batch(
@@ -214,50 +229,70 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = 0, unit: i
     return spread.mapInArrow(linked, "a long, b long").distinct()
 
 
-def _compared(fp: np.ndarray, part: np.ndarray, i: int, j: int, radius: int) -> list:
-    unsigned = fp.view(np.uint64)
-    if i == j:
-        pairs = near_in_unit(unsigned, unsigned, radius)
-        pairs = [(x, y) for x, y in pairs if x < y]
-    else:
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        pairs = near_in_unit(unsigned[left], unsigned[right], radius)
-        pairs = [(int(left[x]), int(right[y])) for x, y in pairs]
-    forest = _Forest(len(fp))
-    for x, y in pairs:
-        forest.join(x, y)
+def _gathered(units: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Units, some at a time."""
+    held, size = [], 0
+    for unit in units:
+        held.append(unit)
+        size += len(unit)
+        if size >= GATHERED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _compared(units: list[np.ndarray], radius: int) -> list[tuple[int, int]]:
+    """Links of the units' forests; rows of a unit: fingerprint, file, file, part, part, own part."""
+    sides = []
+    for rows in units:
+        if rows[0, 3] == rows[0, 4]:
+            sides.append((rows[:, 0], rows[:, 0]))
+        else:
+            first = rows[:, 5] == rows[0, 3]
+            sides.append((rows[first, 0], rows[~first, 0]))
+    where, x, y = near_pairs([(np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)) for a, b in sides], radius)
     links = []
-    for x in range(len(fp)):
-        if (root := forest.root(x)) != x:
-            links.append((int(fp[root]), int(fp[x])))
+    cuts = np.searchsorted(where, np.arange(len(units) + 1))
+    for i in np.unique(where).tolist():
+        a, b = sides[i]
+        part = slice(cuts[i], cuts[i + 1])
+        one, two = a[x[part]], b[y[part]]
+        different = one != two
+        if different.any():
+            links += _forest(one[different].tolist(), two[different].tolist())
     return links
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The runs of rows of one unit, which lie together."""
-    held: list[np.ndarray] = []
+def _forest(one: list[int], two: list[int]) -> list[tuple[int, int]]:
+    """Links from each linked number to the root of its tree, which is the smallest of the tree."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (above := parent.setdefault(i, i)) != i:
+            parent[i] = parent[above]
+            i = parent[i]
+        return i
+
+    for a, b in zip(one, two):
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [(root(i), i) for i in list(parent) if root(i) != i]
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The runs of at least two rows of one unit, which lie together."""
+    held = np.empty((0, 6), np.int64)
     for batch in batches:
-        rows = np.column_stack(
-            [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
-             for n in ("fp", "m", "k", "i", "j", "p")]
-        )
+        columns = [batch.column(n).to_numpy() for n in ("fp", "m", "k", "i", "j", "p")]
+        rows = np.concatenate([held, np.column_stack([c.astype(np.int64) for c in columns])])
         if not len(rows):
             continue
-        if held:
-            rows = np.concatenate([*held, rows])
-            held = []
         cuts = np.flatnonzero((rows[1:, 1:5] != rows[:-1, 1:5]).any(axis=1)) + 1
-        *whole, last = np.split(rows, cuts)
-        for unit in whole:
-            yield from _unit(unit)
-        held = [last]
-    for unit in held:
-        yield from _unit(unit)
-
-
-def _unit(rows: np.ndarray) -> Iterator[tuple]:
-    if len(rows) > 1:
-        yield np.ascontiguousarray(rows[:, 0]), rows[:, 5], int(rows[0, 3]), int(rows[0, 4])
+        *whole, held = np.split(rows, cuts)
+        yield from (np.ascontiguousarray(unit) for unit in whole if len(unit) > 1)
+    if len(held) > 1:
+        yield np.ascontiguousarray(held)
 
 
 def near_duplicates(
@@ -278,6 +313,15 @@ def near_duplicates(
     one, so copies cost nothing; rows of equal ids are documents of their own.
     """
     prints = settled(fingerprints(docs, ident, text, shingle), "simhash")
+    return prints.join(_components(prints, radius, blocks, unit), "fp").select(
+        F.col("id").alias(ident),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+def _components(prints: DataFrame, radius: int, blocks: int, unit: int) -> DataFrame:
+    """``component_id`` and ``root`` (its smallest fingerprint) of each fingerprint ``fp``."""
     nodes = settled(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     links = near_links(nodes.select("fp"), radius, blocks, unit)
     labels = component_labels(links)
@@ -286,9 +330,32 @@ def near_duplicates(
     )
     roots = settled(roots, "simhash-roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settled(roots.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(named, "fp").select(
-        F.col("id").alias(ident),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-    )
+    named = roots.join(least, "root").select("fp", "root", "component_id")
+    return settled(named, "simhash-components")
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    ident: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    blocks: int = 0,
+    unit: int = UNIT,
+) -> DataFrame:
+    """One document of each component of ``near_duplicates``: that of the smallest id.
+
+    Null ids come last; of different texts with that id the one of the smallest hash stays, and of
+    rows equal in id and text one. All columns are kept; texts are shuffled once.
+    """
+    prints = settled(fingerprints(docs, ident, text, shingle, row_keys=True), "simhash")
+    named = _components(prints, radius, blocks, unit).select("fp", "root")
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1", "k2")).alias("row")
+    kept = prints.join(named, "fp").groupBy("root").agg(first).select("row.k1", "row.k2")
+    names = docs.columns
+    keys = [f"c{i}" for i in range(len(names))]
+    keyed = docs.select(*[col(docs, n).alias(k) for n, k in zip(names, keys)], *row_key(docs, ident, text))
+    keyed = keyed.join(settled(kept, "simhash-kept"), ["k1", "k2"])
+    same = Window.partitionBy("k1", "k2").orderBy("k1")
+    keyed = keyed.withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    return keyed.select(*keys).toDF(*names)
