@@ -463,21 +463,21 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept_bytes")
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text")
 
 
 def remove_repeats(
     docs: DataFrame,
     text: str = "text",
     length: int = LENGTH,
-    with_bytes: bool = False,
+    with_text: bool = False,
     group: int = GROUP,
 ) -> DataFrame:
     """The documents with what stays of their text once all repeated strings are gone.
 
     Added: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``removed`` (maximal runs, as
-    structs of ``start`` and ``end``) and, if asked for, ``kept_bytes``, which need not be whole
-    characters. Matches do not cross documents and are judged on the input alone, so every
+    structs of ``start`` and ``end``) and, if asked for, ``kept_text``: the remaining bytes but for
+    those of cut characters (null for a null text). Matches do not cross documents and are judged on the input alone, so every
     occurrence of a repeat goes, the first too; copies of a text of ``length`` bytes or more lose
     all of it. A null text is empty; texts shorter than ``length`` lose nothing. Columns of the
     input that have the name of an added one are replaced.
@@ -515,17 +515,17 @@ def remove_repeats(
                 ),
             ),
         ]
-        + [T.StructField("kept_bytes", T.BinaryType())] * with_bytes
+        + [T.StructField("kept_text", T.StringType())] * with_text
     )
     touched = touched.select("null", *others, "packed", "spans")
-    touched = touched.mapInArrow(_judged(len(others), True, with_bytes, schema.names), schema)
+    touched = touched.mapInArrow(_judged(len(others), True, with_text, schema.names), schema)
     clean = held_texts(rows, bits, False).select("null", *others, "text")
-    clean = clean.mapInArrow(_judged(len(others), False, with_bytes, schema.names), schema)
+    clean = clean.mapInArrow(_judged(len(others), False, with_text, schema.names), schema)
     result = touched.unionByName(clean)
     return result.select(*keys, *schema.names[len(keys) :]).toDF(*names, *schema.names[len(keys) :])
 
 
-def _judged(others: int, packed: bool, with_bytes: bool, names: list[str]):
+def _judged(others: int, packed: bool, with_text: bool, names: list[str]):
     removed_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -553,8 +553,9 @@ def _judged(others: int, packed: bool, with_bytes: bool, names: list[str]):
                 pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
                 pa.array(runs, removed_type),
             ]
-            if with_bytes:
-                columns.append(pa.array(kept, pa.binary()))
+            if with_text:
+                left = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(texts, kept)]
+                columns.append(pa.array(left, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return judged
