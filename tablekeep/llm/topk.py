@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablekeep.llm.common import col, settled
 
 SEGMENTS = (1, 4, 16, 32)
-CANDIDATES = 16384  # in a block
-QUERIES = 4096  # in a block
+CANDIDATES = 8192  # in a block
+QUERIES = 2048  # in a block
 TILE = 128  # queries compared at once
 LARGEST = 1 << 28  # of a component
+SLACK = 1e-9  # relative, for the rounding of bounds
 
 
 def quantised(vectors: DataFrame, ident: str, vector: str, factor: int = 64) -> DataFrame:
@@ -89,6 +90,27 @@ def _scores(queries: np.ndarray, candidates: np.ndarray, q: np.ndarray, c: np.nd
     return out
 
 
+def _bounds(stat: np.ndarray, table: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The bounds of pairs, in pieces that keep the gathered statistics small."""
+    out = np.empty(len(q))
+    for at in range(0, len(q), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        out[part] = np.einsum("ij,ij->i", stat[q[part]], table[c[part]])
+    return out
+
+
+def _promising(
+    own: np.ndarray, candidates: np.ndarray, other: np.ndarray, bound: np.ndarray, k: int
+) -> np.ndarray:
+    """Per query the k-th best exact score among the candidates of the greatest bounds."""
+    bound = np.where(other, bound, -np.inf)
+    top = np.argpartition(bound, bound.shape[1] - k, axis=1)[:, -k:]
+    q, c = np.repeat(np.arange(len(own)), k), top.ravel()
+    exact = _scores(own, candidates, q, c).astype(np.float64)
+    exact[~other[q, c]] = -np.inf
+    return exact.reshape(len(own), k).min(axis=1)
+
+
 def best_in_block(
     query_ids: np.ndarray,
     queries: np.ndarray,
@@ -102,42 +124,38 @@ def best_in_block(
     ``known`` is each query's k-th best score so far, or minus infinity. At most k pairs a query.
     """
     found: list[tuple] = []
-    real = candidates.astype(np.float64)
     levels = [s for s in SEGMENTS if s < 2 * queries.shape[1]] or [1]
-    tables = [(segment_statistics(real, s)) for s in levels] if queries.shape[1] else []
+    if not queries.shape[1]:  # vectors without components: every score is zero
+        levels = []
+    real, asked = candidates.astype(np.float64), queries.astype(np.float64)
+    # products of doubles are exact as long as all sums are whole numbers below 2 ** 53
+    largest = np.abs(real).max(initial=0) * np.abs(asked).max(initial=0) * queries.shape[1]
+    exactly = largest < 2**53
+    tables = [segment_statistics(real, s) for s in levels]
+    stats = [segment_statistics(asked, s) for s in levels]
     for start in range(0, len(queries), TILE):
         own = queries[start : start + TILE]
-        n = len(own)
-        other = query_ids[start : start + TILE, None] != ids[None, :]
-        least = known[start : start + TILE].copy()
-        if tables:
-            stats = [segment_statistics(own.astype(np.float64), s) for s in levels]
-            bound = stats[0] @ tables[0].T
-            slack = 1e-9 * (1 + np.abs(bound).max(initial=0.0))
-            # the most promising candidates by the finest bound set the first threshold
-            finest = stats[-1] @ tables[-1].T
-            finest[~other] = -np.inf
-            if len(ids) > k:
-                top = np.argpartition(finest, len(ids) - k - 1, axis=1)[:, -k - 1 :]
-                q = np.repeat(np.arange(n), top.shape[1])
-                c = top.ravel()
-                exact = _scores(own, candidates, q, c).astype(np.float64)
-                exact[~other[q, c]] = -np.inf
-                exact = -np.sort(-exact.reshape(n, -1), axis=1)
-                least = np.maximum(least, exact[:, k - 1])
-            q, c = np.nonzero(other & (bound >= least[:, None] - slack))
-            for stat, table in zip(stats[1:-1], tables[1:-1]):
-                keep = np.empty(len(q), bool)
-                for at in range(0, len(q), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    fine = np.einsum("ij,ij->i", stat[q[part]], table[c[part]])
-                    keep[part] = fine >= least[q[part]] - slack
+        tile = slice(start, start + len(own))
+        other = query_ids[tile, None] != ids[None, :]
+        least = known[tile].copy()
+        alive, q, c = other, None, None
+        for level, (stat, table) in enumerate(zip(stats, tables)):
+            if q is None and np.count_nonzero(alive) * 16 < alive.size:
+                q, c = np.nonzero(alive)
+            if q is not None:  # few are left: pair by pair
+                keep = _bounds(stat[tile], table, q, c) >= least[q] - SLACK * (1 + np.abs(least[q]))
                 q, c = q[keep], c[keep]
-            keep = finest[q, c] >= least[q] - slack
-            q, c = q[keep], c[keep]
-        else:  # vectors without components: every score is zero
-            q, c = np.nonzero(other)
-        exact = _scores(own, candidates, q, c)
+                continue
+            bound = stat[tile] @ table.T
+            if level >= len(levels) - 2 and np.isinf(least).any() and len(ids) > k:
+                least = np.maximum(least, _promising(own, candidates, other, bound, k))
+            alive = alive & (bound >= (least - SLACK * (1 + np.abs(least)))[:, None])
+        if q is None:
+            q, c = np.nonzero(alive)
+        if exactly and len(q) * 16 > other.size:  # many survivors: all at once
+            exact = (asked[tile] @ real.T)[q, c].astype(np.int64)
+        else:
+            exact = _scores(own, candidates, q, c)
         keep = exact >= least[q]
         q, c, exact = q[keep], c[keep], exact[keep]
         order = np.lexsort((ids[c], -exact, q))
