@@ -54,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur more than once are removed from every text."""
     plain, names = _plain(docs)
-    found = repeats.remove_repeats(plain, names["text"], length=200, with_text=True)
+    found = repeats.remove_repeats(plain, names["text"], length=200)
     return _named(found, names, "kept_text")
 
 

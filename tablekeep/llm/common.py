@@ -69,8 +69,10 @@ def slices(
 ) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of one slice stay near ``size`` bytes.
 
-    A single longer text is a slice of its own.
+    A single longer text is a slice of its own. Memory that Arrow keeps for later is given back
+    after each batch, as several workers share an executor's memory.
     """
+    pool = pa.default_memory_pool()
     for batch in batches:
         _, bounds = layout(text_column(batch, index))
         start = 0
@@ -79,6 +81,8 @@ def slices(
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+        del batch, bounds
+        pool.release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +113,28 @@ def per_text(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=texts).astype(np.int64)
 
 
+class Recent(dict):
+    """A dictionary of bounded size that forgets what was not asked for lately.
+
+    ``self[key]`` is computed if it is not known. Half of the room is for what is new or was asked
+    for since the other half was filled.
+    """
+
+    def __init__(self, size: int, compute: Callable):
+        super().__init__()
+        self.half, self.compute, self.older = size // 2, compute, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def kept_in_process(name: str, make: Callable):
     """What ``make`` gave the first time, for as long as the Python worker lives."""
     store = sys.modules.setdefault("tablekeep_llm_kept", types.ModuleType("tablekeep_llm_kept"))

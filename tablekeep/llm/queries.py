@@ -112,7 +112,7 @@ def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op9_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     """What repeated strings of 200 bytes take from every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = repeats.remove_repeats(docs, "text", length=200)
+    found = repeats.remove_repeats(docs, "text", length=200, with_texts=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

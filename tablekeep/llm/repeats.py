@@ -8,8 +8,8 @@ removed wherever it is. Sorting all suffixes of a corpus at once is not needed f
    few anchors. Anchors that occur once in the corpus take all their windows out of the question.
 2. A repeated anchor is looked at in its context: the bytes around it that its windows can cover.
    Contexts that occur several times, as those of copies do, are repeated as a whole.
-3. The different contexts of an anchor are written as texts over larger symbols (the stretches
-   between the depths at which any of them part) and their suffixes are sorted by linear grouping.
+3. The different contexts of an anchor are written as texts over larger symbols (the edges
+   of the tree that they form to either side of the anchor) and their suffixes are sorted by linear grouping.
    Neighbours in the suffix array share the longest prefixes: they give, for each start of a
    context, how far its longest repeat reaches.
 4. Anchors with very many contexts are not sorted in one task. Their contexts are dealt out by
@@ -34,7 +34,7 @@ from tablekeep.llm.common import col, layout, settled, slices, text_column
 from tablekeep.llm.suffix_sort import common_prefixes, suffix_array
 
 LENGTH = 200
-CHUNK = 1 << 20  # windows hashed together
+CHUNK = 1 << 18  # windows hashed together
 GROUP = 256  # contexts of one anchor that are sorted together
 SPLIT = 5  # parts that the windows of a larger group are dealt out to
 SYMBOLS = 100_000  # in one suffix array
@@ -134,10 +134,30 @@ def _shared(a: bytes, b: bytes) -> int:
     ) // 8
 
 
-def _depths(sides: list[bytes]) -> list[int]:
-    """The depths at which any two of the strings part, in ascending order."""
-    ordered = sorted(sides)
-    return sorted({_shared(a, b) for a, b in zip(ordered, ordered[1:])} - {0})
+def _edges(sides: list[bytes]) -> list[list[tuple[int, int]]]:
+    """For each string the edges (start, end) of its way down the tree of all of them.
+
+    The tree branches where strings part; a last edge that only one string has is left out.
+    """
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    shared = [_shared(sides[a], sides[b]) for a, b in zip(order, order[1:])]
+    depths: list[set[int]] = [set() for _ in sides]
+    for places, gaps in ((order, [0, *shared]), (order[::-1], [0, *shared[::-1]])):
+        parted: list[int] = []  # the depths at which the strings seen so far part from this one
+        for i, gap in zip(places, gaps):
+            while parted and parted[-1] >= gap:
+                parted.pop()
+            if gap:
+                parted.append(gap)
+            depths[i].update(parted)
+    ways = []
+    for own in depths:
+        bounds = sorted(own)
+        ways.append(list(zip([0, *bounds], bounds)))
+    return ways
+
+
+END = 0  # the symbol after each context; how far repeats reach is cut there
 
 
 class _Contexts:
@@ -147,37 +167,36 @@ class _Contexts:
         self.k, self.length = k, length
         self.text: list[int] = []
         self.sizes: list[int] = []  # bytes of each symbol
-        self.known: dict[tuple, int] = {}
-        self.contexts: list[tuple] = []  # tag, start in the text, place of the anchor
+        self.known = 0  # symbols given out
+        self.contexts: list[tuple] = []  # tag, start in the text, place of the anchor, end
 
     def add(self, group: list[tuple]) -> None:
         """Contexts of one anchor: (tag, bytes left of the anchor, context)."""
-        k, number = self.k, len(self.contexts)
+        k, symbols = self.k, {}
         lefts = [context[:left][::-1] for _, left, context in group]
         rights = [context[left + k :] for _, left, context in group]
-        left_depths, right_depths = _depths(lefts), _depths(rights)
-        for (tag, left, context), before, after in zip(group, lefts, rights):
-            start = len(self.text)
-            far = self._cut(number, "left", before, left_depths)
-            for symbol, size in reversed(far):
-                self._put(symbol, size)
-            anchor = len(self.text)
-            self._put((number, "anchor", context[left : left + k]), k)
-            for symbol, size in self._cut(number, "right", after, right_depths):
-                self._put(symbol, size)
-            self._put(("end", start), 0)
-            self.contexts.append((tag, start, anchor))
-
-    @staticmethod
-    def _cut(group: int, side: str, whole: bytes, depths: list[int]) -> list[tuple]:
-        bounds = [0, *[d for d in depths if d < len(whole)], len(whole)]
-        return [
-            ((group, side, a, whole[a:b]), b - a) for a, b in zip(bounds, bounds[1:]) if b > a
-        ]
-
-    def _put(self, symbol: tuple, size: int) -> None:
-        self.text.append(self.known.setdefault(symbol, len(self.known)))
-        self.sizes.append(size)
+        text, sizes = self.text, self.sizes
+
+        def put(symbol: tuple, size: int) -> None:
+            own = symbols.get(symbol)
+            if own is None:
+                self.known += 1
+                own = symbols[symbol] = self.known
+            text.append(own)
+            sizes.append(size)
+
+        ways = zip(group, lefts, _edges(lefts), rights, _edges(rights))
+        for (tag, left, context), before, far, after, near in ways:
+            start = len(text)
+            for a, b in reversed(far):
+                put((-1, a, before[a:b]), b - a)
+            anchor = len(text)
+            put((0, 0, context[left : left + k]), k)
+            for a, b in near:
+                put((1, a, after[a:b]), b - a)
+            self.contexts.append((tag, start, anchor, len(text)))
+            text.append(END)
+            sizes.append(0)
 
     def repeats(self) -> Iterator[tuple]:
         """(tag, bytes before the anchor, bytes after it) of each repeat with another context."""
@@ -188,9 +207,9 @@ class _Contexts:
             after = shared[place + 1] if place + 1 < len(order) else 0
             longest[start] = max(shared[place], after)
         ends = np.cumsum([0, *self.sizes]).tolist()
-        for tag, start, anchor in self.contexts:
+        for tag, start, anchor, end in self.contexts:
             for at in range(start, anchor + 1):
-                stop = at + longest[at]
+                stop = min(at + longest[at], end)
                 if stop > anchor and ends[stop] - ends[at] >= self.length:
                     yield tag, ends[anchor] - ends[at], ends[stop] - ends[anchor + 1]
 
@@ -470,14 +489,15 @@ def remove_repeats(
     docs: DataFrame,
     text: str = "text",
     length: int = LENGTH,
-    with_text: bool = False,
+    with_texts: bool = True,
     group: int = GROUP,
 ) -> DataFrame:
     """The documents with what stays of their text once all repeated strings are gone.
 
     Added: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``removed`` (maximal runs, as
-    structs of ``start`` and ``end``) and, if asked for, ``kept_text``: the remaining bytes but for
-    those of cut characters (null for a null text). Matches do not cross documents and are judged on the input alone, so every
+    structs of ``start`` and ``end``) and ``kept_text``: the remaining bytes but for those of cut
+    characters (null for a null text). Without ``with_texts`` neither this nor the text itself is
+    returned. Matches do not cross documents and are judged on the input alone, so every
     occurrence of a repeat goes, the first too; copies of a text of ``length`` bytes or more lose
     all of it. A null text is empty; texts shorter than ``length`` lose nothing. Columns of the
     input that have the name of an added one are replaced.
@@ -502,7 +522,7 @@ def remove_repeats(
     touched = held_texts(rows, bits, True).join(spans, ["key", "size"], "left")
     schema = T.StructType(
         [plain.schema[k] for k in others]
-        + [plain.schema[keys[at]]]
+        + [plain.schema[keys[at]]] * with_texts
         + [T.StructField(n, T.LongType()) for n in ADDED[:3]]
         + [
             T.StructField("kept_sha256", T.StringType()),
@@ -515,17 +535,19 @@ def remove_repeats(
                 ),
             ),
         ]
-        + [T.StructField("kept_text", T.StringType())] * with_text
+        + [T.StructField("kept_text", T.StringType())] * with_texts
     )
     touched = touched.select("null", *others, "packed", "spans")
-    touched = touched.mapInArrow(_judged(len(others), True, with_text, schema.names), schema)
+    touched = touched.mapInArrow(_judged(len(others), True, with_texts, schema.names), schema)
     clean = held_texts(rows, bits, False).select("null", *others, "text")
-    clean = clean.mapInArrow(_judged(len(others), False, with_text, schema.names), schema)
+    clean = clean.mapInArrow(_judged(len(others), False, with_texts, schema.names), schema)
     result = touched.unionByName(clean)
-    return result.select(*keys, *schema.names[len(keys) :]).toDF(*names, *schema.names[len(keys) :])
+    left = [(k, n) for k, n in zip(keys, names) if k in schema.names]
+    new = [n for n in ADDED if n in schema.names]
+    return result.select(*[k for k, _ in left], *new).toDF(*[n for _, n in left], *new)
 
 
-def _judged(others: int, packed: bool, with_text: bool, names: list[str]):
+def _judged(others: int, packed: bool, with_texts: bool, names: list[str]):
     removed_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -541,19 +563,20 @@ def _judged(others: int, packed: bool, with_text: bool, names: list[str]):
                 ends = [0, *[end for _, end in cuts]]
                 starts = [*[start for start, _ in cuts], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(ends, starts)) if cuts else raw)
-                texts.append(None if null else raw.decode())
+                if with_texts:
+                    texts.append(None if null else raw.decode())
                 sizes.append(len(raw))
                 runs.append([{"start": a, "end": b} for a, b in cuts])
             columns = [
                 *batch.columns[1 : others + 1],
-                pa.array(texts, pa.string()),
+                *[pa.array(texts, pa.string())] * with_texts,
                 pa.array(sizes, pa.int64()),
                 pa.array([n - len(x) for n, x in zip(sizes, kept)], pa.int64()),
                 pa.array([len(x) for x in runs], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
                 pa.array(runs, removed_type),
             ]
-            if with_text:
+            if with_texts:
                 left = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(texts, kept)]
                 columns.append(pa.array(left, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -57,7 +57,8 @@ def _group_suffixes(group: list[_Group], top: _Group, n: int) -> list[int]:
     place = n
     current = top
     while current is not None:
-        members = sorted([i for i in current.members if group[i] is current])
+        members = [i for i in current.members if group[i] is current]
+        members.sort()
         for i in members:  # from the left, so that pointers of this group lead on
             j = i - 1
             while j >= 0 and (done[j] or group[j] is current):
@@ -77,6 +78,10 @@ def _group_suffixes(group: list[_Group], top: _Group, n: int) -> list[int]:
 
 def _split(group: list[_Group], children: dict[int, int]) -> None:
     """Move each parent above the rest of its group, those with more children higher."""
+    if len(children) == 1:
+        (j,) = children
+        group[j] = _Group([j], group[j])
+        return
     moved: dict[_Group, list[tuple[int, int]]] = {}
     for j, count in children.items():
         moved.setdefault(group[j], []).append((count, j))

@@ -26,7 +26,7 @@ def test_stages_take_effect(spark, data):
     groups = simhash.near_duplicates(scored).collect()
     assert {r.doc_id for r in single.collect()} == {r.component_id for r in groups}
     cleaned = pipeline.repeated_strings(spark, single, data)
-    texts = {r.doc_id: r.kept_text for r in repeats.remove_repeats(single, with_text=True).collect()}
+    texts = {r.doc_id: r.kept_text for r in repeats.remove_repeats(single).collect()}
     assert {r.doc_id: r.text for r in cleaned.collect()} == texts
     for stage in (rules, scored, single, cleaned):
         assert stage.columns == names

@@ -95,7 +95,7 @@ def test_chunks_of_long_texts(monkeypatch):
 def test_kept_text_and_nulls(spark):
     common = "é" * 30
     rows = [(1, "x" + common + "y", "", "", 0), (2, "z" + common, "", "", 0), (3, None, "", "", 0)]
-    got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, rows), length=41, with_text=True).collect()}
+    got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, rows), length=41).collect()}
     assert (got[1].kept_text, got[2].kept_text, got[3].kept_text) == ("xy", "z", None)
     assert got[3].n_bytes == 0 and got[3].text is None
     assert [tuple(x) for x in got[1].removed] == [(1, 61)]
@@ -113,5 +113,5 @@ def test_empty_and_clashing_names(spark):
     assert repeats.remove_repeats(frame(spark, [])).collect() == []
     docs = frame(spark).withColumnRenamed("lang", "spans").withColumnRenamed("n_chars", "n_bytes")
     result = repeats.remove_repeats(docs.withColumnRenamed("source", "key"))
-    assert result.columns == ["doc_id", "text", "spans", "key", *repeats.ADDED[:-1]]
+    assert result.columns == ["doc_id", "text", "spans", "key", *repeats.ADDED]
     assert result.count() == len(documents())
