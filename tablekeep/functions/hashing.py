@@ -8,6 +8,8 @@ would lose pairs of equal rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F, types as T
 
 from tablekeep.functions.times import epoch_micros
@@ -32,6 +34,15 @@ def column_of(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """A column name none of the taken ones equals, whatever its case."""
+    low = {t.lower() for t in taken}
+    name = f"__{name}"
+    while name in low:
+        name += "_"
+    return name
+
+
 def _flat(data_type: T.DataType) -> bool:
     return not isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
 

@@ -22,18 +22,29 @@ class NoArtifactError(LookupError):
 
 
 def from_manifest(manifest: DataFrame) -> DataFrame:
-    """Artifacts of the tables a manifest holds, those written without error only."""
+    """Artifacts of the tables a manifest holds, those written without error only.
+
+    That a table was found gone is an artifact of kind ``dropped``, without a size
+    or a path; the operators here take it for the end of what came before.
+    ``run_id`` orders copies of the same time, as restores do.
+    """
     table = qualified(F.col("schema_name"), F.col("table_name"))
-    return manifest.where("status = 'ok'").select(
+    return manifest.where("status IN ('ok', 'dropped')").select(
         F.concat(table, F.lit("@"), F.col("snapshot_id")).alias("name"),
         table.alias("table_name"),
-        "kind",
+        F.when(F.col("status") == "dropped", "dropped").otherwise(F.col("kind")).alias("kind"),
         F.col("created_at").alias("modified_at"),
         "size_bytes",
         "path",
+        "run_id",
     )
 
 
+def present(artifacts: DataFrame) -> DataFrame:
+    """Artifacts that can be read: without those that say a table is gone."""
+    return artifacts.where(~F.col("kind").eqNullSafe("dropped"))
+
+
 def snapshots(manifest: DataFrame) -> DataFrame:
     """The snapshots of a manifest as artifacts, one row each.
 
@@ -77,8 +88,8 @@ def latest_by_name(artifacts: DataFrame) -> DataFrame:
 
 
 def latest_per_table(artifacts: DataFrame, tie_break: str = "name") -> DataFrame:
-    """The newest artifact of every table."""
-    return _newest(artifacts, tie_break, ["table_name"])
+    """The newest artifact of every table that is not gone by then."""
+    return present(_newest(artifacts, tie_break, ["table_name"]))
 
 
 def required(found: DataFrame, message: str) -> DataFrame:
@@ -119,12 +130,12 @@ def restore_chain(
     """Per table, what a restore as of a time goes through, numbered in order.
 
     That is the newest full copy at or before ``as_of`` and the incremental
-    copies after it up to ``as_of``. A table without a full copy by then has no
-    chain.
+    copies after it up to ``as_of``. A table without a full copy by then, or gone
+    by then, has no chain.
     """
     until = artifacts.where(F.col("modified_at") <= moment(as_of))
-    full = F.col("kind") == "full"
-    chain = since_last(until, "table_name", "modified_at", tie_break, full)
+    full, gone = F.col("kind") == "full", F.col("kind") == "dropped"
+    chain = since_last(until, "table_name", "modified_at", tie_break, full, gone)
     return number_in_order(chain, "table_name", "modified_at", tie_break, "step")
 
 
@@ -141,7 +152,7 @@ def restore_points(
     return (
         until.groupBy("table_name")
         .agg(row.alias("newest"), F.bool_or(F.col("kind") == "full").alias("has_base"))
-        .where("has_base")
+        .where("has_base AND NOT newest.kind <=> 'dropped'")
         .select("newest.*")
     )
 
@@ -152,7 +163,7 @@ def storage_usage(artifacts: DataFrame) -> DataFrame:
     ``level`` is 0 for a table and kind, 1 for a table, 3 for everything.
     """
     return (
-        artifacts.rollup("table_name", "kind")
+        present(artifacts).rollup("table_name", "kind")
         .agg(
             F.count(F.lit(1)).alias("artifacts"),
             F.sum("size_bytes").alias("size_bytes"),

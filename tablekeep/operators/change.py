@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tablekeep.functions.hashing import column_of, row_hash
+from tablekeep.functions.hashing import column_of, free_name, row_hash
 from tablekeep.functions.naming import qualified
 from tablekeep.functions.times import moment
 
@@ -29,13 +31,17 @@ def changed_tables(current: DataFrame, base: DataFrame) -> DataFrame:
     """``new``, ``dropped``, ``changed`` or ``unchanged`` for every table of either side.
 
     Both sides hold one row per table: schema_name, table_name, row_count,
-    fingerprint.
+    fingerprint and, if both know it, schema_json. Hashes know no column names, so
+    a renamed column shows in the schema only.
     """
-    now = current.select(*KEYS, F.struct("row_count", "fingerprint").alias("now"))
-    old = base.select(*KEYS, F.struct("row_count", "fingerprint").alias("old"))
-    same = (F.col("now.row_count") == F.col("old.row_count")) & (
-        F.col("now.fingerprint") == F.col("old.fingerprint")
-    )
+    figures = ["row_count", "fingerprint"]
+    if "schema_json" in current.columns and "schema_json" in base.columns:
+        figures.append("schema_json")
+        current = current.withColumn("schema_json", _shape(F.col("schema_json")))
+        base = base.withColumn("schema_json", _shape(F.col("schema_json")))
+    now = current.select(*KEYS, F.struct(*figures).alias("now"))
+    old = base.select(*KEYS, F.struct(*figures).alias("old"))
+    same = reduce(and_, [F.col(f"now.{f}") == F.col(f"old.{f}") for f in figures])
     return now.join(old, KEYS, "full_outer").select(
         *KEYS,
         F.when(F.col("old").isNull(), "new")
@@ -48,49 +54,53 @@ def changed_tables(current: DataFrame, base: DataFrame) -> DataFrame:
     )
 
 
-def row_delta(old: DataFrame, new: DataFrame, method: str = "content") -> DataFrame:
+def _shape(schema_json: Column) -> Column:
+    """A schema without what does not matter: whether NULL is allowed, and metadata."""
+    plain = F.regexp_replace(schema_json, r'"(nullable|containsNull|valueContainsNull)":\w+', "")
+    return F.regexp_replace(plain, r'"metadata":\{[^{}]*\}', "")
+
+
+def row_delta(old: DataFrame, new: DataFrame, method: str = "digest") -> DataFrame:
     """Rows inserted and deleted between two versions of a table, as bags.
 
     One row per distinct changed row: ``change`` and how many ``copies`` of it
     came or went; no key is needed.
 
-    ``content`` puts both versions through one aggregation: copies are counted
-    before the shuffle, so a row held a billion times moves as one row per task,
-    and whole rows spread over all partitions by content.
+    ``digest``, the default, reads both versions twice but shuffles only 128-bit
+    digests and counts of rows; then only rows whose digest has an uneven count
+    are compared by content. A changed row could be missed only if a different row
+    with the same digest made up for it.
 
-    ``digest`` is for large versions of wide rows that differ little. It reads
-    them twice but shuffles only 128-bit digests and counts of rows; then only
-    rows whose digest has an uneven count are compared by content. A changed row
-    could be missed only if a different row with the same digest made up for it.
+    ``content`` puts both versions whole through one aggregation: copies are
+    counted before the shuffle, so a row held a billion times moves as one row per
+    task, and whole rows spread over all partitions by content.
     """
     names = old.columns
     if set(names) != set(new.columns):
         raise ValueError("both versions must have the same columns")
-    both = old.select(*map(column_of, names), F.lit(-1).alias(_SIGN)).unionAll(
-        new.select(*map(column_of, names), F.lit(1).alias(_SIGN))
+    own = {k: free_name(names, k) for k in ("sign", "net", "d1", "d2")}
+    both = old.select(*map(column_of, names), F.lit(-1).alias(own["sign"])).unionAll(
+        new.select(*map(column_of, names), F.lit(1).alias(own["sign"]))
     )
     if method == "content":
-        return _net_rows(both, names)
+        return _net_rows(both, names, own)
     if method != "digest":
         raise ValueError("method is one of content, digest")
     digested = both.withColumns(
-        {"__d1": row_hash(old.schema), "__d2": row_hash(old.schema, salt=1)}
+        {own["d1"]: row_hash(old.schema), own["d2"]: row_hash(old.schema, salt=1)}
     )
-    uneven = (
-        digested.groupBy("__d1", "__d2").agg(F.sum(_SIGN).alias("__net")).where("__net <> 0")
-    )
-    return _net_rows(digested.join(uneven, ["__d1", "__d2"], "left_semi"), names)
-
-
-_SIGN = "__sign"
+    keys = [own["d1"], own["d2"]]
+    uneven = digested.groupBy(*keys).agg(F.sum(own["sign"]).alias(own["net"]))
+    uneven = uneven.where(F.col(own["net"]) != 0)
+    return _net_rows(digested.join(uneven, keys, "left_semi"), names, own)
 
 
-def _net_rows(signed: DataFrame, names: list[str]) -> DataFrame:
+def _net_rows(signed: DataFrame, names: list[str], own: dict[str, str]) -> DataFrame:
     """Distinct rows whose signs do not add up to zero."""
-    net = F.col("__net")
+    net = F.col(own["net"])
     return (
         signed.groupBy(*map(column_of, names))
-        .agg(F.sum(_SIGN).alias("__net"))
+        .agg(F.sum(own["sign"]).alias(own["net"]))
         .where(net != 0)
         .select(
             F.when(net > 0, "inserted").otherwise("deleted").alias("change"),

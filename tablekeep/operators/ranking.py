@@ -18,27 +18,26 @@ def with_slice(df: DataFrame, time: str, unit: str = "hour") -> DataFrame:
 
 
 def since_last(
-    df: DataFrame, group: str, time: str, tie_break: str, mark: Column, unit: str = "hour"
+    df: DataFrame,
+    group: str,
+    time: str,
+    tie_break: str,
+    mark: Column,
+    end: Column | None = None,
 ) -> DataFrame:
     """Rows from the last marked one of their group on; none of a group without a mark.
 
-    The last mark is found over slices, and rows are matched with it by group and
-    slice, so the rows of a huge group are spread over its slices.
+    Nor of a group in which an ``end`` comes after that. One aggregation finds the
+    bounds, one row per group and task, and one join brings them back; Spark splits
+    the rows of a huge group.
     """
-    order = F.struct(F.col(time), F.col(tie_break))
-    sliced = with_slice(df, time, unit)
-    slices = sliced.groupBy(group, SLICE).agg(F.max(F.when(mark, order)).alias("__last"))
-    last = F.max("__last").over(W.partitionBy(group))
-    starts = (
-        slices.select(group, SLICE, last.alias("__last"))
-        .where(F.col("__last").isNotNull())
-        .where(F.col(SLICE) >= F.date_trunc(unit, F.col("__last")[time]).cast("timestamp_ntz"))
-    )
-    return (
-        sliced.join(starts, [group, SLICE])
-        .where(order >= F.col("__last"))
-        .select(*df.columns)
-    )
+    order = F.struct(F.col(time).alias("at"), F.col(tie_break).alias("tie"))
+    last = F.max(F.when(mark, order)).alias("__last")
+    ended = F.max(F.when(F.lit(False) if end is None else end, order)).alias("__ended")
+    bounds = df.groupBy(group).agg(last, ended)
+    bounds = bounds.where("__last IS NOT NULL AND NOT coalesce(__ended > __last, FALSE)")
+    joined = df.join(bounds.select(group, "__last"), group)
+    return joined.where(order >= F.col("__last")).select(*df.columns)
 
 
 def number_in_order(

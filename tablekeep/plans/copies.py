@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from tablekeep.functions.hashing import fingerprint_parts, row_hash
+from tablekeep.functions.hashing import fingerprint_parts, free_name, row_hash
 
 # Time formats that keep microseconds in text copies.
 TEXT_TIMES = {
@@ -24,9 +24,6 @@ FORMATS = {
 }
 
 
-_HASH = "__hash64"
-
-
 def _fits_text(data_type: T.DataType) -> bool:
     """Whether JSON gives values of the type back as they were."""
     if isinstance(data_type, T.StructType):
@@ -58,10 +55,11 @@ def write_copy(
     if compression:
         options["compression"] = compression
     seen = Observation()
+    own = free_name(df.columns, "hash64")
     watched = (
-        df.withColumn(_HASH, row_hash(df.schema))
-        .observe(seen, *fingerprint_parts(F.col(_HASH)))
-        .drop(_HASH)
+        df.withColumn(own, row_hash(df.schema))
+        .observe(seen, *fingerprint_parts(F.col(own)))
+        .drop(own)
     )
     watched.write.format(format).options(**options).mode(mode).save(path)
     return {"row_count": 0, "fingerprint": Decimal(0), **seen.get}  # nothing is seen of no rows
@@ -80,8 +78,8 @@ def read_copy(spark: SparkSession, path: str, format: str, schema_json: str) ->
 
 def measure(df: DataFrame) -> dict:
     """row_count and fingerprint of a table as it is now, in one pass."""
-    hashed = df.select(row_hash(df.schema).alias(_HASH))
-    return hashed.agg(*fingerprint_parts(F.col(_HASH))).first().asDict()
+    hashed = df.select(row_hash(df.schema).alias("hash64"))
+    return hashed.agg(*fingerprint_parts(F.col("hash64"))).first().asDict()
 
 
 def same_shape(left: T.StructType, right: T.StructType) -> bool:

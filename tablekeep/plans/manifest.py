@@ -1,14 +1,17 @@
-"""The manifest: one row per table and snapshot, appended and never rewritten.
+"""The manifest: one row per table and run, appended and never rewritten.
 
 Layout below a root folder::
 
-    manifest/   one small file per run, written after the run's data
-    removed/    paths retention has let go, written before they are deleted
+    manifest/*  one small file per row, written as soon as a table's data is
+    removed/*   paths retention has let go, written before they are deleted, and
+                again when they are gone
     tables/<schema>/<table>/<snapshot_id>-<run_id>/   the data of one copy
 
-A copy counts only once its row is in ``manifest``, so a run that dies half-way
-leaves no trace in the catalogue. Running a snapshot id again writes new folders
-and new rows; the newest run of an id replaces the earlier ones.
+A copy counts only once its row is in ``manifest``, so a table that a dead run was
+at leaves no trace in the catalogue, and the tables it was done with are not lost.
+A run without errors ends with a row of its own, status ``closed``. Running a
+snapshot id again replaces copies table by table: only a later good copy, or the
+finding that the table is gone, takes the place of an earlier one.
 """
 
 from __future__ import annotations
@@ -27,10 +30,9 @@ MANIFEST = (
     "snapshot_id string, run_id string, kind string, schema_name string, table_name string,"
     " path string, format string, row_count bigint, fingerprint decimal(38,0),"
     " schema_json string, size_bytes bigint, source_state string, created_at timestamp_ntz,"
-    " status string, error string"
+    " status string, error string, run_kind string"
 )
-REMOVED = "path string, removed_at timestamp_ntz"
-
+REMOVED = "path string, removed_at timestamp_ntz, deleted boolean"
 
 COLUMNS = [part.split()[0] for part in MANIFEST.split(", ")]
 
@@ -50,7 +52,8 @@ def copy_folder(
 
 
 def _append(spark: SparkSession, rows: list[dict], schema: str, path: str) -> None:
-    small_frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(path)
+    """Add a file, in a folder of its own: writers at the same time share no temporary files."""
+    small_frame(spark, rows, schema).coalesce(1).write.parquet(f"{path}/{uuid.uuid4().hex}")
 
 
 def append_manifest(spark: SparkSession, root: str, rows: list[dict]) -> None:
@@ -64,27 +67,61 @@ def append_removed(spark: SparkSession, root: str, rows: list[dict]) -> None:
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not files.exists(spark, path):
         return small_frame(spark, [], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """Every row ever written."""
+    return _read(spark, f"{root}/manifest", MANIFEST)
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Rows in force: of the newest run of each snapshot id, and not removed."""
-    log = _read(spark, f"{root}/manifest", MANIFEST)
-    newest = log.groupBy("snapshot_id").agg(F.max("run_id").alias("run_id"))
-    removed = _read(spark, f"{root}/removed", REMOVED).select("path")
-    return (
-        log.join(newest, ["snapshot_id", "run_id"], "left_semi")
-        .join(removed, "path", "left_anti")
-        .select(*COLUMNS)
-    )
+    """Rows in force: per snapshot id and table the last that is good or says that the table is
+    gone, else the last failure; without what retention has removed."""
+    log = read_log(spark, root).where("status <> 'closed'")
+    settled = F.col("status") != "failed"
+    newest = F.max_by(F.struct(*COLUMNS), F.struct(settled, "run_id"))
+    rows = log.groupBy("snapshot_id", "schema_name", "table_name").agg(newest.alias("row"))
+    removed = _read(spark, f"{root}/removed", REMOVED).select("path").distinct()
+    return rows.select("row.*").join(removed, "path", "left_anti").select(*COLUMNS)
 
 
 def unusable_copies(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of folders no restore reads: of replaced runs, and of tables that failed."""
-    log = _read(spark, f"{root}/manifest", MANIFEST).where("path <> ''")
-    removed = _read(spark, f"{root}/removed", REMOVED).select("path")
-    usable = read_manifest(spark, root).where("status = 'ok'").select("path")
-    return log.join(removed, "path", "left_anti").join(usable, "path", "left_anti")
+    """Rows of folders no restore reads: of tables that failed, and of copies that a good copy of
+    the same table and snapshot id has replaced."""
+    log = read_log(spark, root).where("path <> ''")
+    removed = _read(spark, f"{root}/removed", REMOVED).select("path").distinct()
+    usable = read_manifest(spark, root).where("status = 'ok'")
+    keys = ["snapshot_id", "schema_name", "table_name"]
+    left = log.join(removed, "path", "left_anti").join(usable.select("path"), "path", "left_anti")
+    failed = left.where("status = 'failed'").select(*COLUMNS)
+    replaced = left.where("status <> 'failed'").join(usable.select(*keys), keys, "left_semi")
+    return failed.unionByName(replaced.select(*COLUMNS))
+
+
+def pending_removals(spark: SparkSession, root: str) -> DataFrame:
+    """Paths out of the catalogue whose deletion was not seen to end."""
+    removed = _read(spark, f"{root}/removed", REMOVED)
+    gone = removed.where("deleted").select("path").distinct()
+    return removed.select("path").distinct().join(gone, "path", "left_anti")
+
+
+def orphan_folders(spark: SparkSession, root: str) -> DataFrame:
+    """Folders of copies that no manifest row names, with the start of their run.
+
+    They are what runs left that died while they wrote, or what a run is writing now.
+    """
+    tables, found = f"{root}/tables", []
+    if files.exists(spark, tables):
+        for schema in files.children(spark, tables):
+            for table in files.children(spark, f"{tables}/{schema}"):
+                for copy in files.children(spark, f"{tables}/{schema}/{table}"):
+                    found.append((f"{tables}/{schema}/{table}/{copy}", copy[-29:-9]))
+    rows = small_frame(spark, found, "path string, started string")
+    started = F.try_to_timestamp(F.substring("started", 1, 14), F.lit("yyyyMMddHHmmss"))
+    rows = rows.withColumn("created_at", started.cast("timestamp_ntz"))
+    known = read_log(spark, root).select("path")
+    return rows.join(known, "path", "left_anti").select("path", "created_at")
 
 
 def copies_as_of(manifest: DataFrame, as_of: datetime | str | None = None) -> DataFrame:

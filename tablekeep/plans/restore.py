@@ -5,17 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 from datetime import datetime
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
+from tablekeep.functions.hashing import quoted
 from tablekeep.operators.selection import select_tables
-from tablekeep.plans.copies import measure, read_copy, schema_of, write_copy
+from tablekeep.plans.copies import measure, read_copy, same_shape, schema_of, write_copy
 from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import copies_as_of, read_manifest
 from tablekeep.plans.snapshot import DEFAULT_PARALLELISM
 from tablekeep.sources import files
 from tablekeep.sources.small import small_frame
-from tablekeep.sources.tables import FrameTables, ParquetTables
+from tablekeep.sources.tables import FrameTables, ParquetTables, in_quotes
 
 MODES = ("error", "append", "force")
 VALIDATION = (
@@ -80,9 +82,20 @@ def restored_tables(
 
 
 def _check(spark: SparkSession, copy: Row) -> dict:
-    """Read a copy again and hold it against its manifest row."""
+    """Read a copy again and hold it against its manifest row.
+
+    Parquet files know their columns, and these must be the manifest's; text files
+    are read with the manifest's and fail if they do not fit.
+    """
+    known = schema_of(copy["schema_json"])
+    if copy["format"] == "parquet" and copy["row_count"]:
+        stored = spark.read.option("mergeSchema", "true").parquet(copy["path"]).schema
+        has_schema = same_shape(stored, known)
+    else:
+        has_schema = True
     found = measure(_read(spark, copy))
-    return {key: found[key] == copy[key] for key in ("row_count", "fingerprint")}
+    same = {key: found[key] == copy[key] for key in ("row_count", "fingerprint")}
+    return {**same, "has_schema": has_schema}
 
 
 def validate_copies(
@@ -95,8 +108,8 @@ def validate_copies(
     rows = []
     checked = run_jobs(spark, lambda c: _check(spark, c), _rows(copies), parallelism)
     for copy, same, error in checked:
-        same = same or {"row_count": False, "fingerprint": False}
-        has_schema, has_data = bool(copy["schema_json"]), error is None
+        same = same or {"row_count": False, "fingerprint": False, "has_schema": False}
+        has_schema, has_data = same["has_schema"], error is None
         rows.append(
             (
                 f"{copy['schema_name']}.{copy['table_name']}",
@@ -182,6 +195,33 @@ def _swap(spark: SparkSession, moves: list[tuple[str, str, str]]) -> None:
         raise
 
 
+def _folder(copy: Row) -> str:
+    """Where a table goes below a target; what means something in a path is escaped."""
+    return "/".join(quote(copy[key], safe="") for key in ("schema_name", "table_name"))
+
+
+def _require_same_shape(targets: Iterable[tuple[Row, T.StructType, str]]) -> None:
+    """Rows are only added to tables of the same columns."""
+    other = [place for c, found, place in targets if not same_shape(found, schema_of(c["schema_json"]))]
+    if other:
+        raise TargetExistsError(f"other columns than the copies: {', '.join(other)}")
+
+
+def _move_files(spark: SparkSession, moves: list[tuple[str, str]], token: str) -> None:
+    """Move the files of new folders beside those that are there; all of them or none."""
+    done = []
+    try:
+        for new, place in moves:
+            for name in files.children(spark, new):
+                target = f"{place}/{token}-{name}"
+                files.rename(spark, f"{new}/{name}", target)
+                done.append(target)
+    except Exception:
+        for target in done:
+            files.delete(spark, target)
+        raise
+
+
 def restore_to_folder(
     spark: SparkSession,
     copies: DataFrame,
@@ -193,29 +233,22 @@ def restore_to_folder(
 
     - ``error``: refuses if any of the tables is there;
     - ``force``: replaces them; other tables stay;
-    - ``append``: adds the rows to what is there.
+    - ``append``: adds the rows to what is there, if its columns are the same.
 
-    For the first two all tables are first written beside the target, and checked
-    while they are; only when every one is right are they renamed into place.
-    Appending checks all copies beforehand.
+    All tables are first written beside the target, and checked while they are;
+    only when every one is right are they, or for ``append`` their files, renamed
+    into place: all of them or none.
     """
     _mode(mode)
     target = target.rstrip("/")
     rows = _rows(copies)
-    places = [
-        f"{target}/{c['schema_name']}/{c['table_name']}{ParquetTables.SUFFIX}" for c in rows
-    ]
+    places = [f"{target}/{_folder(c)}{ParquetTables.SUFFIX}" for c in rows]
     if mode == "append":
-        _require_valid(spark, copies, parallelism)
-        _raise_first(
-            run_jobs(
-                spark,
-                lambda pair: write_copy(_read(spark, pair[0]), pair[1], mode="append"),
-                list(zip(rows, places)),
-                parallelism,
-            )
+        _require_same_shape(
+            (c, spark.read.parquet(p).schema, p)
+            for c, p in zip(rows, places)
+            if files.exists(spark, p)
         )
-        return _report(spark, rows, places)
     taken = [p for p in places if files.exists(spark, p)]
     if taken and mode == "error":
         raise TargetExistsError(f"already there: {', '.join(taken)}; restore with force")
@@ -223,15 +256,19 @@ def restore_to_folder(
     staging = f"{target}/_restore-{token}"
     staged = run_jobs(
         spark,
-        lambda c: _stage(spark, c, f"{staging}/new/{c['schema_name']}/{c['table_name']}"),
+        lambda c: _stage(spark, c, f"{staging}/new/{_folder(c)}"),
         rows,
         parallelism,
     )
     bad = [error for _, _, error in staged if error is not None]
-    if not bad:
-        old = [f"{staging}/old/{c['schema_name']}/{c['table_name']}" for c in rows]
-        _swap(spark, list(zip([path for _, path, _ in staged], places, old)))
-    files.delete(spark, staging)
+    try:
+        if not bad and mode == "append":
+            _move_files(spark, [(path, p) for (_, path, _), p in zip(staged, places)], token)
+        elif not bad:
+            old = [f"{staging}/old/{_folder(c)}" for c in rows]
+            _swap(spark, list(zip([path for _, path, _ in staged], places, old)))
+    finally:
+        files.delete(spark, staging)
     if bad:
         raise bad[0]
     return _report(spark, rows, places)
@@ -248,19 +285,29 @@ def restore_to_catalog(
     """Restore into tables of the session's catalog, one database per schema.
 
     Each table gets a new folder below ``location``, written and checked before
-    the catalog is touched; then the catalog is pointed at it. Nothing is renamed,
-    which suits object stores, and the folder a replaced table used stays.
-    ``append`` inserts into the tables that are there.
+    the catalog is touched; then the catalog is pointed at it. No file is renamed,
+    which suits object stores, and the folder a replaced table used stays. Tables
+    whose files the catalog would delete with them (managed ones) are not replaced.
+    A new table is made under another name before the old entry goes. ``append``
+    inserts into the tables that are there, if their columns are the same.
     """
     _mode(mode)
     rows = _rows(copies)
-    names = [f"`{database or c['schema_name']}`.`{c['table_name']}`" for c in rows]
+    names = [f"{quoted(database or c['schema_name'])}.{quoted(c['table_name'])}" for c in rows]
     there = {name: spark.catalog.tableExists(name) for name in names}
     taken = [name for name in names if there[name]]
     if taken and mode == "error":
         raise TargetExistsError(f"already there: {', '.join(taken)}; restore with force")
+    if mode == "force":
+        managed = [n for n in taken if spark.catalog.getTable(n).tableType == "MANAGED"]
+        if managed:
+            raise TargetExistsError(f"managed tables, move or drop them: {', '.join(managed)}")
+    if mode == "append":
+        _require_same_shape(
+            (c, spark.table(name).schema, name) for c, name in zip(rows, names) if there[name]
+        )
     for schema in sorted({database or c["schema_name"] for c in rows}):
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}`")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(schema)}")
     fresh = [(c, n) for c, n in zip(rows, names) if mode != "append" or not there[n]]
     grown = [(c, n) for c, n in zip(rows, names) if mode == "append" and there[n]]
     if grown:
@@ -271,17 +318,22 @@ def restore_to_catalog(
         lambda pair: _stage(
             spark,
             pair[0],
-            f"{location.rstrip('/')}/{pair[0]['schema_name']}/{pair[0]['table_name']}-{token}",
+            f"{location.rstrip('/')}/{_folder(pair[0])}-{token}",
         ),
         fresh,
         parallelism,
     )
     _raise_first(staged)
-    for (copy, name), path, _ in staged:
-        # The table's files stay where they are: its entry has a location of its own.
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    made = []
+    for number, ((copy, name), path, _) in enumerate(staged):
         schema = schema_of(copy["schema_json"])
-        spark.catalog.createTable(name, path=path, source="parquet", schema=schema)
+        new = f"{quoted(database or copy['schema_name'])}.`restore_{token}_{number}`"
+        spark.catalog.createTable(new, path=path, source="parquet", schema=schema)
+        made.append((new, name))
+    for new, name in made:
+        # The files stay where they are: the entries have locations of their own.
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
     _raise_first(
         run_jobs(
             spark,
@@ -293,6 +345,18 @@ def restore_to_catalog(
     return _report(spark, rows, names)
 
 
+def _jdbc_table_exists(spark: SparkSession, url: str, name: str, options: dict[str, str]) -> bool:
+    """Whether a table can be asked for its columns."""
+    settings = {"url": url, "query": f"SELECT * FROM {name} WHERE 1 = 0", **options}
+    try:
+        return bool(spark.read.format("jdbc").options(**settings).load().columns)
+    except Exception as error:  # each driver has errors of its own for a missing table
+        text = str(error).lower()
+        if "exist" in text or "not found" in text or "unknown" in text:
+            return False
+        raise
+
+
 def restore_to_jdbc(
     spark: SparkSession,
     copies: DataFrame,
@@ -309,7 +373,11 @@ def restore_to_jdbc(
     save_mode = {"error": "errorifexists", "append": "append", "force": "overwrite"}[_mode(mode)]
     _require_valid(spark, copies, parallelism)
     rows = _rows(copies)
-    names = [f'"{c["schema_name"]}"."{c["table_name"]}"' for c in rows]
+    names = [f"{in_quotes(c['schema_name'])}.{in_quotes(c['table_name'])}" for c in rows]
+    if mode == "error":
+        taken = [n for n in names if _jdbc_table_exists(spark, url, n, options or {})]
+        if taken:
+            raise TargetExistsError(f"already there: {', '.join(taken)}; restore with force")
 
     def work(pair: tuple[Row, str]) -> None:
         settings = {"url": url, "dbtable": pair[1], "truncate": "true", **(options or {})}

@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.functions.times import DEFAULT_RETENTION_DAYS, expired
-from tablekeep.operators.catalogue import from_manifest
+from tablekeep.operators.catalogue import from_manifest, present
 from tablekeep.operators.retention import retention, retention_plan
 from tablekeep.plans.jobs import run_jobs
-from tablekeep.plans.manifest import append_removed, read_manifest, unusable_copies
+from tablekeep.plans.manifest import (
+    append_removed,
+    orphan_folders,
+    pending_removals,
+    read_manifest,
+    unusable_copies,
+)
 from tablekeep.plans.snapshot import DEFAULT_PARALLELISM
 from tablekeep.sources import files
 from tablekeep.sources.artifacts import list_files
-from tablekeep.sources.small import small_frame
 
 
-def delete_planned(
-    spark: SparkSession, plan: DataFrame, parallelism: int = DEFAULT_PARALLELISM
-) -> list[str]:
-    """Delete the paths a plan names removable, and nothing else."""
-    paths = [r[0] for r in plan.where("removable").select("path").distinct().toLocalIterator()]
+BATCH = 1000  # paths that are on the driver at a time while they are deleted
+
+
+def _delete(spark: SparkSession, paths: list[str], parallelism: int) -> None:
     for _, _, error in run_jobs(spark, lambda p: files.delete(spark, p), paths, parallelism):
         if error is not None:
             raise error
-    return sorted(paths)
+
+
+def _batches(paths: DataFrame) -> Iterator[list[str]]:
+    rows = paths.toLocalIterator()
+    while batch := [r[0] for r in islice(rows, BATCH)]:
+        yield batch
+
+
+def delete_planned(
+    spark: SparkSession, plan: DataFrame, parallelism: int = DEFAULT_PARALLELISM
+) -> list[str]:
+    """Delete the paths a plan names removable, and nothing else, some at a time."""
+    gone: list[str] = []
+    for batch in _batches(plan.where("removable").select("path").distinct()):
+        _delete(spark, batch, parallelism)
+        gone += batch
+    return sorted(gone)
 
 
 def rotate_files(
@@ -57,18 +79,24 @@ def retention_apply(
     """Remove the copies of a snapshot root which are out of retention.
 
     They leave the catalogue first and the storage second, so a run that dies in
-    between never leaves an entry without data. What replaced and failed runs left
-    behind goes with its age. Returns the paths.
+    between never leaves an entry without data; what it left undeleted is deleted
+    next time. What replaced, failed and dead runs left behind goes with its age.
+    No table loses the copy a restore reads now. Returns the paths.
     """
     root = root.rstrip("/")
-    plan = retention_plan(from_manifest(read_manifest(spark, root)), as_of, days, rule)
-    left_behind = unusable_copies(spark, root).where(
-        expired(F.col("created_at"), as_of, days, rule)
-    )
+    known = present(from_manifest(read_manifest(spark, root)))
+    plan = retention_plan(known, as_of, days, rule, tie_break="run_id")
+    old = expired(F.col("created_at"), as_of, days, rule)
+    left_behind = unusable_copies(spark, root).select("path", "created_at")
+    left_behind = left_behind.unionByName(orphan_folders(spark, root)).where(old)
     removable = plan.where("removable").select("path").unionAll(left_behind.select("path"))
-    paths = [r[0] for r in removable.distinct().toLocalIterator()]
-    if not paths:
-        return []
-    append_removed(spark, root, [{"path": p, "removed_at": as_of} for p in paths])
-    gone = small_frame(spark, [(p, True) for p in paths], "path string, removable boolean")
-    return delete_planned(spark, gone, parallelism)
+    gone: list[str] = []
+    for batch in _batches(removable.distinct()):
+        rows = [{"path": p, "removed_at": as_of, "deleted": False} for p in batch]
+        append_removed(spark, root, rows)
+        gone += batch
+    for batch in _batches(pending_removals(spark, root)):
+        _delete(spark, batch, parallelism)
+        rows = [{"path": p, "removed_at": as_of, "deleted": True} for p in batch]
+        append_removed(spark, root, rows)
+    return sorted(gone)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tablekeep.operators.selection import select_tables
 from tablekeep.plans.copies import measure, read_copy, same_shape, schema_of, write_copy
@@ -15,6 +15,7 @@ from tablekeep.plans.manifest import (
     copy_folder,
     copies_as_of,
     new_run_id,
+    read_log,
     read_manifest,
 )
 from tablekeep.sources import files
@@ -63,6 +64,7 @@ class _Run:
     at: datetime
     options: SnapshotOptions
     states: dict[tuple[str, str], FileState]
+    kind: str
 
     def token(self, table: tuple[str, str]) -> str | None:
         state = self.states.get(table)
@@ -84,9 +86,15 @@ class _Run:
             "source_state": self.token(table),
             "created_at": self.at,
             "status": status,
+            "run_kind": self.kind,
             **more,
         }
 
+    def record(self, row: dict) -> dict:
+        """Put a table's row into the manifest as soon as the table is done."""
+        append_manifest(self.source.spark, self.root, [row])
+        return row
+
     def write(self, table: tuple[str, str], kind: str, change: str) -> dict:
         spark, options = self.source.spark, self.options
         path = self.folder(table)
@@ -103,15 +111,17 @@ class _Run:
             found = measure(read_copy(spark, path, options.format, schema_json))
             if found != written:
                 raise SnapshotError(f"{path} holds {found}, written were {written}")
-        return self.row(
-            table,
-            kind,
-            change,
-            "ok",
-            path=path,
-            schema_json=schema_json,
-            size_bytes=files.size_bytes(spark, path),
-            **written,
+        return self.record(
+            self.row(
+                table,
+                kind,
+                change,
+                "ok",
+                path=path,
+                schema_json=schema_json,
+                size_bytes=files.size_bytes(spark, path),
+                **written,
+            )
         )
 
 
@@ -122,18 +132,40 @@ def _start(
     at: datetime | None,
     options: SnapshotOptions,
     tables: list[tuple[str, str]],
+    kind: str,
 ) -> _Run:
     at = at or datetime.now(timezone.utc).replace(tzinfo=None)
     return _Run(
         source=source,
         root=root.rstrip("/"),
-        snapshot_id=snapshot_id or f"{at:%Y%m%d_%H%M%S}",
+        snapshot_id=snapshot_id or f"{at:%Y%m%d_%H%M%S_%f}",
         run_id=new_run_id(),
         at=at,
         options=options,
         # Taken before any table is read: a file that changes later shows as changed.
         states=source.states(tables),
+        kind=kind,
+    )
+
+
+def _refuse_other_kind(run: _Run, log: DataFrame) -> None:
+    """An id belongs to full runs or to incremental ones; both under one would hide copies."""
+    others = log.where(
+        (F.col("snapshot_id") == run.snapshot_id)
+        & (F.coalesce("run_kind", "kind") != run.kind)
+        & (F.col("status") != "failed")
     )
+    if not others.isEmpty():
+        raise ValueError(f"snapshot id {run.snapshot_id} is that of a run of another kind")
+
+
+def _done_before(run: _Run, log: DataFrame) -> dict[tuple[str, str], dict]:
+    """Good copies made under this id since its last run that came to its end."""
+    own = log.where(F.col("snapshot_id") == run.snapshot_id)
+    last_end = own.agg(F.max(F.when(F.col("status") == "closed", F.col("run_id")))).first()[0]
+    left = own.where((F.col("status") == "ok") & (F.col("run_id") > (last_end or "")))
+    rows = sorted(left.collect(), key=lambda r: r["run_id"])
+    return {(r["schema_name"], r["table_name"]): r.asDict() for r in rows}
 
 
 def _largest_first(run: _Run, tables: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -147,18 +179,18 @@ def _table_names(tables: DataFrame) -> list[tuple[str, str]]:
 
 
 def _finish(run: _Run, outcomes: list, kind: str) -> DataFrame:
-    """Append what was done to the manifest and report on every table."""
-    rows = []
+    """Note failures, close a run without any, and report on every table."""
+    rows, failures = [], []
     for table, row, error in outcomes:
         if error is not None:
             text = f"{type(error).__name__}: {error}"
             row = run.row(table, kind, "", "failed", path=run.folder(table), error=text)
+            failures.append(row)
         rows.append(row)
-    listed = [r for r in rows if r["status"] != "unchanged"]
     spark = run.source.spark
-    if listed:
-        append_manifest(spark, run.root, listed)
-    failed = [f"{r['schema_name']}.{r['table_name']}" for r in rows if r["status"] == "failed"]
+    end = [] if failures else [run.row(("", ""), kind, "", "closed")]
+    append_manifest(spark, run.root, failures + end)
+    failed = [f"{r['schema_name']}.{r['table_name']}" for r in failures]
     if failed and run.options.on_error == "raise":
         raise SnapshotError(f"snapshot {run.snapshot_id}: could not write {', '.join(failed)}")
     return small_frame(spark, rows, REPORT)
@@ -176,16 +208,22 @@ def snapshot_full(
 
     ``tables`` comes from :func:`select_tables`; without it all tables but those
     of system schemas are taken. Up to ``options.parallelism`` tables are written
-    at a time, each as one distributed write.
+    at a time, each as one distributed write. An id may be used again: a run that
+    died or failed is taken up where it stopped, after one that was closed the
+    tables are copied anew, and tables not asked for this time keep their copies.
     """
     chosen = _table_names(select_tables(source.tables()) if tables is None else tables)
-    run = _start(source, root, snapshot_id, at, options, chosen)
-    outcomes = run_jobs(
-        source.spark,
-        lambda table: run.write(table, "full", "full"),
-        _largest_first(run, chosen),
-        options.parallelism,
-    )
+    run = _start(source, root, snapshot_id, at, options, chosen, "full")
+    log = read_log(source.spark, run.root)
+    _refuse_other_kind(run, log)
+    done = _done_before(run, log)
+
+    def work(table: tuple[str, str]) -> dict:
+        if table in done:
+            return {**done[table], "change": "full"}
+        return run.write(table, "full", "full")
+
+    outcomes = run_jobs(source.spark, work, _largest_first(run, chosen), options.parallelism)
     return _finish(run, outcomes, "full")
 
 
@@ -224,7 +262,8 @@ def snapshot_incremental(
         chosen = _table_names(changed)
     else:
         chosen = _table_names(select_tables(source.tables()) if tables is None else tables)
-    run = _start(source, root, snapshot_id, at, options, chosen)
+    run = _start(source, root, snapshot_id, at, options, chosen, "incremental")
+    _refuse_other_kind(run, read_log(spark, run.root))
     manifest = read_manifest(spark, run.root)
     if manifest.where("kind = 'full' AND status = 'ok'").isEmpty():
         raise NoBaseError("an incremental snapshot needs a full one before it")
@@ -244,7 +283,8 @@ def snapshot_incremental(
 
     outcomes = run_jobs(spark, work, _largest_first(run, chosen), options.parallelism)
     outcomes += [
-        (table, run.row(table, "incremental", "dropped", "dropped"), None) for table in sorted(gone)
+        (table, run.record(run.row(table, "incremental", "dropped", "dropped")), None)
+        for table in sorted(gone)
     ]
     return _finish(run, outcomes, "incremental")
 
@@ -272,15 +312,24 @@ def _change(run: _Run, table: tuple[str, str], copy) -> str:
 def table_measures(
     source: TableSource, tables: DataFrame | None = None, parallelism: int = DEFAULT_PARALLELISM
 ) -> DataFrame:
-    """row_count and fingerprint of every table of a set, one row each."""
+    """row_count, fingerprint and schema of every table of a set, one row each."""
     spark = source.spark
     chosen = _table_names(select_tables(source.tables()) if tables is None else tables)
-    outcomes = run_jobs(spark, lambda t: measure(source.read(*t)), chosen, parallelism)
+
+    def work(table: tuple[str, str]) -> dict:
+        df = source.read(*table)
+        return {**measure(df), "schema_json": df.schema.json()}
+
+    outcomes = run_jobs(spark, work, chosen, parallelism)
     for _, _, error in outcomes:
         if error is not None:
             raise error
     return small_frame(
         spark,
-        [(*table, m["row_count"], m["fingerprint"]) for table, m, _ in outcomes],
-        "schema_name string, table_name string, row_count bigint, fingerprint decimal(38,0)",
+        [
+            (*table, m["row_count"], m["fingerprint"], m["schema_json"])
+            for table, m, _ in outcomes
+        ],
+        "schema_name string, table_name string, row_count bigint, fingerprint decimal(38,0),"
+        " schema_json string",
     )

@@ -20,6 +20,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, target = _at(spark, path)
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+
+
 def size_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of all files at or below the path."""
     fs, target = _at(spark, path)

@@ -12,9 +12,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablekeep.functions.hashing import quoted
 from tablekeep.sources import files
 from tablekeep.sources.small import small_frame
 
+def in_quotes(name: str) -> str:
+    """A name as databases quote it."""
+    return '"' + name.replace('"', '""') + '"'
+
+
 TABLES_DDL = "schema_name string, table_name string"
 
 
@@ -98,7 +104,10 @@ class ParquetTables(TableSource):
     def read(self, schema_name: str, table_name: str) -> DataFrame:
         if self.schema_of(table_name) != schema_name:
             raise ValueError(f"no table {schema_name}.{table_name} in {self.folder}")
-        return self.spark.read.parquet(f"{self.folder}/{table_name}{self.SUFFIX}")
+        path = f"{self.folder}/{table_name}{self.SUFFIX}"
+        # the columns of all files, from footers read by tasks; unlike types of one column raise
+        several = files.is_folder(self.spark, path)
+        return self.spark.read.option("mergeSchema", str(several).lower()).parquet(path)
 
     def states(self, names: list[tuple[str, str]]) -> dict[tuple[str, str], FileState]:
         """File count, bytes and a hash of every file's path, size and time."""
@@ -149,7 +158,20 @@ class CatalogTables(TableSource):
         )
 
     def read(self, schema_name: str, table_name: str) -> DataFrame:
-        return self.spark.table(f"`{schema_name}`.`{table_name}`")
+        return self.spark.table(f"{quoted(schema_name)}.{quoted(table_name)}")
+
+    def states(self, names: list[tuple[str, str]]) -> dict[tuple[str, str], FileState]:
+        """A state from the files of each table that has any; listing reads no content."""
+        found = {}
+        for schema_name, table_name in names:
+            paths = self.read(schema_name, table_name).inputFiles()
+            if not paths:
+                continue
+            listed = _listing_session(self.spark).read.format("binaryFile").load(sorted(paths))
+            file_hash = F.xxhash64("path", "modificationTime", "length").cast("decimal(28,0)")
+            n, b, h = listed.agg(F.count(F.lit(1)), F.sum("length"), F.sum(file_hash)).first()
+            found[schema_name, table_name] = FileState(f"{n}:{b}:{h}", b)
+        return found
 
 
 class JdbcTables(TableSource):
@@ -165,6 +187,7 @@ class JdbcTables(TableSource):
         "SELECT table_schema AS schema_name, table_name FROM information_schema.tables"
         " WHERE table_type = 'BASE TABLE'"
     )
+    # The statistics view and its columns are the database's own.
     STATS_QUERY = (
         "SELECT schemaname AS schema_name, relname AS table_name,"
         " last_analyze, last_autoanalyze FROM pg_stat_user_tables"
@@ -186,7 +209,7 @@ class JdbcTables(TableSource):
         name = f"{schema_name}.{table_name}"
         return {
             "url": self.url,
-            "dbtable": f'"{schema_name}"."{table_name}"',
+            "dbtable": f"{in_quotes(schema_name)}.{in_quotes(table_name)}",
             **self.options,
             **self.partitioning.get(name, {}),
         }

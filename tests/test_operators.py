@@ -122,7 +122,7 @@ def test_row_delta_counts_copies_and_nulls(spark):
 
 def test_row_delta_shuffles_once(spark, data):
     df = spark.read.parquet(f"{data}/lineitem.parquet")
-    plan = change.row_delta(df, df.where("l_tax > 0"))._jdf.queryExecution().executedPlan()
+    plan = change.row_delta(df, df.where("l_tax > 0"), "content")._jdf.queryExecution().executedPlan()
     assert plan.toString().count("Exchange ") == 1
 
 

@@ -3,11 +3,18 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tablekeep.operators.catalogue import from_manifest, restore_points
+from tablekeep.operators.catalogue import (
+    from_manifest,
+    latest_per_table,
+    restore_chain,
+    restore_points,
+)
+from tablekeep.operators.change import changed_tables, row_delta
 from tablekeep.operators.selection import select_tables
 from tablekeep.plans import restore, rotation
 from tablekeep.plans.jobs import run_jobs
-from tablekeep.plans.manifest import copies_as_of, read_manifest
+from tablekeep.plans.manifest import append_removed, copies_as_of, read_manifest
+from tablekeep.plans.rotation import retention_apply
 from tablekeep.plans.snapshot import (
     NoBaseError,
     SnapshotError,
@@ -15,6 +22,7 @@ from tablekeep.plans.snapshot import (
     snapshot_full,
     snapshot_incremental,
     snapshot_schemas,
+    table_measures,
 )
 from tablekeep.sources import files
 from tablekeep.sources.tables import CatalogTables, FrameTables, JdbcTables, ParquetTables
@@ -130,16 +138,167 @@ def test_manifest_names_what_was_written(spark, root, data):
     assert spark.read.parquet(row["path"]).count() == 1500
 
 
-def test_same_id_again_replaces(spark, root):
+def test_same_id_again_replaces_table_by_table(spark, root):
     snapshot_full(frames(spark, a=[1], b=[1]), root, "one", DAYS[0])
     snapshot_full(frames(spark, a=[1, 2]), root, "one", DAYS[1])
     found = read_manifest(spark, root).collect()
-    assert [(r["table_name"], r["row_count"]) for r in found] == [("a", 2)]
+    assert sorted((r["table_name"], r["row_count"]) for r in found) == [("a", 2), ("b", 1)]
+
+
+def test_two_schemas_under_one_id(spark, root):
+    sales, corpus = frames(spark, a=[1]), FrameTables(spark, {("t", "b"): spark.range(3)})
+    both = FrameTables(spark, {**sales.frames, **corpus.frames})
+    snapshot_schemas(both, root, "s", "one", DAYS[0])
+    snapshot_schemas(both, root, "t", "one", DAYS[0])
+    found = {(r["schema_name"], r["table_name"]) for r in read_manifest(spark, root).collect()}
+    assert found == {("s", "a"), ("t", "b")}
+
+
+def test_failed_rerun_loses_nothing(spark, root):
+    snapshot_full(frames(spark, good=[1, 2], other=[3], bad=[9]), root, "one", DAYS[0])
+    with pytest.raises(SnapshotError):
+        snapshot_full(broken(spark), root, "one", DAYS[1])
+    assert values(restore.restored_tables(spark, root), "bad") == [9]
+    retention_apply(spark, root, datetime(2030, 1, 1), 30)
+    back = restore.restored_tables(spark, root)
+    assert (values(back, "bad"), values(back, "good")) == ([9], [1, 2])
+
+
+def test_retry_of_an_incremental_run(spark, root):
+    snapshot_full(frames(spark, good=[1], other=[3], bad=[9]), root, "full", DAYS[0])
+    with pytest.raises(SnapshotError):
+        snapshot_incremental(broken(spark), root, "inc", DAYS[1])
+    snapshot_incremental(frames(spark, good=[1, 2], other=[3], bad=[9, 10]), root, "inc", DAYS[1])
+    back = restore.restored_tables(spark, root)
+    assert (values(back, "good"), values(back, "bad")) == ([1, 2], [9, 10])
+
+
+def test_an_id_is_for_one_kind_of_run(spark, root):
+    snapshot_full(frames(spark, a=[1]), root, "one", DAYS[0])
+    with pytest.raises(ValueError, match="another kind"):
+        snapshot_incremental(frames(spark, a=[1, 2]), root, "one", DAYS[1])
+    snapshot_incremental(frames(spark, a=[1, 2]), root, "two", DAYS[1])
+    with pytest.raises(ValueError, match="another kind"):
+        snapshot_full(frames(spark, a=[1]), root, "two", DAYS[2])
+    assert values(restore.restored_tables(spark, root), "a") == [1, 2]
+
+
+def test_a_dead_run_is_taken_up(spark, root):
+    """A run that ended after one of two tables: its rerun keeps that one and writes the other."""
+    with pytest.raises(SnapshotError):
+        snapshot_full(broken(spark), root, "one", DAYS[0])
+    first = {r["table_name"]: r["path"] for r in read_manifest(spark, root).collect()}
+    snapshot_full(frames(spark, good=[7, 7], other=[3], bad=[9]), root, "one", DAYS[0])
+    found = {r["table_name"]: r for r in read_manifest(spark, root).collect()}
+    assert {n: r["status"] for n, r in found.items()} == {"good": "ok", "other": "ok", "bad": "ok"}
+    assert found["good"]["path"] == first["good"] and found["bad"]["path"] != first["bad"]
+    snapshot_full(frames(spark, good=[7, 7]), root, "one", DAYS[0])  # closed now: copied anew
+    assert values(restore.restored_tables(spark, root), "good") == [7, 7]
+
+
+def test_two_copies_of_one_time(spark, root):
+    snapshot_full(frames(spark, a=[1]), root, "z", DAYS[0])
+    snapshot_full(frames(spark, a=[1, 2]), root, "b", DAYS[0])
+    assert values(restore.restored_tables(spark, root), "a") == [1, 2]
+    retention_apply(spark, root, datetime(2030, 1, 1), 30)
+    assert values(restore.restored_tables(spark, root), "a") == [1, 2]
+
+
+def test_rotation_clears_orphans_and_tries_again(spark, root):
+    snapshot_full(frames(spark, a=[1]), root, "one", DAYS[0])
+    orphan = f"{root}/tables/s/a/lost-20240101000000000000-0123abcd"
+    young = f"{root}/tables/s/a/now-20291231000000000000-0123abcd"
+    for path in (orphan, young):
+        spark.range(1).write.parquet(path)
+    assert retention_apply(spark, root, datetime(2030, 1, 1), 30) == [orphan]
+    assert not files.exists(spark, orphan) and files.exists(spark, young)
+    kept = f"{root}/tables/s/a/kept"
+    spark.range(1).write.parquet(kept)
+    append_removed(spark, root, [{"path": kept, "removed_at": DAYS[0], "deleted": False}])
+    retention_apply(spark, root, datetime(2030, 1, 1), 30)
+    assert not files.exists(spark, kept)
+
+
+def test_tables_that_are_gone_are_no_restore_points(spark, root):
+    snapshot_full(frames(spark, a=[1], b=[1]), root, "mon", DAYS[0])
+    snapshot_incremental(frames(spark, a=[1]), root, "tue", DAYS[1])
+    known = from_manifest(read_manifest(spark, root))
+    late = "2030-01-01 00:00:00"
+    assert [r["table_name"] for r in restore_points(known, late, "run_id").collect()] == ["s.a"]
+    assert {r["table_name"] for r in restore_chain(known, late, "run_id").collect()} == {"s.a"}
+    assert [r["table_name"] for r in latest_per_table(known, "run_id").collect()] == ["s.a"]
+    assert {r["table_name"] for r in restore_points(known, DAYS[0], "run_id").collect()} == {"s.a", "s.b"}
+
+
+def test_renamed_columns_are_a_change(spark):
+    old = FrameTables(spark, {("s", "t"): spark.range(5)})
+    new = FrameTables(spark, {("s", "t"): spark.range(5).toDF("other")})
+    found = changed_tables(table_measures(new), table_measures(old)).first()
+    assert found["change"] == "changed"
+
+
+def test_columns_of_all_files(spark, root):
+    spark.range(3).write.parquet(f"{root}/in/t.parquet")
+    spark.range(2).selectExpr("id", "id * 2 AS more").write.mode("append").parquet(f"{root}/in/t.parquet")
+    snapshot_full(ParquetTables(spark, f"{root}/in", "s"), f"{root}/out", "one", DAYS[0])
+    back = restore.restored_tables(spark, f"{root}/out").read("s", "t")
+    assert back.columns == ["id", "more"] and back.where("more IS NOT NULL").count() == 2
+
+
+def test_odd_column_names_survive(spark, root):
+    df = spark.createDataFrame([(1, 2, 3)], "__hash64 int, __net int, __sign int")
+    snapshot_full(FrameTables(spark, {("s", "t"): df}), root, "one", DAYS[0])
+    assert rows(restore.restored_tables(spark, root).read("s", "t")) == [(1, 2, 3)]
+    assert row_delta(df, df.limit(0)).columns == ["change", "copies", *df.columns]
+
+
+def test_append_refuses_other_columns(spark, root):
+    snapshot_full(frames(spark, a=[1]), f"{root}/r", "one", DAYS[0])
+    copies = restore.chosen_copies(spark, f"{root}/r")
+    spark.range(2).toDF("q").write.parquet(f"{root}/to/s/a.parquet")
+    with pytest.raises(restore.TargetExistsError, match="other columns"):
+        restore.restore_to_folder(spark, copies, f"{root}/to", "append")
+    assert spark.read.parquet(f"{root}/to/s/a.parquet").columns == ["q"]
+
+
+def test_managed_tables_are_not_replaced(spark, root):
+    snapshot_full(FrameTables(spark, {("s", "m"): spark.range(4)}), root, "one", DAYS[0])
+    copies = restore.chosen_copies(spark, root)
+    spark.sql("CREATE DATABASE IF NOT EXISTS managed_db")
+    spark.sql("DROP TABLE IF EXISTS managed_db.m")
+    spark.range(2).write.saveAsTable("managed_db.m")
+    with pytest.raises(restore.TargetExistsError, match="managed"):
+        restore.restore_to_catalog(spark, copies, f"{root}/c", "force", database="managed_db")
+    assert spark.table("managed_db.m").count() == 2
+    spark.sql("DROP TABLE managed_db.m")
+    restore.restore_to_catalog(spark, copies, f"{root}/c", "force", database="managed_db")
+    restore.restore_to_catalog(spark, copies, f"{root}/c", "force", database="managed_db")
+    assert spark.table("managed_db.m").count() == 4
+
+
+def test_slashes_in_names_are_restored(spark, root):
+    snapshot_full(FrameTables(spark, {("s", "a/b"): spark.range(4)}), root, "one", DAYS[0])
+    restore.restore_to_folder(spark, restore.chosen_copies(spark, root), f"{root}/to")
+    assert spark.read.parquet(f"{root}/to/s/a%2Fb.parquet").count() == 4
+
+
+def test_unchanged_catalog_tables_are_not_read(spark, root):
+    spark.sql("CREATE DATABASE IF NOT EXISTS states_db")
+    spark.sql("DROP TABLE IF EXISTS states_db.t")
+    spark.range(10).write.saveAsTable("states_db.t")
+    source = CatalogTables(spark, ["states_db"])
+    snapshot_full(source, root, "one", DAYS[0])
+    source.cheap_count = None  # a look at the rows would need this
+    found = report(snapshot_incremental(source, root, "two", DAYS[1]))
+    assert found["t"][2] == "unchanged"
+    assert source.states([("states_db", "t")])
+    spark.range(1).write.mode("append").saveAsTable("states_db.t")
+    assert report(snapshot_incremental(source, root, "three", DAYS[2]))["t"][2] == "ok"
 
 
 def test_an_id_is_made_from_the_time(spark, root):
     snapshot_full(frames(spark, a=[1]), root, at=datetime(2024, 3, 15, 12))
-    assert read_manifest(spark, root).first()["snapshot_id"] == "20240315_120000"
+    assert read_manifest(spark, root).first()["snapshot_id"] == "20240315_120000_000000"
 
 
 def test_odd_names(spark, root):
