@@ -125,7 +125,9 @@ def main(arguments: list[str] | None = None) -> int:
     if isinstance(result, list):
         print("\n".join(result))
         return 0
-    result.show(n=10_000, truncate=False)
+    print("\t".join(result.columns))
+    for row in result.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
     return 0 if "valid" not in result.columns or result.where("NOT valid").isEmpty() else 1
 
 

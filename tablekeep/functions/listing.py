@@ -11,18 +11,26 @@ from tablekeep.functions.times import parse_listing_time
 LINE_PATTERN = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\s+(\d+)\s+(\S.*)$"
 
 
+# Fixed value: what does not count around a listing or a line.
+SPACE = " \t\n\r\x0b\x0c"
+
+
+def trimmed(text: Column) -> Column:
+    return F.trim(text, F.lit(SPACE))
+
+
 def split_lines(text: Column) -> Column:
-    """Lines of a whole listing held in one value; blanks around it do not count."""
-    return F.split(F.trim(text), "\n")
+    """Lines of a whole listing held in one value; white space around it does not count."""
+    return F.split(trimmed(text), "\n")
 
 
 def fields(line: Column) -> Column:
     """Whitespace-separated fields of a line."""
-    return F.split(F.trim(line), r"\s+")
+    return F.split(trimmed(line), r"\s+")
 
 
 def is_blank(line: Column) -> Column:
-    return F.coalesce(F.trim(line), F.lit("")) == F.lit("")
+    return F.coalesce(trimmed(line), F.lit("")) == F.lit("")
 
 
 def parse_line(line: Column) -> Column:

@@ -297,26 +297,23 @@ FROM events GROUP BY 1
 def validate_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every document looked through whole for two words, by source; all sources listed."""
     documents = table(spark, folder, "documents")
-    long_ones = documents.where("n_chars > 3000")
     return validate.validate_artifacts(
         documents.select("source").distinct(),
-        long_ones,
+        documents,
         key="source",
         text="text",
-        schema_marker="License",
-        data_marker="@",
+        schema_marker="Apache License, Version 2.0",
+        data_marker="worthless",
     )
 
 
 _VALIDATE_TEXTS_SQL = """
-SELECT s.source,
-       coalesce(bool_or(contains(d.text, 'License')), FALSE) AS has_schema,
-       coalesce(bool_or(contains(d.text, '@')), FALSE) AS has_data,
-       coalesce(bool_or(contains(d.text, 'License')), FALSE)
-         AND coalesce(bool_or(contains(d.text, '@')), FALSE) AS valid
-FROM (SELECT DISTINCT source FROM documents) s
-LEFT JOIN documents d ON d.source = s.source AND d.n_chars > 3000
-GROUP BY s.source
+SELECT source,
+       coalesce(bool_or(contains(text, 'Apache License, Version 2.0')), FALSE) AS has_schema,
+       coalesce(bool_or(contains(text, 'worthless')), FALSE) AS has_data,
+       coalesce(bool_or(contains(text, 'Apache License, Version 2.0')), FALSE)
+         AND coalesce(bool_or(contains(text, 'worthless')), FALSE) AS valid
+FROM documents GROUP BY source
 """
 
 QUERIES = {
@@ -332,7 +329,7 @@ QUERIES = {
     "artifact_lines": (
         artifact_lines,
         "SELECT line, count(*) AS times FROM"
-        " (SELECT unnest(string_split(trim(text, ' '), chr(10))) AS line FROM conversations)"
+        " (SELECT unnest(string_split(trim(text, E' \\t\\n\\r\\x0b\\x0c'), chr(10))) AS line FROM conversations)"
         " GROUP BY line",
     ),
     "artifact_names": (artifact_names, _NAMES_SQL),

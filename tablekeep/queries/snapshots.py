@@ -133,7 +133,7 @@ _INCREMENTAL_SQL = "\nUNION ALL ".join(
 def snapshot_by_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """An incremental snapshot of the event types which statistics call changed."""
     events = table(spark, folder, "events")
-    types = ["click", "error", "purchase", "signup", "view"]
+    types = sorted(r[0] for r in events.select("event_type").distinct().collect())
     frames = {("events", t): events.where(F.col("event_type") == t) for t in types}
     tables = FrameTables(spark, frames)
     root = scratch_folder(spark, "statistics")
@@ -247,8 +247,7 @@ def catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
         path = f"{folder}/{name}.parquet"
         spark.catalog.createTable(f"{database}.{name}", path=path, source="parquet")
     tables = CatalogTables(spark, [database])
-    measured = table_measures(tables, selection.select_tables(tables.tables(), exclude="labels"))
-    return measured.select("table_name", "row_count")
+    return table_measures(tables).select("table_name", "row_count")
 
 
 def _catalog(spark: SparkSession, folder: str, mode: str) -> DataFrame:
@@ -393,7 +392,6 @@ QUERIES = {
         "\nUNION ALL ".join(
             f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}"
             for n in TABLES
-            if n != "labels"
         ),
     ),
     "restore_catalog_force": (restore_catalog_force, "SELECT * FROM lineitem"),

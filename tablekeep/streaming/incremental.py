@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from tablekeep.sources import files
+
 
 def new_files(
     spark: SparkSession,
@@ -26,8 +28,16 @@ def append_new_files(stream: DataFrame, target: str, checkpoint: str) -> int:
 
     The checkpoint remembers the files taken and the sink's own log the files
     written, so a run that is repeated, or dies and is started again, adds no row
-    twice.
+    twice. Rows are counted in the target before and after, from the footers of its
+    files, as the query itself remembers a bounded number of batches only.
     """
+    spark = stream.sparkSession
+
+    def rows() -> int:
+        there = files.exists(spark, f"{target}/_spark_metadata")
+        return spark.read.schema(stream.schema).parquet(target).count() if there else 0
+
+    before = rows()
     query = (
         stream.writeStream.format("parquet")
         .option("path", target)
@@ -37,4 +47,4 @@ def append_new_files(stream: DataFrame, target: str, checkpoint: str) -> int:
         .start()
     )
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return rows() - before

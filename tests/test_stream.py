@@ -21,3 +21,18 @@ def test_files_are_chosen_by_name(spark, data, tmp_path):
     schema = spark.read.parquet(f"{data}/events.parquet").schema
     stream = new_files(spark, data, schema, "events.parquet", max_files_per_batch=1)
     assert append_new_files(stream, str(tmp_path / "out"), str(tmp_path / "mark")) == 1000
+
+
+def test_counts_all_batches(spark, root):
+    """More batches than the query remembers."""
+    for part in range(8):
+        spark.range(10).coalesce(1).write.parquet(f"{root}/in/{part}")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        schema = spark.range(1).schema
+        stream = new_files(spark, f"{root}/in/*", schema, max_files_per_batch=1)
+        assert append_new_files(stream, f"{root}/out", f"{root}/log") == 80
+        stream = new_files(spark, f"{root}/in/*", schema, max_files_per_batch=1)
+        assert append_new_files(stream, f"{root}/out", f"{root}/log") == 0
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
