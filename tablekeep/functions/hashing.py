@@ -16,12 +16,21 @@ from tablekeep.functions.times import epoch_micros
 
 _PORTABLE_TEXT = (
     T.StringType,
+    T.BooleanType,
     T.ByteType,
     T.ShortType,
     T.IntegerType,
     T.LongType,
+    T.DecimalType,
 )
-_PORTABLE_TIME = (T.TimestampNTZType,)
+_PORTABLE_TIME = (T.TimestampNTZType, T.TimestampType)
+_PORTABLE = (
+    *_PORTABLE_TEXT, *_PORTABLE_TIME, T.DateType, T.FloatType, T.DoubleType, T.BinaryType
+)
+
+# A double is brought to below 2 ** 60 by a power of 2 ** 100, which loses no bit; its whole part
+# and 100 bits of its fraction are then three whole numbers.
+DOUBLE_STEP, DOUBLE_STEPS, DOUBLE_ROOM, DOUBLE_BITS = 100, 10, 60, 50
 
 
 def quoted(name: str) -> str:
@@ -111,31 +120,71 @@ def _bit_masks(flags: list[Column]) -> list[Column]:
 
 
 def portable_columns(schema: T.StructType) -> list[str]:
-    """Columns whose text form is the same in every SQL engine."""
-    return [
-        f.name
-        for f in schema.fields
-        if isinstance(f.dataType, _PORTABLE_TEXT + _PORTABLE_TIME + (T.BooleanType,))
-    ]
+    """Columns whose text form is the same in every SQL engine: all but maps, structs and such."""
+    return [f.name for f in schema.fields if _is_portable(f.dataType)]
+
+
+def _is_portable(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.ArrayType):
+        return _is_portable(data_type.elementType)
+    return isinstance(data_type, _PORTABLE)
+
+
+def _double_text(value: Column) -> Column:
+    """A double as whole numbers: the power it was scaled by, then its parts."""
+    size, power, scaled = F.abs(value), None, None
+    for step in range(-DOUBLE_STEPS, DOUBLE_STEPS + 1):
+        own = size < F.lit(2.0 ** (DOUBLE_STEP * step + DOUBLE_ROOM)) if step < DOUBLE_STEPS else None
+        shrunk = value * F.lit(2.0 ** (-DOUBLE_STEP * step))
+        if own is None:
+            power, scaled = power.otherwise(step), scaled.otherwise(shrunk)
+        else:
+            power = F.when(own, step) if power is None else power.when(own, step)
+            scaled = F.when(own, shrunk) if scaled is None else scaled.when(own, shrunk)
+    one = scaled.cast("bigint")
+    rest = (scaled - one) * F.lit(2.0**DOUBLE_BITS)
+    two = rest.cast("bigint")
+    three = ((rest - two) * F.lit(2.0**DOUBLE_BITS)).cast("bigint")
+    parts = F.concat_ws("/", power, one, two, three)
+    infinite = size == F.lit(float("inf"))
+    sign = F.when(value > 0, "inf").otherwise("-inf")
+    return F.when(value.isNull(), None).when(F.isnan(value), "nan").when(infinite, sign).otherwise(parts)
+
+
+def _portable_text(value: Column, data_type: T.DataType) -> Column:
+    """A value as text; NULL stays NULL."""
+    if isinstance(data_type, T.ArrayType):
+        parts = F.transform(
+            value, lambda e: F.coalesce(_portable_text(e, data_type.elementType), F.lit("N"))
+        )
+        return F.concat(F.size(value).cast("string"), F.lit("["), F.array_join(parts, ","))
+    if isinstance(data_type, _PORTABLE_TIME):
+        return epoch_micros(value).cast("string")
+    if isinstance(data_type, T.DateType):
+        return F.unix_date(value).cast("string")
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return _double_text(value.cast("double"))
+    if isinstance(data_type, T.BinaryType):
+        return F.hex(value)
+    return value.cast("string")
 
 
 def portable_row_hash(schema: T.StructType, columns: list[str] | None = None) -> Column:
     """First 64 bits of the md5 of a text form any SQL engine can rebuild.
 
     Each value is written as ``<length>:<text>`` and NULL as ``N``, so no two
-    rows share a text. Times are written as microseconds since the epoch.
+    rows share a text. Times are written as microseconds since the epoch, dates
+    as days, doubles exactly as whole numbers, bytes in hexadecimal, arrays
+    element by element (strings in arrays are told apart but by their commas).
+    Without ``columns`` every column has to have such a form.
     """
-    names = columns or portable_columns(schema)
+    names = columns or [f.name for f in schema.fields]
     unknown = set(names) - set(portable_columns(schema))
     if unknown:
         raise ValueError(f"no portable text form for columns {sorted(unknown)}")
     parts = []
     for name in names:
-        value, data_type = column_of(name), schema[name].dataType
-        if isinstance(data_type, _PORTABLE_TIME):
-            text = epoch_micros(value).cast("string")
-        else:
-            text = value.cast("string")
+        text = _portable_text(column_of(name), schema[name].dataType)
         parts.append(
             F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N"))
         )

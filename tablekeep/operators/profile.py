@@ -4,94 +4,97 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablekeep.functions.hashing import (
     column_of,
     fingerprint_parts,
-    portable_columns,
     portable_row_hash,
-    quoted,
     row_hash,
 )
 
-def _bounds(field: T.StructField, rows: str | None) -> list[str]:
-    """Bounds and sum of a column as SQL; ``rows`` is how often each value occurs."""
-    value, kind = quoted(field.name), field.dataType
-    texts, numbers = ["NULL", "NULL"], ["NULL", "NULL", "NULL"]
-    if isinstance(kind, (T.StringType, T.DatetimeType)):
-        texts = [f"min({value})", f"max({value})"]
-    elif isinstance(kind, T.NumericType):
-        # Whole numbers are summed exactly; a bigint sum could overflow.
+_PROFILE = (
+    "column_name string, row_count bigint, non_null bigint, distinct_count bigint,"
+    " min_text string, max_text string, sum_text string,"
+    " min_number double, max_number double, sum_number double"
+)
+
+
+def _figures(field: T.StructField, sketch: bool) -> Column:
+    """All figures of a column as one struct of aggregates."""
+    value, kind = column_of(field.name), field.dataType
+    none = F.lit(None)
+    texts, numbers = [none] * 3, [none] * 3
+    if isinstance(kind, (T.StringType, T.DatetimeType, T.BooleanType, T.IntegralType)):
+        texts[:2] = F.min(value), F.max(value)
+    if isinstance(kind, T.NumericType):
         whole = isinstance(kind, T.IntegralType)
-        addend = f"CAST({value} AS DECIMAL(20,0))" if whole else value
-        if rows:
-            addend += f" * CAST({rows} AS {'DECIMAL(18,0)' if whole else 'DOUBLE'})"
-        numbers = [f"min({value})", f"max({value})", f"sum({addend})"]
-    named = zip(texts + numbers, ["STRING"] * 2 + ["DOUBLE"] * 3, _PROFILE[3:])
-    return [f"CAST({column} AS {kind}) AS {name}" for column, kind, name in named]
-
-
-_PROFILE = [
-    "row_count",
-    "non_null",
-    "distinct_count",
-    "min_text",
-    "max_text",
-    "min_number",
-    "max_number",
-    "sum_number",
-]
-
-
-def _column_profile(df: DataFrame, field: T.StructField, distinct: str) -> DataFrame:
-    value = quoted(field.name)
-    if distinct == "exact":
-        values = df.groupBy(column_of(field.name)).agg(F.expr("count(1) AS __rows"))
-        figures = [
-            "coalesce(sum(__rows), 0) AS row_count",
-            f"coalesce(sum(__rows) FILTER (WHERE {value} IS NOT NULL), 0) AS non_null",
-            f"count({value}) AS distinct_count",
-            *_bounds(field, "__rows"),
-        ]
-    else:
-        values = df
-        count = f"approx_count_distinct({value})" if distinct == "approx" else "NULL"
-        figures = [
-            "count(1) AS row_count",
-            f"count({value}) AS non_null",
-            f"CAST({count} AS BIGINT) AS distinct_count",
-            *_bounds(field, None),
-        ]
-    return values.agg(F.lit(field.name).alias("column_name"), *map(F.expr, figures))
+        # Whole numbers are summed exactly; a bigint sum could overflow.
+        total = F.sum(value.cast("decimal(28,0)")) if whole else F.sum(value)
+        numbers = [F.min(value), F.max(value), total]
+        texts[2] = total if whole else none
+    hashed = value if _hashable(kind) else F.when(value.isNotNull(), _digest(field)[0])
+    distinct = F.approx_count_distinct(hashed) if sketch else none
+    values = [F.lit(field.name), F.count(F.lit(1)), F.count(value), distinct, *texts, *numbers]
+    named = zip(values, (part.split() for part in _PROFILE.split(", ")))
+    return F.struct(*[v.cast(to).alias(name) for v, (name, to) in named])
+
+
+def _hashable(kind: T.DataType) -> bool:
+    return isinstance(kind, T.AtomicType) and not isinstance(kind, T.VariantType)
+
+
+def _digest(field: T.StructField) -> list[Column]:
+    """128 bits that stand for a value."""
+    own = T.StructType([field])
+    return [row_hash(own), row_hash(own, salt=1)]
+
+
+def _distinct_count(df: DataFrame, field: T.StructField) -> DataFrame:
+    """Exact, over values or, where these may be long, over their digests."""
+    value, kind = column_of(field.name), field.dataType
+    short = isinstance(kind, (T.NumericType, T.DatetimeType, T.BooleanType))
+    keys = [value.alias("d1")] if short else [k.alias(f"d{i}") for i, k in enumerate(_digest(field))]
+    values = df.where(value.isNotNull()).groupBy(*keys).agg(F.lit(1).alias("one"))
+    return values.agg(F.lit(field.name).alias("name"), F.count(F.lit(1)).alias("found"))
 
 
 def table_profile(df: DataFrame, distinct: str = "approx") -> DataFrame:
     """One row per column: rows, non-null values, distinct values, bounds and sum.
 
-    Every column is read by itself, so a columnar table is read once in all and
-    no row is carried through more than its own column. With ``approx`` (a
-    sketch) and ``none`` nothing but one row per task is shuffled. With ``exact``
-    each column is first reduced to its values and how often they occur, in every
-    task before the shuffle, and all figures come from those; a frequent value
-    costs one row per task.
+    All figures come from one pass over the table, in which each task sends one
+    row. Bounds and sums of whole numbers are exact in their ``_text`` columns.
+    ``distinct`` is a sketch (``approx``), left out (``none``) or ``exact``: then
+    each column is read once more by itself and reduced to its values, long ones
+    to 128-bit digests, in every task before the shuffle.
     """
     if distinct not in ("approx", "exact", "none"):
         raise ValueError("distinct is one of approx, exact, none")
-    return union_all(_column_profile(df, field, distinct) for field in df.schema.fields)
+    figures = [_figures(field, distinct == "approx") for field in df.schema.fields]
+    wide = df.agg(*[f.alias(f"c{i}") for i, f in enumerate(figures)])
+    long = F.explode(F.array(*[f"c{i}" for i in range(len(figures))])).alias("column")
+    found = wide.select(long).select("column.*")
+    if distinct != "exact":
+        return found
+    counts = union_all(_distinct_count(df, field) for field in df.schema.fields)
+    joined = found.drop("distinct_count").join(
+        counts, found.column_name == counts.name
+    ).withColumnRenamed("found", "distinct_count")
+    return joined.select(*found.columns)
 
 
 def fingerprint(df: DataFrame, algorithm: str = "native", columns: list[str] | None = None) -> DataFrame:
     """One row (row_count, fingerprint): the content as a bag of rows.
 
-    ``native`` hashes all columns of any type. ``portable`` hashes a text form of
-    integer, string, boolean and time columns which other engines can rebuild.
+    ``native`` hashes all columns of any type. ``portable`` hashes a text form
+    which other engines can rebuild; columns without one (maps, structs, variants)
+    raise unless ``columns`` names others.
     """
     if algorithm == "native":
         chosen = df.select(*[column_of(c) for c in columns]) if columns else df
         hashed = row_hash(chosen.schema)
     elif algorithm == "portable":
-        names = columns or portable_columns(df.schema)
+        names = columns or df.columns
         chosen = df.select(*[column_of(c) for c in names])
         hashed = portable_row_hash(df.schema, names)
     else:

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.operators import change, selection
-from tablekeep.operators.catalogue import from_manifest, snapshots
+from tablekeep.operators.catalogue import from_manifest, restore_points, snapshots
 from tablekeep.plans import restore
 from tablekeep.plans.manifest import copies_as_of, read_manifest
 from tablekeep.plans.rotation import retention_apply as apply_retention
@@ -306,6 +306,147 @@ def backup_run(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _failing(tables: FrameTables, names: list[str]) -> FrameTables:
+    """The same tables, of which some cannot be read."""
+    frames = dict(tables.frames)
+    for name in names:
+        key = (SCHEMAS[name], name)
+        frames[key] = frames[key].where(F.raise_error(F.lit("unreadable")).isNull())
+    return FrameTables(tables.spark, frames)
+
+
+def _present(spark: SparkSession, folder: str) -> FrameTables:
+    tables = source(spark, folder)
+    return FrameTables(spark, {(SCHEMAS[n], n): tables.read(SCHEMAS[n], n) for n in TABLES})
+
+
+def _as_restored(spark: SparkSession, root: str) -> DataFrame:
+    """What a restore reads now, every table counted and checked."""
+    checked = restore.validate_snapshot(spark, root)
+    counts = restore.chosen_copies(spark, root).select("schema_name", "table_name", "row_count")
+    return checked.join(counts, ["schema_name", "table_name"]).select(
+        "schema_name", "table_name", "snapshot_id", "valid", "row_count"
+    )
+
+
+def snapshot_rerun_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """An incremental run that fails at a table is run again; nothing it wrote is lost."""
+    root, later = scratch_folder(spark, "rerun"), later_tables(spark, folder)
+    take_full(source(spark, folder), root, "base", DAY_1)
+    frames = dict(later.frames)
+    frames["sales", "orders"] = frames["sales", "orders"].where("o_orderkey % 2 = 0")
+    later = FrameTables(spark, frames)
+    record = SnapshotOptions(on_error="record")
+    take_incremental(_failing(later, ["orders"]), root, "next", DAY_2, options=record)
+    take_incremental(later, root, "next", DAY_2)
+    return _as_restored(spark, root)
+
+
+_RERUN_SQL = "\nUNION ALL ".join(
+    [
+        f"SELECT '{SCHEMAS[n]}' AS schema_name, '{n}' AS table_name, 'base' AS snapshot_id,"
+        f" TRUE AS valid, count(*) AS row_count FROM {n}"
+        for n in TABLES
+        if n not in ("lineitem", "nation", "orders")
+    ]
+    + [
+        f"SELECT 'sales', 'lineitem', 'next', TRUE, count(*) FROM ({NEW_LINEITEM_SQL})",
+        "SELECT 'sales', 'orders', 'next', TRUE, count(*) FROM orders WHERE o_orderkey % 2 = 0",
+        "SELECT 'sales', 'segment', 'next', TRUE, count(DISTINCT c_mktsegment) FROM customer",
+    ]
+)
+
+
+def snapshot_rerun_failed(spark: SparkSession, folder: str) -> DataFrame:
+    """A full run is run again and fails at three tables; rotation then takes no good copy."""
+    root, tables = scratch_folder(spark, "rerun-failed"), _present(spark, folder)
+    take_full(tables, root, "full", DAY_1)
+    record = SnapshotOptions(on_error="record")
+    take_full(_failing(tables, ["pages", "part", "labels"]), root, "full", DAY_2, options=record)
+    apply_retention(spark, root, datetime(2024, 6, 1), 30)
+    return _as_restored(spark, root)
+
+
+def snapshot_two_schemas_one_id(spark: SparkSession, folder: str) -> DataFrame:
+    """One id for three runs, each of one schema."""
+    root = scratch_folder(spark, "schemas")
+    for schema in sorted(set(SCHEMAS.values())):
+        snapshot_schemas(source(spark, folder), root, schema, "full", DAY_1)
+    return _as_restored(spark, root)
+
+
+_AS_RESTORED_SQL = _counts_sql(TABLES, "'full' AS snapshot_id, TRUE AS valid")
+
+
+def _restored_set(mode: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        """All tables restored into a folder, and then once more onto themselves."""
+        root = scratch_folder(spark, f"set-{mode}")
+        take_full(source(spark, folder), root, "full", DAY_1)
+        copies = restore.chosen_copies(spark, root)
+        restore.restore_to_folder(spark, copies, f"{root}/restored")
+        restore.restore_to_folder(spark, copies, f"{root}/restored", mode)
+        back = FrameTables(
+            spark,
+            {
+                (SCHEMAS[n], n): spark.read.parquet(f"{root}/restored/{SCHEMAS[n]}/{n}.parquet")
+                for n in TABLES
+            },
+        )
+        return table_measures(back).select("schema_name", "table_name", "row_count")
+
+    return query
+
+
+def _set_sql(times: int) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{SCHEMAS[n]}' AS schema_name, '{n}' AS table_name,"
+        f" {times} * count(*) AS row_count FROM {n}"
+        for n in TABLES
+    )
+
+
+def restore_points_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """What the catalogue offers for a restore is what a restore reads: no table that is gone."""
+    root = scratch_folder(spark, "points")
+    take_full(source(spark, folder), root, "base", DAY_1)
+    take_incremental(later_tables(spark, folder), root, "next", DAY_2)
+    known = from_manifest(read_manifest(spark, root))
+    return restore_points(known, DAY_3, "run_id").select("name", "table_name", "kind")
+
+
+_POINTS_SQL = "\nUNION ALL ".join(
+    [
+        f"SELECT '{SCHEMAS[n]}.{n}@base' AS name, '{SCHEMAS[n]}.{n}' AS table_name, 'full' AS kind"
+        f" FROM {n} HAVING count(*) >= 0"
+        for n in TABLES
+        if n not in ("lineitem", "nation")
+    ]
+    + [
+        "SELECT 'sales.lineitem@next', 'sales.lineitem', 'incremental'",
+        "SELECT 'sales.segment@next', 'sales.segment', 'full'",
+    ]
+)
+
+
+def changed_tables_renamed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table against itself with its first column renamed: the same hashes, another schema."""
+    now = _present(spark, folder)
+    renamed = {
+        key: df.withColumnRenamed(df.columns[0], "renamed") if key[1] != "nation" else df
+        for key, df in now.frames.items()
+    }
+    found = change.changed_tables(table_measures(FrameTables(spark, renamed)), table_measures(now))
+    return found.select("schema_name", "table_name", "change", "new_rows")
+
+
+_RENAMED_SQL = "\nUNION ALL ".join(
+    f"SELECT '{SCHEMAS[n]}' AS schema_name, '{n}' AS table_name,"
+    f" '{'unchanged' if n == 'nation' else 'changed'}' AS change, count(*) AS new_rows FROM {n}"
+    for n in TABLES
+)
+
+
 def retention_apply(spark: SparkSession, folder: str) -> DataFrame:
     """Three full snapshots of some tables; what is left once retention was applied."""
     root = scratch_folder(spark, "rotation")
@@ -406,5 +547,12 @@ QUERIES = {
         _counts_sql(TABLES, "'march' AS snapshot_id, 'ok' AS status"),
     ),
     "retention_apply": (retention_apply, _APPLY_SQL),
+    "snapshot_rerun_incremental": (snapshot_rerun_incremental, _RERUN_SQL),
+    "snapshot_rerun_failed": (snapshot_rerun_failed, _AS_RESTORED_SQL),
+    "snapshot_two_schemas_one_id": (snapshot_two_schemas_one_id, _AS_RESTORED_SQL),
+    "restore_set_force": (_restored_set("force"), _set_sql(1)),
+    "restore_set_append": (_restored_set("append"), _set_sql(2)),
+    "restore_points_manifest": (restore_points_manifest, _POINTS_SQL),
+    "changed_tables_renamed": (changed_tables_renamed, _RENAMED_SQL),
     "incremental_stream": (incremental_stream, "SELECT * FROM events"),
 }

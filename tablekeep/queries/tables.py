@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablekeep.functions.hashing import DOUBLE_BITS, DOUBLE_ROOM, DOUBLE_STEP, DOUBLE_STEPS
 from tablekeep.operators import change, profile, selection
 from tablekeep.plans.snapshot import table_measures
 from tablekeep.queries.common import SCHEMAS, TABLES, columns, source, table
@@ -16,21 +17,22 @@ def table_profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _profile_sql() -> str:
+def _profile_sql(distinct: bool = True) -> str:
     selects = []
     for name in TABLES:
         for column, kind in columns(name):
-            text = "CAST({}({c}) AS VARCHAR)" if kind in "st" else None
-            number = "CAST({}({c}) AS DOUBLE)" if kind in "id" else None
+            text = "CAST({}({c}) AS VARCHAR)" if kind in "sti" else "CAST(NULL AS VARCHAR)"
+            number = "CAST({}({c}) AS DOUBLE)" if kind in "id" else "CAST(NULL AS DOUBLE)"
             total = "round(CAST(sum({c}) AS DOUBLE), 2)" if kind in "id" else "CAST(NULL AS DOUBLE)"
-            text = text or "CAST(NULL AS VARCHAR)"
-            number = number or "CAST(NULL AS DOUBLE)"
+            whole = "CAST(sum({c}) AS VARCHAR)" if kind == "i" else "CAST(NULL AS VARCHAR)"
+            count = f"count(DISTINCT {column})" if distinct else "CAST(NULL AS BIGINT)"
             selects.append(
                 f"SELECT '{name}' AS table_name, '{column}' AS column_name,"
                 f" count(*) AS row_count, count({column}) AS non_null,"
-                f" count(DISTINCT {column}) AS distinct_count,"
+                f" {count} AS distinct_count,"
                 f" {text.format('min', c=column)} AS min_text,"
                 f" {text.format('max', c=column)} AS max_text,"
+                f" {whole.format(c=column)} AS sum_text,"
                 f" {number.format('min', c=column)} AS min_number,"
                 f" {number.format('max', c=column)} AS max_number,"
                 f" {total.format(c=column)} AS sum_number FROM {name}"
@@ -38,6 +40,33 @@ def _profile_sql() -> str:
     return "\nUNION ALL ".join(selects)
 
 
+def table_profile_one_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile without distinct counts: one scan for each table."""
+    tables = {name: table(spark, folder, name) for name in TABLES}
+    return profile.table_profiles(tables, distinct="none").withColumn(
+        "sum_number", F.round("sum_number", 2)
+    )
+
+
+def _double_sql(x: str) -> str:
+    """SQL for the text of a double, see ``functions.hashing``."""
+    x = f"CAST({x} AS DOUBLE)"
+    powers, values = [], []
+    for step in range(-DOUBLE_STEPS, DOUBLE_STEPS + 1):
+        when = "ELSE"
+        if step < DOUBLE_STEPS:
+            bound = 2.0 ** (DOUBLE_STEP * step + DOUBLE_ROOM)
+            when = f"WHEN abs({x}) < CAST('{bound!r}' AS DOUBLE) THEN"
+        powers.append(f"{when} {step}")
+        values.append(f"{when} {x} * CAST('{2.0 ** (-DOUBLE_STEP * step)!r}' AS DOUBLE)")
+    power, y = f"(CASE {' '.join(powers)} END)", f"(CASE {' '.join(values)} END)"
+    bits = f"CAST('{2.0**DOUBLE_BITS!r}' AS DOUBLE)"
+    rest = f"(({y} - trunc({y})) * {bits})"
+    third = f"(({rest} - trunc({rest})) * {bits})"
+    whole = [f"CAST(trunc({v}) AS BIGINT)" for v in (y, rest, third)]
+    return f"concat_ws('/', {power}, {', '.join(whole)})"
+
+
 def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     tables = {name: table(spark, folder, name) for name in TABLES}
     return profile.table_fingerprints(tables, "portable").withColumn(
@@ -50,9 +79,12 @@ def _fingerprint_sql() -> str:
     for name in TABLES:
         parts = []
         for column, kind in columns(name):
-            if kind not in "ist":
-                continue
             text = f"CAST({'epoch_us(' + column + ')' if kind == 't' else column} AS VARCHAR)"
+            if kind == "d":
+                text = f"CASE WHEN {column} IS NOT NULL THEN {_double_sql(column)} END"
+            elif kind == "a":
+                each = f"list_transform({column}, lambda e: {_double_sql('e')})"
+                text = f"concat(len({column}), '[', array_to_string({each}, ','))"
             parts.append(f"coalesce(length({text}) || ':' || {text}, 'N')")
         selects.append(
             f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST(sum("
@@ -216,6 +248,7 @@ NEW_DOCUMENTS_SQL = """
 """
 
 QUERIES = {
+    "table_profile_one_pass": (table_profile_one_pass, _profile_sql(False)),
     "table_profile": (table_profile, _profile_sql()),
     "table_fingerprint": (table_fingerprint, _fingerprint_sql()),
     "table_set": (table_set, TABLE_SET_SQL),

@@ -150,6 +150,24 @@ def test_profile_of_odd_column_names(spark):
         assert sorted(r["column_name"] for r in profile.table_profile(df, distinct).collect()) == sorted(names)
 
 
+def test_profile_is_exact_and_one_pass(spark, root):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, True, None), (big, False, "x")], "n long, b boolean, s string")
+    found = {r["column_name"]: r for r in profile.table_profile(df, "exact").collect()}
+    assert (found["n"]["max_text"], found["n"]["sum_text"]) == (str(big), str(2 * big))
+    assert (found["b"]["min_text"], found["b"]["distinct_count"], found["s"]["distinct_count"]) == (
+        "false", 2, 1,
+    )
+    odd = spark.sql("SELECT parse_json('1') AS v, map(1, 2) AS m, X'01' AS b")
+    for distinct in ("approx", "exact", "none"):
+        assert profile.table_profile(odd, distinct).count() == 3
+    df.write.parquet(f"{root}/t")
+    stored = spark.read.parquet(f"{root}/t")
+    for distinct in ("approx", "none"):
+        plan = profile.table_profile(stored, distinct)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+
+
 def test_profile_of_no_rows(spark):
     df = spark.createDataFrame([], "i int, s string")
     for distinct in ("approx", "exact", "none"):
