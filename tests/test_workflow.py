@@ -75,3 +75,33 @@ def test_command_line(spark, root, data):
     run(spark, [*to, "--append", "--tables", "region"])
     assert spark.read.parquet(f"{root}/out/public/region.parquet").count() == 10
     assert run(spark, ["rotate", *common]) == []
+
+
+def test_command_line_for_files_and_catalogs(spark, root, data):
+    folder = f"{root}/plain"
+    spark.range(3).selectExpr("cast(id AS string) v").coalesce(1).write.text(folder)
+    listed = run(spark, ["list", "--files", folder, "--pattern", "part-*"]).collect()
+    assert len(listed) == 1 and listed[0]["size_bytes"] == 6
+    assert run(spark, ["rotate", "--files", folder, "--pattern", "part-*"]) == []
+    assert len(run(spark, ["rotate", "--files", folder, "--pattern", "part-*", "--retention-days", "0", "--rule", "exact"])) == 1
+    run(spark, ["backup", "--root", f"{root}/r", "--source", data, "--schema", "cli_db", "--tables", "region"])
+    spark.sql("DROP DATABASE IF EXISTS cli_db CASCADE")
+    run(spark, ["restore", "--root", f"{root}/r", "--catalog", f"{root}/c"])
+    assert spark.table("cli_db.region").count() == 5
+    for wrong in (["list"], ["backup", "--root", root, "--since", "2024-01-01"], ["restore", "--root", root]):
+        with pytest.raises(SystemExit):
+            run(spark, wrong)
+
+
+def test_database_options(spark, root, monkeypatch):
+    """No database here: what the command line hands over."""
+    import tablekeep.__main__ as cli
+
+    seen = {}
+    monkeypatch.setattr(cli, "JdbcTables", lambda spark, url, options: seen.update(url=url, options=options) or frames(spark, a=[1]))
+    arguments = ["backup", "--root", root, "--jdbc-url", "jdbc:x://h/d", "--jdbc-option", "user=u", "--jdbc-option", "password=a=b"]
+    run(spark, arguments)
+    assert seen == {"url": "jdbc:x://h/d", "options": {"user": "u", "password": "a=b"}}
+    monkeypatch.setattr(cli, "restore_to_jdbc", lambda *a: seen.update(restored=a[2:]) or spark.range(1))
+    run(spark, ["restore", "--root", root, "--jdbc-url", "jdbc:x://h/d", "--append"])
+    assert seen["restored"] == ("jdbc:x://h/d", "append", {})
