@@ -33,7 +33,7 @@ def odd_texts():
 
 def test_same_as_the_library(lattice, library):
     for text in odd_texts():
-        ids = lattice.encode(text)
+        ids = lattice.encode(text).tolist()
         assert ids == library.encode(text), text
         assert lattice.decode(ids) == library.decode(ids) == text.replace("▁", " ")
 
@@ -42,7 +42,7 @@ def test_same_as_the_library(lattice, library):
 def test_chunks_give_the_same(lattice, library, chunk):
     for text in odd_texts():
         if len(text) <= 40 * chunk + 400:
-            assert pieces.encode_in_chunks(lattice, text, chunk) == library.encode(text), text
+            assert pieces.encode_in_chunks(lattice, text, chunk).tolist() == library.encode(text), text
 
 
 def test_matrices_combine_associatively(lattice):
@@ -84,6 +84,7 @@ def test_unigram_models_get_the_best_sum(tmp_path):
     for text in odd_texts():
         if 0 < len(text) < 300:
             for ids in (unigram.encode(text), pieces.encode_in_chunks(unigram, text, 9)):
+                ids = ids.tolist()
                 known = sum(unigram.scores[i] for i in ids if i in unigram.scores)
                 normal = unigram.normal(text)
                 unknown = sum(c not in unigram.ids for c in normal)
@@ -100,6 +101,16 @@ def test_frames(spark, library, chunk):
     assert all((r.n_chunks > 1) == (r.n_chars > chunk) for r in got)
 
 
+def test_many_are_decoded_as_one(lattice):
+    import pyarrow as pa
+
+    many = [lattice.encode(t).tolist() for t in odd_texts()] + [None, [], [206, 40], [lattice.bytes[200]]]
+    kind = pa.list_(pa.int32())
+    for lists in (pa.array(many, kind), pa.array(many[:-1], kind), pa.array([[], None], kind), pa.array([[5], *many], kind)[1:]):
+        expected = [lattice.decode(x or []) for x in lists.to_pylist()]
+        assert lattice.decode_all(lists).to_pylist() == expected
+
+
 def test_decode_and_empty(spark, library):
     encoded = pieces.encode(frame(spark), PATH)
     texts = sorted(r.decoded for r in pieces.decode(encoded, PATH).collect())
