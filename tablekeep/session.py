@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from tablekeep.sources import files
+
 
 def local_session(cores: str = "8", app: str = "tablekeep", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -41,6 +43,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, not used by any other run."""
-    return f"{shared_root(spark)}/tablekeep/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tablekeep/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> list[str]:
+    """Delete the scratch folders this process was given, once no frame needs them any more."""
+    gone = []
+    while _scratch:
+        path = _scratch.pop()
+        files.delete(spark, path)
+        gone.append(path)
+    return gone

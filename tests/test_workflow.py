@@ -105,3 +105,14 @@ def test_database_options(spark, root, monkeypatch):
     monkeypatch.setattr(cli, "restore_to_jdbc", lambda *a: seen.update(restored=a[2:]) or spark.range(1))
     run(spark, ["restore", "--root", root, "--jdbc-url", "jdbc:x://h/d", "--append"])
     assert seen["restored"] == ("jdbc:x://h/d", "append", {})
+
+
+def test_scratch_folders_can_be_released(spark):
+    from tablekeep import session
+
+    kept, session._scratch[:] = session._scratch[:], []
+    path = session.scratch_folder(spark, "release")
+    spark.range(3).write.parquet(path)
+    assert session.release_scratch(spark) == [path]
+    assert not session.files.exists(spark, path)
+    session._scratch[:] = kept
