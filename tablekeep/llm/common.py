@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablekeep.session import scratch_folder
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,10 +70,8 @@ def slices(
 ) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of one slice stay near ``size`` bytes.
 
-    A single longer text is a slice of its own. Memory that Arrow keeps for later is given back
-    after each batch, as several workers share an executor's memory.
+    A single longer text is a slice of its own. Free memory is given back after each batch.
     """
-    pool = pa.default_memory_pool()
     for batch in batches:
         _, bounds = layout(text_column(batch, index))
         start = 0
@@ -82,7 +81,16 @@ def slices(
             yield batch.slice(start, end - start)
             start = end
         del batch, bounds
-        pool.release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Give the memory that Arrow and the C library keep for later back to the system, as several
+    workers, idle ones too, share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +132,11 @@ class Recent(dict):
         super().__init__()
         self.half, self.compute, self.older = size // 2, compute, {}
 
+    def forget(self) -> None:
+        """Let go of everything."""
+        self.clear()
+        self.older = {}
+
     def __missing__(self, key):
         found = self.older.get(key)
         if found is None:

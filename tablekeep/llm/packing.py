@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -27,14 +28,22 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tablekeep.llm.common import col, kept_in_process, layout, slices, text_column
+from tablekeep.llm.common import (
+    Recent,
+    col,
+    give_back,
+    kept_in_process,
+    layout,
+    slices,
+    text_column,
+)
 
 CAPACITY = 4096
 END_ID = 2
 WINDOW_TOKENS = 1 << 20
 CARRIED = 16  # sequences' worth of pieces that wait for the next window
-CACHED_WORDS = 600_000
-TEXT_BYTES = 8 << 20  # of texts encoded together
+CACHED_WORDS = 250_000
+TEXT_BYTES = 4 << 20  # of texts encoded together
 
 # fixed values: how the tokenizer file describes white space and word splitting
 NORMALIZER = {
@@ -58,6 +67,10 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Tokens:
     """Token ids of whole texts.
 
@@ -79,8 +92,9 @@ class Tokens:
             and not any(t["lstrip"] or t["rstrip"] for t in described["added_tokens"])
         )
         self.symbols = _byte_symbols()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[str, tuple[int, ...]] = {"": ()}
+        # ids as bytes, which take less memory than numbers
+        self.words = Recent(CACHED_WORDS, self._word)
+        self.runs = Recent(CACHED_WORDS, self._run)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the bounds of each text in them."""
@@ -91,11 +105,11 @@ class Tokens:
             return flat, np.concatenate([[0], np.cumsum(sizes)])
         plain = _plain_texts(texts)
         if plain.all():
-            return self._gather(*_runs(texts), self._run)
+            return self._gather(*_runs(texts), self.runs)
         others = ~plain
         parts = [
-            self._gather(*_runs(texts.filter(pa.array(plain))), self._run),
-            self._gather(*_words(texts.filter(pa.array(others))), self._word),
+            self._gather(*_runs(texts.filter(pa.array(plain))), self.runs),
+            self._gather(*_words(texts.filter(pa.array(others))), self.words),
         ]
         ids = np.concatenate([parts[0][0], parts[1][0]])
         begin, sizes = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
@@ -105,45 +119,37 @@ class Tokens:
         return ids[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
     @staticmethod
-    def _gather(units: pa.Array, counts: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts of ``counts`` units each, every different unit encoded once."""
+    def _gather(units: pa.Array, counts: np.ndarray, known: Recent) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts of ``counts`` units each, every different unit looked up once."""
         units = units.dictionary_encode()
-        own = [encode(u) for u in units.dictionary.to_pylist()]
+        own = [known[u] for u in units.dictionary.to_pylist()]
         bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         if not own:
             return np.empty(0, np.uint32), bounds
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter(chain.from_iterable(own), np.uint32, sizes.sum())
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), np.uint32)
         codes = units.indices.to_numpy(zero_copy_only=False)
         lengths = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], lengths)
         return flat[at + np.arange(ends[-1])], ends[bounds]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            plain = _PLAIN.fullmatch(word)
-            if plain:
-                found = self._run(plain[1].lower()) + self._run(plain[2])
-            else:
-                found = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[word] = found
-        return found
-
-    def _run(self, run: str) -> tuple[int, ...]:
+    def forget(self) -> None:
+        """Free the memory of the words, as the worker may do other things next."""
+        self.words.forget()
+        self.runs.forget()
+        give_back()
+
+    def _word(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        if plain:
+            return self.runs[plain[1].lower()] + self.runs[plain[2]]
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _run(self, run: str) -> bytes:
         """The ids of letters only, or of punctuation only."""
-        found = self.runs.get(run)
-        if found is None:
-            symbols = run.encode().decode("latin-1").translate(self.symbols)
-            found = tuple(t.id for t in self.tokenizer.model.tokenize(symbols))
-            if len(self.runs) >= CACHED_WORDS:
-                self.runs.clear()
-                self.runs[""] = ()
-            self.runs[run] = found
-        return found
+        symbols = run.encode().decode("latin-1").translate(self.symbols)
+        return _packed([t.id for t in self.tokenizer.model.tokenize(symbols)] if run else [])
 
 
 # classes of bytes: white space, letter, digit, anything else, and what needs a closer look
@@ -343,6 +349,7 @@ def pack(
         packer.finish()
         if packer.rows:
             yield _pieces(packer.rows, id_type, with_ids)
+        tokens.forget()
 
     return narrow.mapInArrow(
         packed,

@@ -11,9 +11,10 @@ matrix: the greatest weight from each state at its start to each at its end. Mat
 max-plus products, which are associative; from the best state at the text's end the states at all
 chunk bounds follow, and then each chunk is traced back by itself.
 
-Between two words (no piece spans a word start) every path passes one state. Words are therefore
-encoded once each, and matrices need only the cut words at the ends of a chunk; a chunk without any
-word start is passed through the lattice whole, and states whose further ways are the same merge.
+Between two characters that no piece has side by side every path passes one state, at word starts
+above all. Stretches between such places are therefore encoded once each, and matrices need only the
+cut stretches at the ends of a chunk; a chunk within one stretch is passed through the lattice
+whole, and states whose further ways are the same merge.
 """
 
 from __future__ import annotations
@@ -21,17 +22,25 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tablekeep.llm.common import col, kept_in_process, settled, slices, text_column
+from tablekeep.llm.common import (
+    Recent,
+    col,
+    kept_in_process,
+    settled,
+    slices,
+    text_column,
+)
 
 CHUNK = 1 << 14  # code points
-CACHED = 600_000
+CACHED = 300_000
 MERGED_EVERY = 64
 SPACE = "▁"  # what stands for a blank in pieces
 UNKNOWN = -1
@@ -87,16 +96,17 @@ class Lattice:
         # every end of a piece, and the id of those that are pieces themselves
         self.suffixes = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids
         self.lowest = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        if inner:
-            raise ValueError("only models whose pieces keep to one word are encoded")
-        known = set("".join(self.ids))
-        self.alone = "".join(c for c in "\n\t\r" if c not in known)  # never part of a piece
-        stop = re.escape(self.alone)
-        self.unit = re.compile(f"[{stop}]|{SPACE}*[^{SPACE}{stop}]+|{SPACE}+" if stop
-                               else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        # two characters that stand side by side in no piece are always apart
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.tree: dict = {}  # by characters; a piece's id stands under the empty string
+        for piece, i in self.ids.items():
+            node = self.tree
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[""] = i
         self.apart: dict[int, bool] = {}  # by both ids in one number
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Recent(CACHED, self._word)
         self.spelled = {i: p for p, i in self.ids.items()}
 
     # neighbours -----------------------------------------------------------------------------
@@ -130,11 +140,8 @@ class Lattice:
         return found
 
     def free(self, text: str, at: int) -> bool:
-        """Whether no piece spans this place of a normalised text."""
-        if at <= 0 or at >= len(text):
-            return True
-        left, right = text[at - 1], text[at]
-        return (right == SPACE and left != SPACE) or left in self.alone or right in self.alone
+        """Whether no piece can span this place of a normalised text."""
+        return not 0 < at < len(text) or text[at - 1 : at + 1] not in self.joined
 
     def _edges(self, text: str, end: int) -> list[tuple[int, int]]:
         """(length, id) of the pieces that end at a place, long ones first."""
@@ -197,44 +204,74 @@ class Lattice:
             return [self.unknown]
         return [self.bytes[b] for b in text[place].encode("utf-8", "surrogatepass")]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """The pieces of a word, by its one way (BPE) or its best (unigram)."""
-        found = self.words.get(word)
-        if found is None:
-            found = self._only_way(word) if self.bpe else tuple(
-                self._trace(word, (0, FREE), (len(word), FREE), len(word))
-            )
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            self.words[word] = found
-        return found
-
-    def _only_way(self, word: str) -> tuple[int, ...]:
-        """``advance`` for one BPE word: each of its beginnings has one last piece."""
-        suffixes, apart, reach = self.suffixes, self.apart, self.reach
-        last, sizes = [FREE] * (len(word) + 1), [1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            edges = []
-            for start in range(end - 1, max(end - reach, 0) - 1, -1):
-                own = suffixes.get(word[start:end])
-                if own is None:
-                    break
-                if own >= 0:
-                    edges.append((start, own))
-            for start, own in reversed(edges):
-                pair = last[start] << 32 | own
-                found = apart.get(pair)
-                if found is None:
-                    found = self._allowed(last[start], own)
-                if found:
-                    last[end], sizes[end] = own, end - start
+    def _word(self, word: str) -> bytes:
+        """The pieces of a word, from free place to free place; ids as bytes, which take less
+        memory than numbers."""
+        if not word[1:].isalpha():
+            known, joined, parts, start = self.words, self.joined, [], 0
+            for at in range(1, len(word)):
+                if word[at - 1 : at + 1] not in joined:
+                    parts.append(known[word[start:at]])
+                    start = at
+            if parts:
+                parts.append(known[word[start:]])
+                return b"".join(parts)
+        return self._stretch(word)
+
+    def _stretch(self, text: str) -> bytes:
+        """The pieces between two free places, by the only way (BPE) or the best (unigram)."""
+        if self.bpe:
+            ids = self._only_way(text)
+        else:
+            ids = self._trace(text, (0, FREE), (len(text), FREE), len(text))
+        return array("i", ids).tobytes()
+
+    def _only_way(self, text: str) -> list[int]:
+        """The only way of BPE pieces through a stretch, long pieces tried first.
+
+        A beginning of the stretch has one way at most, so a place that once led nowhere is out.
+        """
+        tree, apart, n = self.tree, self.apart, len(text)
+        way: list[tuple[int, int]] = []  # place, piece
+        options: list[list[tuple[int, int]]] = []  # what is left to try at each place of the way
+        dead: set[int] = set()
+        at, before, tried = 0, FREE, None
+        while at < n:
+            if tried is None:
+                tried, node, end = [], tree, at
+                while end < n and (node := node.get(text[end])) is not None:
+                    end += 1
+                    if "" in node:
+                        tried.append((end, node[""]))
+                if not tried or tried[0][0] > at + 1:
+                    tried.insert(0, (at + 1, UNKNOWN))
+            while tried:
+                end, own = tried.pop()
+                if end in dead:
+                    continue
+                if own == UNKNOWN:
+                    allowed = True
+                else:
+                    allowed = apart.get(before << 32 | own)
+                    if allowed is None:
+                        allowed = self._allowed(before, own)
+                if allowed:
+                    way.append((at, own))
+                    options.append(tried)
+                    at, before, tried = end, max(own, FREE), None
                     break
-        parts, end = [], len(word)
-        while end:
-            own, size = last[end], sizes[end]
-            end -= size
-            parts.append([own] if own != FREE else self._spell(word, end, UNKNOWN))
-        return tuple(i for part in reversed(parts) for i in part)
+            else:
+                dead.add(at)
+                at, _ = way.pop()
+                tried = options.pop()
+                before = max(way[-1][1], FREE) if way else FREE
+        found: list[int] = []
+        for place, own in way:
+            if own == UNKNOWN:
+                found += self._spell(text, place, own)
+            else:
+                found.append(own)
+        return found
 
     def _weight(self, word: str) -> float:
         """The weight of a word's best way."""
@@ -242,18 +279,16 @@ class Lattice:
         self.advance(word, frontier, 1, len(word), len(word))
         return frontier[len(word)][FREE]
 
-    def words_between(self, text: str, start: int, end: int) -> list[int]:
+    def words_between(self, text: str, start: int, end: int) -> np.ndarray:
         """The pieces between two free places."""
-        found: list[int] = []
-        known, new = self.words, self._word
-        for word in self.unit.findall(text[start:end]):
-            found += known.get(word) or new(word)
-        return found
+        known = self.words
+        words = self.word.findall(text[start:end])
+        return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
 
     def normal(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         text = self.normal(text)
         return self.words_between(text, 0, len(text))
@@ -264,6 +299,28 @@ class Lattice:
         text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """``decode`` of many: the bytes of all pieces one after the other, cut at the bounds."""
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        ids = lists.flatten()
+        taken = pa.array(self.raw, pa.large_binary()).take(ids)
+        _, offsets, data = taken.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[bounds + taken.offset] if len(ids) else bounds
+        texts = pa.LargeStringArray.from_buffers(
+            len(lists), pa.py_buffer(np.ascontiguousarray(cuts)), data or pa.py_buffer(b"")
+        )
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            values = ids.to_numpy(zero_copy_only=False)
+            parts = [values[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+            return pa.array([self.decode(part) for part in parts], pa.string())
+        if self.prefix:
+            first = pc.starts_with(texts, " ")
+            texts = pc.if_else(first, pc.utf8_slice_codeunits(texts, 1), texts)
+        return texts.cast(pa.string())
+
     # chunks ---------------------------------------------------------------------------------
 
     def _free_after(self, text: str, a: int, b: int) -> int | None:
@@ -307,7 +364,7 @@ class Lattice:
         back = self._free_before(text, stop - 1, b)
         between = 0.0
         if not self.bpe:
-            between = sum(map(self._weight, self.unit.findall(text[stop:back])))
+            between = sum(map(self._weight, self.word.findall(text[stop:back])))
         frontier = {back: {FREE: between}}
         self.advance(text, frontier, back + 1, b, b)
         tail = self._exits(text, frontier, b)
@@ -346,18 +403,17 @@ class Lattice:
                     matrix[state] = {end: value + own for end, own in exits.items()}
         return matrix
 
-    def trace_chunk(self, text: str, a: int, b: int, entry: State, out: State) -> list[int]:
+    def trace_chunk(self, text: str, a: int, b: int, entry: State, out: State) -> np.ndarray:
         """The ids of the pieces that start in a chunk, given its states at both ends."""
         start, end = (a + entry[0], entry[1]), (b + out[0], out[1])
         stop = self._free_after(text, a, b)
         if stop is None:
-            return self._trace(text, start, end, b)
+            return np.array(self._trace(text, start, end, b), np.int32)
         back = self._free_before(text, stop - 1, b)
-        return (
-            self._trace(text, start, (stop, FREE), stop)
-            + self.words_between(text, stop, back)
-            + self._trace(text, (back, FREE), end, b)
-        )
+        head = self._trace(text, start, (stop, FREE), stop)
+        tail = self._trace(text, (back, FREE), end, b)
+        parts = [head, self.words_between(text, stop, back), tail]
+        return np.concatenate(parts).astype(np.int32)
 
 
 def combined(left: Matrix, right: Matrix) -> Matrix:
@@ -408,17 +464,17 @@ def bound_states(matrices: list[Matrix]) -> list[State]:
     return [states[i] for i in range(len(matrices) + 1)]
 
 
-def encode_in_chunks(lattice: Lattice, text: str, chunk: int) -> list[int]:
+def encode_in_chunks(lattice: Lattice, text: str, chunk: int) -> np.ndarray:
     """What the scan over chunks gives for one text, in one place."""
     text = lattice.normal(text)
     if not text:
-        return []
+        return np.empty(0, np.int32)
     bounds = [(a, min(a + chunk, len(text))) for a in range(0, len(text), chunk)]
     states = bound_states([lattice.transfer(text, a, b) for a, b in bounds])
     found = [
         lattice.trace_chunk(text, a, b, s, e) for (a, b), s, e in zip(bounds, states, states[1:])
     ]
-    return reduce(list.__add__, found)
+    return np.concatenate(found)
 
 
 def _lattice(model: str) -> Lattice:
@@ -454,7 +510,7 @@ def encode(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(model)
         for batch in slices(batches, 1):
-            ids = [np.array(lattice.encode(t), np.int32) for t in batch.column(1).to_pylist()]
+            ids = [lattice.encode(t) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.empty(0, np.int32), *ids]))
             one = pa.array(np.ones(len(ids), np.int32))
@@ -558,7 +614,7 @@ def _scanned(giant: DataFrame, model: str, chunk: int) -> DataFrame:
             sides = zip(*(batch.column(n).to_pylist() for n in ("o1", "k1", "o2", "k2")))
             out = []
             for (row, i, text, a, b), (o1, k1, o2, k2) in zip(place(lattice, batch), sides):
-                found = lattice.trace_chunk(text, a, b, (o1, k1), (o2, k2)) if b > a else []
+                found = lattice.trace_chunk(text, a, b, (o1, k1), (o2, k2)) if b > a else _NONE
                 out.append((row, i, found))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -593,13 +649,13 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
         lattice = _lattice(model)
         for batch in batches:
             lists = batch.column(at)
-            texts, sums = [], []
-            for one in lists:
-                values = one.values.to_numpy(zero_copy_only=False) if one.is_valid else _NONE
-                texts.append(lattice.decode(values.tolist()))
-                sums.append(zlib.crc32(values.astype("<u4").tobytes()))
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            sums = [zlib.crc32(values[a:b]) for a, b in zip(ends, ends[1:])]
+            texts = lattice.decode_all(lists)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:at], pa.array(texts, pa.string()), pa.array(sums, pa.int64())],
+                [*batch.columns[:at], texts, pa.array(sums, pa.int64())],
                 [*names, "decoded", "ids_crc32"],
             )
 
