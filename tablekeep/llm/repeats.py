@@ -35,7 +35,7 @@ from tablekeep.llm.suffix_sort import common_prefixes, suffix_array
 
 LENGTH = 200
 CHUNK = 1 << 18  # windows hashed together
-GROUP = 256  # contexts of one anchor that are sorted together
+GROUP = 8192  # contexts of one anchor that are sorted together
 SPLIT = 5  # parts that the windows of a larger group are dealt out to
 SYMBOLS = 100_000  # in one suffix array
 BITMAP_BITS = 1 << 26
