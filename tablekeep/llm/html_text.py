@@ -88,6 +88,7 @@ PLACES = frozenset(
 UNLIKE = ("has", "with", "no", "without", "is", "not")
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+ATTRIBUTES = frozenset(("class", "id", "role", "hidden", "style", "aria-hidden"))
 
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？·¿¡\"'“”‘’«»()-–—")
 SMOOTHING = (0.25, 0.5, 1.0, 0.5, 0.25)
@@ -100,11 +101,24 @@ _TOKEN = re.compile(
     r"|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# a whole attribute: its name up to white space, / or =, and its value
+_ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _SPACE = re.compile(r"\s+")
 
 
+def _judged_attributes(attributes: str) -> list[tuple[str, str]]:
+    """The attributes of a tag that tell what it is; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in ATTRIBUTES and name not in found:
+            if value[:1] in ("'", '"'):
+                value = value[1:-1]
+            found[name] = html.unescape(value)
+    return list(found.items())
+
+
 def _names_part(name: str) -> bool:
     """Whether a class or id names a part of the page that is no article."""
     words = [w.lower() for w in _NAME_WORDS.findall(name)]
@@ -167,8 +181,7 @@ class _Blocks:
         if not out and tag == "header" and not top.article:
             out = True
         if attributes and not out:
-            for name, value in _ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), html.unescape(value.strip("\"'"))
+            for name, value in _judged_attributes(attributes):
                 if name == "role":
                     out = out or value.lower() in ROLES
                     article = article or value.lower() in ARTICLE

@@ -88,6 +88,29 @@ def test_names():
         assert not html_text._names_part(name), name
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        'title="A hidden gem"',
+        'data-hidden="false"',
+        'data-id="search"',
+        "data-class='sidebar' title='class=\"ad\"'",
+        'cite="/hidden/x?id=review"',
+        "cite=/hidden/x?id=review",
+        'alt="" title="style=display:none role=search"',
+    ],
+)
+def test_other_attributes_put_nothing_out(attributes):
+    body = f"<article><p>{FIRST}</p><p {attributes}>{SECOND}</p></article>"
+    assert main_text(page(body)) == f"{FIRST}\n{SECOND}"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "x=1 HIDDEN=''", "aria-hidden = 'true'", "role=search"])
+def test_attributes_put_out(attributes):
+    body = f"<article><p>{FIRST}</p><p {attributes}>{SECOND}</p></article>"
+    assert main_text(page(body)) == FIRST
+
+
 def test_frame(spark):
     rows = [
         (1, "u", page(f"<article>{ARTICLE}</article>"), 5),
