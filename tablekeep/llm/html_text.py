@@ -4,7 +4,9 @@ Every text node has a tag path, from the root to its element (tags with their cl
 text length and the punctuation of all its nodes are added up; the ratios of these to the number of
 nodes tell prose, which comes in long punctuated nodes on one path, from menus and notices. The
 ratios are put in page order, smoothed over neighbouring blocks, fused into one score and compared
-with a threshold that depends on the page. Elements that never hold an article (scripts, forms,
+with one threshold that depends on the page. All blocks are scored alike; an article or main element
+only raises the scores in it. Headings and, in an article, short list items, cells, quotes and the
+like, which are too short for ratios, go with the blocks next to them. Elements that never hold an article (scripts, forms,
 navigation, comments and the like, by tag, role or name) are left out before.
 """
 
@@ -14,6 +16,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -88,12 +91,14 @@ PLACES = frozenset(
 UNLIKE = ("has", "with", "no", "without", "is", "not")
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# short by nature: in an article such blocks go with the prose that they stand beside
+ITEMS = frozenset("li dt dd td th caption figcaption pre blockquote".split())
 ATTRIBUTES = frozenset(("class", "id", "role", "hidden", "style", "aria-hidden"))
 
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？·¿¡\"'“”‘’«»()-–—")
 SMOOTHING = (0.25, 0.5, 1.0, 0.5, 0.25)
 THRESHOLD = 0.25  # of the page's usual score
-IN_ARTICLE = 0.04  # the same where an element says that it is the article
+RAISED = 8.0  # times the score where an element says that it is the article
 LINKED = 0.5  # share of a path's text in links from which on it is a list of links
 
 _TOKEN = re.compile(
@@ -129,28 +134,41 @@ def _names_part(name: str) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "linked", "article", "heading")
+    __slots__ = ("tag", "path", "place", "out", "linked", "article", "heading", "item")
 
-    def __init__(self, tag: str, path: str, out: bool, linked: bool, article: bool, heading: bool):
-        self.tag, self.path, self.out = tag, path, out
-        self.linked, self.article, self.heading = linked, article, heading
+    def __init__(
+        self, tag: str, path: str, place: str, out: bool, linked: bool, article: bool, heading: bool, item: bool
+    ):
+        self.tag, self.path, self.place, self.out = tag, path, place, out
+        self.linked, self.article, self.heading, self.item = linked, article, heading, item
+
+
+class _Block(NamedTuple):
+    text: str
+    nodes: list[tuple[str, int, int, int]]  # path, length, punctuation, linked length
+    place: str  # the path that its element stands in
+    article: bool
+    heading: bool
+    item: bool
 
 
 class _Blocks:
-    """The blocks of a page in order: their text and, for each of their nodes, path and size."""
+    """The blocks of a page in order."""
 
     def __init__(self) -> None:
-        self.stack = [_Element("", "", False, False, False, False)]
+        self.stack = [_Element("", "", "", False, False, False, False, False)]
         self.parts: list[str] = []
-        self.nodes: list[tuple[str, int, int, int]] = []  # path, length, punctuation, linked length
-        self.found: list[tuple[str, list, bool, bool]] = []
+        self.nodes: list[tuple[str, int, int, int]] = []
+        self.found: list[_Block] = []
 
     def end_block(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 top = self.stack[-1]
-                self.found.append((text, self.nodes, top.article, top.heading))
+                self.found.append(
+                    _Block(text, self.nodes, top.place, top.article, top.heading, top.item)
+                )
             self.parts, self.nodes = [], []
 
     def text(self, raw: str) -> None:
@@ -162,7 +180,11 @@ class _Blocks:
         size = len(text.strip())
         if size:
             signs = sum(c in PUNCTUATION for c in text)
-            self.nodes.append((top.path, size, signs, size if top.linked else 0))
+            linked = size if top.linked else 0
+            if self.nodes and self.nodes[-1][0] == top.path:  # one run of text
+                _, *before = self.nodes.pop()
+                size, signs, linked = size + before[0], signs + before[1], linked + before[2]
+            self.nodes.append((top.path, size, signs, linked))
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in VOID:
@@ -199,11 +221,14 @@ class _Blocks:
         self.stack.append(
             _Element(
                 tag,
-                f"{top.path}/{label}",
+                # plain inline elements, such as bold words, are of the path around them
+                f"{top.path}/{label}" if tag in BLOCK or label != tag else top.path,
+                top.path if tag in BLOCK else top.place,
                 out,
                 top.linked or tag == "a",
                 article,
                 top.heading or tag in HEADINGS,
+                top.item or tag in ITEMS,
             )
         )
 
@@ -227,8 +252,8 @@ class _Blocks:
                 return  # an inline end tag does not close blocks
 
 
-def page_blocks(page: str) -> list[tuple[str, list, bool, bool]]:
-    """The blocks outside of excluded elements: text, nodes, whether in an article, in a heading."""
+def page_blocks(page: str) -> list[_Block]:
+    """The blocks outside of excluded elements."""
     blocks, at = _Blocks(), 0
     while True:
         token = _TOKEN.search(page, at)
@@ -260,32 +285,42 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return total / np.convolve(np.ones_like(values), weights)[wide : wide + len(values)]
 
 
-def main_text(page: str) -> str:
-    """The blocks of a page whose paths score above the threshold, joined by line feeds.
+def _beside(blocks: list[_Block], scored: list[bool]) -> set[int]:
+    """The items of articles that stand beside chosen text: only items and headings are between."""
+    found = set()
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        places: set[str] = set()
+        for i in order:
+            block = blocks[i]
+            if not block.article or not (block.item or block.heading):
+                places = set()
+            elif block.item and any(f"{block.place}/".startswith(f"{x}/") for x in places):
+                found.add(i)
+            if scored[i] and block.article:
+                places.add(block.place)
+    return found
 
-    In a page with an article or main element (not an empty one) only blocks in it can be content.
-    """
+
+def main_text(page: str) -> str:
+    """The blocks of a page whose paths score above the threshold, joined by line feeds."""
     blocks = page_blocks(page)
-    threshold = THRESHOLD
-    if any(block[2] for block in blocks):
-        blocks, threshold = [block for block in blocks if block[2]], IN_ARTICLE
     if not blocks:
         return ""
     sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    for _, nodes, _, _ in blocks:
-        for path, size, signs, linked in nodes:
+    for block in blocks:
+        for path, size, signs, linked in block.nodes:
             one = sums[path]
             one[0] += 1
             one[1] += size
             one[2] += signs
             one[3] += linked
     lengths, signs, links = [], [], []
-    for _, nodes, _, _ in blocks:  # a block stands on the path that holds most of it
+    for block in blocks:  # a block stands on the path that holds most of it
         by_path: dict[str, int] = defaultdict(int)
-        for path, size, _, _ in nodes:
+        for path, size, _, _ in block.nodes:
             by_path[path] += size
         n, size, sign, linked = sums[max(by_path, key=by_path.get)]
-        own, own_linked = sum(x[1] for x in nodes), sum(x[3] for x in nodes)
+        own, own_linked = sum(x[1] for x in block.nodes), sum(x[3] for x in block.nodes)
         lengths.append(size / n)
         signs.append(sign / n)
         links.append(max(linked / size, own_linked / own))
@@ -293,14 +328,18 @@ def main_text(page: str) -> str:
     # fused: the path's own ratios and those around it, length and punctuation together
     plain = np.sqrt(length * (1 + sign))
     fused = 0.5 * plain + 0.5 * _smooth(plain)
-    weight = np.array([len(block[0]) for block in blocks], float)
+    fused *= np.array([RAISED if block.article else 1.0 for block in blocks])
+    weight = np.array([len(block.text) for block in blocks], float)
     usual = float((fused * weight).sum() / weight.sum())
-    chosen = (fused >= threshold * usual) & (np.array(links) < LINKED)
+    text = np.array(links) < LINKED
+    scored = ((fused >= THRESHOLD * usual) & text).tolist()
+    beside = _beside(blocks, scored)
+    chosen = [one or bool(text[i]) and i in beside for i, one in enumerate(scored)]
     # a heading goes with the text that follows it
     for i in range(len(blocks) - 2, -1, -1):
-        if blocks[i][3] and not chosen[i] and links[i] < LINKED:
+        if blocks[i].heading and not chosen[i] and text[i] and blocks[i].article == blocks[i + 1].article:
             chosen[i] = chosen[i + 1]
-    return "\n".join(block[0] for block, keep in zip(blocks, chosen) if keep)
+    return "\n".join(block.text for block, keep in zip(blocks, chosen) if keep)
 
 
 def extract(

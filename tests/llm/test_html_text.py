@@ -111,6 +111,38 @@ def test_attributes_put_out(attributes):
     assert main_text(page(body)) == FIRST
 
 
+LONG = "This is prose, and it goes on; there is more of it, which is usual, and then it ends. " * 4
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+@pytest.mark.parametrize(
+    "poor",
+    [
+        "".join(f"<div class=tab>Tab {i}</div>" for i in range(8)),
+        "<div class=tabs><ul>" + "".join(f"<li>Tab {i}</li>" for i in range(8)) + "</ul></div>",
+    ],
+)
+def test_path_ratios_decide_in_articles_too(wrap, poor):
+    prose = "".join(f"<p>{LONG}</p>" for _ in range(10))
+    text = "\n".join([LONG.strip()] * 10)
+    for body in (f"<div class=text>{prose}</div>{poor}", f"{poor}<div class=text>{prose}</div>"):
+        assert main_text(page(wrap.format(body))) == text
+
+
+def test_an_article_raises_only():
+    prose = "".join(f"<p>{LONG * 3}</p>" for _ in range(5))
+    teasers = "".join("<article><p>A short teaser, for you.</p></article>" for _ in range(3))
+    assert LONG.strip() in main_text(page(f"<div class=text>{prose}</div>{teasers}"))
+    outside = f"<p>{FIRST}</p>"
+    assert main_text(page(f"{outside}<article><p>{LONG}</p><p>{LONG}</p></article>")) == "\n".join([LONG.strip()] * 2)
+
+
+def test_items_beside_prose_stay():
+    items = "<ul><li>Eggs</li><li>Flour</li></ul><div class=wide><table><tr><td>1<td>2</table></div>"
+    text = f"{LONG.strip()}\nEggs\nFlour\n1\n2\n{LONG.strip()}"
+    assert main_text(page(f"<main><p>{LONG}</p>{items}<p>{LONG}</p></main>")) == text
+
+
 def test_frame(spark):
     rows = [
         (1, "u", page(f"<article>{ARTICLE}</article>"), 5),
