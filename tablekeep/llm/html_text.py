@@ -6,8 +6,10 @@ nodes tell prose, which comes in long punctuated nodes on one path, from menus a
 ratios are put in page order, smoothed over neighbouring blocks, fused into one score and compared
 with one threshold that depends on the page. All blocks are scored alike; an article or main element
 only raises the scores in it. Headings and, in an article, short list items, cells, quotes and the
-like, which are too short for ratios, go with the blocks next to them. Elements that never hold an article (scripts, forms,
-navigation, comments and the like, by tag, role or name) are left out before.
+like, which are too short for ratios, go with the blocks next to them. Classes and ids that name
+other parts of a page lower the scores in their elements; long punctuated prose can win against them.
+Only elements that never hold an article (scripts, forms, navigation and the like, by tag or role)
+and hidden ones are left out before.
 """
 
 from __future__ import annotations
@@ -81,6 +83,12 @@ PARTS = frozenset(
     " sidebars signup skip social sponsor sponsored subscribe subscription tagcloud taboola"
     " toolbar topbar tracking widget widgets warning outbrain".split()
 )
+# those of them that as often name something in an article, such as a section on reviews
+AMBIGUOUS = frozenset(
+    "banner copyright dialog disclaimer discussion donate feedback flash follow form header notice"
+    " notices promotion rail recommendations recommended related reply replies respond review reviews"
+    " search subscription tracking warning".split()
+)
 # words that only say where a part stands
 PLACES = frozenset(
     "site page global top bottom left right upper lower post article entry user reader blog news web"
@@ -99,6 +107,7 @@ PUNCTUATION = frozenset(".,;:!?…。，、；：！？·¿¡\"'“”‘’«»
 SMOOTHING = (0.25, 0.5, 1.0, 0.5, 0.25)
 THRESHOLD = 0.25  # of the page's usual score
 RAISED = 8.0  # times the score where an element says that it is the article
+NAMED, PERHAPS = 0.1, 0.4  # times the score where a name tells of another part, or may do so
 LINKED = 0.5  # share of a path's text in links from which on it is a list of links
 
 _TOKEN = re.compile(
@@ -109,6 +118,7 @@ _TOKEN = re.compile(
 # a whole attribute: its name up to white space, / or =, and its value
 _ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_WORD = re.compile(r"[^\W_]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -124,13 +134,39 @@ def _judged_attributes(attributes: str) -> list[tuple[str, str]]:
     return list(found.items())
 
 
-def _names_part(name: str) -> bool:
-    """Whether a class or id names a part of the page that is no article."""
+def _lowered(name: str) -> float:
+    """What a class or id leaves of the scores in its element: 1 if it names no other part."""
     words = [w.lower() for w in _NAME_WORDS.findall(name)]
     if not words or words[0] in UNLIKE:
-        return False
+        return 1.0
     telling = [w for w in words if w not in PLACES and not w.isdigit()]
-    return bool(telling) and (telling[0] in PARTS or telling[-1] in PARTS)
+    if not telling or not (telling[0] in PARTS or telling[-1] in PARTS):
+        return 1.0
+    return NAMED if any(w in PARTS and w not in AMBIGUOUS for w in telling) else PERHAPS
+
+
+def _names_part(name: str) -> bool:
+    """Whether a class or id names a part of the page that is no article."""
+    return _lowered(name) < 1
+
+
+def _made_from(name: str, text: str) -> bool:
+    """Whether an id is made from the first words of a text, as anchors of headings are."""
+    wanted, start = "".join(_WORD.findall(name.lower())), ""
+    for word in _WORD.findall(text[: 4 * len(name) + 20].lower()):
+        start += word
+        if len(start) >= len(wanted):
+            break
+    return start == wanted
+
+
+class _Mark:
+    """What a name leaves of the scores in its element; an id counts once its text is known."""
+
+    __slots__ = ("factor", "id")
+
+    def __init__(self, factor: float, ident: str = ""):
+        self.factor, self.id = factor, ident
 
 
 class _Element:
@@ -160,12 +196,18 @@ class _Blocks:
         self.parts: list[str] = []
         self.nodes: list[tuple[str, int, int, int]] = []
         self.found: list[_Block] = []
+        self.marks: dict[str, tuple[_Mark, ...]] = {"": ()}  # of each path
 
     def end_block(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 top = self.stack[-1]
+                for mark in self.marks[self.nodes[0][0]]:
+                    if mark.id:  # the first text of its element
+                        if _made_from(mark.id, text):
+                            mark.factor = 1.0
+                        mark.id = ""
                 self.found.append(
                     _Block(text, self.nodes, top.place, top.article, top.heading, top.item)
                 )
@@ -198,7 +240,7 @@ class _Blocks:
         for other in CLOSES.get(tag, ()):
             self._end_implied(other, tag)
         top = self.stack[-1]
-        out, label = top.out or tag in NEVER, tag
+        out, label, own = top.out or tag in NEVER, tag, []
         article = top.article or tag in ARTICLE
         if not out and tag == "header" and not top.article:
             out = True
@@ -216,13 +258,22 @@ class _Blocks:
                 else:
                     if name == "class":
                         label += "".join("." + c for c in sorted(value.split()))
-                    if tag not in ("html", "body", "main", "article"):
-                        out = out or any(map(_names_part, value.split()))
+                    if tag in ("html", "body", "main", "article"):
+                        continue
+                    if name == "id" and (top.heading or tag in HEADINGS):
+                        continue  # an anchor
+                    for one in value.split():
+                        if (factor := _lowered(one)) < 1:
+                            own.append(_Mark(factor, one if name == "id" and article else ""))
+                            label += f"#{one}" if name == "id" else ""
+        # plain inline elements, such as bold words, are of the path around them
+        path = f"{top.path}/{label}" if tag in BLOCK or label != tag else top.path
+        if path not in self.marks:
+            self.marks[path] = (*self.marks[top.path], *own)
         self.stack.append(
             _Element(
                 tag,
-                # plain inline elements, such as bold words, are of the path around them
-                f"{top.path}/{label}" if tag in BLOCK or label != tag else top.path,
+                path,
                 top.path if tag in BLOCK else top.place,
                 out,
                 top.linked or tag == "a",
@@ -252,8 +303,8 @@ class _Blocks:
                 return  # an inline end tag does not close blocks
 
 
-def page_blocks(page: str) -> list[_Block]:
-    """The blocks outside of excluded elements."""
+def page_blocks(page: str) -> tuple[list[_Block], dict[str, float]]:
+    """The blocks outside of excluded elements, and what names leave of the score of each path."""
     blocks, at = _Blocks(), 0
     while True:
         token = _TOKEN.search(page, at)
@@ -274,7 +325,8 @@ def page_blocks(page: str) -> list[_Block]:
     if at < len(page):
         blocks.text(page[at:])
     blocks.end_block()
-    return blocks.found
+    left = {path: min((m.factor for m in x), default=1.0) for path, x in blocks.marks.items()}
+    return blocks.found, left
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -285,25 +337,30 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return total / np.convolve(np.ones_like(values), weights)[wide : wide + len(values)]
 
 
-def _beside(blocks: list[_Block], scored: list[bool]) -> set[int]:
-    """The items of articles that stand beside chosen text: only items and headings are between."""
+def _beside(blocks: list[_Block], scored: list[bool], left: list[float]) -> set[int]:
+    """The items of articles that stand beside chosen text: only items and headings are between.
+
+    Items whose names tell against them more than those of the text do not go with it.
+    """
     found = set()
     for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
-        places: set[str] = set()
+        places: set[tuple[str, float]] = set()
         for i in order:
             block = blocks[i]
             if not block.article or not (block.item or block.heading):
                 places = set()
-            elif block.item and any(f"{block.place}/".startswith(f"{x}/") for x in places):
+            elif block.item and any(
+                left[i] >= own and f"{block.place}/".startswith(f"{place}/") for place, own in places
+            ):
                 found.add(i)
             if scored[i] and block.article:
-                places.add(block.place)
+                places.add((block.place, left[i]))
     return found
 
 
 def main_text(page: str) -> str:
     """The blocks of a page whose paths score above the threshold, joined by line feeds."""
-    blocks = page_blocks(page)
+    blocks, lowered = page_blocks(page)
     if not blocks:
         return ""
     sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
@@ -314,12 +371,14 @@ def main_text(page: str) -> str:
             one[1] += size
             one[2] += signs
             one[3] += linked
-    lengths, signs, links = [], [], []
+    lengths, signs, links, left = [], [], [], []
     for block in blocks:  # a block stands on the path that holds most of it
         by_path: dict[str, int] = defaultdict(int)
         for path, size, _, _ in block.nodes:
             by_path[path] += size
-        n, size, sign, linked = sums[max(by_path, key=by_path.get)]
+        path = max(by_path, key=by_path.get)
+        left.append(lowered[path])
+        n, size, sign, linked = sums[path]
         own, own_linked = sum(x[1] for x in block.nodes), sum(x[3] for x in block.nodes)
         lengths.append(size / n)
         signs.append(sign / n)
@@ -328,17 +387,18 @@ def main_text(page: str) -> str:
     # fused: the path's own ratios and those around it, length and punctuation together
     plain = np.sqrt(length * (1 + sign))
     fused = 0.5 * plain + 0.5 * _smooth(plain)
-    fused *= np.array([RAISED if block.article else 1.0 for block in blocks])
+    fused *= np.array([RAISED if block.article else 1.0 for block in blocks]) * np.array(left)
     weight = np.array([len(block.text) for block in blocks], float)
     usual = float((fused * weight).sum() / weight.sum())
     text = np.array(links) < LINKED
     scored = ((fused >= THRESHOLD * usual) & text).tolist()
-    beside = _beside(blocks, scored)
+    beside = _beside(blocks, scored, left)
     chosen = [one or bool(text[i]) and i in beside for i, one in enumerate(scored)]
     # a heading goes with the text that follows it
     for i in range(len(blocks) - 2, -1, -1):
-        if blocks[i].heading and not chosen[i] and text[i] and blocks[i].article == blocks[i + 1].article:
-            chosen[i] = chosen[i + 1]
+        own, after = blocks[i], blocks[i + 1]
+        if own.heading and text[i] and own.article == after.article and left[i] >= left[i + 1]:
+            chosen[i] = chosen[i] or chosen[i + 1]
     return "\n".join(block.text for block, keep in zip(blocks, chosen) if keep)
 
 

@@ -143,6 +143,31 @@ def test_items_beside_prose_stay():
     assert main_text(page(f"<main><p>{LONG}</p>{items}<p>{LONG}</p></main>")) == text
 
 
+@pytest.mark.parametrize(
+    "part,text",
+    [
+        (f"<h2 id=search-engines>Search engines</h2><p>{LONG}</p>", f"Search engines\n{LONG.strip()}"),
+        (f"<section id=discussion><h2>Discussion</h2><p>{LONG}</p></section>", f"Discussion\n{LONG.strip()}"),
+        (f"<section id=comments><h2>Comments</h2><p>{LONG}</p></section>", f"Comments\n{LONG.strip()}"),
+        (f"<section id=related-work><p>{LONG}</p></section>", LONG.strip()),
+        (f"<div class=review-body><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div class=warning>{LONG}</div>", LONG.strip()),
+        (f"<p id=copyright-law>Copyright law. {LONG}</p>", f"Copyright law. {LONG.strip()}"),
+        (f"<p>Some <span class=comment>words</span> {LONG}</p>", f"Some words {LONG.strip()}"),
+        ("<div class=warning>Mind it.</div>", None),
+        ("<div class=notice>Parts of it are not up to date, sorry.</div>", None),
+        (f"<div id=comments><h2>3 replies</h2><p>{LONG}</p><p>{LONG}</p></div>", None),
+        (f"<div class=ad><p>{LONG}</p></div>", None),
+        ("<ul class=share><li>Send<li>Print</ul>", None),
+    ],
+)
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>"])
+def test_names_lower_scores(wrap, part, text):
+    others = f"<p>{LONG}</p>" * 3
+    expected = [LONG.strip()] * 3 + [text] * (text is not None) + [LONG.strip()] * 3
+    assert main_text(page(wrap.format(others + part + others))) == "\n".join(expected)
+
+
 def test_frame(spark):
     rows = [
         (1, "u", page(f"<article>{ARTICLE}</article>"), 5),
