@@ -6,8 +6,9 @@ distinct documents of each line are counted, exact copies of a text as one. Line
 are removed, and documents that lose too many of their words are rejected, as are those that fail
 the base rules.
 
-The limit is a share of the host's documents, so a host has at most (mean lines of a document) /
-share frequent lines, however large it is: one short list per host.
+The limit is a number of documents, or a share of the host's if that is less, so large hosts let no
+more through than others. If the frequent lines outgrow a broadcast, they are joined to the lines of
+the distinct documents by host and line, salted, and each document gets those of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablekeep.llm.common import (
     col,
@@ -38,9 +39,11 @@ MAX_REPEATED = 50  # per cent of the words
 SYMBOLS = b"#*$%&|<>"
 
 SHARE = 0.1  # of a host's distinct documents
+MOST_DOCUMENTS = 10  # the limit is no higher, whatever the share
 LEAST_DOCUMENTS = 10
-MIN_LEFT = 0.2  # of a document's words, after its frequent lines are gone
+MIN_LEFT = 0.5  # of a document's words, after its frequent lines are gone
 BROADCAST_BYTES = 8 << 20
+SALTS = 64  # parts that the documents of one line are dealt into
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*COUNTS, "removed_words", "base_failed", "kept", "clean_text")
@@ -125,43 +128,76 @@ def _repeated_words(texts: pa.Array, n_words: np.ndarray) -> np.ndarray:
     return per_text(marked, owner, len(texts))
 
 
-def frequent_lines(
-    docs: DataFrame,
-    text: str = "text",
-    host: str = "source",
-    share: float = SHARE,
-    least: int = LEAST_DOCUMENTS,
-) -> DataFrame:
-    """Per host (a null host is one too) the hashes of its lines above the limit, as an array.
+def _keys(docs: DataFrame, text: str, host: str) -> tuple[Column, Column]:
+    """The host of a document and the hash of its text; a null text is an empty one."""
+    kind = docs.schema[text].dataType
+    whole = F.xxhash64(F.coalesce(col(docs, text), F.lit("").cast(kind)))
+    return col(docs, host).cast("string"), whole
+
+
+def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """``h``, ``line`` and ``doc``: hashes of the lines of each host's distinct texts.
 
-    A line is frequent if more than ``least`` distinct documents of the host and more than ``share``
-    of them have it. Documents with equal texts count as one.
+    Line 0 stands for the document itself.
     """
-    narrow = docs.select(col(docs, text).alias("t"), col(docs, host).cast("string").alias("h"))
+    name, whole = _keys(docs, text, host)
+    narrow = docs.select(col(docs, text).alias("t"), name.alias("h"), whole.alias("doc"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             texts = text_column(batch, 0)
             found = _Lines(texts)
-            whole = np.array([_hash(x) for x in texts.to_pylist()], np.int64)
             frame = pd.DataFrame({"o": found.owner, "line": found.hashes()})
             frame = frame[frame.line != 0].drop_duplicates()
-            # line 0 stands for the document itself
             owner = np.concatenate([frame.o.to_numpy(), np.arange(len(texts))])
             line = np.concatenate([frame.line.to_numpy(), np.zeros(len(texts), np.int64)])
+            rows = pa.array(owner)
             yield pa.record_batch(
-                [batch.column(1).take(pa.array(owner)), pa.array(line), pa.array(whole[owner])],
+                [batch.column(1).take(rows), pa.array(line), batch.column(2).take(rows)],
                 names=["h", "line", "doc"],
             )
 
-    found = narrow.mapInArrow(lines, "h string, line long, doc long").distinct()
-    counted = settled(found.groupBy("h", "line").agg(F.count("*").alias("n")), "line-counts")
+    return settled(narrow.mapInArrow(lines, "h string, line long, doc long").distinct(), "lines")
+
+
+def frequent_lines(
+    lines: DataFrame, share: float = SHARE, least: int = LEAST_DOCUMENTS, most: int = MOST_DOCUMENTS
+) -> DataFrame:
+    """``h`` and ``line``: the lines of each host (a null host is one too) above the limit.
+
+    A line is frequent if more than ``least`` distinct documents of the host have it, and more than
+    ``share`` of them or more than ``most``. Documents with equal texts count as one.
+    """
+    counted = settled(lines.groupBy("h", "line").agg(F.count("*").alias("n")), "line-counts")
     hosts = counted.filter("line = 0").select(F.col("h").alias("h0"), F.col("n").alias("documents"))
     above = counted.filter((F.col("line") != 0) & (F.col("n") > least)).join(
         hosts, F.col("h").eqNullSafe(F.col("h0"))
     )
-    above = above.filter(F.col("n") > share * F.col("documents"))
-    return above.groupBy("h").agg(F.collect_set("line").alias("lines"))
+    limit = F.least(share * F.col("documents"), F.lit(float(most)))
+    return above.filter(F.col("n") > limit).select("h", "line")
+
+
+def _members(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose host and line are in ``chosen``."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    wanted = chosen.select(F.col("h").alias("h1"), F.col("line").alias("l1"), salts.alias("salt"))
+    same = (
+        F.col("h").eqNullSafe(F.col("h1"))
+        & (F.col("line") == F.col("l1"))
+        & (F.pmod("doc", F.lit(SALTS)) == F.col("salt"))
+    )
+    return lines.filter("line != 0").join(wanted, same).drop("h1", "l1", "salt")
+
+
+def _listed(lines: DataFrame, docs: DataFrame, text: str, host: str, chosen: DataFrame, name: str) -> DataFrame:
+    """The documents with a last column ``name``: which of the chosen lines each has."""
+    own = _members(lines, chosen).groupBy("h", "doc").agg(F.collect_set("line").alias(name))
+    hosts, whole = _keys(docs, text, host)
+    on_host, on_doc = free_name(docs, "frequent_host"), free_name(docs, "frequent_doc")
+    own = own.toDF(on_host, on_doc, name)
+    same = hosts.eqNullSafe(own[on_host]) & (whole == own[on_doc])
+    # Spark splits the copies of one text
+    return docs.join(own, same, "left").drop(on_host, on_doc)
 
 
 def quality_rules(
@@ -171,6 +207,7 @@ def quality_rules(
     share: float = SHARE,
     least: int = LEAST_DOCUMENTS,
     min_left: float = MIN_LEFT,
+    most: int = MOST_DOCUMENTS,
 ) -> DataFrame:
     """The documents with their counts, the verdict and the text without its frequent lines.
 
@@ -181,17 +218,27 @@ def quality_rules(
     Rows stand by themselves: repeated rows and repeated or null ids are all judged.
     """
     docs = docs.drop(*[n for n in ADDED if n.lower() not in (text.lower(), host.lower())])
-    common = settled(frequent_lines(docs, text, host, share, least), "frequent-lines")
-    found = common.agg(F.sum(F.size("lines") + 8)).first()[0] or 0
+    lines = line_table(docs, text, host)
+    common = settled(frequent_lines(lines, share, least, most), "frequent-lines")
+    size = common.agg(F.sum(F.coalesce(F.octet_length("h"), F.lit(0)) + 16)).first()[0] or 0
     names = docs.columns
     listed = free_name(docs, "frequent_lines")
-    join_key = free_name(docs, "frequent_host")
-    common = common.select(F.col("h").alias(join_key), F.col("lines").alias(listed))
-    if found * 8 <= BROADCAST_BYTES:
-        common = F.broadcast(common)  # else Spark shuffles both sides and splits large hosts
-    joined = docs.join(
-        common, col(docs, host).cast("string").eqNullSafe(common[join_key]), "left"
-    ).drop(join_key)
+    by_host: dict[str | None, np.ndarray] = {}
+    broadcast = size <= BROADCAST_BYTES
+    if broadcast:
+        found: dict[str | None, list[int]] = {}
+        for row in common.collect():
+            found.setdefault(row.h, []).append(row.line)
+        by_host = {h: np.sort(np.array(x, np.int64)) for h, x in found.items()}
+        joined = docs.withColumn(listed, col(docs, host).cast("string"))
+    else:
+        joined = _listed(lines, docs, text, host, common, listed)
+
+    def frequent(column: pa.Array) -> list[np.ndarray | None]:
+        if broadcast:
+            return [by_host.get(h) for h in column.to_pylist()]
+        return [x and np.sort(np.array(x, np.int64)) for x in column.to_pylist()]
+
     kinds = [*docs.schema.fields]
     schema = ", ".join(
         [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kinds]
@@ -204,7 +251,7 @@ def quality_rules(
         for batch in slices(batches, at):
             texts = text_column(batch, at)
             counts = document_counts(texts)
-            removed, clean = _without(texts, batch.column(len(names)).to_pylist())
+            removed, clean = _without(texts, frequent(batch.column(len(names))))
             n = counts["n_words"]
             failed = (n < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED * n)
             kept = ~failed & (n - removed >= min_left * n)
@@ -225,26 +272,25 @@ def quality_rules(
     return joined.mapInArrow(judged, schema)
 
 
-def _without(texts: pa.Array, frequent: list[list[int] | None]) -> tuple[np.ndarray, pa.Array]:
-    """Words lost by each text with its frequent lines, and the texts without these lines."""
+def _without(texts: pa.Array, frequent: list[np.ndarray | None]) -> tuple[np.ndarray, pa.Array]:
+    """Words lost by each text with its frequent lines (sorted hashes), and the texts without them."""
     removed = np.zeros(len(texts), np.int64)
-    if not any(frequent):
+    if all(x is None for x in frequent):
         return removed, texts.cast(pa.string())
     lines = _Lines(texts)
     own = lines.hashes()
-    lists = {id(x): x for x in frequent if x}
-    known = np.array(sorted({h for x in lists.values() for h in x}), np.int64)
-    maybe = np.flatnonzero(np.isin(own, known))
-    sets = [set(x) if x else frozenset() for x in frequent]
-    gone = [i for i in maybe.tolist() if int(own[i]) in sets[lines.owner[i]]]
-    if not gone:
+    marked = np.zeros(len(own), bool)
+    bounds = np.searchsorted(lines.owner, np.arange(len(texts) + 1))
+    for i, known in enumerate(frequent):
+        if known is not None:
+            part = own[bounds[i] : bounds[i + 1]]
+            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            marked[bounds[i] : bounds[i + 1]] = known[at] == part
+    gone = np.flatnonzero(marked)
+    if not len(gone):
         return removed, texts.cast(pa.string())
-    gone = np.array(gone)
     np.add.at(removed, lines.owner[gone], lines.words[gone])
-    marked = np.zeros(len(own), bool)
-    marked[gone] = True
     changed = texts.to_pylist()
-    bounds = np.searchsorted(lines.owner, np.arange(len(texts) + 1))
     for i in np.unique(lines.owner[gone]).tolist():
         a, b = bounds[i], bounds[i + 1]
         kept = [lines.distinct[c] for c, m in zip(lines.codes[a:b], marked[a:b]) if not m]

@@ -81,6 +81,37 @@ def test_copies_are_one_document(spark):
     assert all(r.kept and r.removed_words == 0 for r in result)
 
 
+def large_host():
+    """200 documents of a host; a menu line in 15 of them, and every third with a licence."""
+    rows = []
+    for i in range(200):
+        extra = "All rights reserved by us\n" * (i % 3 == 0) + "Home, news and contact\n" * (i < 15)
+        rows.append((i, extra + prose(300 + i, 70), "en", "big", 0))
+    return [*rows, rows[0], (None, rows[3][1], "en", None, 0), (900, rows[3][1], "en", "small", 0)]
+
+
+@pytest.mark.parametrize("bound", [rules.BROADCAST_BYTES, -1])
+def test_large_hosts_have_the_same_limit(spark, monkeypatch, bound):
+    monkeypatch.setattr(rules, "BROADCAST_BYTES", bound)
+    rows = large_host()
+    for row in rules.quality_rules(frame(spark, rows)).collect():
+        words = 0
+        if row.source == "big":
+            words = 5 * (row.doc_id % 3 == 0) + 4 * (row.doc_id < 15)
+        assert (row.removed_words, row.kept) == (words, True)
+        assert ("Home" in row.clean_text) == (row.source != "big" and "Home" in row.text)
+
+
+@pytest.mark.parametrize("bound", [rules.BROADCAST_BYTES, -1])
+def test_most_of_a_text_must_stay(spark, monkeypatch, bound):
+    monkeypatch.setattr(rules, "BROADCAST_BYTES", bound)
+    menu = " ".join(f"entry{i}" for i in range(60)) + "\n"
+    rows = [(i, menu + prose(600 + i, 80), "en", "s", 0) for i in range(30)]
+    rows += [(100 + i, menu + prose(700 + i, 40), "en", "s", 0) for i in range(5)]
+    result = rules.quality_rules(frame(spark, rows)).collect()
+    assert {r.doc_id for r in result if r.kept} == set(range(30))
+
+
 def test_empty_and_clashing_names(spark):
     assert rules.quality_rules(frame(spark, [])).collect() == []
     docs = frame(spark).withColumnRenamed("lang", "kept").withColumnRenamed("n_chars", "frequent_lines")
