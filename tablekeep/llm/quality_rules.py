@@ -7,7 +7,10 @@ are removed, and documents that lose too many of their words are rejected, as ar
 the base rules.
 
 The limit is a number of documents, or a share of the host's if that is less, so large hosts let no
-more through than others. If the frequent lines outgrow a broadcast, they are joined to the lines of
+more through than others. Near copies share lines, too, which are no boilerplate: lines above the
+limit are counted again by documents that keep enough words without all lines found half as often as
+that, for boilerplate stands around texts that differ, while near copies are little else than their
+common lines. If the frequent lines outgrow a broadcast, they are joined to the lines of
 the distinct documents by host and line, salted, and each document gets those of its own.
 """
 
@@ -43,6 +46,7 @@ MOST_DOCUMENTS = 10  # the limit is no higher, whatever the share
 LEAST_DOCUMENTS = 10
 MIN_LEFT = 0.5  # of a document's words, after its frequent lines are gone
 BROADCAST_BYTES = 8 << 20
+VOTERS = 0.25  # of a line's documents, which must keep enough words without such lines
 SALTS = 64  # parts that the documents of one line are dealt into
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -136,9 +140,9 @@ def _keys(docs: DataFrame, text: str, host: str) -> tuple[Column, Column]:
 
 
 def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """``h``, ``line`` and ``doc``: hashes of the lines of each host's distinct texts.
+    """``h``, ``line``, ``doc`` and ``words``: the hashed lines of each host's distinct texts.
 
-    Line 0 stands for the document itself.
+    Line 0 stands for the document itself, with all of its words.
     """
     name, whole = _keys(docs, text, host)
     narrow = docs.select(col(docs, text).alias("t"), name.alias("h"), whole.alias("doc"))
@@ -147,45 +151,79 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
         for batch in slices(batches, 0):
             texts = text_column(batch, 0)
             found = _Lines(texts)
-            frame = pd.DataFrame({"o": found.owner, "line": found.hashes()})
-            frame = frame[frame.line != 0].drop_duplicates()
+            total = per_text(found.words, found.owner, len(texts))
+            frame = pd.DataFrame({"o": found.owner, "line": found.hashes(), "words": found.words})
+            frame = frame[frame.line != 0].groupby(["o", "line"], as_index=False, sort=False).sum()
             owner = np.concatenate([frame.o.to_numpy(), np.arange(len(texts))])
             line = np.concatenate([frame.line.to_numpy(), np.zeros(len(texts), np.int64)])
+            words = np.concatenate([frame.words.to_numpy(np.int64), total])
             rows = pa.array(owner)
             yield pa.record_batch(
-                [batch.column(1).take(rows), pa.array(line), batch.column(2).take(rows)],
-                names=["h", "line", "doc"],
+                [batch.column(1).take(rows), pa.array(line), batch.column(2).take(rows), pa.array(words)],
+                names=["h", "line", "doc", "words"],
             )
 
-    return settled(narrow.mapInArrow(lines, "h string, line long, doc long").distinct(), "lines")
+    found = narrow.mapInArrow(lines, "h string, line long, doc long, words long")
+    return settled(found.distinct(), "lines")
 
 
 def frequent_lines(
-    lines: DataFrame, share: float = SHARE, least: int = LEAST_DOCUMENTS, most: int = MOST_DOCUMENTS
+    lines: DataFrame,
+    share: float = SHARE,
+    least: int = LEAST_DOCUMENTS,
+    min_left: float = MIN_LEFT,
+    most: int = MOST_DOCUMENTS,
 ) -> DataFrame:
     """``h`` and ``line``: the lines of each host (a null host is one too) above the limit.
 
-    A line is frequent if more than ``least`` distinct documents of the host have it, and more than
-    ``share`` of them or more than ``most``. Documents with equal texts count as one.
+    A line is above it if more than ``least`` distinct documents of the host have it, and more than
+    ``share`` of them or more than ``most``. Documents with equal texts count as one. It is frequent
+    if it is still above when only documents count that keep ``min_left`` of their words without all
+    lines above half the limit, and if these are a quarter of its documents at least.
     """
     counted = settled(lines.groupBy("h", "line").agg(F.count("*").alias("n")), "line-counts")
     hosts = counted.filter("line = 0").select(F.col("h").alias("h0"), F.col("n").alias("documents"))
-    above = counted.filter((F.col("line") != 0) & (F.col("n") > least)).join(
+    repeated = counted.filter((F.col("line") != 0) & (F.col("n") > 1)).join(
         hosts, F.col("h").eqNullSafe(F.col("h0"))
     )
-    limit = F.least(share * F.col("documents"), F.lit(float(most)))
-    return above.filter(F.col("n") > limit).select("h", "line")
+    limit = F.greatest(F.lit(float(least)), F.least(share * F.col("documents"), F.lit(float(most))))
+    repeated = repeated.select("h", "line", "n", limit.alias("limit")).filter("n > limit / 2").drop("n")
+    members = _members(lines, settled(repeated, "repeated-lines"))
+    whole = lines.filter("line = 0").withColumn("limit", F.lit(None).cast("double"))
+    own = F.col("line") != 0
+    per_doc = (
+        members.unionByName(whole)
+        .groupBy("h", "doc")
+        .agg(
+            F.sum(F.when(~own, F.col("words"))).alias("total"),
+            F.sum(F.when(own, F.col("words"))).alias("common"),
+            F.collect_list(F.when(own, F.struct("line", "limit"))).alias("found"),
+        )
+    )
+    stays = F.col("total") - F.col("common") >= min_left * F.col("total")
+    votes = per_doc.select("h", stays.cast("int").alias("vote"), F.inline("found"))
+    votes = votes.groupBy("h", "line").agg(
+        F.sum("vote").alias("votes"), F.count("*").alias("n"), F.max("limit").alias("limit")
+    )
+    enough = (F.col("votes") > F.col("limit")) & (F.col("votes") >= VOTERS * F.col("n"))
+    return votes.filter(enough).select("h", "line")
+
+
+def _bytes(lines: DataFrame) -> int:
+    """The size of a settled list of hosts and lines."""
+    return lines.agg(F.sum(F.coalesce(F.octet_length("h"), F.lit(0)) + 16)).first()[0] or 0
 
 
 def _members(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``lines`` whose host and line are in ``chosen``."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    wanted = chosen.select(F.col("h").alias("h1"), F.col("line").alias("l1"), salts.alias("salt"))
-    same = (
-        F.col("h").eqNullSafe(F.col("h1"))
-        & (F.col("line") == F.col("l1"))
-        & (F.pmod("doc", F.lit(SALTS)) == F.col("salt"))
-    )
+    """The rows of ``lines`` whose host and line are in ``chosen``, with its other columns."""
+    wanted = chosen.withColumnsRenamed({"h": "h1", "line": "l1"})
+    same = F.col("h").eqNullSafe(F.col("h1")) & (F.col("line") == F.col("l1"))
+    if _bytes(chosen) <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted.withColumn("salt", F.lit(0)))
+    else:  # not to be broadcast: its size is underrated
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        wanted = wanted.withColumn("salt", salts).hint("merge")
+        same &= F.pmod("doc", F.lit(SALTS)) == F.col("salt")
     return lines.filter("line != 0").join(wanted, same).drop("h1", "l1", "salt")
 
 
@@ -219,12 +257,11 @@ def quality_rules(
     """
     docs = docs.drop(*[n for n in ADDED if n.lower() not in (text.lower(), host.lower())])
     lines = line_table(docs, text, host)
-    common = settled(frequent_lines(lines, share, least, most), "frequent-lines")
-    size = common.agg(F.sum(F.coalesce(F.octet_length("h"), F.lit(0)) + 16)).first()[0] or 0
+    common = settled(frequent_lines(lines, share, least, min_left, most), "frequent-lines")
     names = docs.columns
     listed = free_name(docs, "frequent_lines")
     by_host: dict[str | None, np.ndarray] = {}
-    broadcast = size <= BROADCAST_BYTES
+    broadcast = _bytes(common) <= BROADCAST_BYTES
     if broadcast:
         found: dict[str | None, list[int]] = {}
         for row in common.collect():

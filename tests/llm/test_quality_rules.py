@@ -112,6 +112,30 @@ def test_most_of_a_text_must_stay(spark, monkeypatch, bound):
     assert {r.doc_id for r in result if r.kept} == set(range(30))
 
 
+def near_copies(count: int, others: int, far: int):
+    """A group of near copies of many lines in a host, some of them far ones, and a menu line."""
+    base = [prose(800 + i, 12).replace("\n", " ") for i in range(20)]
+    menu, rows = "Home, news and contact", []
+    for i in range(count):
+        own = list(base)
+        own[i % 20] += f" changed{i}"
+        own[(7 * i + 3) % 20] = f"other{i} " + own[(7 * i + 3) % 20]
+        added = [prose(9000 + i, 400)] if i < far else []
+        rows.append((i, "\n".join([menu, *own, *added]), "en", "s", 0))
+    rows += [(10000 + i, menu + "\n" + prose(1000 + i, 70), "en", "s", 0) for i in range(others)]
+    return rows
+
+
+@pytest.mark.parametrize("count,others,far", [(11, 89, 0), (60, 120, 0), (150, 300, 12)])
+@pytest.mark.parametrize("bound", [rules.BROADCAST_BYTES, -1])
+def test_near_copies_are_no_boilerplate(spark, monkeypatch, bound, count, others, far):
+    monkeypatch.setattr(rules, "BROADCAST_BYTES", bound)
+    rows = near_copies(count, others, far)
+    result = rules.quality_rules(frame(spark, rows)).collect()
+    assert len(result) == len(rows)
+    assert all(r.kept and r.removed_words == 4 for r in result)  # the menu line only
+
+
 def test_empty_and_clashing_names(spark):
     assert rules.quality_rules(frame(spark, [])).collect() == []
     docs = frame(spark).withColumnRenamed("lang", "kept").withColumnRenamed("n_chars", "frequent_lines")
