@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.llm import (
+    centroids,
     html_text,
+    oracles,
     packing,
     pieces,
     quality_model,
@@ -126,6 +128,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings in 40 clusters after 5 rounds."""
+    return centroids.cluster(table(spark, folder, "embeddings"), clusters=40, rounds=5, dim=64)
+
+
 # name -> (query taking (spark, folder), SQL or None)
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
@@ -138,4 +145,5 @@ QUERIES = {
     "op8_top_k": (op8_top_k, None),
     "op9_suffix_array": (op9_suffix_array, None),
     "op10_warc": (op10_warc, None),
+    "op13_centroids": (op13_centroids, oracles.centroids_sql()),
 }
