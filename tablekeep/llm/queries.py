@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.llm import (
     centroids,
+    chunked_bpe,
     html_text,
     oracles,
     packing,
@@ -128,6 +129,12 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again; check sums of both."""
+    tokenizer = tokenizer_file("word_bpe_49k.json")
+    return chunked_bpe.encode(table(spark, folder, "documents"), tokenizer)
+
+
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """All embeddings in 40 clusters after 5 rounds."""
     return centroids.cluster(table(spark, folder, "embeddings"), clusters=40, rounds=5, dim=64)
@@ -145,5 +152,6 @@ QUERIES = {
     "op8_top_k": (op8_top_k, None),
     "op9_suffix_array": (op9_suffix_array, None),
     "op10_warc": (op10_warc, None),
+    "op12_chunked_bpe": (op12_chunked_bpe, None),
     "op13_centroids": (op13_centroids, oracles.centroids_sql()),
 }
