@@ -49,3 +49,50 @@ SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance,
          AS centroid_sha256
 FROM (SELECT vec_id, best % 1024 AS k, best // 1024 AS distance FROM near{rounds})
 JOIN c{rounds} c USING (k)"""
+
+
+# CRC-32 of the decimal id, byte by byte and bit by bit
+_CRC32 = """xor(4294967295, list_reduce(
+  list_concat([CAST(4294967295 AS BIGINT)],
+              list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda crc, byte: list_reduce(
+    list_concat([xor(crc, byte)], [CAST(0 AS BIGINT) FOR i IN range(8)]),
+    lambda v, bit: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+
+PREFIX_TRIE = f"""WITH own AS (
+  SELECT conv_id AS c, md5(concat(length(coalesce(role, '')), ':', role, text)) AS digest,
+         length(coalesce(text, '')) AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, {_CRC32} % 6 AS h, c - c % 100 AS base FROM (SELECT DISTINCT c FROM own)
+), rebuilt AS (
+  SELECT convs.c, 0 AS part, pos, digest, n FROM convs JOIN own ON own.c = base AND pos < h
+  UNION ALL
+  SELECT c, 1, pos, digest, n FROM convs JOIN own USING (c) WHERE pos >= h
+), numbered AS (
+  SELECT c, digest, n, row_number() OVER whole AS d, count(*) OVER (PARTITION BY c) AS len,
+         md5(string_agg(digest, '') OVER whole) AS key
+  FROM rebuilt WINDOW whole AS (PARTITION BY c ORDER BY part, pos)
+), prefixes AS (
+  SELECT c, d, len, n, key, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), 'root') AS parent
+  FROM numbered
+  UNION ALL
+  SELECT c, 0, coalesce(len, 0), 0, 'root', NULL
+  FROM convs LEFT JOIN (SELECT c, any_value(len) AS len FROM numbered GROUP BY c) USING (c)
+), nodes AS (
+  SELECT key, any_value(parent) AS parent, min(c) AS c, any_value(d) AS d, any_value(n) AS n,
+         count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len), '')) AS ends
+  FROM prefixes GROUP BY key
+), children AS (
+  SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), sums AS (
+  SELECT p.key, sum((v.n_convs - 1) * v.n) AS saved, count(*) FILTER (w.key IS NULL) AS leaves
+  FROM nodes v JOIN prefixes p ON p.c = v.c AND p.d <= v.d LEFT JOIN children w ON w.key = v.key
+  GROUP BY p.key
+)
+SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, u.c AS parent_conv_id, v.n_convs,
+       coalesce(n_children, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v JOIN sums USING (key) LEFT JOIN children USING (key) LEFT JOIN nodes u ON u.key = v.parent"""

@@ -13,6 +13,7 @@ from tablekeep.llm import (
     oracles,
     packing,
     pieces,
+    prefix_trie,
     quality_model,
     quality_rules,
     repeats,
@@ -129,6 +130,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op12_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again; check sums of both."""
     tokenizer = tokenizer_file("word_bpe_49k.json")
@@ -152,6 +158,7 @@ QUERIES = {
     "op8_top_k": (op8_top_k, None),
     "op9_suffix_array": (op9_suffix_array, None),
     "op10_warc": (op10_warc, None),
+    "op11_prefix_trie": (op11_prefix_trie, oracles.PREFIX_TRIE),
     "op12_chunked_bpe": (op12_chunked_bpe, None),
     "op13_centroids": (op13_centroids, oracles.centroids_sql()),
 }
