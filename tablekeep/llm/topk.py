@@ -4,7 +4,7 @@ Cut two vectors into segments of l components each. With the segment means m and
 squared distance is at least sum l ((m1 - m2)^2 + (s1 - s2)^2), hence their inner product at most
 sum l (m1 m2 + s1 s2). One segment gives a coarse bound, more and shorter ones a finer bound. A
 candidate whose bound is below the k-th best score known of a query is out; the survivors of the
-finest level are scored exactly.
+finest level are scored exactly, with Python's integers where 64 bits could overflow.
 
 Queries and candidates are cut into blocks of bounded size, and each pair of blocks is a unit of
 work. Candidate blocks are taken in rounds of doubling size: the k-th best scores of earlier rounds
@@ -15,55 +15,67 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablekeep.llm.common import col, settled
 
 SEGMENTS = (1, 4, 16, 32)
 CANDIDATES = 8192  # in a block
-QUERIES = 2048  # in a block
+QUERIES, LEAST_QUERIES = 2048, 256  # in a block: at most, and at least where cores would be idle
 TILE = 128  # queries compared at once
-LARGEST = 1 << 28  # of a component
-SLACK = 1e-9  # relative, for the rounding of bounds
+EXACT = 2.0**53  # whole numbers below are exact as doubles
+BOUNDED = 2.0**400  # of a component whose statistics do not overflow
 
 
-def quantised(vectors: DataFrame, ident: str, vector: str, factor: int = 64) -> DataFrame:
-    """``id``, ``v`` (little-endian 64-bit integers floor(factor * x)) and ``dim`` of each vector.
-
-    Left out: null ids, null vectors, and vectors with a component that is null, not finite or of
-    ``LARGEST`` or more. Rows that repeat an id together with its vector count once.
-    """
+def finite(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
+    """``row`` (a number of its own), ``id``, ``v`` (little-endian doubles) and ``dim`` of each vector
+    that takes part: not those that are null or hold a component that is null or not finite."""
     narrow = vectors.select(
-        col(vectors, ident).alias("id"), col(vectors, vector).cast("array<double>").alias("x")
+        col(vectors, ident).cast("long").alias("id"),
+        col(vectors, vector).cast("array<double>").alias("x"),
     )
-    kind = narrow.schema["id"].dataType.simpleString()
 
     def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0), batch.column(1)
             rows, packed, dims = [], [], []
-            for i, x in enumerate(lists):
-                if not x.is_valid or not ids[i].is_valid or x.values.null_count:
+            for i, x in enumerate(batch.column(1)):
+                if not x.is_valid or x.values.null_count:
                     continue
-                scaled = np.floor(factor * x.values.to_numpy(zero_copy_only=False))
-                if not (np.abs(scaled) < LARGEST).all():  # false for what is not finite, too
-                    continue
-                rows.append(i)
-                packed.append(scaled.astype("<i8").tobytes())
-                dims.append(len(scaled))
+                values = x.values.to_numpy(zero_copy_only=False)
+                if np.isfinite(values).all():
+                    rows.append(i)
+                    packed.append(values.astype("<f8").tobytes())
+                    dims.append(len(values))
             yield pa.record_batch(
                 [
-                    ids.take(pa.array(rows, pa.int32())),
+                    batch.column(0).take(pa.array(rows, pa.int32())),
                     pa.array(packed, pa.binary()),
                     pa.array(dims, pa.int32()),
                 ],
                 names=["id", "v", "dim"],
             )
 
-    return narrow.mapInArrow(converted, f"id {kind}, v binary, dim int").distinct()
+    found = narrow.mapInArrow(converted, "id long, v binary, dim int")
+    return found.select(F.monotonically_increasing_id().alias("row"), "*")
+
+
+def whole(vectors: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """floor(factor * x) as doubles, which may be infinite, and exactly: as 64-bit integers where
+    that leaves room for sums of products, else as Python's."""
+    with np.errstate(over="ignore"):
+        real = np.floor(factor * vectors)
+    if np.abs(real).max(initial=0) ** 2 * max(1, vectors.shape[1]) < 2.0**62:
+        return real, real.astype(np.int64)
+    exact = np.empty(vectors.shape, object)
+    for i, x in enumerate(vectors.ravel().tolist()):
+        # doubles from 2 ** 53 on are whole numbers
+        exact.flat[i] = int(x) * factor if abs(x) >= EXACT else math.floor(Fraction(x) * factor)
+    return real, exact
 
 
 def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -83,6 +95,15 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
 
 def _scores(queries: np.ndarray, candidates: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact inner products of pairs, in pieces that keep the gathered vectors small."""
+    small = queries.dtype != object and candidates.dtype != object
+    if small and len(q):
+        largest = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0))
+        small = largest * queries.shape[1] < 2**63
+    if not small:
+        out = np.empty(len(q), object)
+        for i, (a, b) in enumerate(zip(q.tolist(), c.tolist())):
+            out[i] = sum(map(mul, queries[a].tolist(), candidates[b].tolist()))
+        return out
     out = np.empty(len(q), np.int64)
     for at in range(0, len(q), 1 << 16):
         part = slice(at, at + (1 << 16))
@@ -112,53 +133,71 @@ def _promising(
 
 
 def best_in_block(
-    query_ids: np.ndarray,
+    query_rows: np.ndarray,
     queries: np.ndarray,
     known: np.ndarray,
+    rows: np.ndarray,
     ids: np.ndarray,
     candidates: np.ndarray,
     k: int,
+    factor: int = 1,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position of query, position of candidate, score) of the pairs that may be in a top ``k``.
+    """(position of query, position of candidate, exact score) of the pairs that may be in a top ``k``.
 
     ``known`` is each query's k-th best score so far, or minus infinity. At most k pairs a query.
     """
     found: list[tuple] = []
-    levels = [s for s in SEGMENTS if s < 2 * queries.shape[1]] or [1]
-    if not queries.shape[1]:  # vectors without components: every score is zero
-        levels = []
-    real, asked = candidates.astype(np.float64), queries.astype(np.float64)
+    dim = queries.shape[1]
+    real, candidates = whole(candidates, factor)
+    asked, queries = whole(queries, factor)
+    largest = np.abs(real).max(initial=0), np.abs(asked).max(initial=0)
     # products of doubles are exact as long as all sums are whole numbers below 2 ** 53
-    largest = np.abs(real).max(initial=0) * np.abs(asked).max(initial=0) * queries.shape[1]
-    exactly = largest < 2**53
+    exactly = max(largest) < EXACT and largest[0] * largest[1] * dim < EXACT
+    levels = [s for s in SEGMENTS if s < 2 * dim] or [1]
+    if not dim or max(largest) >= BOUNDED:  # every score is zero, or there are no bounds
+        levels = []
     tables = [segment_statistics(real, s) for s in levels]
     stats = [segment_statistics(asked, s) for s in levels]
+    slack = np.zeros(len(asked))
+    if levels:  # what rounding may take from a bound or a score as a double, by the vectors' lengths
+        lengths = np.sqrt((asked * asked).sum(axis=1))
+        slack = (dim + 8) * 2.0**-50 * (lengths * np.sqrt((real * real).sum(axis=1)).max(initial=0) + 1)
     for start in range(0, len(queries), TILE):
         own = queries[start : start + TILE]
         tile = slice(start, start + len(own))
-        other = query_ids[tile, None] != ids[None, :]
-        least = known[tile].copy()
+        other = query_rows[tile, None] != rows[None, :]
+        least = known[tile] - slack[tile]
         alive, q, c = other, None, None
         for level, (stat, table) in enumerate(zip(stats, tables)):
             if q is None and np.count_nonzero(alive) * 16 < alive.size:
                 q, c = np.nonzero(alive)
             if q is not None:  # few are left: pair by pair
-                keep = _bounds(stat[tile], table, q, c) >= least[q] - SLACK * (1 + np.abs(least[q]))
+                keep = _bounds(stat[tile], table, q, c) >= least[q]
                 q, c = q[keep], c[keep]
                 continue
             bound = stat[tile] @ table.T
-            if level >= len(levels) - 2 and np.isinf(least).any() and len(ids) > k:
-                least = np.maximum(least, _promising(own, candidates, other, bound, k))
-            alive = alive & (bound >= (least - SLACK * (1 + np.abs(least)))[:, None])
+            if level >= len(levels) - 2 and np.isinf(least).any() and len(rows) > k:
+                best = _promising(own, candidates, other, bound, k) - slack[tile]
+                least = np.maximum(least, best)
+            alive = alive & (bound >= least[:, None])
         if q is None:
             q, c = np.nonzero(alive)
+        if not exactly and levels and len(q) > k * len(own):  # only close ones need exact products
+            rough = np.einsum("ij,ij->i", asked[tile][q], real[c]) if len(q) * dim < 1 << 22 else (
+                asked[tile] @ real.T
+            )[q, c]
+            keep = rough >= least[q] - slack[tile][q]
+            q, c = q[keep], c[keep]
         if exactly and len(q) * 16 > other.size:  # many survivors: all at once
             exact = (asked[tile] @ real.T)[q, c].astype(np.int64)
         else:
             exact = _scores(own, candidates, q, c)
-        keep = exact >= least[q]
-        q, c, exact = q[keep], c[keep], exact[keep]
-        order = np.lexsort((ids[c], -exact, q))
+        order = np.lexsort((rows[c], ids[c], q))
+        if exact.dtype == object:
+            values = exact.tolist()
+            order = np.array(sorted(order.tolist(), key=lambda i: (q[i], -values[i])), np.int64)
+        else:
+            order = order[np.lexsort((-exact[order], q[order]))]
         q, c, exact = q[order], c[order], exact[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < k
@@ -174,30 +213,33 @@ def top_k(
     vector: str = "embedding",
     factor: int = 64,
     candidates: int = CANDIDATES,
-    queries: int = QUERIES,
+    queries: int | None = None,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), the candidate's id and ``score`` of each query's best ``k``.
 
-    ``is_query`` is a condition on the column ``id``. Every vector but those of the query's own id
-    is a candidate, if it is of the same length. Scores are integer inner products of
-    floor(factor * x); ties go to the smaller id. Ids are whole numbers. See ``quantised`` for the
-    vectors that take no part and for repeated rows; an id with several vectors is a query for each,
-    told apart by ``query_row``. No vectors, or no queries, give no rows.
+    ``is_query`` is a condition on the column ``id``. Every row is a candidate of all queries but
+    itself, if its vector is of the same length; so rows that repeat an id, or an id and its vector,
+    count each by itself, as queries (told apart by ``query_row``) and as candidates. Scores are
+    exact inner products of floor(factor * x); ties go to the smaller id, a null id last. Ids are
+    whole numbers. See ``finite`` for the vectors that take no part. A score of the result that fits
+    no 64-bit integer raises an error that names the two ids. No vectors, or no queries, give no rows.
     """
     spark = vectors.sparkSession
-    found = quantised(vectors, ident, vector, factor)
-    found = settled(found.withColumn("id", F.col("id").cast("long")), "topk-vectors")
+    found = settled(finite(vectors, ident, vector), "topk-vectors")
     total = found.count()
     blocks = max(1, math.ceil(total / candidates))
     asked = found.filter(is_query)
-    asked_blocks = max(1, math.ceil(asked.count() / queries))
-    spread = F.xxhash64(F.lit(7), "id", "v")
-    row = F.xxhash64(F.lit(8), "id", "v")
+    asking = asked.count()
+    if queries is None:
+        cores = spark.sparkContext.defaultParallelism
+        queries = min(QUERIES, max(LEAST_QUERIES, math.ceil(asking / cores)))
+    asked_blocks = max(1, math.ceil(asking / queries))
+    spread = F.xxhash64(F.lit(7), "row")
     all_rows = found.withColumn("cb", F.pmod(spread, F.lit(blocks)).cast("int"))
     asked = asked.withColumn("qb", F.pmod(spread, F.lit(asked_blocks)).cast("int"))
-    asked = asked.withColumn("row", row)
 
-    best = spark.createDataFrame([], "row long, query_id long, id long, score long")
+    kinds = "row long, query_id long, id long, candidate long, score long"
+    best = spark.createDataFrame([], kinds)
     first = 0
     while first < blocks:
         last = min(blocks, max(1, 2 * first))
@@ -210,28 +252,44 @@ def top_k(
         right = all_rows.filter((F.col("cb") >= first) & (F.col("cb") < last)).withColumn(
             "qb", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1)))
         )
-        none = F.lit(None)
         units = left.select("qb", "cb", "dim", F.lit(0).alias("side"), "id", "row", "least", "v")
         units = units.unionByName(
             right.select(
-                "qb", "cb", "dim", F.lit(1).alias("side"), "id",
-                none.cast("long").alias("row"), none.cast("double").alias("least"), "v",
+                "qb", "cb", "dim", F.lit(1).alias("side"), "id", "row",
+                F.lit(None).cast("double").alias("least"), "v",
             )
         )
         units = units.repartition("qb", "cb").sortWithinPartitions("qb", "cb", "dim", "side")
-        pairs = units.mapInArrow(_searched(k), "row long, query_id long, id long, score long")
+        pairs = units.mapInArrow(_searched(k, factor), kinds)
         merged = best.unionByName(pairs)
-        order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
+        order = Window.partitionBy("row").orderBy(
+            F.desc("score"), F.col("id").asc_nulls_last(), "candidate"
+        )
         merged = merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         if last >= blocks:
             return merged.select(
-                "query_id", "rank", F.col("id").alias(ident), "score", F.col("row").alias("query_row")
+                "query_id",
+                "rank",
+                F.col("id").alias(ident),
+                F.when(F.col("score") > LOWEST, F.col("score"))
+                .otherwise(F.raise_error(_misfit("query_id", "id")))
+                .alias("score"),
+                F.col("row").alias("query_row"),
             )
         best = settled(merged.drop("rank"), "topk-best")
         first = last
 
 
-def _searched(k: int):
+LOWEST = -(1 << 63)  # stands for this score and all below
+
+
+def _misfit(query: str, candidate: str) -> Column:
+    text = F.concat(F.lit("the score of "), F.coalesce(F.col(query).cast("string"), F.lit("null")))
+    other = F.coalesce(F.col(candidate).cast("string"), F.lit("null"))
+    return F.concat(text, F.lit(" and "), other, F.lit(" does not fit 64 bits"))
+
+
+def _searched(k: int, factor: int):
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
             sides = unit.column("side").to_numpy()
@@ -239,27 +297,36 @@ def _searched(k: int):
             if not asked or asked == len(sides):
                 continue
             dim = unit.column("dim")[0].as_py()
-            ids = unit.column("id").to_numpy()
+            rows, ids = unit.column("row").to_numpy(), unit.column("id")
             data = b"".join(unit.column("v").to_pylist())
-            vectors = np.frombuffer(data, "<i8").reshape(len(ids), dim)
+            vectors = np.frombuffer(data, "<f8").reshape(len(rows), dim)
             least = unit.column("least").slice(0, asked).fill_null(float("-inf"))
             q, c, scores = best_in_block(
-                ids[:asked],
+                rows[:asked],
                 vectors[:asked],
                 least.to_numpy(zero_copy_only=False),
-                ids[asked:],
+                rows[asked:],
+                ids.slice(asked).fill_null((1 << 63) - 1).to_numpy(),
                 vectors[asked:],
                 k,
+                factor,
             )
-            rows = unit.column("row").slice(0, asked).to_numpy(zero_copy_only=False)
+            if scores.dtype == object:
+                for a, b, score in zip(q, c, scores):
+                    if score >= 1 << 63:  # among the best in any case
+                        raise OverflowError(
+                            f"the score of {ids[int(a)]} and {ids[asked + int(b)]} does not fit 64 bits"
+                        )
+                scores = np.array([max(int(x), LOWEST) for x in scores], np.int64)
             yield pa.record_batch(
                 [
-                    pa.array(rows[q].astype(np.int64)),
-                    pa.array(ids[q]),
-                    pa.array(ids[asked:][c]),
+                    pa.array(rows[q]),
+                    ids.take(pa.array(q)),
+                    ids.take(pa.array(c + asked)),
+                    pa.array(rows[asked + c]),
                     pa.array(scores),
                 ],
-                names=["row", "query_id", "id", "score"],
+                names=["row", "query_id", "id", "candidate", "score"],
             )
 
     return searched
