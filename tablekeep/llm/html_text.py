@@ -8,15 +8,19 @@ with one threshold that depends on the page. All blocks are scored alike; an art
 only raises the scores in it. Headings and, in an article, short list items, cells, quotes and the
 like, which are too short for ratios, go with the blocks next to them. Classes and ids that name
 other parts of a page lower the scores in their elements; long punctuated prose can win against them.
-Only elements that never hold an article (scripts, forms, navigation and the like, by tag or role)
-and hidden ones are left out before.
+So do forms, unless they are wrapped around an article or most of the page. Only elements that never
+hold an article (scripts, controls, navigation and the like, by tag or role) and hidden ones are left
+out before.
+
+Paths are numbers in a table of (parent path, label), so memory grows with the elements of a page and
+not with their depth.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -65,13 +69,14 @@ STOPS = {
 # elements that hold no article text
 NEVER = frozenset(
     "script style noscript template svg math canvas object embed iframe head title meta nav footer"
-    " aside form button select textarea input label fieldset menu dialog audio video map xmp"
-    " noembed noframes datalist".split()
+    " aside button select textarea input menu audio video map xmp noembed noframes datalist".split()
 )
 ROLES = frozenset(
-    "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar"
-    " toolbar tooltip status".split()
+    "navigation banner contentinfo complementary search alert alertdialog menu menubar toolbar"
+    " tooltip status".split()
 )
+# elements and roles that hold controls, but may be wrapped around all of a page
+FORMS = frozenset("form fieldset label dialog".split())
 # names of parts of a page that are no article; compared with the words of class and id
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner bottombar breadcrumb"
@@ -163,26 +168,93 @@ def _made_from(name: str, text: str) -> bool:
 class _Mark:
     """What a name leaves of the scores in its element; an id counts once its text is known."""
 
-    __slots__ = ("factor", "id")
+    __slots__ = ("factor", "id", "above")
+
+    def __init__(self, factor: float, ident: str, above: _Mark | None):
+        self.factor, self.id, self.above = factor, ident, above
 
-    def __init__(self, factor: float, ident: str = ""):
-        self.factor, self.id = factor, ident
+
+class _Paths:
+    """The tag paths of a page, by number; parents come before their children."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.parents = [0]
+        self.factors: list[list[_Mark] | None] = [None]  # from names of its own element
+        self.ids: list[_Mark | None] = [None]  # the innermost mark of an id, here or above
+        self.forms: dict[int, bool] = {}  # forms, and whether they hold an article
+        self.form = [0]  # the innermost form, here or above
+        self.sizes = [0]  # of the text on the path
+
+    def number(self, parent: int, label: str, own: list[tuple[float, str]], form: bool) -> int:
+        key = parent, label
+        found = self.numbers.get(key)
+        if found is None:
+            found = self.numbers[key] = len(self.parents)
+            self.parents.append(parent)
+            self.sizes.append(0)
+            marks, chain = [], self.ids[parent]
+            for factor, ident in own:
+                marks.append(_Mark(factor, ident, chain))
+                if ident:
+                    chain = marks[-1]
+            self.factors.append(marks or None)
+            self.ids.append(chain)
+            if form:
+                self.forms[found] = False
+            self.form.append(found if form else self.form[parent])
+        return found
+
+    def first_text(self, path: int, text: str) -> None:
+        """The text decides the ids above it that had none before."""
+        mark = self.ids[path]
+        while mark is not None and mark.id:  # above one that is decided all are
+            if _made_from(mark.id, text):
+                mark.factor = 1.0
+            mark.id, mark = "", mark.above
+
+    def holds_article(self, path: int) -> None:
+        form = self.form[path]
+        while form and not self.forms[form]:
+            self.forms[form] = True
+            form = self.form[self.parents[form]]
+
+    def finish(self) -> tuple[list[float], list[tuple[int, int]]]:
+        """What names and forms leave of the score of each path, and its place and that of the last
+        path below it in an order that has each path right before the ones below."""
+        inside, below = self.sizes, [1] * len(self.parents)
+        for path in range(len(self.parents) - 1, 0, -1):
+            inside[self.parents[path]] += inside[path]
+            below[self.parents[path]] += below[path]
+        left, spans, free = [1.0], [(0, below[0] - 1)], [1] * len(self.parents)
+        for path in range(1, len(self.parents)):
+            parent = self.parents[path]
+            own = [mark.factor for mark in self.factors[path] or ()]
+            if path in self.forms and not self.forms[path] and 2 * inside[path] < inside[0]:
+                own.append(NAMED)
+            left.append(min([left[parent], *own]))
+            first = spans[parent][0] + free[parent]
+            free[parent] += below[path]
+            spans.append((first, first + below[path] - 1))
+        return left, spans
 
 
 class _Element:
-    __slots__ = ("tag", "path", "place", "out", "linked", "article", "heading", "item")
+    __slots__ = ("tag", "path", "place", "out", "linked", "article", "heading", "item", "quote")
 
     def __init__(
-        self, tag: str, path: str, place: str, out: bool, linked: bool, article: bool, heading: bool, item: bool
+        self, tag: str, path: int, place: int, out: bool, linked: bool, article: bool, heading: bool,
+        item: bool, quote: bool,
     ):
         self.tag, self.path, self.place, self.out = tag, path, place, out
         self.linked, self.article, self.heading, self.item = linked, article, heading, item
+        self.quote = quote
 
 
 class _Block(NamedTuple):
     text: str
-    nodes: list[tuple[str, int, int, int]]  # path, length, punctuation, linked length
-    place: str  # the path that its element stands in
+    nodes: list[tuple[int, int, int, int]]  # path, length, punctuation, linked length
+    place: int  # the path that its element stands in
     article: bool
     heading: bool
     item: bool
@@ -192,22 +264,21 @@ class _Blocks:
     """The blocks of a page in order."""
 
     def __init__(self) -> None:
-        self.stack = [_Element("", "", "", False, False, False, False, False)]
+        self.stack = [_Element("", 0, 0, False, False, False, False, False, False)]
+        self.opened: Counter[str] = Counter()  # open elements by tag
         self.parts: list[str] = []
-        self.nodes: list[tuple[str, int, int, int]] = []
+        self.nodes: list[tuple[int, int, int, int]] = []
         self.found: list[_Block] = []
-        self.marks: dict[str, tuple[_Mark, ...]] = {"": ()}  # of each path
+        self.paths = _Paths()
 
     def end_block(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 top = self.stack[-1]
-                for mark in self.marks[self.nodes[0][0]]:
-                    if mark.id:  # the first text of its element
-                        if _made_from(mark.id, text):
-                            mark.factor = 1.0
-                        mark.id = ""
+                self.paths.first_text(self.nodes[0][0], text)
+                for path, size, _, _ in self.nodes:
+                    self.paths.sizes[path] += size
                 self.found.append(
                     _Block(text, self.nodes, top.place, top.article, top.heading, top.item)
                 )
@@ -238,17 +309,23 @@ class _Blocks:
         if tag in BLOCK:
             self.end_block()
         for other in CLOSES.get(tag, ()):
-            self._end_implied(other, tag)
+            if self.opened[other]:
+                self._end_implied(other, tag)
         top = self.stack[-1]
-        out, label, own = top.out or tag in NEVER, tag, []
+        # the foot of a quotation names its source
+        out = top.out or (tag in NEVER and not (tag == "footer" and top.quote))
+        label, own, form = tag, [], tag in FORMS
         article = top.article or tag in ARTICLE
         if not out and tag == "header" and not top.article:
             out = True
         if attributes and not out:
             for name, value in _judged_attributes(attributes):
                 if name == "role":
-                    out = out or value.lower() in ROLES
-                    article = article or value.lower() in ARTICLE
+                    role = value.lower()
+                    out = out or role in ROLES
+                    article = article or role in ARTICLE
+                    if role in FORMS:
+                        form, label = True, f"{label}@{role}"
                 elif name == "hidden":
                     out = True
                 elif name == "aria-hidden":
@@ -264,12 +341,15 @@ class _Blocks:
                         continue  # an anchor
                     for one in value.split():
                         if (factor := _lowered(one)) < 1:
-                            own.append(_Mark(factor, one if name == "id" and article else ""))
+                            own.append((factor, one if name == "id" and article else ""))
                             label += f"#{one}" if name == "id" else ""
         # plain inline elements, such as bold words, are of the path around them
-        path = f"{top.path}/{label}" if tag in BLOCK or label != tag else top.path
-        if path not in self.marks:
-            self.marks[path] = (*self.marks[top.path], *own)
+        path = top.path
+        if tag in BLOCK or form or label != tag:
+            path = self.paths.number(path, label, own, form)
+        if not out and (tag == "h1" or (article and not top.article)):
+            self.paths.holds_article(path)
+        self.opened[tag] += 1
         self.stack.append(
             _Element(
                 tag,
@@ -280,14 +360,21 @@ class _Blocks:
                 article,
                 top.heading or tag in HEADINGS,
                 top.item or tag in ITEMS,
+                top.quote or tag == "blockquote",
             )
         )
 
+    def _cut(self, height: int) -> None:
+        """Leave the elements from this height of the stack on."""
+        for element in self.stack[height:]:
+            self.opened[element.tag] -= 1
+        del self.stack[height:]
+
     def _end_implied(self, tag: str, by: str) -> None:
         stops = STOPS.get(by, SCOPES)
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if self.stack[i].tag in stops:
                 return
@@ -295,16 +382,19 @@ class _Blocks:
     def close(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_block()
+        if not self.opened[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if tag not in BLOCK and self.stack[i].tag in BLOCK:
                 return  # an inline end tag does not close blocks
 
 
-def page_blocks(page: str) -> tuple[list[_Block], dict[str, float]]:
-    """The blocks outside of excluded elements, and what names leave of the score of each path."""
+def page_blocks(page: str) -> tuple[list[_Block], list[float], list[tuple[int, int]]]:
+    """The blocks outside of excluded elements, what names leave of the score of each path, and the
+    span of each path."""
     blocks, at = _Blocks(), 0
     while True:
         token = _TOKEN.search(page, at)
@@ -325,8 +415,7 @@ def page_blocks(page: str) -> tuple[list[_Block], dict[str, float]]:
     if at < len(page):
         blocks.text(page[at:])
     blocks.end_block()
-    left = {path: min((m.factor for m in x), default=1.0) for path, x in blocks.marks.items()}
-    return blocks.found, left
+    return blocks.found, *blocks.paths.finish()
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -337,20 +426,23 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return total / np.convolve(np.ones_like(values), weights)[wide : wide + len(values)]
 
 
-def _beside(blocks: list[_Block], scored: list[bool], left: list[float]) -> set[int]:
+def _beside(
+    blocks: list[_Block], scored: list[bool], left: list[float], spans: list[tuple[int, int]]
+) -> set[int]:
     """The items of articles that stand beside chosen text: only items and headings are between.
 
     Items whose names tell against them more than those of the text do not go with it.
     """
     found = set()
     for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
-        places: set[tuple[str, float]] = set()
+        places: set[tuple[int, float]] = set()
         for i in order:
             block = blocks[i]
             if not block.article or not (block.item or block.heading):
                 places = set()
             elif block.item and any(
-                left[i] >= own and f"{block.place}/".startswith(f"{place}/") for place, own in places
+                left[i] >= own and spans[place][0] <= spans[block.place][0] <= spans[place][1]
+                for place, own in places
             ):
                 found.add(i)
             if scored[i] and block.article:
@@ -360,10 +452,10 @@ def _beside(blocks: list[_Block], scored: list[bool], left: list[float]) -> set[
 
 def main_text(page: str) -> str:
     """The blocks of a page whose paths score above the threshold, joined by line feeds."""
-    blocks, lowered = page_blocks(page)
+    blocks, lowered, spans = page_blocks(page)
     if not blocks:
         return ""
-    sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for block in blocks:
         for path, size, signs, linked in block.nodes:
             one = sums[path]
@@ -373,7 +465,7 @@ def main_text(page: str) -> str:
             one[3] += linked
     lengths, signs, links, left = [], [], [], []
     for block in blocks:  # a block stands on the path that holds most of it
-        by_path: dict[str, int] = defaultdict(int)
+        by_path: dict[int, int] = defaultdict(int)
         for path, size, _, _ in block.nodes:
             by_path[path] += size
         path = max(by_path, key=by_path.get)
@@ -392,7 +484,7 @@ def main_text(page: str) -> str:
     usual = float((fused * weight).sum() / weight.sum())
     text = np.array(links) < LINKED
     scored = ((fused >= THRESHOLD * usual) & text).tolist()
-    beside = _beside(blocks, scored, left)
+    beside = _beside(blocks, scored, left, spans)
     chosen = [one or bool(text[i]) and i in beside for i, one in enumerate(scored)]
     # a heading goes with the text that follows it
     for i in range(len(blocks) - 2, -1, -1):

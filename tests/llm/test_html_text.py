@@ -1,3 +1,6 @@
+import time
+import tracemalloc
+
 import pytest
 
 from tablekeep.llm import html_text
@@ -168,6 +171,69 @@ def test_names_lower_scores(wrap, part, text):
     assert main_text(page(wrap.format(others + part + others))) == "\n".join(expected)
 
 
+WRAPS = [
+    "<form id=aspnetForm method=post>{}</form>",
+    "<fieldset>{}</fieldset>",
+    "<label>{}</label>",
+    "<dialog open>{}</dialog>",
+    "<form><fieldset><div role=dialog>{}</div></fieldset></form>",
+    "<div role=form>{}</div>",
+]
+SIDE = (
+    "<nav><a href=x>Home</a></nav><div class=ad>Buy now, pay later, be happy. Today only!</div>"
+    "<ul class=links><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+)
+
+
+@pytest.mark.parametrize("form", WRAPS)
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>"])
+def test_a_page_in_a_form_is_as_without(form, wrap):
+    body = SIDE + wrap.format(ARTICLE + f"<p>{LONG}</p>")
+    text = f"{TEXT}\n{LONG.strip()}"
+    assert main_text(page(body)) == main_text(page(form.format(body))) == text
+    assert main_text(page(SIDE + form.format(wrap.format(ARTICLE + f"<p>{LONG}</p>")))) == text
+
+
+@pytest.mark.parametrize(
+    "form",
+    [
+        "<form><label>Your name</label><input><p>We keep it, as the law asks.</p><button>Go</button></form>",
+        "<fieldset><legend>Choose one, please.</legend><label>A</label><label>B</label></fieldset>",
+        "<dialog>We use cookies, and that is, as you know, usual.</dialog>",
+    ],
+)
+def test_forms_beside_or_in_an_article_go(form):
+    for body in (f"<article>{ARTICLE}</article>{form}", f"<article>{ARTICLE}{form}<p>{LONG}</p></article>"):
+        text = main_text(page(body))
+        assert text == (f"{TEXT}\n{LONG.strip()}" if LONG in body else TEXT)
+
+
+def test_the_foot_of_a_quotation_stays():
+    quote = "<blockquote><p>So it is, and so it was.</p><footer>An author, 1900</footer></blockquote>"
+    body = f"<article><p>{LONG}</p>{quote}<p>{LONG}</p><footer>Filed under things, of all kinds.</footer></article>"
+    lines = [LONG.strip(), "So it is, and so it was.", "An author, 1900", LONG.strip()]
+    assert main_text(page(body)) == "\n".join(lines)
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * 200_000 + FIRST,
+        "<div class=c id=comments>" * 100_000 + FIRST,
+        "<form><fieldset>" * 100_000 + FIRST,
+        "<b>" * 100_000 + f"<p>{FIRST}</p></i></u>" * 2000,
+        "<ul><li>" * 100_000 + FIRST,
+    ],
+)
+def test_deep_pages_take_little_memory_and_time(source):
+    start, memory = time.process_time(), tracemalloc.start()
+    text = main_text(source)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert set(text.split("\n")) == {FIRST} and memory is None
+    assert most < 300e6 and time.process_time() - start < 60
+
+
 def test_frame(spark):
     rows = [
         (1, "u", page(f"<article>{ARTICLE}</article>"), 5),
