@@ -121,6 +121,13 @@ def per_text(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=texts).astype(np.int64)
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each value, equal ones alike, in order of first appearance; and the values."""
+    found = pa.array(values).dictionary_encode()
+    numbers = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return numbers, found.dictionary.to_numpy(zero_copy_only=False)
+
+
 class Recent(dict):
     """A dictionary of bounded size that forgets what was not asked for lately.
 

@@ -18,13 +18,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tablekeep.llm.common import col, layout, per_text, quoted, slices, text_column, words_of
+from tablekeep.llm.common import (
+    col,
+    layout,
+    numbered,
+    per_text,
+    quoted,
+    slices,
+    text_column,
+    words_of,
+)
 from tablekeep.llm.quality_rules import document_counts
 
 SAMPLE = 3000  # labelled documents of each class, at most, that the model is fitted on
@@ -98,9 +106,9 @@ def features(texts: pa.Array) -> Rows:
     )
     codes = units.indices.to_numpy(zero_copy_only=False)
     keys = owner * BUCKETS + (hashed[codes] if len(codes) else np.empty(0, np.int64))
-    place, found = pd.factorize(keys)
+    place, found = numbered(keys)
     times = np.bincount(place, minlength=len(found))
-    row, feature = np.asarray(found) // BUCKETS, np.asarray(found) % BUCKETS
+    row, feature = found // BUCKETS, found % BUCKETS
     value = np.log1p(times)
     norm = np.sqrt(np.bincount(row, weights=value * value, minlength=n))
     value = (value / norm[row]).astype(np.float32)

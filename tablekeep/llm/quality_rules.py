@@ -1,17 +1,18 @@
 """Quality rules: counts per document, and line frequency across the documents of a host.
 
-A line that very many distinct documents of one host share is boilerplate. Lines are normalised
+A line that many distinct documents of one host share is boilerplate. Lines are normalised
 (lower case, digits made 0, punctuation and outer white space dropped) and hashed; per host the
 distinct documents of each line are counted, exact copies of a text as one. Lines above the limit
 are removed, and documents that lose too many of their words are rejected, as are those that fail
 the base rules.
 
-The limit is a number of documents, or a share of the host's if that is less, so large hosts let no
-more through than others. Near copies share lines, too, which are no boilerplate: lines above the
-limit are counted again by documents that keep enough words without all lines found half as often as
-that, for boilerplate stands around texts that differ, while near copies are little else than their
-common lines. If the frequent lines outgrow a broadcast, they are joined to the lines of
-the distinct documents by host and line, salted, and each document gets those of its own.
+Near copies of one document share lines, too, which are no boilerplate. A document is taken for a
+near copy if at least 0.8 of its words are in lines found more than half as often as the limit.
+For each of its lines such documents count by a sketch, the smallest hash of their other lines of
+that kind, so that a group of them counts as one document or a few, while boilerplate around texts
+that differ counts once a document, however thin these are. The limit is a number of documents,
+the same for hosts of any size. If the frequent lines outgrow a broadcast, they are joined to the
+lines of the distinct documents by host and line, salted, and each document gets those of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -30,6 +30,7 @@ from tablekeep.llm.common import (
     col,
     free_name,
     layout,
+    numbered,
     per_text,
     settled,
     slices,
@@ -41,12 +42,10 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 SYMBOLS = b"#*$%&|<>"
 
-SHARE = 0.1  # of a host's distinct documents
-MOST_DOCUMENTS = 10  # the limit is no higher, whatever the share
-LEAST_DOCUMENTS = 10
+LIMIT = 10  # documents of a host that may share a line
 MIN_LEFT = 0.5  # of a document's words, after its frequent lines are gone
 BROADCAST_BYTES = 8 << 20
-VOTERS = 0.25  # of a line's documents, which must keep enough words without such lines
+NEAR_COPY = 0.8  # of a document's words, in lines that others have
 SALTS = 64  # parts that the documents of one line are dealt into
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -100,8 +99,10 @@ def document_counts(texts: pa.Array) -> dict[str, np.ndarray]:
         return np.diff(np.searchsorted(np.flatnonzero(marks), bounds))
 
     lines = _Lines(texts)
-    again = pd.Series(lines.owner * max(1, len(lines.distinct)) + lines.codes).duplicated()
-    dup_lines = per_text(again.to_numpy() & (lines.words > 0), lines.owner, n)
+    own = numbered(lines.owner * max(1, len(lines.distinct)) + lines.codes)[0]
+    again = own < np.arange(len(own))  # a first one has the next free number
+    again[1:] = own[1:] <= np.maximum.accumulate(own)[:-1]
+    dup_lines = per_text(again & (lines.words > 0), lines.owner, n)
     return {
         "n_words": n_words,
         "word_chars": within(heads),
@@ -121,9 +122,9 @@ def _repeated_words(texts: pa.Array, n_words: np.ndarray) -> np.ndarray:
         return np.zeros(len(texts), np.int64)
     owner = np.repeat(np.arange(len(texts)), n_words)
     # numbers for pairs, then for triples, then for triples of one text: all exact
-    pairs = pd.factorize(codes[:-1] * (codes.max() + 1) + codes[1:])[0]
-    triples = pd.factorize(pairs[:-1].astype(np.int64) * (codes.max() + 1) + codes[2:])[0]
-    own = pd.factorize(triples.astype(np.int64) * len(texts) + owner[:-2])[0]
+    pairs = numbered(codes[:-1] * (codes.max() + 1) + codes[1:])[0]
+    triples = numbered(pairs[:-1] * (codes.max() + 1) + codes[2:])[0]
+    own = numbered(triples * len(texts) + owner[:-2])[0]
     inside = owner[:-2] == owner[2:]
     twice = inside & (np.bincount(own, weights=inside)[own] > 1)
     marked = np.zeros(total, bool)
@@ -152,11 +153,14 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
             texts = text_column(batch, 0)
             found = _Lines(texts)
             total = per_text(found.words, found.owner, len(texts))
-            frame = pd.DataFrame({"o": found.owner, "line": found.hashes(), "words": found.words})
-            frame = frame[frame.line != 0].groupby(["o", "line"], as_index=False, sort=False).sum()
-            owner = np.concatenate([frame.o.to_numpy(), np.arange(len(texts))])
-            line = np.concatenate([frame.line.to_numpy(), np.zeros(len(texts), np.int64)])
-            words = np.concatenate([frame.words.to_numpy(np.int64), total])
+            hashes = found.hashes()
+            some = hashes != 0
+            number, different = numbered(hashes[some])
+            pair, pairs = numbered(number * len(texts) + found.owner[some])
+            own = np.bincount(pair, weights=found.words[some], minlength=len(pairs)).astype(np.int64)
+            owner = np.concatenate([pairs % len(texts), np.arange(len(texts))])
+            line = np.concatenate([different[pairs // len(texts)], np.zeros(len(texts), np.int64)])
+            words = np.concatenate([own, total])
             rows = pa.array(owner)
             yield pa.record_batch(
                 [batch.column(1).take(rows), pa.array(line), batch.column(2).take(rows), pa.array(words)],
@@ -167,29 +171,16 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
     return settled(found.distinct(), "lines")
 
 
-def frequent_lines(
-    lines: DataFrame,
-    share: float = SHARE,
-    least: int = LEAST_DOCUMENTS,
-    min_left: float = MIN_LEFT,
-    most: int = MOST_DOCUMENTS,
-) -> DataFrame:
+def frequent_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``h`` and ``line``: the lines of each host (a null host is one too) above the limit.
 
-    A line is above it if more than ``least`` distinct documents of the host have it, and more than
-    ``share`` of them or more than ``most``. Documents with equal texts count as one. It is frequent
-    if it is still above when only documents count that keep ``min_left`` of their words without all
-    lines above half the limit, and if these are a quarter of its documents at least.
+    A line is above it if more than ``limit`` documents of the host have it. Documents with equal
+    texts count as one, and so do near copies with the same sketch.
     """
-    counted = settled(lines.groupBy("h", "line").agg(F.count("*").alias("n")), "line-counts")
-    hosts = counted.filter("line = 0").select(F.col("h").alias("h0"), F.col("n").alias("documents"))
-    repeated = counted.filter((F.col("line") != 0) & (F.col("n") > 1)).join(
-        hosts, F.col("h").eqNullSafe(F.col("h0"))
-    )
-    limit = F.greatest(F.lit(float(least)), F.least(share * F.col("documents"), F.lit(float(most))))
-    repeated = repeated.select("h", "line", "n", limit.alias("limit")).filter("n > limit / 2").drop("n")
-    members = _members(lines, settled(repeated, "repeated-lines"))
-    whole = lines.filter("line = 0").withColumn("limit", F.lit(None).cast("double"))
+    counted = lines.filter("line != 0").groupBy("h", "line").agg(F.count("*").alias("n"))
+    shared = settled(counted.filter(2 * F.col("n") > limit), "shared-lines")
+    members = _members(lines, shared)
+    whole = lines.filter("line = 0").withColumn("n", F.lit(None).cast("long"))
     own = F.col("line") != 0
     per_doc = (
         members.unionByName(whole)
@@ -197,16 +188,18 @@ def frequent_lines(
         .agg(
             F.sum(F.when(~own, F.col("words"))).alias("total"),
             F.sum(F.when(own, F.col("words"))).alias("common"),
-            F.collect_list(F.when(own, F.struct("line", "limit"))).alias("found"),
+            F.array_sort(F.collect_list(F.when(own, F.struct("line", "n")))).alias("found"),
         )
     )
-    stays = F.col("total") - F.col("common") >= min_left * F.col("total")
-    votes = per_doc.select("h", stays.cast("int").alias("vote"), F.inline("found"))
-    votes = votes.groupBy("h", "line").agg(
-        F.sum("vote").alias("votes"), F.count("*").alias("n"), F.max("limit").alias("limit")
-    )
-    enough = (F.col("votes") > F.col("limit")) & (F.col("votes") >= VOTERS * F.col("n"))
-    return votes.filter(enough).select("h", "line")
+    near = F.col("common") >= NEAR_COPY * F.col("total")
+    first = F.expr("try_element_at(found, 1).line").alias("first")
+    second = F.expr("try_element_at(found, 2).line").alias("second")
+    votes = per_doc.select("h", "doc", near.alias("near"), first, second, F.inline("found"))
+    other = F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    voter = F.when(F.col("near"), F.coalesce(other, "line")).otherwise(F.col("doc"))
+    votes = votes.filter(F.col("n") > limit).select("h", "line", "near", voter.alias("voter"))
+    votes = votes.distinct().groupBy("h", "line").agg(F.count("*").alias("votes"))
+    return votes.filter(F.col("votes") > limit).select("h", "line")
 
 
 def _bytes(lines: DataFrame) -> int:
@@ -242,10 +235,8 @@ def quality_rules(
     docs: DataFrame,
     text: str = "text",
     host: str = "source",
-    share: float = SHARE,
-    least: int = LEAST_DOCUMENTS,
+    limit: int = LIMIT,
     min_left: float = MIN_LEFT,
-    most: int = MOST_DOCUMENTS,
 ) -> DataFrame:
     """The documents with their counts, the verdict and the text without its frequent lines.
 
@@ -257,7 +248,7 @@ def quality_rules(
     """
     docs = docs.drop(*[n for n in ADDED if n.lower() not in (text.lower(), host.lower())])
     lines = line_table(docs, text, host)
-    common = settled(frequent_lines(lines, share, least, min_left, most), "frequent-lines")
+    common = settled(frequent_lines(lines, limit), "frequent-lines")
     names = docs.columns
     listed = free_name(docs, "frequent_lines")
     by_host: dict[str | None, np.ndarray] = {}
