@@ -261,11 +261,8 @@ def encode_slice(part: Slice, tokens: Tokens, given: list[dict] | None = None) -
 class Decoder:
     """What the library's ``decode`` gives, special tokens included."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.symbols = None
+    def __init__(self, tokenizer):
+        self.tokenizer, self.symbols = tokenizer, None
         if self.tokenizer.decoder is None:  # the tokens' own strings, a space between two
             by_id = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
             if sorted(by_id) == list(range(len(by_id))):
@@ -279,7 +276,7 @@ class Decoder:
 
 def _tools(path: str) -> tuple[Tokens, Decoder]:
     tokens = kept_in_process(f"tokens {path}", lambda: Tokens(path))
-    return tokens, kept_in_process(f"decoder {path}", lambda: Decoder(path))
+    return tokens, kept_in_process(f"decoder {path}", lambda: Decoder(tokens.tokenizer))
 
 
 _DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
