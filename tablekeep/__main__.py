@@ -157,9 +157,6 @@ def main(arguments: list[str] | None = None) -> int:
         .getOrCreate()
     )
     result = run(spark, sys.argv[1:] if arguments is None else arguments)
-    if isinstance(result, list):
-        print("\n".join(result))
-        return 0
     print("\t".join(result.columns))
     for row in result.toLocalIterator():
         print("\t".join("" if v is None else str(v) for v in row))

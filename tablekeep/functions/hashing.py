@@ -31,6 +31,7 @@ _PORTABLE = (
 # A double is brought to below 2 ** 60 by a power of 2 ** 100, which loses no bit; its whole part
 # and 100 bits of its fraction are then three whole numbers.
 DOUBLE_STEP, DOUBLE_STEPS, DOUBLE_ROOM, DOUBLE_BITS = 100, 10, 60, 50
+DOUBLE_CENTS = 40  # whole hundredths below two to this are written as such
 
 
 def quoted(name: str) -> str:
@@ -130,34 +131,64 @@ def _is_portable(data_type: T.DataType) -> bool:
     return isinstance(data_type, _PORTABLE)
 
 
-def _double_text(value: Column) -> Column:
-    """A double as whole numbers: the power it was scaled by, then its parts."""
-    size, power, scaled = F.abs(value), None, None
-    for step in range(-DOUBLE_STEPS, DOUBLE_STEPS + 1):
-        own = size < F.lit(2.0 ** (DOUBLE_STEP * step + DOUBLE_ROOM)) if step < DOUBLE_STEPS else None
-        shrunk = value * F.lit(2.0 ** (-DOUBLE_STEP * step))
-        if own is None:
-            power, scaled = power.otherwise(step), scaled.otherwise(shrunk)
-        else:
-            power = F.when(own, step) if power is None else power.when(own, step)
-            scaled = F.when(own, shrunk) if scaled is None else scaled.when(own, shrunk)
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _parts_text(power: Column | int, scaled: Column) -> Column:
     one = scaled.cast("bigint")
     rest = (scaled - one) * F.lit(2.0**DOUBLE_BITS)
     two = rest.cast("bigint")
     three = ((rest - two) * F.lit(2.0**DOUBLE_BITS)).cast("bigint")
-    parts = F.concat_ws("/", power, one, two, three)
+    return F.concat_ws("/", F.lit(power) if isinstance(power, int) else power, one, two, three)
+
+
+def _scaled_text(value: Column) -> Column:
+    """A finite double as whole numbers: the power it was scaled by, then its parts."""
+    power, factor = F, F
+    for step in range(-DOUBLE_STEPS, DOUBLE_STEPS):
+        below = F.abs(value) < F.lit(2.0 ** (DOUBLE_STEP * step + DOUBLE_ROOM))
+        power = power.when(below, step)
+        factor = factor.when(below, F.lit(2.0 ** (-DOUBLE_STEP * step)))
+    power = power.otherwise(DOUBLE_STEPS)
+    factor = factor.otherwise(F.lit(2.0 ** (-DOUBLE_STEP * DOUBLE_STEPS)))
+    both = F.struct(power.alias("power"), (value * factor).alias("scaled"))
+    return _bound(both, lambda b: _parts_text(b["power"], b["scaled"]))
+
+
+def _double_text(value: Column) -> Column:
+    """A double as text: ``c`` and hundredths if it is exactly those, else whole numbers.
+
+    The plain cases come first and are short; the rest is bound, which keeps the expression small.
+    """
+    size = F.abs(value)
+    cents = F.floor(value * 100 + 0.5)
+    in_cents = (size < F.lit(2.0**DOUBLE_CENTS)) & (cents.cast("double") / 100 == value)
+    plain = (size < F.lit(2.0**DOUBLE_ROOM)) & (size >= F.lit(2.0 ** (DOUBLE_ROOM - DOUBLE_STEP)))
     infinite = size == F.lit(float("inf"))
     sign = F.when(value > 0, "inf").otherwise("-inf")
-    return F.when(value.isNull(), None).when(F.isnan(value), "nan").when(infinite, sign).otherwise(parts)
+    return (
+        F.when(value.isNull(), None)
+        .when(in_cents, F.concat(F.lit("c"), cents))
+        .when(plain, _parts_text(0, value))
+        .when(F.isnan(value), "nan")
+        .when(infinite, sign)
+        .otherwise(_bound(value, _scaled_text))
+    )
+
+
+def _marked(text: Column) -> Column:
+    """``<length>:<text>``, or ``N`` for NULL."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N"))
 
 
 def _portable_text(value: Column, data_type: T.DataType) -> Column:
     """A value as text; NULL stays NULL."""
     if isinstance(data_type, T.ArrayType):
-        parts = F.transform(
-            value, lambda e: F.coalesce(_portable_text(e, data_type.elementType), F.lit("N"))
-        )
-        return F.concat(F.size(value).cast("string"), F.lit("["), F.array_join(parts, ","))
+        texts = F.transform(value, lambda e: _portable_text(e, data_type.elementType))
+        parts = F.transform(texts, _marked)
+        return F.concat(F.size(value).cast("string"), F.lit("["), F.array_join(parts, ""))
     if isinstance(data_type, _PORTABLE_TIME):
         return epoch_micros(value).cast("string")
     if isinstance(data_type, T.DateType):
@@ -172,10 +203,10 @@ def _portable_text(value: Column, data_type: T.DataType) -> Column:
 def portable_row_hash(schema: T.StructType, columns: list[str] | None = None) -> Column:
     """First 64 bits of the md5 of a text form any SQL engine can rebuild.
 
-    Each value is written as ``<length>:<text>`` and NULL as ``N``, so no two
-    rows share a text. Times are written as microseconds since the epoch, dates
-    as days, doubles exactly as whole numbers, bytes in hexadecimal, arrays
-    element by element (strings in arrays are told apart but by their commas).
+    Each value is written as ``<length>:<text>`` and NULL as ``N``, elements of
+    arrays too, so no two rows share a text. Times are written as microseconds
+    since the epoch, dates as days, doubles exactly as whole numbers, bytes in
+    hexadecimal, arrays as their size and their elements.
     Without ``columns`` every column has to have such a form.
     """
     names = columns or [f.name for f in schema.fields]
@@ -184,10 +215,7 @@ def portable_row_hash(schema: T.StructType, columns: list[str] | None = None) ->
         raise ValueError(f"no portable text form for columns {sorted(unknown)}")
     parts = []
     for name in names:
-        text = _portable_text(column_of(name), schema[name].dataType)
-        parts.append(
-            F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N"))
-        )
+        parts.append(_marked(_portable_text(column_of(name), schema[name].dataType)))
     digest = F.md5(F.concat(*parts)) if parts else F.md5(F.lit(""))
     return F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint")
 

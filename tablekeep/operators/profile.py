@@ -50,13 +50,31 @@ def _digest(field: T.StructField) -> list[Column]:
     return [row_hash(own), row_hash(own, salt=1)]
 
 
-def _distinct_count(df: DataFrame, field: T.StructField) -> DataFrame:
-    """Exact, over values or, where these may be long, over their digests."""
+def _value_keys(field: T.StructField) -> list[Column]:
+    """Two longs that stand for a value: itself, a one-to-one hash of 64 bits, or a digest."""
     value, kind = column_of(field.name), field.dataType
-    short = isinstance(kind, (T.NumericType, T.DatetimeType, T.BooleanType))
-    keys = [value.alias("d1")] if short else [k.alias(f"d{i}") for i, k in enumerate(_digest(field))]
-    values = df.where(value.isNotNull()).groupBy(*keys).agg(F.lit(1).alias("one"))
-    return values.agg(F.lit(field.name).alias("name"), F.count(F.lit(1)).alias("found"))
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return [value.cast("bigint"), F.lit(0).cast("bigint")]
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return [F.xxhash64(value.cast("double") + 0.0), F.lit(0).cast("bigint")]
+    return _digest(field)
+
+
+def _distinct_counts(df: DataFrame) -> DataFrame:
+    """Exact distinct values of each column, in one pass and one shuffle for all of them.
+
+    Every value is two longs, reduced to different ones in every task before they are sent.
+    """
+    values = [
+        F.struct(F.lit(i).alias("i"), *[k.alias(f"d{n}") for n, k in enumerate(_value_keys(field))])
+        for i, field in enumerate(df.schema.fields)
+    ]
+    present = [F.when(column_of(f.name).isNotNull(), v) for f, v in zip(df.schema.fields, values)]
+    rows = df.select(F.explode(F.array(*present)).alias("v")).where("v IS NOT NULL")
+    rows = rows.groupBy("v.i", "v.d0", "v.d1").agg(F.lit(1).alias("one"))
+    names = F.array(*[F.lit(f.name) for f in df.schema.fields])
+    counts = rows.groupBy("i").agg(F.count(F.lit(1)).alias("found"))
+    return counts.select(F.get(names, F.col("i")).alias("name"), "found")
 
 
 def table_profile(df: DataFrame, distinct: str = "approx") -> DataFrame:
@@ -65,8 +83,8 @@ def table_profile(df: DataFrame, distinct: str = "approx") -> DataFrame:
     All figures come from one pass over the table, in which each task sends one
     row. Bounds and sums of whole numbers are exact in their ``_text`` columns.
     ``distinct`` is a sketch (``approx``), left out (``none``) or ``exact``: then
-    each column is read once more by itself and reduced to its values, long ones
-    to 128-bit digests, in every task before the shuffle.
+    the table is read once more and all columns are reduced to their values, long
+    ones to 128-bit digests, in every task before one shuffle.
     """
     if distinct not in ("approx", "exact", "none"):
         raise ValueError("distinct is one of approx, exact, none")
@@ -76,10 +94,9 @@ def table_profile(df: DataFrame, distinct: str = "approx") -> DataFrame:
     found = wide.select(long).select("column.*")
     if distinct != "exact":
         return found
-    counts = union_all(_distinct_count(df, field) for field in df.schema.fields)
-    joined = found.drop("distinct_count").join(
-        counts, found.column_name == counts.name
-    ).withColumnRenamed("found", "distinct_count")
+    counts = _distinct_counts(df)
+    joined = found.drop("distinct_count").join(counts, found.column_name == counts.name, "left")
+    joined = joined.withColumn("distinct_count", F.coalesce("found", F.lit(0)))
     return joined.select(*found.columns)
 
 

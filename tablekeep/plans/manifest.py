@@ -2,9 +2,9 @@
 
 Layout below a root folder::
 
-    manifest/*  one small file per row, written as soon as a table's data is
-    removed/*   paths retention has let go, written before they are deleted, and
-                again when they are gone
+    manifest/   a log with a commit per row, written as soon as a table's data is
+    removed/    a log of the paths retention has let go, written before they are
+                deleted, and again when they are gone
     tables/<schema>/<table>/<snapshot_id>-<run_id>/   the data of one copy
 
 A copy counts only once its row is in ``manifest``, so a table that a dead run was
@@ -23,6 +23,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.functions.times import moment
+from tablekeep.plans.commit_log import CommitLog
 from tablekeep.sources import files
 from tablekeep.sources.small import small_frame
 
@@ -51,28 +52,29 @@ def copy_folder(
     return f"{root}/tables/" + "/".join(quote(part, safe="") for part in parts)
 
 
-def _append(spark: SparkSession, rows: list[dict], schema: str, path: str) -> None:
-    """Add a file, in a folder of its own: writers at the same time share no temporary files."""
-    small_frame(spark, rows, schema).coalesce(1).write.parquet(f"{path}/{uuid.uuid4().hex}")
+def manifest_log(spark: SparkSession, root: str) -> CommitLog:
+    return CommitLog(spark, f"{root}/manifest", MANIFEST)
 
 
-def append_manifest(spark: SparkSession, root: str, rows: list[dict]) -> None:
-    _append(spark, rows, MANIFEST, f"{root}/manifest")
+def removed_log(spark: SparkSession, root: str) -> CommitLog:
+    return CommitLog(spark, f"{root}/removed", REMOVED)
 
 
-def append_removed(spark: SparkSession, root: str, rows: list[dict]) -> None:
-    _append(spark, rows, REMOVED, f"{root}/removed")
+def append_manifest(spark: SparkSession, root: str, rows: list[dict]) -> None:
+    manifest_log(spark, root).append(rows)
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    if not files.exists(spark, path):
-        return small_frame(spark, [], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+def append_removed(spark: SparkSession, root: str, rows: list[dict]) -> None:
+    removed_log(spark, root).append(rows)
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     """Every row ever written."""
-    return _read(spark, f"{root}/manifest", MANIFEST)
+    return manifest_log(spark, root).read()
+
+
+def _removed(spark: SparkSession, root: str) -> DataFrame:
+    return removed_log(spark, root).read()
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -82,7 +84,7 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     settled = F.col("status") != "failed"
     newest = F.max_by(F.struct(*COLUMNS), F.struct(settled, "run_id"))
     rows = log.groupBy("snapshot_id", "schema_name", "table_name").agg(newest.alias("row"))
-    removed = _read(spark, f"{root}/removed", REMOVED).select("path").distinct()
+    removed = _removed(spark, root).select("path").distinct()
     return rows.select("row.*").join(removed, "path", "left_anti").select(*COLUMNS)
 
 
@@ -90,7 +92,7 @@ def unusable_copies(spark: SparkSession, root: str) -> DataFrame:
     """Rows of folders no restore reads: of tables that failed, and of copies that a good copy of
     the same table and snapshot id has replaced."""
     log = read_log(spark, root).where("path <> ''")
-    removed = _read(spark, f"{root}/removed", REMOVED).select("path").distinct()
+    removed = _removed(spark, root).select("path").distinct()
     usable = read_manifest(spark, root).where("status = 'ok'")
     keys = ["snapshot_id", "schema_name", "table_name"]
     left = log.join(removed, "path", "left_anti").join(usable.select("path"), "path", "left_anti")
@@ -101,7 +103,7 @@ def unusable_copies(spark: SparkSession, root: str) -> DataFrame:
 
 def pending_removals(spark: SparkSession, root: str) -> DataFrame:
     """Paths out of the catalogue whose deletion was not seen to end."""
-    removed = _read(spark, f"{root}/removed", REMOVED)
+    removed = _removed(spark, root)
     gone = removed.where("deleted").select("path").distinct()
     return removed.select("path").distinct().join(gone, "path", "left_anti")
 

@@ -21,7 +21,9 @@ from tablekeep.plans.manifest import (
 )
 from tablekeep.plans.snapshot import DEFAULT_PARALLELISM
 from tablekeep.sources import files
+from tablekeep.session import scratch_folder
 from tablekeep.sources.artifacts import list_files
+from tablekeep.sources.listing import deleted
 
 
 BATCH = 1000  # paths that are on the driver at a time while they are deleted
@@ -39,15 +41,15 @@ def _batches(paths: DataFrame) -> Iterator[list[str]]:
         yield batch
 
 
-def delete_planned(
-    spark: SparkSession, plan: DataFrame, parallelism: int = DEFAULT_PARALLELISM
-) -> list[str]:
-    """Delete the paths a plan names removable, and nothing else, some at a time."""
-    gone: list[str] = []
-    for batch in _batches(plan.where("removable").select("path").distinct()):
-        _delete(spark, batch, parallelism)
-        gone += batch
-    return sorted(gone)
+def delete_planned(spark: SparkSession, plan: DataFrame) -> DataFrame:
+    """Delete the files a plan names removable, and nothing else; returns their paths.
+
+    Files are deleted by the tasks that list them, and what they deleted is a table in the shared
+    folder, so no path goes through the driver.
+    """
+    done = scratch_folder(spark, "rotated")
+    deleted(plan.where("removable")).write.parquet(done)
+    return spark.read.schema("path string, deleted boolean").parquet(done).select("path").distinct()
 
 
 def rotate_files(
@@ -57,15 +59,14 @@ def rotate_files(
     pattern: str = "backup_*",
     days: int = DEFAULT_RETENTION_DAYS,
     rule: str = "whole_days",
-    parallelism: int = DEFAULT_PARALLELISM,
-) -> list[str]:
+    recursive: bool = False,
+) -> DataFrame:
     """Delete files below a prefix which are out of retention by their own time.
 
     Dump files know of no base and no table, so age alone decides. Returns the paths.
     """
-    aged = retention(list_files(spark, prefix, pattern), as_of, days, rule)
-    plan = aged.withColumnRenamed("expired", "removable")
-    return delete_planned(spark, plan, parallelism)
+    aged = retention(list_files(spark, prefix, pattern, recursive), as_of, days, rule)
+    return delete_planned(spark, aged.withColumnRenamed("expired", "removable"))
 
 
 def retention_apply(
@@ -75,7 +76,7 @@ def retention_apply(
     days: int = DEFAULT_RETENTION_DAYS,
     rule: str = "exact",
     parallelism: int = DEFAULT_PARALLELISM,
-) -> list[str]:
+) -> DataFrame:
     """Remove the copies of a snapshot root which are out of retention.
 
     They leave the catalogue first and the storage second, so a run that dies in
@@ -90,13 +91,14 @@ def retention_apply(
     left_behind = unusable_copies(spark, root).select("path", "created_at")
     left_behind = left_behind.unionByName(orphan_folders(spark, root)).where(old)
     removable = plan.where("removable").select("path").unionAll(left_behind.select("path"))
-    gone: list[str] = []
-    for batch in _batches(removable.distinct()):
+    chosen = scratch_folder(spark, "removable")
+    removable.distinct().write.parquet(chosen)
+    gone = spark.read.schema("path string").parquet(chosen)
+    for batch in _batches(gone):
         rows = [{"path": p, "removed_at": as_of, "deleted": False} for p in batch]
         append_removed(spark, root, rows)
-        gone += batch
     for batch in _batches(pending_removals(spark, root)):
         _delete(spark, batch, parallelism)
         rows = [{"path": p, "removed_at": as_of, "deleted": True} for p in batch]
         append_removed(spark, root, rows)
-    return sorted(gone)
+    return gone

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.functions import naming, sizes, times
 from tablekeep.operators import catalogue, retention, validate
+from tablekeep.plans.commit_log import CommitLog
+from tablekeep.plans.manifest import MANIFEST
+from tablekeep.plans.rotation import rotate_files as rotate
 from tablekeep.queries.common import (
     ARTIFACTS_SQL,
     CHAIN_AS_OF,
@@ -15,7 +20,7 @@ from tablekeep.queries.common import (
     table,
 )
 from tablekeep.session import scratch_folder
-from tablekeep.sources import artifacts as stored
+from tablekeep.sources import artifacts as stored, files
 
 TIE = "event_id"
 
@@ -294,6 +299,87 @@ FROM events GROUP BY 1
 """
 
 
+def _dump_files(spark: SparkSession, folder: str, label: str) -> str:
+    """A folder of plain dump files, one for each event type and day, as old as that day's noon."""
+    root = scratch_folder(spark, label)
+    dumps = _dump_lines(spark, folder).repartition(_parts(spark), "artifact")
+    dumps.write.partitionBy("artifact").text(root)
+    for name, *_, path in stored.list_files(spark, root, "part-*", recursive=True).toLocalIterator():
+        day = datetime.strptime(path.rsplit("/", 2)[1][-8:], "%Y%m%d")
+        files.set_modified(spark, path, int((day - datetime(1970, 1, 1)).total_seconds() + 43200) * 1000)
+    return root
+
+
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _by_artifact(listed: DataFrame) -> DataFrame:
+    of_path = F.regexp_extract("path", "artifact=([^/]+)/", 1)
+    return listed.groupBy(of_path.alias("artifact")).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("size_bytes").alias("size_bytes"),
+        F.max("modified_at").alias("modified_at"),
+    )
+
+
+def artifact_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Dump files listed by tasks, folder by folder, from a time on."""
+    root = _dump_files(spark, folder, "listed")
+    listed = stored.list_files(spark, root, "part-*", recursive=True)
+    return _by_artifact(listed.where("modified_at >= TIMESTAMP_NTZ '2024-01-10 00:00:00'"))
+
+
+def rotate_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What rotation by the files' own age leaves of all dump files."""
+    root = _dump_files(spark, folder, "rotated-files")
+    gone = rotate(spark, root, RETENTION_AS_OF, "part-*", 30, "exact", recursive=True)
+    left = stored.list_files(spark, root, "part-*", recursive=True)
+    return _by_artifact(left.join(gone, "path", "left_anti"))
+
+
+_FILES_SQL = """
+SELECT concat(event_type, '_', strftime(ts, '%Y%m%d')) AS artifact, CAST(1 AS BIGINT) AS files,
+       CAST(sum(1 + strlen(CASE WHEN value > 200 THEN concat('CREATE TABLE t', user_id)
+                                WHEN value >= 150 AND value < 170 THEN 'COPY t FROM stdin;'
+                                ELSE props END)) AS BIGINT) AS size_bytes,
+       date_trunc('day', min(ts)) + INTERVAL 12 HOUR AS modified_at
+FROM events GROUP BY 1"""
+
+
+def retention_tie(spark: SparkSession, folder: str) -> DataFrame:
+    """The plan where all artifacts of a day are of one time, told apart by their ids."""
+    same = artifacts(spark, folder).withColumn("modified_at", F.date_trunc("day", "modified_at").cast("timestamp_ntz"))
+    return retention.retention_plan(same, RETENTION_AS_OF, 18, "exact", TIE)
+
+
+def manifest_commits(spark: SparkSession, folder: str) -> DataFrame:
+    """A manifest of one commit per customer, read from its last checkpoint and what came after."""
+    root = scratch_folder(spark, "commits")
+    log = CommitLog(spark, f"{root}/manifest", MANIFEST, every=100)
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    for key, nation, balance in customers.toLocalIterator():
+        status = "failed" if balance < 0 else "ok"
+        log.append(
+            [{"snapshot_id": f"s{nation}", "run_id": f"{key:012d}", "table_name": f"t{key}",
+              "row_count": key, "kind": "full", "status": status}]
+        )
+    return log.read().groupBy("snapshot_id", "status").agg(
+        F.count(F.lit(1)).alias("commits"),
+        F.sum("row_count").alias("row_count"),
+        F.max("run_id").alias("newest"),
+    )
+
+
+_COMMITS_SQL = """
+SELECT concat('s', c_nationkey) AS snapshot_id,
+       CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS commits,
+       CAST(sum(c_custkey) AS BIGINT) AS row_count,
+       lpad(CAST(max(c_custkey) AS VARCHAR), 12, '0') AS newest
+FROM customer GROUP BY ALL
+"""
+
+
 def validate_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every document looked through whole for two words, by source; all sources listed."""
     documents = table(spark, folder, "documents")
@@ -307,6 +393,9 @@ def validate_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_TIE_SQL = _PLAN_SQL.replace(
+    ARTIFACTS_SQL, ARTIFACTS_SQL.replace("ts AS modified_at", "date_trunc('day', ts) AS modified_at")
+)
 _VALIDATE_TEXTS_SQL = """
 SELECT source,
        coalesce(bool_or(contains(text, 'Apache License, Version 2.0')), FALSE) AS has_schema,
@@ -399,5 +488,15 @@ QUERIES = {
         " FROM art GROUP BY ROLLUP (table_name, kind))",
     ),
     "validate_artifacts": (validate_artifacts, _VALIDATE_SQL),
+    "artifact_files": (
+        artifact_files,
+        f"SELECT * FROM ({_FILES_SQL}) WHERE modified_at >= TIMESTAMP '2024-01-10'",
+    ),
+    "rotate_files": (
+        rotate_files,
+        f"SELECT * FROM ({_FILES_SQL}) WHERE modified_at >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY",
+    ),
+    "retention_tie": (retention_tie, _TIE_SQL),
+    "manifest_commits": (manifest_commits, _COMMITS_SQL),
     "validate_texts": (validate_texts, _VALIDATE_TEXTS_SQL),
 }

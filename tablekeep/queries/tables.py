@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablekeep.functions.hashing import DOUBLE_BITS, DOUBLE_ROOM, DOUBLE_STEP, DOUBLE_STEPS
+from tablekeep.functions.hashing import (
+    DOUBLE_BITS,
+    DOUBLE_CENTS,
+    DOUBLE_ROOM,
+    DOUBLE_STEP,
+    DOUBLE_STEPS,
+)
 from tablekeep.operators import change, profile, selection
 from tablekeep.plans.snapshot import table_measures
 from tablekeep.queries.common import SCHEMAS, TABLES, columns, source, table
@@ -64,7 +70,22 @@ def _double_sql(x: str) -> str:
     rest = f"(({y} - trunc({y})) * {bits})"
     third = f"(({rest} - trunc({rest})) * {bits})"
     whole = [f"CAST(trunc({v}) AS BIGINT)" for v in (y, rest, third)]
-    return f"concat_ws('/', {power}, {', '.join(whole)})"
+    cents = f"floor({x} * 100 + 0.5)"
+    return (
+        f"CASE WHEN {x} IS NULL THEN NULL"
+        f" WHEN abs({x}) < {2**DOUBLE_CENTS} AND {cents} / 100 = {x}"
+        f" THEN concat('c', CAST({cents} AS BIGINT))"
+        f" ELSE concat_ws('/', {power}, {', '.join(whole)}) END"
+    )
+
+
+def _marked_sql(text: str) -> str:
+    return f"coalesce(length({text}) || ':' || {text}, 'N')"
+
+
+def _array_sql(array: str, text) -> str:
+    each = f"list_transform({array}, lambda e: {_marked_sql(text('e'))})"
+    return f"concat(len({array}), '[', array_to_string({each}, ''))"
 
 
 def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,21 +102,57 @@ def _fingerprint_sql() -> str:
         for column, kind in columns(name):
             text = f"CAST({'epoch_us(' + column + ')' if kind == 't' else column} AS VARCHAR)"
             if kind == "d":
-                text = f"CASE WHEN {column} IS NOT NULL THEN {_double_sql(column)} END"
+                text = f"({_double_sql(column)})"
             elif kind == "a":
-                each = f"list_transform({column}, lambda e: {_double_sql('e')})"
-                text = f"concat(len({column}), '[', array_to_string({each}, ','))"
-            parts.append(f"coalesce(length({text}) || ':' || {text}, 'N')")
-        selects.append(
-            f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST(sum("
-            f"CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END"
-            f") AS VARCHAR) AS fingerprint FROM ("
-            f"SELECT CAST(CAST('0x' || substr(md5({' || '.join(parts)}), 1, 16) AS UBIGINT)"
-            f" AS HUGEINT) AS h FROM {name})"
-        )
+                text = _array_sql(column, lambda e: f"({_double_sql(e)})")
+            parts.append(_marked_sql(text))
+        selects.append(_sum_sql(name, parts, f"'{name}' AS table_name, "))
     return "\nUNION ALL ".join(selects)
 
 
+def _sum_sql(table_sql: str, parts: list[str], first: str = "") -> str:
+    return (
+        f"SELECT {first}count(*) AS row_count, CAST(sum("
+        f"CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END"
+        f") AS VARCHAR) AS fingerprint FROM ("
+        f"SELECT CAST(CAST('0x' || substr(md5({' || '.join(parts)}), 1, 16) AS UBIGINT)"
+        f" AS HUGEINT) AS h FROM {table_sql})"
+    )
+
+
+def fingerprint_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """The portable fingerprint of the documents' words as arrays, with commas and NULL in them."""
+    words = F.transform(
+        F.split("text", " "), lambda w: F.when(F.length(w) % 5 != 0, w)
+    )
+    rows = table(spark, folder, "documents").select("doc_id", words.alias("words"))
+    return profile.fingerprint(rows, "portable").withColumn(
+        "fingerprint", F.col("fingerprint").cast("string")
+    )
+
+
+def fingerprint_native(spark: SparkSession, folder: str) -> DataFrame:
+    """The native fingerprint of every table and of a shuffled copy with its columns' hashes."""
+    tables = {name: table(spark, folder, name) for name in TABLES}
+    found = profile.table_fingerprints(tables)
+    dealt = {name: df.repartition(7) for name, df in tables.items()}
+    again = profile.table_fingerprints(dealt).withColumnRenamed("fingerprint", "other")
+    same = F.col("fingerprint") == F.col("other")
+    return found.join(again, ["table_name", "row_count"]).select(
+        "table_name", "row_count", same.alias("same")
+    )
+
+
+_ARRAYS_SQL = _sum_sql(
+    "(SELECT doc_id, list_transform(string_split(text, ' '),"
+    " lambda w: CASE WHEN length(w) % 5 <> 0 THEN w END) AS words FROM documents)",
+    [_marked_sql("CAST(doc_id AS VARCHAR)"), _marked_sql(_array_sql("words", str))],
+)
+_NATIVE_SQL = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS row_count, TRUE AS same FROM {name}" for name in TABLES
+)
+
+
 def table_set(spark: SparkSession, folder: str) -> DataFrame:
     """The tables of two schemas, without one of them, and their rows."""
     tables = source(spark, folder)
@@ -251,6 +308,8 @@ QUERIES = {
     "table_profile_one_pass": (table_profile_one_pass, _profile_sql(False)),
     "table_profile": (table_profile, _profile_sql()),
     "table_fingerprint": (table_fingerprint, _fingerprint_sql()),
+    "fingerprint_arrays": (fingerprint_arrays, _ARRAYS_SQL),
+    "fingerprint_native": (fingerprint_native, _NATIVE_SQL),
     "table_set": (table_set, TABLE_SET_SQL),
     "select_tables": (select_tables, _PART_SELECTION_SQL),
     "select_tables_by_schema": (

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablekeep.functions.listing import is_blank, parse_line, split_lines
-from tablekeep.functions.naming import base_name
-from tablekeep.sources import files
-from tablekeep.sources.small import small_frame
+from tablekeep.sources.listing import listing
 
 
 def _one_slash(path: Column) -> Column:
@@ -17,40 +13,15 @@ def _one_slash(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-_LISTED = "name string, millis bigint, size_bytes bigint, path string"
-
-
 def list_files(
     spark: SparkSession, prefix: str, pattern: str | None = None, recursive: bool = False
 ) -> DataFrame:
-    """Files below a prefix as (name, modified_at, size_bytes, path).
+    """Files below a prefix as (name, modified_at, size_bytes, path), empty ones included.
 
-    Only file metadata is read: the content column is pruned from the scan. Scans
-    pass over files of no length, which a listing must show above all, so those
-    are looked up one by one.
+    Folders are listed side by side in tasks, see ``sources.listing``; no path
+    goes through the driver, and conditions on names and times are tested there.
     """
-    reader = spark.read.format("binaryFile")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    scan = reader.load(prefix)
-    found = scan.select(
-        base_name(F.col("path")).alias("name"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("modified_at"),
-        F.col("length").alias("size_bytes"),
-        "path",
-    )
-    everything = small_frame(spark, [(unquote(p),) for p in scan.inputFiles()], "path string")
-    here = everything.select(_one_slash(F.col("path")).alias("path"))
-    empty = here.join(found.select("path"), "path", "left_anti").collect()
-    if not empty:
-        return found
-    rows = [(p.rsplit("/", 1)[-1], files.modified_millis(spark, p), 0, p) for (p,) in empty]
-    modified_at = F.timestamp_millis("millis").cast("timestamp_ntz").alias("modified_at")
-    return found.unionAll(
-        small_frame(spark, rows, _LISTED).select("name", modified_at, "size_bytes", "path")
-    )
+    return listing(spark, prefix, pattern, recursive)
 
 
 def lines_of(listing: DataFrame, column: str = "listing") -> DataFrame:

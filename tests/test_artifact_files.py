@@ -8,7 +8,7 @@ import pytest
 
 from tablekeep.operators.validate import publishable, validate_artifacts
 from tablekeep.plans.rotation import rotate_files
-from tablekeep.sources import files
+from tablekeep.sources import files, listing
 from tablekeep.sources.artifacts import dump_lines, list_files
 from tests.conftest import rows
 
@@ -39,9 +39,38 @@ def test_listing(spark, folder):
     assert list_files(spark, folder).count() == 7
 
 
-def test_listing_reads_no_content(spark, folder):
-    plan = list_files(spark, folder)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan
+def test_conditions_are_tested_where_files_are_listed(spark, folder):
+    os.utime(f"{folder}/notes.txt", (0, 0))
+    listed = list_files(spark, folder).where("modified_at >= TIMESTAMP_NTZ '2024-01-01'")
+    listed = listed.where("name LIKE 'backup%' AND size_bytes < 1000")
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "file_listing" in plan and "Filter" not in plan.replace("RuntimeFilters", "")
+    assert {r["name"] for r in listed.collect()} == {*DUMPS, "backup_z.sql.gz"}
+
+
+def test_folders_are_partitions_and_no_path_is_on_the_driver(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"d{i}" / "deep" / "er").mkdir(parents=True)
+        for j in range(3):
+            (tmp_path / f"d{i}" / "deep" / "er" / f"backup_{j}").write_text("x" * j)
+        (tmp_path / f"d{i}" / "_hidden").write_text("x")
+    (tmp_path / "backup_top").write_text("")
+    reader = listing.ListingReader({"path": str(tmp_path), "recursive": "true"})
+    parts = [p.folders for p in reader.partitions()]
+    assert sorted(parts) == [[(str(tmp_path), False)], *[[(f"{tmp_path}/d{i}", True)] for i in range(5)]]
+    for depth in (0, 1, 2, 3, 9):
+        found = listing.listing(spark, str(tmp_path), "backup_*", recursive=True, depth=depth)
+        assert rows(found.groupBy("size_bytes").count()) == [(0, 6), (1, 5), (2, 5)]
+
+
+def test_many_files_in_one_folder_and_odd_names(spark, tmp_path):
+    names = {f"backup_{i} ü+%20#?.gz" for i in range(12_000)}
+    for name in names:
+        (tmp_path / name).touch()
+    found = list_files(spark, f"file://{tmp_path}")
+    assert {r["name"] for r in found.collect()} == names
+    with pytest.raises(Exception, match="none"):
+        list_files(spark, f"{tmp_path}/none").collect()
 
 
 def test_listing_below_folders(spark, tmp_path):
@@ -79,7 +108,7 @@ def test_old_files_are_deleted(spark, folder, rule, left):
         os.utime(f"{folder}/backup_{name}.sql.gz", (at, at))
     os.utime(f"{folder}/notes.txt", (0, 0))
     gone = rotate_files(spark, folder, now.replace(tzinfo=None), "backup_*.sql.gz", 30, rule)
-    assert len(gone) == len(ages) - len(left)
+    assert gone.count() == len(ages) - len(left)
     there = files.children(spark, folder)
     assert "".join(n[7] for n in there if n.startswith("backup_")) == left
     assert "notes.txt" in there

@@ -44,6 +44,10 @@ def values(source, name, schema="s"):
     return sorted(r[0] for r in source.read(schema, name).collect())
 
 
+def paths(df):
+    return sorted(r["path"] for r in df.collect())
+
+
 def report(df):
     return {r["table_name"]: (r["change"], r["row_count"], r["status"]) for r in df.collect()}
 
@@ -210,7 +214,7 @@ def test_rotation_clears_orphans_and_tries_again(spark, root):
     young = f"{root}/tables/s/a/now-20291231000000000000-0123abcd"
     for path in (orphan, young):
         spark.range(1).write.parquet(path)
-    assert retention_apply(spark, root, datetime(2030, 1, 1), 30) == [orphan]
+    assert paths(retention_apply(spark, root, datetime(2030, 1, 1), 30)) == [orphan]
     assert not files.exists(spark, orphan) and files.exists(spark, young)
     kept = f"{root}/tables/s/a/kept"
     spark.range(1).write.parquet(kept)
@@ -572,13 +576,13 @@ def test_retention_deletes_planned_copies_only(spark, root):
     for day, tables in ((0, dict(a=[0], b=[0])), (3, dict(a=[1])), (6, dict(a=[2]))):
         snapshot_full(frames(spark, **tables), root, f"day{day}", DAYS[day])
     before = {(r["table_name"], r["snapshot_id"]): r["path"] for r in read_manifest(spark, root).collect()}
-    gone = rotation.retention_apply(spark, root, DAYS[8], days=3)
+    gone = paths(rotation.retention_apply(spark, root, DAYS[8], days=3))
     assert gone == sorted([before["a", "day0"], before["a", "day3"]])
     assert {k for k, p in before.items() if files.exists(spark, p)} == {("a", "day6"), ("b", "day0")}
     left = from_manifest(read_manifest(spark, root))
     assert sorted(r["name"] for r in left.collect()) == ["s.a@day6", "s.b@day0"]
     assert restore_points(left, DAYS[8]).count() == 2
-    assert rotation.retention_apply(spark, root, DAYS[8], days=3) == []
+    assert paths(rotation.retention_apply(spark, root, DAYS[8], days=3)) == []
 
 
 def test_what_replaced_and_failed_runs_left_goes_too(spark, root):
@@ -588,10 +592,10 @@ def test_what_replaced_and_failed_runs_left_goes_too(spark, root):
     bad = read_manifest(spark, root).where("status = 'failed'").first()["path"]
     snapshot_full(frames(spark, a=[2]), root, "one", DAYS[1])
     assert files.exists(spark, old)
-    assert rotation.retention_apply(spark, root, DAYS[1], days=3) == []
-    gone = rotation.retention_apply(spark, root, DAYS[8], days=3)
+    assert paths(rotation.retention_apply(spark, root, DAYS[1], days=3)) == []
+    gone = paths(rotation.retention_apply(spark, root, DAYS[8], days=3))
     assert set(gone) == {old, bad} and not files.exists(spark, old)
-    assert rotation.retention_apply(spark, root, DAYS[8], days=3) == []
+    assert paths(rotation.retention_apply(spark, root, DAYS[8], days=3)) == []
     assert values(restore.restored_tables(spark, root), "a") == [2]
 
 
