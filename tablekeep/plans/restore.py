@@ -13,6 +13,7 @@ from tablekeep.functions.hashing import quoted
 from tablekeep.operators.selection import select_tables
 from tablekeep.plans.copies import measure, read_copy, same_shape, schema_of, write_copy
 from tablekeep.plans.jobs import run_jobs
+from tablekeep.plans.journal import recover, swap
 from tablekeep.plans.manifest import copies_as_of, read_manifest
 from tablekeep.plans.snapshot import DEFAULT_PARALLELISM
 from tablekeep.sources import files
@@ -176,25 +177,6 @@ def _report(spark: SparkSession, rows: list[Row], targets: list[str]) -> DataFra
     )
 
 
-def _swap(spark: SparkSession, moves: list[tuple[str, str, str]]) -> None:
-    """Move new folders into place and what was there aside; all of them or none."""
-    done = []
-    try:
-        for new, place, aside in moves:
-            there = files.exists(spark, place)
-            if there:
-                files.rename(spark, place, aside)
-            done.append((new, place, aside if there else None))
-            files.rename(spark, new, place)
-    except Exception:
-        for new, place, aside in reversed(done):
-            if files.exists(spark, place):
-                files.rename(spark, place, new)
-            if aside:
-                files.rename(spark, aside, place)
-        raise
-
-
 def _folder(copy: Row) -> str:
     """Where a table goes below a target; what means something in a path is escaped."""
     return "/".join(quote(copy[key], safe="") for key in ("schema_name", "table_name"))
@@ -207,21 +189,6 @@ def _require_same_shape(targets: Iterable[tuple[Row, T.StructType, str]]) -> Non
         raise TargetExistsError(f"other columns than the copies: {', '.join(other)}")
 
 
-def _move_files(spark: SparkSession, moves: list[tuple[str, str]], token: str) -> None:
-    """Move the files of new folders beside those that are there; all of them or none."""
-    done = []
-    try:
-        for new, place in moves:
-            for name in files.children(spark, new):
-                target = f"{place}/{token}-{name}"
-                files.rename(spark, f"{new}/{name}", target)
-                done.append(target)
-    except Exception:
-        for target in done:
-            files.delete(spark, target)
-        raise
-
-
 def restore_to_folder(
     spark: SparkSession,
     copies: DataFrame,
@@ -237,15 +204,17 @@ def restore_to_folder(
 
     All tables are first written beside the target, and checked while they are;
     only when every one is right are they, or for ``append`` their files, renamed
-    into place: all of them or none.
+    into place: all of them or none, also if the process dies (see ``plans.journal``).
+    What an earlier restore left half done is ended first.
     """
     _mode(mode)
     target = target.rstrip("/")
+    recover(spark, target)
     rows = _rows(copies)
     places = [f"{target}/{_folder(c)}{ParquetTables.SUFFIX}" for c in rows]
     if mode == "append":
         _require_same_shape(
-            (c, spark.read.parquet(p).schema, p)
+            (c, spark.read.option("mergeSchema", "true").parquet(p).schema, p)
             for c, p in zip(rows, places)
             if files.exists(spark, p)
         )
@@ -261,16 +230,23 @@ def restore_to_folder(
         parallelism,
     )
     bad = [error for _, _, error in staged if error is not None]
-    try:
-        if not bad and mode == "append":
-            _move_files(spark, [(path, p) for (_, path, _), p in zip(staged, places)], token)
-        elif not bad:
-            old = [f"{staging}/old/{_folder(c)}" for c in rows]
-            _swap(spark, list(zip([path for _, path, _ in staged], places, old)))
-    finally:
-        files.delete(spark, staging)
     if bad:
+        files.delete(spark, staging)
         raise bad[0]
+    new = [path for _, path, _ in staged]
+    if mode == "append":
+        moves = [
+            [f"{path}/{name}", f"{place}/{token}-{name}"]
+            for path, place in zip(new, places)
+            for name in files.children(spark, path)
+        ]
+        swap(spark, target, token, "files", moves, staging)
+    else:
+        moves = [
+            [path, place, f"{staging}/old/{_folder(c)}", place in taken]
+            for c, path, place in zip(rows, new, places)
+        ]
+        swap(spark, target, token, "folders", moves, staging)
     return _report(spark, rows, places)
 
 
@@ -288,10 +264,14 @@ def restore_to_catalog(
     the catalog is touched; then the catalog is pointed at it. No file is renamed,
     which suits object stores, and the folder a replaced table used stays. Tables
     whose files the catalog would delete with them (managed ones) are not replaced.
-    A new table is made under another name before the old entry goes. ``append``
-    inserts into the tables that are there, if their columns are the same.
+    New tables are made under other names first; then all entries are renamed, or
+    none, also if the process dies (see ``plans.journal``): the next restore to the
+    location ends it. ``append`` inserts into the tables that are there, if their
+    columns are the same.
     """
     _mode(mode)
+    location = location.rstrip("/")
+    recover(spark, location)
     rows = _rows(copies)
     names = [f"{quoted(database or c['schema_name'])}.{quoted(c['table_name'])}" for c in rows]
     there = {name: spark.catalog.tableExists(name) for name in names}
@@ -318,22 +298,19 @@ def restore_to_catalog(
         lambda pair: _stage(
             spark,
             pair[0],
-            f"{location.rstrip('/')}/{_folder(pair[0])}-{token}",
+            f"{location}/{_folder(pair[0])}-{token}",
         ),
         fresh,
         parallelism,
     )
     _raise_first(staged)
-    made = []
-    for number, ((copy, name), path, _) in enumerate(staged):
-        schema = schema_of(copy["schema_json"])
-        new = f"{quoted(database or copy['schema_name'])}.`restore_{token}_{number}`"
-        spark.catalog.createTable(new, path=path, source="parquet", schema=schema)
-        made.append((new, name))
-    for new, name in made:
-        # The files stay where they are: the entries have locations of their own.
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    moves = []
+    for number, ((copy, _), path, _) in enumerate(staged):
+        home, schema = database or copy["schema_name"], schema_of(copy["schema_json"])
+        new = f"restore_{token}_{number}"
+        spark.catalog.createTable(f"{quoted(home)}.{quoted(new)}", path=path, source="parquet", schema=schema)
+        moves.append([home, new, copy["table_name"], f"{new}_old"])
+    swap(spark, location, token, "tables", moves)
     _raise_first(
         run_jobs(
             spark,
