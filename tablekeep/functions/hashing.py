@@ -210,14 +210,17 @@ def portable_row_hash(schema: T.StructType, columns: list[str] | None = None) ->
     Without ``columns`` every column has to have such a form.
     """
     names = columns or [f.name for f in schema.fields]
+    digest = F.md5(portable_key_text(schema, names))
+    return F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint")
+
+
+def portable_key_text(schema: T.StructType, names: list[str]) -> Column:
+    """The text that :func:`portable_row_hash` hashes; different for different values."""
     unknown = set(names) - set(portable_columns(schema))
     if unknown:
         raise ValueError(f"no portable text form for columns {sorted(unknown)}")
-    parts = []
-    for name in names:
-        parts.append(_marked(_portable_text(column_of(name), schema[name].dataType)))
-    digest = F.md5(F.concat(*parts)) if parts else F.md5(F.lit(""))
-    return F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint")
+    parts = [_marked(_portable_text(column_of(name), schema[name].dataType)) for name in names]
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def fingerprint_parts(hash64: Column) -> list[Column]:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Sequence
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tablekeep.functions.hashing import fingerprint_parts, free_name, row_hash
+from tablekeep.operators.change import row_delta
+from tablekeep.operators.hashtree import TREE, bucket_of, different_buckets, leaves, levels, tree
+from tablekeep.sources import files
 
 # Time formats that keep microseconds in text copies.
 TEXT_TIMES = {
@@ -42,27 +46,102 @@ def write_copy(
     compression: str | None = None,
     mode: str = "errorifexists",
     max_records_per_file: int = 0,
+    buckets: int = 0,
+    keys: Sequence[str] = (),
 ) -> dict:
     """Write a table and return its row_count and fingerprint.
 
     Both are observed while the rows stream into the writer, so the table is read
     once. The observation sits in the write's own stage, whose tasks count once
-    even if they are run again.
+    even if they are run again. With ``buckets`` the copy is laid out by buckets of
+    its keys (see ``operators.hashtree``), with the tree of their fingerprints
+    beside it: what is made from the files read back, and so checks them.
     """
+    if buckets and format != "parquet":
+        raise ValueError("only parquet copies have buckets")
     if format == "json" and not _fits_text(df.schema):
         raise ValueError("text copies hold no variants and only maps with string keys")
     options = {**FORMATS[format]["write"], "maxRecordsPerFile": str(max_records_per_file)}
     if compression:
         options["compression"] = compression
-    seen = Observation()
-    own = free_name(df.columns, "hash64")
-    watched = (
-        df.withColumn(own, row_hash(df.schema))
-        .observe(seen, *fingerprint_parts(F.col(own)))
-        .drop(own)
+    seen, none = Observation(), {"row_count": 0, "fingerprint": Decimal(0)}
+    own, name = free_name(df.columns, "hash64"), bucket_column(df.columns)
+    if buckets:
+        rows = df.withColumn(name, bucket_of(df, keys, buckets)).hint("rebalance", name)
+    else:
+        rows = df
+    watched = rows.withColumn(own, row_hash(df.schema)).observe(seen, *fingerprint_parts(F.col(own)))
+    writer = watched.drop(own).write.format(format).options(**options).mode(mode)
+    if not buckets:
+        writer.save(path)
+        return {**none, **seen.get}  # nothing is seen of no rows
+    writer.partitionBy(name).save(path)
+    written = {**none, **seen.get}
+    _write_tree(df.sparkSession, path, df.schema, buckets, list(keys), written)
+    return written
+
+
+def bucket_column(names: Iterable[str]) -> str:
+    """The column that says a row's bucket: ``bucket`` unless the table has one."""
+    low, name = {n.lower() for n in names}, "bucket"
+    while name in low:
+        name += "_"
+    return name
+
+
+def _write_tree(
+    spark: SparkSession, path: str, schema: T.StructType, buckets: int, keys: list[str], written: dict
+) -> None:
+    stored = tree(leaves(read_buckets(spark, path, schema), bucket_column(schema.names)), buckets)
+    stored.coalesce(1).sortWithinPartitions("level", "node").write.parquet(f"{path}/_tree")
+    root = read_tree(spark, path).where(F.col("level") == levels(buckets)).first()
+    found = {k: root[k] for k in written} if root else {"row_count": 0, "fingerprint": Decimal(0)}
+    if found != written:
+        raise ValueError(f"{path} holds {found}, written were {written}")
+    files.write_new(spark, f"{path}/_tree.json", json.dumps({"buckets": buckets, "keys": keys}).encode())
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A copy laid out by buckets, with their column; conditions on it choose folders."""
+    with_bucket = T.StructType([*schema.fields, T.StructField(bucket_column(schema.names), T.IntegerType())])
+    return spark.read.schema(with_bucket).parquet(path)
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TREE).parquet(f"{path}/_tree")
+
+
+def tree_layout(spark: SparkSession, path: str) -> dict | None:
+    """``buckets`` and ``keys`` of a copy that has a tree."""
+    if not files.exists(spark, f"{path}/_tree.json"):
+        return None
+    return json.loads(files.read_bytes(spark, f"{path}/_tree.json"))
+
+
+def changed_buckets(spark: SparkSession, old_path: str, new_path: str) -> list[int]:
+    """The buckets in which two copies of a table differ, from their trees alone."""
+    layout = tree_layout(spark, new_path)
+    if layout is None or layout != tree_layout(spark, old_path):
+        raise ValueError("both copies need a tree of the same buckets and keys")
+    return different_buckets(read_tree(spark, old_path), read_tree(spark, new_path), layout["buckets"])
+
+
+def differing_parts(
+    spark: SparkSession, old_path: str, new_path: str, schema: T.StructType
+) -> tuple[DataFrame, DataFrame]:
+    """What two copies of one schema hold in the buckets in which they differ; no other is read."""
+    chosen = changed_buckets(spark, old_path, new_path)
+    name = bucket_column(schema.names)
+    old, new = (
+        read_buckets(spark, path, schema).where(F.col(name).isin(chosen)).drop(name)
+        for path in (old_path, new_path)
     )
-    watched.write.format(format).options(**options).mode(mode).save(path)
-    return {"row_count": 0, "fingerprint": Decimal(0), **seen.get}  # nothing is seen of no rows
+    return old, new
+
+
+def copy_delta(spark: SparkSession, old_path: str, new_path: str, schema: T.StructType) -> DataFrame:
+    """:func:`row_delta` of two copies, which reads and shuffles differing buckets only."""
+    return row_delta(*differing_parts(spark, old_path, new_path, schema))
 
 
 def schema_of(schema_json: str) -> T.StructType:
@@ -73,6 +152,7 @@ def schema_of(schema_json: str) -> T.StructType:
 def read_copy(spark: SparkSession, path: str, format: str, schema_json: str) -> DataFrame:
     """A copy with the schema it was written with."""
     reader = spark.read.format(format).options(**FORMATS[format]["read"])
+    reader = reader.option("recursiveFileLookup", "true")  # buckets are no column
     return reader.schema(schema_of(schema_json)).load(path)
 
 

@@ -90,7 +90,8 @@ def _check(spark: SparkSession, copy: Row) -> dict:
     """
     known = schema_of(copy["schema_json"])
     if copy["format"] == "parquet" and copy["row_count"]:
-        stored = spark.read.option("mergeSchema", "true").parquet(copy["path"]).schema
+        reader = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true")
+        stored = reader.parquet(copy["path"]).schema
         has_schema = same_shape(stored, known)
     else:
         has_schema = True

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
@@ -45,6 +46,9 @@ class SnapshotOptions:
     ``raise`` (after all tables were tried) or ``record``. With ``verify`` every
     copy is read again before the manifest calls it good. Without, its row count
     and fingerprint are noted as it is written, and whatever restores it checks it.
+    ``buckets`` lays copies out by buckets with a hash tree, so that two copies can be
+    compared by reading what differs; ``keys`` (table name -> columns) say by what,
+    and a table without keys is laid out by whole rows.
     """
 
     format: str = "parquet"
@@ -53,6 +57,8 @@ class SnapshotOptions:
     parallelism: int = DEFAULT_PARALLELISM
     on_error: str = "raise"
     verify: bool = False
+    buckets: int = 0
+    keys: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -105,6 +111,8 @@ class _Run:
             format=options.format,
             compression=options.compression,
             max_records_per_file=options.max_records_per_file,
+            buckets=options.buckets,
+            keys=options.keys.get(table[1], ()),
         )
         schema_json = df.schema.json()
         if options.verify:

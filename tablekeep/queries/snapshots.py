@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablekeep.operators import change, selection
 from tablekeep.operators.catalogue import from_manifest, restore_points, snapshots
 from tablekeep.plans import restore
+from tablekeep.plans.copies import changed_buckets, copy_delta, differing_parts, schema_of
 from tablekeep.plans.manifest import copies_as_of, read_manifest
 from tablekeep.plans.rotation import retention_apply as apply_retention
 from tablekeep.plans.snapshot import (
@@ -21,8 +22,9 @@ from tablekeep.plans.snapshot import (
 )
 from tablekeep.plans.workflow import back_up, restore_snapshot
 from tablekeep.queries.common import SCHEMAS, TABLES, source, table
-from tablekeep.queries.tables import NEW_LINEITEM_SQL, new_lineitem
+from tablekeep.queries.tables import NEW_LINEITEM_SQL, delta_sql, new_lineitem
 from tablekeep.session import scratch_folder
+from tablekeep.sources.small import small_frame
 from tablekeep.sources.tables import CatalogTables, FrameTables, TableSource
 from tablekeep.streaming.incremental import append_new_files, new_files
 
@@ -296,6 +298,68 @@ def restore_by_name(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{root}/restored/sales/lineitem.parquet")
 
 
+KEYS = {
+    "benchmark": ["item_id"], "conversations": ["conv_id"], "customer": ["c_custkey"],
+    "documents": ["doc_id"], "embeddings": ["vec_id"], "events": ["event_id"], "labels": ["doc_id"],
+    "lineitem": ["l_orderkey"], "nation": ["n_nationkey"], "orders": ["o_orderkey"],
+    "pages": ["page_id"], "part": ["p_partkey"], "region": ["r_regionkey"], "supplier": ["s_suppkey"],
+}
+
+
+def _bucketed_days(spark: SparkSession, folder: str, later: dict) -> tuple[dict, dict]:
+    """Copies with hash trees of all tables and of a later state, by table name."""
+    root = scratch_folder(spark, "trees")
+    options = SnapshotOptions(buckets=64, keys=KEYS)
+    today = _present(spark, folder)
+    take_full(today, root, "day1", DAY_1, options=options)
+    take_full(FrameTables(spark, {**today.frames, **later}), root, "day2", DAY_2, options=options)
+    rows = read_manifest(spark, root).collect()
+    return tuple(
+        {r["table_name"]: r for r in rows if r["snapshot_id"] == day} for day in ("day1", "day2")
+    )
+
+
+def bucket_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """Row deltas of line items from two copies, by the buckets that differ in their trees."""
+    old, new = _bucketed_days(spark, folder, {("sales", "lineitem"): new_lineitem(spark, folder)})
+    schema = schema_of(old["lineitem"]["schema_json"])
+    return copy_delta(spark, old["lineitem"]["path"], new["lineitem"]["path"], schema)
+
+
+def _one_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items of which the last order is taken back."""
+    lines = table(spark, folder, "lineitem")
+    last = lines.agg(F.max("l_orderkey").alias("last"))
+    returned = F.when(F.col("l_orderkey") == F.col("last"), "X").otherwise(F.col("l_returnflag"))
+    return lines.join(last).withColumn("l_returnflag", returned).drop("last")
+
+
+def bucket_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Per table how many buckets differ after one order was changed, and which rows are read."""
+    old, new = _bucketed_days(spark, folder, {("sales", "lineitem"): _one_order(spark, folder)})
+    found = []
+    for name in TABLES:
+        paths = old[name]["path"], new[name]["path"]
+        buckets = changed_buckets(spark, *paths)
+        parts = differing_parts(spark, *paths, schema_of(old[name]["schema_json"]))
+        read = sum(part.count() for part in parts)
+        few = 10 * read < old[name]["row_count"] + new[name]["row_count"]
+        found.append((name, buckets, old[name]["row_count"], few))
+    ddl = "table_name string, buckets array<int>, row_count bigint, few_read boolean"
+    return small_frame(spark, found, ddl)
+
+
+_TREE_SQL = "\nUNION ALL ".join(
+    f"SELECT '{n}' AS table_name, CAST({'[]' if n != 'lineitem' else _bucket} AS INTEGER[]) AS buckets,"
+    f" count(*) AS row_count, count(*) > 0 AS few_read FROM {n}"
+    for n in TABLES
+    for _bucket in [
+        "[CAST(CAST('0x' || substr(md5(length(CAST(max(l_orderkey) AS VARCHAR)) || ':'"
+        " || CAST(max(l_orderkey) AS VARCHAR)), 1, 8) AS UINTEGER) AS BIGINT) % 64]"
+    ]
+)
+
+
 def backup_run(spark: SparkSession, folder: str) -> DataFrame:
     """Two verified runs; the first is out of retention once the second is done."""
     root, tables = scratch_folder(spark, "run"), source(spark, folder)
@@ -542,6 +606,8 @@ QUERIES = {
     ),
     "snapshot_list": (snapshot_list, _LIST_SQL),
     "restore_by_name": (restore_by_name, "SELECT * FROM lineitem"),
+    "bucket_delta": (bucket_delta, delta_sql("SELECT * FROM lineitem", NEW_LINEITEM_SQL)),
+    "bucket_tree": (bucket_tree, _TREE_SQL),
     "backup_run": (
         backup_run,
         _counts_sql(TABLES, "'march' AS snapshot_id, 'ok' AS status"),

@@ -277,7 +277,7 @@ def row_delta_digest(spark: SparkSession, folder: str) -> DataFrame:
     return change.row_delta(old, new, "digest")
 
 
-def _delta_sql(old: str, new: str) -> str:
+def delta_sql(old: str, new: str) -> str:
     return f"""
 WITH old AS ({old}), new AS ({new})
 SELECT 'inserted' AS change, count(*) AS copies, * FROM
@@ -317,10 +317,10 @@ QUERIES = {
         f"SELECT schema_name, count(*) AS tables FROM ({_PART_SELECTION_SQL}) GROUP BY 1",
     ),
     "changed_since": (changed_since, CHANGED_SINCE_SQL),
-    "row_delta": (row_delta, _delta_sql(OLD_LINEITEM_SQL, NEW_LINEITEM_SQL)),
-    "row_delta_digest": (row_delta_digest, _delta_sql(OLD_LINEITEM_SQL, NEW_LINEITEM_SQL)),
+    "row_delta": (row_delta, delta_sql(OLD_LINEITEM_SQL, NEW_LINEITEM_SQL)),
+    "row_delta_digest": (row_delta_digest, delta_sql(OLD_LINEITEM_SQL, NEW_LINEITEM_SQL)),
     "row_delta_documents": (
         row_delta_documents,
-        _delta_sql("SELECT * FROM documents", NEW_DOCUMENTS_SQL),
+        delta_sql("SELECT * FROM documents", NEW_DOCUMENTS_SQL),
     ),
 }
