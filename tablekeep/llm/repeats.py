@@ -16,7 +16,7 @@ removed wherever it is. Sorting all suffixes of a corpus at once is not needed f
    longer common strings, with fewer windows each, as often as needed; at the end stand single
    windows, which need to be counted only.
 
-Two hashes of 64 bits stand for equal contexts in step 2; step 3 compares bytes.
+Two hashes of 64 bits stand for equal contexts in step 2 and for equal texts; step 3 compares bytes.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from tablekeep.llm.suffix_sort import common_prefixes, suffix_array
 
 LENGTH = 200
 CHUNK = 1 << 18  # windows hashed together
+TEXT = ["key", "twin", "size"]
+SALTS = 64  # parts that the places of one context are dealt into
 GROUP = 8192  # contexts of one anchor that are sorted together
 SPLIT = 5  # parts that the windows of a larger group are dealt out to
 SYMBOLS = 100_000  # in one suffix array
@@ -215,7 +217,8 @@ class _Contexts:
 
 
 class _Finder:
-    """The steps of the search over one frame of texts, ``key`` and ``size`` naming a text."""
+    """The steps of the search over one frame of texts; ``TEXT``, 128 bits of hashes and the size,
+    names a text."""
 
     def __init__(self, texts: DataFrame, length: int, group: int):
         self.texts, self.length, self.group = texts, length, group
@@ -223,29 +226,34 @@ class _Finder:
         self.margin = length - self.k
 
     def spans(self) -> DataFrame:
-        """``key``, ``size`` and the repeated ``spans`` of each text that has any."""
+        """The repeated ``spans`` of each text that has any."""
         repeated = settled(
             self.anchor_hashes().groupBy("kh").agg(F.count("*").alias("n")).filter("n > 1")
             .select("kh"),
             "repeat-anchors",
         )
         found = self.occurrences(bitmap(repeated, "kh")).join(repeated, "kh")
+        # places are counted by context and salt first, so that those of a common context, which
+        # may be a third of all, are never together
+        found = found.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
         found = settled(found, "repeat-occurrences")
-        contexts = found.groupBy("kh", "ch").agg(
-            F.count("*").alias("c"), F.min(F.struct("key", "size", "pos")).alias("at")
+        place = F.struct(*TEXT, "pos")
+        parts = found.groupBy("kh", "ch", "salt").agg(F.count("*").alias("c"), F.min(place).alias("at"))
+        contexts = parts.groupBy("kh", "ch").agg(
+            F.sum("c").alias("c"), F.min("at").alias("at"), F.collect_list("salt").alias("salts")
         )
         contexts = settled(contexts, "repeat-contexts")
-        copied = found.join(contexts.filter("c > 1").select("kh", "ch"), ["kh", "ch"])
+        copies = contexts.filter("c > 1").select("kh", "ch", F.explode("salts").alias("salt"))
+        copied = found.join(copies, ["kh", "ch", "salt"])
         start, end = self.window(F.col("pos"), F.col("size"))
-        copied = copied.select("key", "size", start.alias("start"), end.alias("end"))
+        copied = copied.select(*TEXT, start.alias("start"), end.alias("end"))
+        contexts = contexts.drop("salts")
         groups = contexts.groupBy("kh").agg(F.count("*").alias("m"), F.min("c").alias("least"))
         groups = groups.filter("m > 1 and least = 1").select("kh", "m")
         wanted = contexts.join(groups, "kh").select("kh", "m", "c", "at.*")
         sorted_out = self.compared(self.with_bytes(settled(wanted, "repeat-wanted")))
         spans = copied.filter(F.col("end") - F.col("start") >= self.length).unionByName(sorted_out)
-        spans = spans.groupBy("key", "size").agg(
-            F.collect_set(F.struct("start", "end")).alias("spans")
-        )
+        spans = spans.groupBy(*TEXT).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
         return settled(spans, "repeat-spans")
 
     def window(self, pos, size):
@@ -273,8 +281,8 @@ class _Finder:
         def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Anchors(length)
             digest = xxhash.xxh3_64_intdigest
-            for batch in slices(batches, 2):
-                data, bounds = layout(text_column(batch, 2))
+            for batch in slices(batches, 3):
+                data, bounds = layout(text_column(batch, 3))
                 owner, at, hashes = finder.find(data, bounds)
                 keep = in_bitmap(bits, hashes)
                 owner, at, hashes = owner[keep], at[keep], hashes[keep]
@@ -290,42 +298,42 @@ class _Finder:
                     [
                         pa.array(hashes.view(np.int64)),
                         pa.array(np.array(around, np.uint64).view(np.int64)),
-                        batch.column(0).take(rows),
-                        batch.column(1).take(rows),
+                        *[batch.column(i).take(rows) for i in range(3)],
                         pa.array((at - bounds[owner]).astype(np.int32)),
                     ],
-                    names=["kh", "ch", "key", "size", "pos"],
+                    names=["kh", "ch", *TEXT, "pos"],
                 )
 
-        return self.texts.select("key", "size", "text").mapInArrow(
-            located, "kh long, ch long, key long, size int, pos int"
+        return self.texts.select(*TEXT, "text").mapInArrow(
+            located, "kh long, ch long, key long, twin long, size int, pos int"
         )
 
     def with_bytes(self, wanted: DataFrame) -> DataFrame:
         """The wanted contexts with their bytes, taken from one text each."""
         k, margin = self.k, self.margin
-        places = wanted.groupBy("key", "size").agg(
+        places = wanted.groupBy(*TEXT).agg(
             F.collect_list(F.struct("kh", "m", "c", "pos")).alias("places")
         )
-        texts = held_texts(self.texts.select("key", "size", "text"), bitmap(wanted, "key"), True)
-        joined = texts.join(places, ["key", "size"]).select("key", "size", "packed", "places")
+        texts = held_texts(self.texts.select(*TEXT, "text"), bitmap(wanted, "key"))
+        # a shuffle in any case: two Python steps in one task would take two workers
+        joined = texts.join(places.hint("merge"), TEXT).select(*TEXT, "packed", "places")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpack = zstandard.ZstdDecompressor()
             seen = None
             for batch in batches:
                 for row in range(batch.num_rows):
-                    key, size, packed, places = (batch.column(i)[row].as_py() for i in range(4))
-                    if (key, size) == seen:  # copies lie next to each other
+                    *name, packed, places = (batch.column(i)[row].as_py() for i in range(5))
+                    if name == seen:  # copies lie next to each other
                         continue
-                    seen = (key, size)
+                    seen = name
                     text = unpack.decompress(packed)
                     out = []
                     for place in places:
                         pos = place["pos"]
                         left = min(margin, pos)
                         out.append(
-                            (place["kh"], place["m"], place["c"], key, size, pos, left,
+                            (place["kh"], place["m"], place["c"], *name, pos, left,
                              text[pos - left : pos + k + margin])
                         )
                     yield pa.RecordBatch.from_arrays(
@@ -334,10 +342,10 @@ class _Finder:
 
         found = joined.mapInArrow(cut, _CONTEXT_SCHEMA)
         # a text whose copies came to several tasks was cut more than once
-        return settled(found.dropDuplicates(["key", "size", "pos"]), "repeat-bytes")
+        return settled(found.dropDuplicates([*TEXT, "pos"]), "repeat-bytes")
 
     def compared(self, contexts: DataFrame) -> DataFrame:
-        """``key``, ``size``, ``start``, ``end`` of what single contexts share with others."""
+        """The text, ``start`` and ``end`` of what single contexts share with others."""
         limit = self.group
         small = contexts.filter(F.col("m") <= limit).withColumn("unit", F.col("kh"))
         spans = self.sorted_units(small)
@@ -351,7 +359,7 @@ class _Finder:
             sizes = dealt.groupBy("unit").agg(F.count("*").alias("m")).filter("m > 1")
             sized = settled(dealt.drop("m").join(settled(sizes, "repeat-units"), "unit"), "repeat-sized")
             single = sized.filter("lo = hi and c = 1").select(
-                "key", "size", (F.col("pos") - F.col("lo")).alias("start")
+                *TEXT, (F.col("pos") - F.col("lo")).alias("start")
             )
             spans = spans.unionByName(
                 single.withColumn("end", F.col("start") + self.length)
@@ -385,7 +393,7 @@ class _Finder:
     def sorted_units(self, rows: DataFrame) -> DataFrame:
         """Spans from the suffix arrays of the units' contexts."""
         k, length = self.k, self.length
-        rows = rows.select("unit", "c", "key", "size", "pos", "left", "context")
+        rows = rows.select("unit", "c", *TEXT, "pos", "left", "context")
         rows = rows.repartition("unit").sortWithinPartitions("unit")
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,15 +406,13 @@ class _Finder:
             if text.contexts:
                 yield _span_rows(text, k)
 
-        return rows.mapInArrow(found, "key long, size int, start int, end int")
+        return rows.mapInArrow(found, "key long, twin long, size int, start int, end int")
 
 
-_CONTEXT_NAMES = ["kh", "m", "c", "key", "size", "pos", "left", "context"]
-_CONTEXT_TYPES = [
-    pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()
-]
+_CONTEXT_NAMES = ["kh", "m", "c", *TEXT, "pos", "left", "context"]
+_CONTEXT_TYPES = [*[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary()]
 _CONTEXT_SCHEMA = (
-    "kh long, m long, c long, key long, size int, pos int, left int, context binary"
+    "kh long, m long, c long, key long, twin long, size int, pos int, left int, context binary"
 )
 
 
@@ -417,56 +423,49 @@ def _parts(lo: int, hi: int) -> list[tuple[int, int]]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The contexts of each unit: ((count, key, size, position), bytes left, context)."""
+    """The contexts of each unit: ((count, key, twin, size, position), bytes left, context)."""
     unit, held = None, []
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
-        for own, c, key, size, pos, left, context in zip(*columns):
+        for own, c, key, twin, size, pos, left, context in zip(*columns):
             if own != unit and held:
                 yield held
                 held = []
             unit = own
-            held.append(((c, key, size, pos), left, context))
+            held.append(((c, key, twin, size, pos), left, context))
     if held:
         yield held
 
 
 def _span_rows(text: _Contexts, k: int) -> pa.RecordBatch:
     rows = [
-        (key, size, pos - before, pos + k + after)
-        for (c, key, size, pos), before, after in text.repeats()
+        (key, twin, size, pos - before, pos + k + after)
+        for (c, key, twin, size, pos), before, after in text.repeats()
         if c == 1  # the others are repeated as a whole
     ]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    columns = list(zip(*rows)) or [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    columns = list(zip(*rows)) or [()] * 5
     return pa.RecordBatch.from_arrays(
-        [pa.array(x, t) for x, t in zip(columns, kinds)], ["key", "size", "start", "end"]
+        [pa.array(x, t) for x, t in zip(columns, kinds)], [*TEXT, "start", "end"]
     )
 
 
-def held_texts(rows: DataFrame, bits: np.ndarray, held: bool) -> DataFrame:
-    """Rows (``key`` first, ``text`` last) whose key's bit is set, with the text ``packed``.
-
-    Packed texts take less of the shuffle that follows. Without ``held``: the other rows, unpacked.
-    """
+def held_texts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows (``key`` first, ``text`` last) whose key's bit is set, with the text ``packed``, which takes
+    less of the shuffle that follows."""
     names = rows.columns
-    fields = rows.schema.fields[:-1] + (
-        [T.StructField("packed", T.BinaryType())] if held else [rows.schema.fields[-1]]
-    )
+    fields = rows.schema.fields[:-1] + [T.StructField("packed", T.BinaryType())]
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, len(names) - 1):
-            keys = batch.column(names.index("key")).to_numpy()
-            batch = batch.filter(pa.array(in_bitmap(bits, keys) == held))
+            batch = batch.filter(pa.array(in_bitmap(bits, batch.column(0).to_numpy())))
             if not batch.num_rows:
                 continue
-            if held:
-                packed = [pack.compress(t.as_buffer()) for t in batch.column(len(names) - 1)]
-                batch = pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(packed, pa.binary())], [*names[:-1], "packed"]
-                )
-            yield batch
+            packed = [pack.compress(t.as_buffer()) for t in batch.column(len(names) - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(packed, pa.binary())], [*names[:-1], "packed"]
+            )
 
     return rows.mapInArrow(chosen, T.StructType(fields))
 
@@ -512,6 +511,7 @@ def remove_repeats(
     others = [k for k in keys if k != keys[at]]
     rows = plain.select(
         F.xxhash64(whole).alias("key"),
+        F.xxhash64(F.lit(1), whole).alias("twin"),
         F.octet_length(whole).alias("size"),
         is_null.alias("null"),
         *others,
@@ -519,7 +519,7 @@ def remove_repeats(
     )
     spans = _Finder(rows, length, group).spans()
     bits = bitmap(spans, "key")
-    touched = held_texts(rows, bits, True).join(spans, ["key", "size"], "left")
+    touched = held_texts(rows, bits).join(spans.hint("merge"), TEXT, "left")
     schema = T.StructType(
         [plain.schema[k] for k in others]
         + [plain.schema[keys[at]]] * with_texts
@@ -538,21 +538,26 @@ def remove_repeats(
         + [T.StructField("kept_text", T.StringType())] * with_texts
     )
     touched = touched.select("null", *others, "packed", "spans")
-    touched = touched.mapInArrow(_judged(len(others), True, with_texts, schema.names), schema)
-    clean = held_texts(rows, bits, False).select("null", *others, "text")
-    clean = clean.mapInArrow(_judged(len(others), False, with_texts, schema.names), schema)
+    touched = touched.mapInArrow(_judged(len(others), None, with_texts, schema.names), schema)
+    clean = rows.select("null", *others, "text", "key")
+    clean = clean.mapInArrow(_judged(len(others), bits, with_texts, schema.names), schema)
     result = touched.unionByName(clean)
     left = [(k, n) for k, n in zip(keys, names) if k in schema.names]
     new = [n for n in ADDED if n in schema.names]
     return result.select(*[k for k, _ in left], *new).toDF(*[n for _, n in left], *new)
 
 
-def _judged(others: int, packed: bool, with_texts: bool, names: list[str]):
+def _judged(others: int, bits: np.ndarray | None, with_texts: bool, names: list[str]):
+    """What stays of packed texts with their spans or, given a bitmap, of the texts that it lets
+    through, which have none."""
     removed_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        packed = bits is None
         for batch in slices(batches, others + 1):
+            if not packed:
+                batch = batch.filter(pa.array(~in_bitmap(bits, batch.column(others + 2).to_numpy())))
             texts, sizes, kept, runs = [], [], [], []
             nulls = batch.column(0).to_pylist()
             spans = batch.column(others + 2).to_pylist() if packed else [None] * len(nulls)
