@@ -43,7 +43,7 @@ END_ID = 2
 WINDOW_TOKENS = 1 << 20
 CARRIED = 16  # sequences' worth of pieces that wait for the next window
 CACHED_WORDS = 250_000
-TEXT_BYTES = 4 << 20  # of texts encoded together
+TEXT_BYTES = 1 << 20  # of texts encoded together
 
 # fixed values: how the tokenizer file describes white space and word splitting
 NORMALIZER = {
