@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.operators import change, selection
 from tablekeep.operators.catalogue import from_manifest, restore_points, snapshots
+from tablekeep.operators.profile import union_all
 from tablekeep.plans import restore
 from tablekeep.plans.copies import changed_buckets, copy_delta, differing_parts, schema_of
 from tablekeep.plans.manifest import copies_as_of, read_manifest
@@ -22,10 +23,19 @@ from tablekeep.plans.snapshot import (
 )
 from tablekeep.plans.workflow import back_up, restore_snapshot
 from tablekeep.queries.common import SCHEMAS, TABLES, source, table
-from tablekeep.queries.tables import NEW_LINEITEM_SQL, delta_sql, new_lineitem
+from tablekeep.queries.tables import (
+    NEW_LINEITEM_SQL,
+    delta_sql,
+    marked_sql,
+    new_lineitem,
+    portable_fingerprints,
+    portable_sql,
+    sum_sql,
+)
 from tablekeep.session import scratch_folder
+from tablekeep.sources import files
 from tablekeep.sources.small import small_frame
-from tablekeep.sources.tables import CatalogTables, FrameTables, TableSource
+from tablekeep.sources.tables import CatalogTables, FrameTables, ParquetTables, TableSource
 from tablekeep.streaming.incremental import append_new_files, new_files
 
 DAY_1, DAY_2, DAY_3 = datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 3)
@@ -179,24 +189,50 @@ def validate_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _two_days(spark: SparkSession, folder: str, label: str) -> str:
+    """All tables on one day, and what changed of them on the next."""
     root = scratch_folder(spark, label)
-    names = ["lineitem", "nation", "customer"]
-    tables = source(spark, folder)
-    take_full(tables, root, "day1", DAY_1, _only(tables, names))
-    frames = later_tables(spark, folder).frames
-    later = {key: frames[key] for key in frames if key[1] in (*names, "segment")}
-    take_incremental(FrameTables(spark, later), root, "day2", DAY_2)
+    take_full(source(spark, folder), root, "day1", DAY_1)
+    take_incremental(later_tables(spark, folder), root, "day2", DAY_2)
     return root
 
 
+def _contents(tables: FrameTables) -> DataFrame:
+    """What the tables of a source hold."""
+    return portable_fingerprints({name: df for (_, name), df in tables.frames.items()})
+
+
+_SEGMENT_SQL = sum_sql(
+    "(SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment)",
+    [marked_sql("c_mktsegment"), marked_sql("CAST(customers AS VARCHAR)")],
+    "'segment' AS table_name, ",
+)
+
+
+def _contents_sql(old: bool, new: bool, left: bool = False) -> str:
+    """SQL for the contents of a set: the first day's tables, the second's, or both; ``left`` are
+    tables of the second day that a restore of the first leaves alone."""
+    parts = []
+    for name in TABLES:
+        rows = [f"SELECT * FROM {name}"] * old
+        if new and name == "lineitem":
+            rows.append(NEW_LINEITEM_SQL)
+        elif new and name != "nation":
+            rows.append(f"SELECT * FROM {name}")
+        if rows:
+            parts.append(portable_sql(name, " UNION ALL ".join(rows)))
+    if new or left:
+        parts.append(_SEGMENT_SQL)
+    return "\nUNION ALL ".join(parts)
+
+
 def restore_as_of_before(spark: SparkSession, folder: str) -> DataFrame:
     root = _two_days(spark, folder, "before")
-    return restore.restored_tables(spark, root, as_of=DAY_1).read("sales", "lineitem")
+    return _contents(restore.restored_tables(spark, root, as_of=DAY_1))
 
 
 def restore_as_of_after(spark: SparkSession, folder: str) -> DataFrame:
     root = _two_days(spark, folder, "after")
-    return restore.restored_tables(spark, root, as_of=DAY_3).read("sales", "lineitem")
+    return _contents(restore.restored_tables(spark, root, as_of=DAY_3))
 
 
 def restore_as_of_tables(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,26 +243,41 @@ def restore_as_of_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_TABLES_SQL = f"""
-SELECT 'sales' AS schema_name, 'customer' AS table_name, 'day1' AS snapshot_id, 'full' AS kind,
-       count(*) AS row_count FROM customer
-UNION ALL SELECT 'sales', 'lineitem', 'day2', 'incremental', count(*) FROM ({NEW_LINEITEM_SQL})
-UNION ALL SELECT 'sales', 'segment', 'day2', 'full', count(DISTINCT c_mktsegment) FROM customer
-"""
+_TABLES_SQL = "\nUNION ALL ".join(
+    [
+        f"SELECT '{SCHEMAS[n]}' AS schema_name, '{n}' AS table_name, 'day1' AS snapshot_id,"
+        f" 'full' AS kind, count(*) AS row_count FROM {n}"
+        for n in TABLES
+        if n not in ("lineitem", "nation")
+    ]
+    + [
+        f"SELECT 'sales', 'lineitem', 'day2', 'incremental', count(*) FROM ({NEW_LINEITEM_SQL})",
+        "SELECT 'sales', 'segment', 'day2', 'full', count(DISTINCT c_mktsegment) FROM customer",
+    ]
+)
+
+
+def _folder_tables(spark: SparkSession, target: str) -> FrameTables:
+    """The tables that restores have put into a folder."""
+    frames = {}
+    for schema in files.children(spark, target):
+        found = ParquetTables(spark, f"{target}/{schema}", schema)
+        frames |= {(schema, name): found.read(schema, name) for name in found.names()}
+    return FrameTables(spark, frames)
 
 
 def _guarded(spark: SparkSession, folder: str, mode: str) -> DataFrame:
     """The second day is restored, then the first one onto it."""
     root = _two_days(spark, folder, f"guarded-{mode}")
     target = f"{root}/restored"
-    restore.restore_to_folder(spark, restore.chosen_copies(spark, root, tables="lineitem"), target)
-    first = restore.chosen_copies(spark, root, snapshot_id="day1", tables="lineitem")
+    restore.restore_to_folder(spark, restore.chosen_copies(spark, root), target)
+    first = restore.chosen_copies(spark, root, snapshot_id="day1")
     try:
         restore.restore_to_folder(spark, first, target, mode)
     except restore.TargetExistsError:
         if mode != "error":
             raise
-    return spark.read.parquet(f"{target}/sales/lineitem.parquet")
+    return _contents(_folder_tables(spark, target))
 
 
 def restore_guarded_error(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,11 +309,11 @@ def _catalog(spark: SparkSession, folder: str, mode: str) -> DataFrame:
     database = f"tablekeep_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {database} LOCATION '{root}/{database}'")
     place = f"{root}/catalog"
-    newest = restore.chosen_copies(spark, root, tables="lineitem")
-    restore.restore_to_catalog(spark, newest, place, database=database)
-    first = restore.chosen_copies(spark, root, snapshot_id="day1", tables="lineitem")
+    restore.restore_to_catalog(spark, restore.chosen_copies(spark, root), place, database=database)
+    first = restore.chosen_copies(spark, root, snapshot_id="day1")
     restore.restore_to_catalog(spark, first, place, mode, database)
-    return spark.table(f"{database}.lineitem")
+    found = CatalogTables(spark, [database])
+    return _contents(FrameTables(spark, {(s, n): found.read(s, n) for s, n in found.tables().collect()}))
 
 
 def restore_catalog_force(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,9 +332,8 @@ def snapshot_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LIST_SQL = f"""
-SELECT 'day1' AS name, 'full' AS kind, CAST(3 AS BIGINT) AS tables,
-       (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM nation)
-         + (SELECT count(*) FROM customer) AS row_count
+SELECT 'day1' AS name, 'full' AS kind, CAST({len(TABLES)} AS BIGINT) AS tables,
+       {" + ".join(f"(SELECT count(*) FROM {n})" for n in TABLES)} AS row_count
 UNION ALL
 SELECT 'day2', 'incremental', 2,
        (SELECT count(*) FROM ({NEW_LINEITEM_SQL}))
@@ -294,8 +344,8 @@ SELECT 'day2', 'incremental', 2,
 def restore_by_name(spark: SparkSession, folder: str) -> DataFrame:
     """The first day found by a part of its name, restored from the root of two days."""
     root = _two_days(spark, folder, "by-name")
-    restore_snapshot(spark, root, f"{root}/restored", name="y1", tables="lineitem")
-    return spark.read.parquet(f"{root}/restored/sales/lineitem.parquet")
+    restore_snapshot(spark, root, f"{root}/restored", name="y1")
+    return _contents(_folder_tables(spark, f"{root}/restored"))
 
 
 KEYS = {
@@ -398,7 +448,8 @@ def snapshot_rerun_incremental(spark: SparkSession, folder: str) -> DataFrame:
     root, later = scratch_folder(spark, "rerun"), later_tables(spark, folder)
     take_full(source(spark, folder), root, "base", DAY_1)
     frames = dict(later.frames)
-    frames["sales", "orders"] = frames["sales", "orders"].where("o_orderkey % 2 = 0")
+    dearer = F.col("o_totalprice") + 1
+    frames["sales", "orders"] = frames["sales", "orders"].withColumn("o_totalprice", dearer)
     later = FrameTables(spark, frames)
     record = SnapshotOptions(on_error="record")
     take_incremental(_failing(later, ["orders"]), root, "next", DAY_2, options=record)
@@ -415,7 +466,7 @@ _RERUN_SQL = "\nUNION ALL ".join(
     ]
     + [
         f"SELECT 'sales', 'lineitem', 'next', TRUE, count(*) FROM ({NEW_LINEITEM_SQL})",
-        "SELECT 'sales', 'orders', 'next', TRUE, count(*) FROM orders WHERE o_orderkey % 2 = 0",
+        "SELECT 'sales', 'orders', 'next', TRUE, count(*) FROM orders",
         "SELECT 'sales', 'segment', 'next', TRUE, count(DISTINCT c_mktsegment) FROM customer",
     ]
 )
@@ -511,40 +562,64 @@ _RENAMED_SQL = "\nUNION ALL ".join(
 )
 
 
+_MONTHS = {
+    "january": (datetime(2024, 1, 1), TABLES),
+    "february": (datetime(2024, 2, 1), [n for n in TABLES if SCHEMAS[n] != "shared"]),
+    "march": (datetime(2024, 3, 1), [n for n in TABLES if SCHEMAS[n] == "sales"]),
+}
+
+
 def retention_apply(spark: SparkSession, folder: str) -> DataFrame:
-    """Three full snapshots of some tables; what is left once retention was applied."""
+    """Full snapshots of all tables, of two schemas and of one; what is left after rotation."""
     root = scratch_folder(spark, "rotation")
     tables = source(spark, folder)
-    for snapshot_id, at, names in (
-        ("january", datetime(2024, 1, 1), ["orders", "part", "supplier"]),
-        ("february", datetime(2024, 2, 1), ["orders", "part"]),
-        ("march", datetime(2024, 3, 1), ["orders"]),
-    ):
+    for snapshot_id, (at, names) in _MONTHS.items():
         take_full(tables, root, snapshot_id, at, _only(tables, names))
     apply_retention(spark, root, datetime(2024, 3, 15), 30)
     left = from_manifest(read_manifest(spark, root)).select("name")
-    rows = {
-        (r["schema_name"], r["table_name"], r["snapshot_id"]): r["path"]
-        for r in read_manifest(spark, root).collect()
-    }
-    counts = [
-        spark.read.parquet(path).agg(
-            F.lit(f"{schema}.{name}@{snapshot_id}").alias("name"),
+    counts = union_all(
+        spark.read.parquet(r["path"]).agg(
+            F.lit(f"{r['schema_name']}.{r['table_name']}@{r['snapshot_id']}").alias("name"),
             F.count(F.lit(1)).alias("row_count"),
         )
-        for (schema, name, snapshot_id), path in sorted(rows.items())
-    ]
-    found = counts[0]
-    for other in counts[1:]:
-        found = found.unionAll(other)
-    return left.join(found, "name")
+        for r in read_manifest(spark, root).collect()
+    )
+    return left.join(counts, "name")
 
 
-_APPLY_SQL = """
-SELECT 'sales.orders@march' AS name, count(*) AS row_count FROM orders
-UNION ALL SELECT 'sales.part@february', count(*) FROM part
-UNION ALL SELECT 'sales.supplier@january', count(*) FROM supplier
-"""
+_APPLY_SQL = "\nUNION ALL ".join(
+    f"SELECT '{SCHEMAS[n]}.{n}@{[m for m, (_, names) in _MONTHS.items() if n in names][-1]}' AS name,"
+    f" count(*) AS row_count FROM {n}"
+    for n in TABLES
+)
+
+
+def snapshot_incremental_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """An incremental snapshot of a database of the catalog in which one table's files changed."""
+    root = scratch_folder(spark, "catalog-incremental")
+    database = f"tablekeep_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{root}/{database}'")
+    for name in TABLES:
+        path = f"{folder}/{name}.parquet"
+        if name == "lineitem":
+            path = f"{root}/own/lineitem"
+            table(spark, folder, name).write.parquet(path)
+        spark.catalog.createTable(f"{database}.{name}", path=path, source="parquet")
+    tables = CatalogTables(spark, [database])
+    take_full(tables, f"{root}/copies", "base", DAY_1)
+    new_lineitem(spark, folder).write.mode("overwrite").parquet(f"{root}/own/lineitem")
+    spark.catalog.refreshTable(f"{database}.lineitem")
+    report = take_incremental(tables, f"{root}/copies", "next", DAY_2)
+    return report.select("table_name", "kind", "change", "row_count", "status")
+
+
+_CATALOG_SQL = "\nUNION ALL ".join(
+    f"SELECT '{n}' AS table_name, 'incremental' AS kind,"
+    f" '{'changed' if n == 'lineitem' else 'unchanged'}' AS change, count(*) AS row_count,"
+    f" '{'ok' if n == 'lineitem' else 'unchanged'}' AS status"
+    f" FROM {f'({NEW_LINEITEM_SQL})' if n == 'lineitem' else n}"
+    for n in TABLES
+)
 
 
 def incremental_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -579,14 +654,14 @@ QUERIES = {
     "snapshot_incremental": (snapshot_incremental, _INCREMENTAL_SQL),
     "snapshot_by_statistics": (snapshot_by_statistics, _STATISTICS_SQL),
     "validate_snapshot": (validate_snapshot, _VALIDATE_SQL),
-    "restore_as_of_before": (restore_as_of_before, "SELECT * FROM lineitem"),
-    "restore_as_of_after": (restore_as_of_after, NEW_LINEITEM_SQL),
+    "restore_as_of_before": (restore_as_of_before, _contents_sql(True, False)),
+    "restore_as_of_after": (restore_as_of_after, _contents_sql(False, True)),
     "restore_as_of_tables": (restore_as_of_tables, _TABLES_SQL),
-    "restore_guarded_error": (restore_guarded_error, NEW_LINEITEM_SQL),
-    "restore_guarded_force": (restore_guarded_force, "SELECT * FROM lineitem"),
+    "restore_guarded_error": (restore_guarded_error, _contents_sql(False, True)),
+    "restore_guarded_force": (restore_guarded_force, _contents_sql(True, False, left=True)),
     "restore_guarded_append": (
         restore_guarded_append,
-        f"{NEW_LINEITEM_SQL} UNION ALL SELECT * FROM lineitem",
+        _contents_sql(True, True),
     ),
     "snapshot_plain_text_restore_documents": (
         _restore("documents", "json", "none"),
@@ -599,13 +674,13 @@ QUERIES = {
             for n in TABLES
         ),
     ),
-    "restore_catalog_force": (restore_catalog_force, "SELECT * FROM lineitem"),
+    "restore_catalog_force": (restore_catalog_force, _contents_sql(True, False, left=True)),
     "restore_catalog_append": (
         restore_catalog_append,
-        f"{NEW_LINEITEM_SQL} UNION ALL SELECT * FROM lineitem",
+        _contents_sql(True, True),
     ),
     "snapshot_list": (snapshot_list, _LIST_SQL),
-    "restore_by_name": (restore_by_name, "SELECT * FROM lineitem"),
+    "restore_by_name": (restore_by_name, _contents_sql(True, False)),
     "bucket_delta": (bucket_delta, delta_sql("SELECT * FROM lineitem", NEW_LINEITEM_SQL)),
     "bucket_tree": (bucket_tree, _TREE_SQL),
     "backup_run": (
@@ -613,6 +688,7 @@ QUERIES = {
         _counts_sql(TABLES, "'march' AS snapshot_id, 'ok' AS status"),
     ),
     "retention_apply": (retention_apply, _APPLY_SQL),
+    "snapshot_incremental_catalog": (snapshot_incremental_catalog, _CATALOG_SQL),
     "snapshot_rerun_incremental": (snapshot_rerun_incremental, _RERUN_SQL),
     "snapshot_rerun_failed": (snapshot_rerun_failed, _AS_RESTORED_SQL),
     "snapshot_two_schemas_one_id": (snapshot_two_schemas_one_id, _AS_RESTORED_SQL),

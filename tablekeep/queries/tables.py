@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.functions.hashing import (
@@ -79,38 +81,44 @@ def _double_sql(x: str) -> str:
     )
 
 
-def _marked_sql(text: str) -> str:
+def marked_sql(text: str) -> str:
     return f"coalesce(length({text}) || ':' || {text}, 'N')"
 
 
 def _array_sql(array: str, text) -> str:
-    each = f"list_transform({array}, lambda e: {_marked_sql(text('e'))})"
+    each = f"list_transform({array}, lambda e: {marked_sql(text('e'))})"
     return f"concat(len({array}), '[', array_to_string({each}, ''))"
 
 
 def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    tables = {name: table(spark, folder, name) for name in TABLES}
-    return profile.table_fingerprints(tables, "portable").withColumn(
-        "fingerprint", F.col("fingerprint").cast("string")
-    )
+    return portable_fingerprints({name: table(spark, folder, name) for name in TABLES})
+
+
+def portable_sql(name: str, rows: str | None = None, shown: str | None = None) -> str:
+    """SQL for the portable fingerprint of rows with the columns of a table, the table's by default."""
+    parts = []
+    for column, kind in columns(name):
+        text = f"CAST({'epoch_us(' + column + ')' if kind == 't' else column} AS VARCHAR)"
+        if kind == "d":
+            text = f"({_double_sql(column)})"
+        elif kind == "a":
+            text = _array_sql(column, lambda e: f"({_double_sql(e)})")
+        parts.append(marked_sql(text))
+    return sum_sql(f"({rows})" if rows else name, parts, f"'{shown or name}' AS table_name, ")
 
 
 def _fingerprint_sql() -> str:
-    selects = []
-    for name in TABLES:
-        parts = []
-        for column, kind in columns(name):
-            text = f"CAST({'epoch_us(' + column + ')' if kind == 't' else column} AS VARCHAR)"
-            if kind == "d":
-                text = f"({_double_sql(column)})"
-            elif kind == "a":
-                text = _array_sql(column, lambda e: f"({_double_sql(e)})")
-            parts.append(_marked_sql(text))
-        selects.append(_sum_sql(name, parts, f"'{name}' AS table_name, "))
-    return "\nUNION ALL ".join(selects)
+    return "\nUNION ALL ".join(portable_sql(name) for name in TABLES)
+
+
+def portable_fingerprints(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The content of tables as other engines can compute it: (table_name, row_count, fingerprint)."""
+    return profile.table_fingerprints(tables, "portable").withColumn(
+        "fingerprint", F.col("fingerprint").cast("string")
+    )
 
 
-def _sum_sql(table_sql: str, parts: list[str], first: str = "") -> str:
+def sum_sql(table_sql: str, parts: list[str], first: str = "") -> str:
     return (
         f"SELECT {first}count(*) AS row_count, CAST(sum("
         f"CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END"
@@ -143,10 +151,10 @@ def fingerprint_native(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_ARRAYS_SQL = _sum_sql(
+_ARRAYS_SQL = sum_sql(
     "(SELECT doc_id, list_transform(string_split(text, ' '),"
     " lambda w: CASE WHEN length(w) % 5 <> 0 THEN w END) AS words FROM documents)",
-    [_marked_sql("CAST(doc_id AS VARCHAR)"), _marked_sql(_array_sql("words", str))],
+    [marked_sql("CAST(doc_id AS VARCHAR)"), marked_sql(_array_sql("words", str))],
 )
 _NATIVE_SQL = "\nUNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS row_count, TRUE AS same FROM {name}" for name in TABLES

@@ -87,7 +87,7 @@ def test_copies_with_trees_are_restored_as_others(spark, root, keys):
 
 
 def test_copies_without_the_same_tree_are_not_compared(spark, root):
-    df = spark.range(10)
+    df = spark.range(200)
     copies.write_copy(df, f"{root}/a", buckets=4, keys=["id"])
     copies.write_copy(df, f"{root}/b", buckets=8, keys=["id"])
     copies.write_copy(df, f"{root}/c")
