@@ -36,7 +36,12 @@ from tablekeep.session import scratch_folder
 from tablekeep.sources import files
 from tablekeep.sources.small import small_frame
 from tablekeep.sources.tables import CatalogTables, FrameTables, ParquetTables, TableSource
-from tablekeep.streaming.incremental import append_new_files, new_files
+from tablekeep.streaming.incremental import (
+    append_batches,
+    appended_rows,
+    appended_table,
+    new_files,
+)
 
 DAY_1, DAY_2, DAY_3 = datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 3)
 REPORT = ["schema_name", "table_name", "kind", "change", "row_count", "status"]
@@ -622,14 +627,29 @@ _CATALOG_SQL = "\nUNION ALL ".join(
 )
 
 
+def _streamed(spark: SparkSession, folder: str, runs: int) -> str:
+    """Events dealt out to files and taken over in batches of some files."""
+    root = scratch_folder(spark, "stream")
+    events = table(spark, folder, "events")
+    events.repartition(10, "event_id").write.parquet(f"{root}/arrived")
+    for _ in range(runs):
+        stream = new_files(spark, f"{root}/arrived", events.schema, max_files_per_batch=4)
+        append_batches(stream, root, "sales", "events", f"{root}/checkpoint")
+    return root
+
+
 def incremental_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Events taken over as a stream of files; the second run finds nothing new."""
-    root = scratch_folder(spark, "stream")
-    schema = table(spark, folder, "events").schema
-    for _ in range(2):
-        stream = new_files(spark, folder, schema, "events.parquet")
-        append_new_files(stream, f"{root}/events", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/events")
+    return appended_table(spark, _streamed(spark, folder, 2), "sales", "events")
+
+
+def incremental_stream_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """What the manifest says of a stream whose last batch is run again: each row counts once."""
+    root = _streamed(spark, folder, 1)
+    files.delete(spark, f"{root}/checkpoint/commits/2")
+    stream = new_files(spark, f"{root}/arrived", table(spark, folder, "events").schema, max_files_per_batch=4)
+    again = append_batches(stream, root, "sales", "events", f"{root}/checkpoint")
+    return appended_rows(spark, root).withColumn("rows_of_replay", F.lit(again).cast("bigint"))
 
 
 _FULL_SQL = _counts_sql(
@@ -697,4 +717,9 @@ QUERIES = {
     "restore_points_manifest": (restore_points_manifest, _POINTS_SQL),
     "changed_tables_renamed": (changed_tables_renamed, _RENAMED_SQL),
     "incremental_stream": (incremental_stream, "SELECT * FROM events"),
+    "incremental_stream_replayed": (
+        incremental_stream_replayed,
+        "SELECT 'sales' AS schema_name, 'events' AS table_name, CAST(3 AS BIGINT) AS batches,"
+        " count(*) AS row_count, CAST(0 AS BIGINT) AS rows_of_replay FROM events",
+    ),
 }
