@@ -30,7 +30,7 @@ from tablekeep.llm.common import col, settled
 FAMILY, TURNS = 100, 6  # conversations of a family, and the modulus of the number of shared turns
 BITS = 52  # of each of the two hashes of a prefix
 BLOCK = 1024  # turns summed at a time
-COMPONENT = 8192  # nodes that are finished in one task
+COMPONENT = 1024  # nodes that are finished in one task
 RUN = 4096  # conversation ids that are written out together
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 KEY, PARENT, TOP = ["k1", "k2"], ["p1", "p2"], ["t1", "t2"]
@@ -269,7 +269,7 @@ def _rolled_up(nodes: DataFrame, prefixes: DataFrame, limit: int) -> DataFrame:
         ((F.col("n_convs") - 1) * F.col("n")).alias("saved"),
         zero.alias("more_leaf"), zero.alias("more_saved"),
     )
-    done = None
+    work, done = settled(work, "trie-work"), None
     while work is not None:
         small, work = _split(work, prefixes, limit)
         done = small if done is None else done.unionByName(small)
