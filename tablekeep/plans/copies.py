@@ -9,6 +9,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tablekeep.functions.hashing import fingerprint_parts, free_name, row_hash
+from tablekeep.operators.bags import delta_schema, folded, signed_delta
 from tablekeep.operators.change import row_delta
 from tablekeep.operators.hashtree import TREE, bucket_of, different_buckets, leaves, levels, tree
 from tablekeep.sources import files
@@ -28,6 +29,9 @@ FORMATS = {
 }
 
 
+DELTA = "delta"  # the format of copies that hold changes
+
+
 def _fits_text(data_type: T.DataType) -> bool:
     """Whether JSON gives values of the type back as they were."""
     if isinstance(data_type, T.StructType):
@@ -149,11 +153,37 @@ def schema_of(schema_json: str) -> T.StructType:
     return T.StructType.fromJson(json.loads(schema_json))
 
 
-def read_copy(spark: SparkSession, path: str, format: str, schema_json: str) -> DataFrame:
-    """A copy with the schema it was written with."""
+def read_copy(
+    spark: SparkSession, path: str, format: str, schema_json: str, chain: Sequence[str] | None = None
+) -> DataFrame:
+    """A copy with the schema it was written with; a delta is folded into what it is built on."""
+    schema = schema_of(schema_json)
+    if format == DELTA:
+        base, *before = chain
+        deltas = [spark.read.schema(delta_schema(schema)).parquet(p) for p in (*before, path)]
+        return folded(read_copy(spark, base, "parquet", schema_json), deltas)
     reader = spark.read.format(format).options(**FORMATS[format]["read"])
     reader = reader.option("recursiveFileLookup", "true")  # buckets are no column
-    return reader.schema(schema_of(schema_json)).load(path)
+    return reader.schema(schema).load(path)
+
+
+def write_delta(old: DataFrame, new: DataFrame, path: str) -> dict:
+    """Write what changed between two versions of a table.
+
+    Returns the ``rows`` written, and what they add to the table's row_count and fingerprint.
+    """
+    seen, delta = Observation(), signed_delta(old, new)
+    copies, own = delta.columns[-1], free_name(delta.columns, "hash64")
+    hashed = delta.withColumn(own, row_hash(old.schema).cast("decimal(28,0)"))
+    watched = hashed.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(copies), F.lit(0)).alias("row_count"),
+        F.sum(F.col(own) * F.col(copies).cast("decimal(10,0)")).cast("decimal(38,0)").alias("fingerprint"),
+    )
+    watched.drop(own).write.options(**FORMATS["parquet"]["write"]).parquet(path)
+    found = {"rows": 0, "row_count": 0, "fingerprint": None, **seen.get}
+    return {**found, "fingerprint": found["fingerprint"] or Decimal(0)}
 
 
 def measure(df: DataFrame) -> dict:

@@ -5,7 +5,9 @@ Layout below a root folder::
     manifest/   a log with a commit per row, written as soon as a table's data is
     removed/    a log of the paths retention has let go, written before they are
                 deleted, and again when they are gone
-    tables/<schema>/<table>/<snapshot_id>-<run_id>/   the data of one copy
+    tables/<schema>/<table>/<snapshot_id>-<run_id>/   the data of one copy, or what
+                changed since others: its row's ``chain`` names these, the whole
+                copy first
 
 A copy counts only once its row is in ``manifest``, so a table that a dead run was
 at leaves no trace in the catalogue, and the tables it was done with are not lost.
@@ -31,7 +33,7 @@ MANIFEST = (
     "snapshot_id string, run_id string, kind string, schema_name string, table_name string,"
     " path string, format string, row_count bigint, fingerprint decimal(38,0),"
     " schema_json string, size_bytes bigint, source_state string, created_at timestamp_ntz,"
-    " status string, error string, run_kind string"
+    " status string, error string, run_kind string, chain array<string>"
 )
 REMOVED = "path string, removed_at timestamp_ntz, deleted boolean"
 
@@ -101,6 +103,11 @@ def unusable_copies(spark: SparkSession, root: str) -> DataFrame:
     return failed.unionByName(replaced.select(*COLUMNS))
 
 
+def built_upon(rows: DataFrame) -> DataFrame:
+    """Paths of the copies that those of some rows are built on."""
+    return rows.select(F.explode("chain").alias("path")).distinct()
+
+
 def pending_removals(spark: SparkSession, root: str) -> DataFrame:
     """Paths out of the catalogue whose deletion was not seen to end."""
     removed = _removed(spark, root)

@@ -62,7 +62,7 @@ def _rows(copies: DataFrame) -> list[Row]:
 
 
 def _read(spark: SparkSession, copy: Row) -> DataFrame:
-    return read_copy(spark, copy["path"], copy["format"], copy["schema_json"])
+    return read_copy(spark, copy["path"], copy["format"], copy["schema_json"], copy["chain"])
 
 
 def restored_tables(

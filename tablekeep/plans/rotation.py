@@ -14,6 +14,7 @@ from tablekeep.operators.retention import retention, retention_plan
 from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import (
     append_removed,
+    built_upon,
     orphan_folders,
     pending_removals,
     read_manifest,
@@ -82,17 +83,20 @@ def retention_apply(
     They leave the catalogue first and the storage second, so a run that dies in
     between never leaves an entry without data; what it left undeleted is deleted
     next time. What replaced, failed and dead runs left behind goes with its age.
-    No table loses the copy a restore reads now. Returns the paths.
+    No table loses the copy a restore reads now, and no kept copy what it is built on.
+    Returns the paths.
     """
     root = root.rstrip("/")
-    known = present(from_manifest(read_manifest(spark, root)))
-    plan = retention_plan(known, as_of, days, rule, tie_break="run_id")
+    manifest = read_manifest(spark, root)
+    plan = retention_plan(present(from_manifest(manifest)), as_of, days, rule, tie_break="run_id")
+    kept = plan.where("NOT removable").select("path")
+    needed = built_upon(manifest.join(kept, "path", "left_semi"))
     old = expired(F.col("created_at"), as_of, days, rule)
     left_behind = unusable_copies(spark, root).select("path", "created_at")
     left_behind = left_behind.unionByName(orphan_folders(spark, root)).where(old)
     removable = plan.where("removable").select("path").unionAll(left_behind.select("path"))
     chosen = scratch_folder(spark, "removable")
-    removable.distinct().write.parquet(chosen)
+    removable.distinct().join(needed, "path", "left_anti").write.parquet(chosen)
     gone = spark.read.schema("path string").parquet(chosen)
     for batch in _batches(gone):
         rows = [{"path": p, "removed_at": as_of, "deleted": False} for p in batch]

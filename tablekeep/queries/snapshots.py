@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -353,6 +353,59 @@ def restore_by_name(spark: SparkSession, folder: str) -> DataFrame:
     return _contents(_folder_tables(spark, f"{root}/restored"))
 
 
+_CHANGES = 5  # days on which rows go and rows are doubled, by the first hexadecimal digit of a hash
+
+
+def _digit(name: str):
+    key = KEYS[name][0]
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 1), 16, 10).cast("int")
+
+
+def _on_day(spark: SparkSession, folder: str, day: int) -> FrameTables:
+    """All tables some days on: each day a sixteenth of the rows goes and another comes twice."""
+    frames = {}
+    for key, df in _present(spark, folder).frames.items():
+        digit = _digit(key[1])
+        kept = df.where(~digit.between(1, day))
+        frames[key] = kept.unionAll(df.where(digit.between(6, 5 + day)))
+    return FrameTables(spark, frames)
+
+
+def _delta_chain(spark: SparkSession, folder: str) -> str:
+    root, options = scratch_folder(spark, "chain"), SnapshotOptions(deltas=True)
+    take_full(_on_day(spark, folder, 0), root, "day0", DAY_1)
+    for day in range(1, _CHANGES + 1):
+        at = DAY_1 + timedelta(days=day)
+        take_incremental(_on_day(spark, folder, day), root, f"day{day}", at, options=options)
+    return root
+
+
+def delta_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables after five deltas, and as of the third, from one whole copy and the changes."""
+    root = _delta_chain(spark, folder)
+    found = []
+    for day in (3, _CHANGES):
+        tables = restore.restored_tables(spark, root, as_of=DAY_1 + timedelta(days=day))
+        found.append(_contents(tables).withColumn("day", F.lit(day)))
+    return union_all(found)
+
+
+def _on_day_sql(name: str, day: int) -> str:
+    digit = f"CAST('0x' || substr(md5(CAST({KEYS[name][0]} AS VARCHAR)), 1, 1) AS INTEGER)"
+    return (
+        f"SELECT * FROM {name} WHERE {digit} NOT BETWEEN 1 AND {day}"
+        f" UNION ALL SELECT * FROM {name} WHERE {digit} BETWEEN 6 AND {5 + day}"
+    )
+
+
+def _chain_sql() -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT *, {day} AS day FROM ({portable_sql(n, _on_day_sql(n, day))})"
+        for day in (3, _CHANGES)
+        for n in TABLES
+    )
+
+
 KEYS = {
     "benchmark": ["item_id"], "conversations": ["conv_id"], "customer": ["c_custkey"],
     "documents": ["doc_id"], "embeddings": ["vec_id"], "events": ["event_id"], "labels": ["doc_id"],
@@ -703,6 +756,7 @@ QUERIES = {
     "restore_by_name": (restore_by_name, _contents_sql(True, False)),
     "bucket_delta": (bucket_delta, delta_sql("SELECT * FROM lineitem", NEW_LINEITEM_SQL)),
     "bucket_tree": (bucket_tree, _TREE_SQL),
+    "delta_chain": (delta_chain, _chain_sql()),
     "backup_run": (
         backup_run,
         _counts_sql(TABLES, "'march' AS snapshot_id, 'ok' AS status"),

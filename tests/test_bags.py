@@ -1,0 +1,111 @@
+"""Deltas as signed bags, chains of them, and rotation of what chains are built on."""
+
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tablekeep.operators.bags import folded, is_groupable, signed_delta
+from tablekeep.plans import restore
+from tablekeep.plans.copies import measure
+from tablekeep.plans.manifest import read_manifest
+from tablekeep.plans.rotation import retention_apply
+from tablekeep.plans.snapshot import SnapshotOptions, snapshot_full, snapshot_incremental
+from tablekeep.sources import files
+from tablekeep.sources.tables import FrameTables
+from tests.conftest import rows
+
+SCHEMA = "a int, copies string, v array<double>"
+ROW = st.tuples(
+    st.one_of(st.none(), st.integers(0, 3)),
+    st.one_of(st.none(), st.sampled_from("xy")),
+    st.one_of(st.none(), st.lists(st.one_of(st.none(), st.sampled_from([0.5, 1e300])), max_size=2)),
+)
+
+
+def bag(df):
+    return Counter(repr(tuple(r)) for r in df.collect())
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(ROW, max_size=8), min_size=2, max_size=4))
+def test_a_chain_gives_each_version_back(spark, versions):
+    frames = [spark.createDataFrame(v, SCHEMA) for v in versions]
+    deltas = [signed_delta(a, b) for a, b in zip(frames, frames[1:])]
+    for n, version in enumerate(frames):
+        assert bag(folded(frames[0], deltas[:n])) == bag(version)
+
+
+def days(spark, root, versions, **options):
+    start = datetime(2024, 1, 1)
+    for i, df in enumerate(versions):
+        tables, at = FrameTables(spark, {("s", "t"): df}), start + timedelta(days=i)
+        if i == 0:
+            snapshot_full(tables, root, "d0", at)
+        else:
+            chosen = SnapshotOptions(deltas=True, **options)
+            snapshot_incremental(tables, root, f"d{i}", at, options=chosen)
+    found = read_manifest(spark, root).orderBy("run_id").collect()
+    return found, lambda i: restore.restored_tables(spark, root, as_of=start + timedelta(days=i)).read("s", "t")
+
+
+def versions_of(spark, data, count):
+    base = spark.read.parquet(f"{data}/orders.parquet")
+    changed = lambda i: F.col("o_orderkey") % 23 == i
+    out = [base]
+    for i in range(1, count):
+        last = out[-1].withColumn("o_orderstatus", F.when(changed(i), "X").otherwise(F.col("o_orderstatus")))
+        out.append(last.unionAll(last.where(changed(i + 1))))
+    return out
+
+
+def test_copies_hold_changes_until_a_whole_one_is_due(spark, root, data):
+    versions = versions_of(spark, data, 6)
+    found, as_of = days(spark, root, versions, longest_chain=3)
+    assert [r["format"] for r in found] == ["parquet", "delta", "delta", "parquet", "delta", "delta"]
+    assert [len(r["chain"] or ()) for r in found] == [0, 1, 2, 0, 1, 2]
+    assert all(r["size_bytes"] * 3 < found[0]["size_bytes"] for r in found if r["format"] == "delta")
+    for i, version in enumerate(versions):
+        assert measure(as_of(i)) == measure(version)
+    assert restore.validate_snapshot(spark, root).where("valid").count() == 1
+    restore.restore_to_folder(spark, restore.chosen_copies(spark, root), f"{root}/to")
+    assert measure(spark.read.parquet(f"{root}/to/s/t.parquet")) == measure(versions[-1])
+
+
+def test_large_changes_other_columns_and_maps_are_whole_copies(spark, root):
+    base = spark.range(100).withColumn("m", F.lit(1))
+    most = base.withColumn("m", F.lit(2))
+    wider = most.withColumn("n", F.lit(3))
+    maps = wider.withColumn("n", F.create_map(F.lit("a"), F.col("id")))
+    more = maps.where("id > 0")
+    found, as_of = days(spark, root, [base, most, wider, maps, more])
+    assert [r["format"] for r in found] == ["parquet"] * 5
+    assert not is_groupable(maps.schema) and is_groupable(wider.schema)
+    assert rows(as_of(2)) == rows(wider) and as_of(4).count() == 99
+
+
+def test_rotation_keeps_what_kept_deltas_are_built_on(spark, root, data):
+    versions = versions_of(spark, data, 6)
+    found, as_of = days(spark, root, versions, longest_chain=4)
+    assert [r["format"] for r in found] == ["parquet", "delta", "delta", "delta", "parquet", "delta"]
+    gone = retention_apply(spark, root, datetime(2024, 1, 6, 12), days=3)
+    assert gone.count() == 0  # the fourth copy is kept and needs the three before it
+    assert measure(as_of(3)) == measure(versions[3])
+    gone = retention_apply(spark, root, datetime(2024, 1, 8), days=3)
+    # the first is the newest full copy, which always stays
+    assert sorted(r[0] for r in gone.collect()) == sorted(r["path"] for r in found[1:4])
+    assert not files.exists(spark, found[1]["path"])
+    assert measure(as_of(5)) == measure(versions[5])
+
+
+@pytest.mark.parametrize("part", ["chain", "own"])
+def test_a_damaged_chain_is_not_restored(spark, root, data, part):
+    found, _ = days(spark, root, versions_of(spark, data, 3))
+    path = found[1]["path"] if part == "chain" else found[2]["path"]
+    bad = spark.read.parquet(path).withColumn("o_custkey", F.col("o_custkey") + 1).collect()
+    spark.createDataFrame(bad, spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+    assert restore.validate_snapshot(spark, root).where("valid").isEmpty()
+    with pytest.raises(restore.InvalidSnapshotError):
+        restore.restore_to_folder(spark, restore.chosen_copies(spark, root), f"{root}/to")
