@@ -21,6 +21,8 @@ from tablekeep.queries.common import (
 )
 from tablekeep.session import scratch_folder
 from tablekeep.sources import artifacts as stored, files
+from tablekeep.sources.copy_text import read_copy_text, write_copy_text
+from tablekeep.sources.members import member_lines, write_members
 
 TIE = "event_id"
 
@@ -286,7 +288,7 @@ def validate_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     found = stored.list_files(spark, root, "*.gz", recursive=True)
     of_path = F.regexp_extract("path", "artifact=([^/]+)/", 1)
     listing = found.select(of_path.alias("artifact")).distinct()
-    lines = stored.dump_lines(spark, f"{root}/*", "*.gz").withColumn("artifact", of_path)
+    lines = stored.dump_lines(spark, root, "*.gz", recursive=True).withColumn("artifact", of_path)
     return validate.validate_artifacts(listing, lines, "artifact")
 
 
@@ -380,6 +382,32 @@ FROM customer GROUP BY ALL
 """
 
 
+def dump_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' lines written as one gzip file and read back by many tasks, counted."""
+    root = scratch_folder(spark, "members")
+    documents = table(spark, folder, "documents")
+    lines = documents.select(F.explode(F.split("text", "\n")).alias("value"))
+    write_members(lines.coalesce(1), root, member_bytes=1 << 16)
+    return member_lines(spark, root).groupBy("value").agg(F.count(F.lit(1)).alias("times"))
+
+
+_MEMBERS_SQL = """
+SELECT value, count(*) AS times
+FROM (SELECT unnest(string_split(text, chr(10))) AS value FROM documents) GROUP BY value
+"""
+
+
+def _copy_text(name: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        """A table written as COPY text and read back, each member beginning inside a block."""
+        root = scratch_folder(spark, f"copy-text-{name}")
+        rows = table(spark, folder, name)
+        write_copy_text(rows, root, "sales", name, member_bytes=1 << 16)
+        return read_copy_text(spark, root, "sales", name, rows.schema)
+
+    return query
+
+
 def validate_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every document looked through whole for two words, by source; all sources listed."""
     documents = table(spark, folder, "documents")
@@ -496,6 +524,11 @@ QUERIES = {
         rotate_files,
         f"SELECT * FROM ({_FILES_SQL}) WHERE modified_at >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY",
     ),
+    "dump_members": (dump_members, _MEMBERS_SQL),
+    **{
+        f"copy_text_{name}": (_copy_text(name), f"SELECT * FROM {name}")
+        for name in ("documents", "events", "orders", "conversations", "lineitem")
+    },
     "retention_tie": (retention_tie, _TIE_SQL),
     "manifest_commits": (manifest_commits, _COMMITS_SQL),
     "validate_texts": (validate_texts, _VALIDATE_TEXTS_SQL),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablekeep.functions.listing import is_blank, parse_line, split_lines
 from tablekeep.sources.listing import listing
+from tablekeep.sources.members import member_lines
 
 
 def _one_slash(path: Column) -> Column:
@@ -74,17 +75,20 @@ def _decoded(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def dump_lines(spark: SparkSession, prefix: str, pattern: str = "*.sql.gz") -> DataFrame:
+def dump_lines(
+    spark: SparkSession, prefix: str, pattern: str = "*.sql.gz", recursive: bool = False
+) -> DataFrame:
     """Text of dump files, line by line, as (path, name, value).
 
-    A gzip file is one task, whatever its size; files are read side by side.
+    A gzip file is read by as many tasks as it has members that tell their length (see
+    ``sources.members``), one that has none by one task; files are read side by side.
     """
-    return (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(prefix)
-        .select(
-            _one_slash(_decoded(F.col("_metadata.file_path"))).alias("path"),
-            _decoded(F.col("_metadata.file_name")).alias("name"),
-            "value",
-        )
+    if pattern.endswith(".gz"):
+        return member_lines(spark, prefix, pattern, recursive).select("path", "name", "value")
+    reader = spark.read.option("pathGlobFilter", pattern)
+    reader = reader.option("recursiveFileLookup", str(recursive).lower())
+    return reader.text(prefix).select(
+        _one_slash(_decoded(F.col("_metadata.file_path"))).alias("path"),
+        _decoded(F.col("_metadata.file_name")).alias("name"),
+        "value",
     )

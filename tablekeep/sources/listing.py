@@ -82,6 +82,14 @@ class _Local:
             return False
         return True
 
+    def read(self, path: str):
+        """A file to read, which can be told where to go on."""
+        return open(path, "rb")
+
+    def create(self, path: str):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, "xb")
+
 
 class _Remote:
     """A file system that Arrow knows."""
@@ -115,6 +123,12 @@ class _Remote:
             return False
         return True
 
+    def read(self, path: str):
+        return self.system.open_input_file(path)
+
+    def create(self, path: str):
+        return self.system.open_output_stream(path)
+
 
 def opened(path: str) -> tuple[_Local | _Remote, str]:
     """The file system of a path, and what listings show before the paths that it gives."""
@@ -241,6 +255,21 @@ def listing(
     return reader.option("depth", str(depth)).load(prefix)
 
 
+class Stores:
+    """The file systems of many paths, each opened once."""
+
+    def __init__(self) -> None:
+        self.opened: dict[str, tuple] = {}
+
+    def of(self, path: str) -> tuple[_Local | _Remote, str]:
+        """The file system of a path, and the path in it."""
+        store = "/".join(path.split("/")[:3]) if "://" in path else "file:"
+        if store not in self.opened:
+            self.opened[store] = opened(path)
+        system, start = self.opened[store]
+        return system, inside(path, start)
+
+
 def deleted(paths: DataFrame) -> DataFrame:
     """Delete the files of a frame's column ``path`` in its tasks: (path, deleted).
 
@@ -248,15 +277,12 @@ def deleted(paths: DataFrame) -> DataFrame:
     """
 
     def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        systems: dict[str, tuple] = {}
+        stores = Stores()
         for batch in batches:
             out = []
             for path in batch.column(0).to_pylist():
-                store = "/".join(path.split("/")[:3]) if "://" in path else "file:"
-                if store not in systems:
-                    systems[store] = opened(path)
-                system, start = systems[store]
-                out.append(system.delete(inside(path, start)))
+                system, plain = stores.of(path)
+                out.append(system.delete(plain))
             yield pa.record_batch([batch.column(0), pa.array(out, pa.bool_())], names=["path", "deleted"])
 
     return paths.select("path").mapInArrow(gone, "path string, deleted boolean")
