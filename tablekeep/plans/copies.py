@@ -12,7 +12,9 @@ from tablekeep.functions.hashing import fingerprint_parts, free_name, row_hash
 from tablekeep.operators.bags import delta_schema, folded, signed_delta
 from tablekeep.operators.change import row_delta
 from tablekeep.operators.hashtree import TREE, bucket_of, different_buckets, leaves, levels, tree
+from tablekeep.operators.sketches import SKETCH, sketches
 from tablekeep.sources import files
+from tablekeep.sources.small import small_frame
 
 # Time formats that keep microseconds in text copies.
 TEXT_TIMES = {
@@ -167,6 +169,30 @@ def read_copy(
     return reader.schema(schema).load(path)
 
 
+def write_sketches(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Keep the sketches of a copy's rows beside it."""
+    sketches(rows).coalesce(1).write.parquet(f"{path}/_sketches")
+
+
+def copy_sketches(spark: SparkSession, copies: DataFrame) -> DataFrame:
+    """The sketches kept with some copies, given as manifest rows, and whose they are; no data is read."""
+    rows = copies.select("schema_name", "table_name", "path").collect()
+    places = [f"{r['path']}/_sketches" for r in rows]
+    if not places:
+        raise LookupError("no copies are given")
+    at = small_frame(
+        spark, [(p, r["schema_name"], r["table_name"]) for p, r in zip(places, rows)],
+        "place string, schema_name string, table_name string",
+    )
+    found = spark.read.schema(SKETCH).parquet(*places)
+    # file paths are shown as URIs, in which a plus sign stands for itself
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    place = F.regexp_replace(file, "/[^/]*$", "")
+    found = found.withColumn("place", F.regexp_replace(place, "^file:/+", "/"))
+    at = at.withColumn("place", F.regexp_replace("place", "^file:/+", "/"))
+    return found.join(at, "place").drop("place")
+
+
 def write_delta(old: DataFrame, new: DataFrame, path: str) -> dict:
     """Write what changed between two versions of a table.
 

@@ -18,6 +18,7 @@ from tablekeep.plans.copies import (
     schema_of,
     write_copy,
     write_delta,
+    write_sketches,
 )
 from tablekeep.plans.jobs import run_jobs
 from tablekeep.plans.manifest import (
@@ -60,7 +61,9 @@ class SnapshotOptions:
     and a table without keys is laid out by whole rows. With ``deltas`` an incremental
     copy holds only the rows that came and went, unless it would be the
     ``longest_chain``-th in a row or these were more than ``most_changed`` of the table:
-    then it is a whole copy, on which the next ones are built.
+    then it is a whole copy, on which the next ones are built. ``sketches`` keeps sketches
+    of distinct values and quantiles with each whole copy, which are merged over copies
+    without reading them (``copies.copy_sketches``).
     """
 
     format: str = "parquet"
@@ -74,6 +77,7 @@ class SnapshotOptions:
     deltas: bool = False
     longest_chain: int = 8
     most_changed: float = 0.5
+    sketches: bool = False
 
 
 @dataclass(frozen=True)
@@ -130,6 +134,8 @@ class _Run:
             keys=options.keys.get(table[1], ()),
         )
         schema_json = df.schema.json()
+        if options.sketches:
+            write_sketches(spark, read_copy(spark, path, options.format, schema_json), path)
         if options.verify:
             found = measure(read_copy(spark, path, options.format, schema_json))
             if found != written:

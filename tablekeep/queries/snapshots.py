@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.operators import change, selection
 from tablekeep.operators.catalogue import from_manifest, restore_points, snapshots
-from tablekeep.operators.profile import union_all
+from tablekeep.operators.profile import table_profiles, union_all
+from tablekeep.operators.sketches import estimates, merged
 from tablekeep.plans import restore
-from tablekeep.plans.copies import changed_buckets, copy_delta, differing_parts, schema_of
+from tablekeep.plans.copies import (
+    changed_buckets,
+    copy_delta,
+    copy_sketches,
+    differing_parts,
+    schema_of,
+)
 from tablekeep.plans.manifest import copies_as_of, read_manifest
 from tablekeep.plans.rotation import retention_apply as apply_retention
 from tablekeep.plans.snapshot import (
@@ -22,7 +29,7 @@ from tablekeep.plans.snapshot import (
     table_measures,
 )
 from tablekeep.plans.workflow import back_up, restore_snapshot
-from tablekeep.queries.common import SCHEMAS, TABLES, source, table
+from tablekeep.queries.common import SCHEMAS, TABLES, columns, source, table
 from tablekeep.queries.tables import (
     NEW_LINEITEM_SQL,
     delta_sql,
@@ -579,6 +586,39 @@ def _set_sql(times: int) -> str:
     )
 
 
+def sketch_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct values and medians of all events, from the sketches kept with a copy per event type."""
+    root, events = scratch_folder(spark, "sketches"), table(spark, folder, "events")
+    types = sorted(r[0] for r in events.select("event_type").distinct().collect())
+    frames = {("events", t): events.where(F.col("event_type") == t) for t in types}
+    take_full(FrameTables(spark, frames), root, "all", DAY_1, options=SnapshotOptions(sketches=True))
+    kept = merged(copy_sketches(spark, read_manifest(spark, root)))
+    found = estimates(kept, [0.49, 0.51]).alias("found")
+    exact = table_profiles({"events": events}, distinct="exact").alias("exact")
+    median = events.agg(F.percentile("value", 0.5).alias("median"))
+    off = F.abs(F.col("found.distinct_count") - F.col("exact.distinct_count"))
+    inside = F.col("median").between(F.col("quantiles")[0], F.col("quantiles")[1])
+    return (
+        found.join(exact, F.col("found.column_name") == F.col("exact.column_name"))
+        .join(median)
+        .select(
+            "found.column_name",
+            "found.row_count",
+            "found.non_null",
+            (off <= 0.03 * F.col("exact.distinct_count")).alias("distinct_close"),
+            F.when(F.col("found.column_name") == "value", inside).alias("median_inside"),
+        )
+    )
+
+
+_SKETCH_SQL = "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS non_null,"
+    f" TRUE AS distinct_close, {'TRUE' if c == 'value' else 'CAST(NULL AS BOOLEAN)'} AS median_inside"
+    " FROM events"
+    for c, _ in columns("events")
+)
+
+
 def restore_points_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """What the catalogue offers for a restore is what a restore reads: no table that is gone."""
     root = scratch_folder(spark, "points")
@@ -756,6 +796,7 @@ QUERIES = {
     "restore_by_name": (restore_by_name, _contents_sql(True, False)),
     "bucket_delta": (bucket_delta, delta_sql("SELECT * FROM lineitem", NEW_LINEITEM_SQL)),
     "bucket_tree": (bucket_tree, _TREE_SQL),
+    "sketch_estimates": (sketch_estimates, _SKETCH_SQL),
     "delta_chain": (delta_chain, _chain_sql()),
     "backup_run": (
         backup_run,

@@ -13,7 +13,7 @@ from tablekeep.functions.hashing import (
     DOUBLE_STEP,
     DOUBLE_STEPS,
 )
-from tablekeep.operators import change, profile, selection
+from tablekeep.operators import change, profile, ranges, selection
 from tablekeep.plans.snapshot import table_measures
 from tablekeep.queries.common import SCHEMAS, TABLES, columns, source, table
 
@@ -312,7 +312,39 @@ NEW_DOCUMENTS_SQL = """
   FROM documents WHERE lang <> 'fr'
 """
 
+_RANGES = 16
+
+
+def key_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of the order key: whether each holds a sixteenth of the rows, give or take a tenth."""
+    lines = table(spark, folder, "lineitem")
+    counts = ranges.range_counts(lines, "l_orderkey", ranges.equi_depth(lines, "l_orderkey", _RANGES))
+    total = lines.agg(F.count(F.lit(1)).alias("total"))
+    share = F.col("row_count") * _RANGES / F.col("total")
+    return counts.join(total).select(
+        F.col("number").cast("bigint").alias("number"), share.between(0.9, 1.1).alias("balanced"), "total"
+    )
+
+
+def key_ranges_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of a key of few values: each of them stands alone."""
+    lines = table(spark, folder, "lineitem")
+    found = ranges.equi_depth(lines, "l_linenumber", _RANGES)
+    return ranges.range_counts(lines, "l_linenumber", found).select("predicate", "row_count")
+
+
+_RANGES_SQL = f"""
+SELECT number, TRUE AS balanced, (SELECT count(*) FROM lineitem) AS total
+FROM range(0, {_RANGES}) AS numbers(number)
+"""
+_HOT_SQL = """
+SELECT concat('`l_linenumber` = ', l_linenumber) AS predicate, count(*) AS row_count
+FROM lineitem GROUP BY l_linenumber
+"""
+
 QUERIES = {
+    "key_ranges": (key_ranges, _RANGES_SQL),
+    "key_ranges_hot": (key_ranges_hot, _HOT_SQL),
     "table_profile_one_pass": (table_profile_one_pass, _profile_sql(False)),
     "table_profile": (table_profile, _profile_sql()),
     "table_fingerprint": (table_fingerprint, _fingerprint_sql()),

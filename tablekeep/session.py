@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -53,11 +54,19 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release_scratch(spark: SparkSession) -> list[str]:
-    """Delete the scratch folders this process was given, once no frame needs them any more."""
-    gone = []
-    while _scratch:
-        path = _scratch.pop()
-        files.delete(spark, path)
-        gone.append(path)
+def scratch_mark() -> int:
+    """How many scratch folders are in use; to be given to :func:`release_scratch` later."""
+    return len(_scratch)
+
+
+def release_scratch(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> list[str]:
+    """Delete the scratch folders this process was given, once no frame needs them any more: all of
+    them, or those given since a mark, but for those to be kept."""
+    gone, kept = [], set(keep)
+    left = [path for path in _scratch[since:] if path in kept]
+    for path in _scratch[since:]:
+        if path not in kept:
+            files.delete(spark, path)
+            gone.append(path)
+    _scratch[since:] = left
     return gone

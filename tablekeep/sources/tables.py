@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.functions.hashing import quoted
+from tablekeep.operators.ranges import equi_depth
 from tablekeep.sources import files
 from tablekeep.sources.small import small_frame
 
@@ -179,8 +180,9 @@ class JdbcTables(TableSource):
 
     ``partitioning`` maps ``schema.table`` to the reader options that split its
     read (``partitionColumn``, ``lowerBound``, ``upperBound``, ``numPartitions``);
-    a table without an entry is read in one task. A snapshot over several tables
-    is not one transaction of the database.
+    ``ranges`` maps it to conditions of which each is read by a task of its own, as
+    :meth:`key_ranges` finds them. A table in neither is read in one task. A snapshot
+    over several tables is not one transaction of the database.
     """
 
     TABLES_QUERY = (
@@ -199,9 +201,11 @@ class JdbcTables(TableSource):
         url: str,
         options: Mapping[str, str] | None = None,
         partitioning: Mapping[str, Mapping[str, str]] | None = None,
+        ranges: Mapping[str, Sequence[str]] | None = None,
     ):
         super().__init__(spark)
         self.url = url
+        self.ranges = dict(ranges or {})
         self.options = {"fetchsize": "10000", **(options or {})}
         self.partitioning = dict(partitioning or {})
 
@@ -223,8 +227,20 @@ class JdbcTables(TableSource):
 
     def read(self, schema_name: str, table_name: str) -> DataFrame:
         options = self.read_options(schema_name, table_name)
+        ranges = self.ranges.get(f"{schema_name}.{table_name}")
+        if ranges:
+            rest = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
+            return self.spark.read.jdbc(
+                self.url, options["dbtable"], predicates=list(ranges), properties=rest
+            )
         return self.spark.read.format("jdbc").options(**options).load()
 
+    def key_ranges(self, schema_name: str, table_name: str, key: str, parts: int) -> list[str]:
+        """Conditions that split a table into parts of about equally many rows, from its key alone."""
+        table = f"{in_quotes(schema_name)}.{in_quotes(table_name)}"
+        keys = self._query(f"SELECT {in_quotes(key)} FROM {table}")
+        return [r.predicate(in_quotes(key)) for r in equi_depth(keys, key, parts)]
+
     def table_stats(self) -> DataFrame:
         """Per table, when statistics were last gathered by hand and by the system."""
         return self._query(self.STATS_QUERY).select(
