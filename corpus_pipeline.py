@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekeep.llm import packing, quality_model, quality_rules as rules, repeats, simhash
-from tablekeep.llm.common import settled, table
+from tablekeep.llm.common import table
 from tablekeep.llm.queries import tokenizer_file
+from tablekeep.session import release_scratch, scratch_folder, scratch_mark
 
 # no stage of this chain as a whole can be expressed in SQL
 ORACLE_SQL = None
@@ -74,8 +75,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages one after the other over the documents of a folder of tables."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages one after the other over the documents of a folder of tables.
+
+    What a stage wrote on its way is deleted once its result is, and so is the result that it read.
+    """
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
-        docs = settled(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        found = stage(spark, docs, sf_dir)
+        path = scratch_folder(spark, f"pipeline-{name.replace(' ', '-')}")
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        release_scratch(spark, mark, [path])
     return docs
