@@ -359,7 +359,8 @@ def encode(
                 yield pa.record_batch([ids, *nothing, rows, texts.filter(mask)], names=names)
         tokens.forget()
 
-    table = settled(narrow.mapInArrow(routed, f"{result}, row long, text string"), "bpe-routed")
+    table = narrow.mapInArrow(routed, f"{result}, row long, text string")
+    table = settled(table, "bpe-routed", "zstd")  # whole texts, the most that is written
     waiting = table.filter("row IS NOT NULL").select("id", "row", "text")
 
     def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +382,7 @@ def encode(
 
     chunks = waiting.select("text").mapInArrow(offered, "a long, b long, chunk string")
     chunks = chunks.groupBy("a", "b").agg(F.min("chunk").alias("chunk"))
-    encoded = settled(chunks.mapInArrow(once, "a long, b long, ids binary"), "bpe-chunks")
+    encoded = settled(chunks.mapInArrow(once, "a long, b long, ids binary"), "bpe-chunks", "zstd")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Which rows of a slice hold which chunks."""

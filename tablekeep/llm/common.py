@@ -20,11 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
+def settled(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The frame as a written table below the shared folder: cuts lineage and survives executors."""
     spark = df.sparkSession
     path = scratch_folder(spark, f"llm-{label}")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
