@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablekeep.functions.hashing import column_of
-from tablekeep.sources.members import MEMBER_BYTES, member_lines, write_members
+from tablekeep.sources.listing import Stores
+from tablekeep.sources.members import BATCH_LINES, MEMBER_BYTES, lines_at, stored_members, write_members
 
 # tasks get these functions whole, as their workers need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,6 +34,7 @@ _OPEN = re.compile(r'COPY (.+?) \((.*)\) FROM stdin;\s*\Z')
 _PLAIN = re.compile(r"[a-z_][a-z0-9_]*\Z")
 
 SPLIT_KEYS = ["path", "start"]
+SUMMARY = "path string, start long, closed string, ended boolean, later string"
 
 
 def in_quotes(name: str) -> str:
@@ -84,28 +87,37 @@ def _after(state: str, line: str) -> str:
     return line.strip() if _OPEN.match(line) else ""
 
 
+def _summary(lines: Iterable[str]) -> tuple[str, bool, str]:
+    """What is open at a segment's end if nothing was at its start, and if a block was: False if that
+    one still is, else True and what is open then."""
+    closed, ended, later = "", False, ""
+    for line in lines:
+        if line != END and not line.startswith("COPY "):
+            continue
+        closed = _after(closed, line)
+        later = _after(later, line) if ended else later
+        ended = ended or line == END
+    return closed, ended, later
+
+
+def _summary_row(path: str, start: int, lines: Iterable[str]) -> pa.RecordBatch:
+    arrays = [pa.array([x]) for x in (path, start, *_summary(lines))]
+    return pa.record_batch(arrays, names=["path", "start", "closed", "ended", "later"])
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per segment what is open at its end if nothing was at its start, and if a block was: 0 if that
-    one still is, else 1 and what is open then."""
-    at, closed, ended, later = None, "", False, ""
+    """The summaries of segments given line by line."""
+    lines = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+    for (path, start), own in groupby(lines, key=lambda row: row[:2]):
+        yield _summary_row(path, start, (line for *_, line in own))
 
-    def row() -> pa.RecordBatch:
-        arrays = [pa.array([x]) for x in (*at, closed, ended, later)]
-        return pa.record_batch(arrays, names=["path", "start", "closed", "ended", "later"])
 
+def _member_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The summaries of members given by their places."""
+    stores = Stores()
     for batch in batches:
-        for path, start, line in zip(*[c.to_pylist() for c in batch.columns]):
-            if (path, start) != at:
-                if at is not None:
-                    yield row()
-                at, closed, ended, later = (path, start), "", False, ""
-            if line != END and not line.startswith("COPY "):
-                continue
-            closed = _after(closed, line)
-            later = _after(later, line) if ended else later
-            ended = ended or line == END
-    if at is not None:
-        yield row()
+        for path, start, length in zip(*[c.to_pylist() for c in batch.columns]):
+            yield _summary_row(path, start, lines_at(stores, path, start, length))
 
 
 def _composed(table: pa.Table) -> pa.Table:
@@ -138,6 +150,25 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(blocks), pa.array(lines)], names=["block", "value"])
 
 
+def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of members given by their places and the blocks that they start in."""
+
+    def found(lines: Iterable[str], state: str) -> Iterator[tuple[str, str]]:
+        for line in lines:
+            if state and line != END:
+                yield state, line
+            else:
+                state = _after(state, line)
+
+    stores = Stores()
+    for batch in batches:
+        for path, start, length, opened in zip(*[c.to_pylist() for c in batch.columns]):
+            rows = found(lines_at(stores, path, start, length), opened or "")
+            while held := list(islice(rows, BATCH_LINES)):
+                blocks, lines = (list(x) for x in zip(*held))
+                yield pa.record_batch([pa.array(blocks), pa.array(lines)], names=["block", "value"])
+
+
 def plain_lines(spark: SparkSession, prefix: str, pattern: str = "*.sql") -> DataFrame:
     """Lines of plain text files as (path, start, n, value): the split a line is in, and its order."""
     lines = spark.read.option("pathGlobFilter", pattern).text(prefix)
@@ -155,14 +186,28 @@ def block_rows(lines: DataFrame) -> DataFrame:
     ``lines`` are (path, start, n, value), in order inside a task, as both readers give them. They
     are read twice: to sum up the segments, and to take the rows.
     """
-    summed = lines.select(*SPLIT_KEYS, "value").mapInArrow(
-        _summaries, "path string, start long, closed string, ended boolean, later string"
-    )
-    starts = summed.groupBy("path").applyInArrow(_composed, "path string, start long, opened string")
-    known = lines.join(starts, SPLIT_KEYS).sortWithinPartitions(*SPLIT_KEYS, "n")
+    summed = lines.select(*SPLIT_KEYS, "value").mapInArrow(_summaries, SUMMARY)
+    # every line has its start; an outer join keeps the lines, whose size is not known, from a broadcast
+    known = lines.join(_starts(summed), SPLIT_KEYS, "left").sortWithinPartitions(*SPLIT_KEYS, "n")
     return known.select(*SPLIT_KEYS, "opened", "value").mapInArrow(_rows, "block string, value string")
 
 
+def _starts(summed: DataFrame) -> DataFrame:
+    return summed.groupBy("path").applyInArrow(_composed, "path string, start long, opened string")
+
+
+def member_block_rows(index: DataFrame, parts: int) -> DataFrame:
+    """:func:`block_rows` of gzip members, given as ``members.stored_members``.
+
+    What a member starts in is joined to its place, and each member is read twice from there, so no
+    line is shuffled.
+    """
+    places = index.select(*SPLIT_KEYS, "length")
+    starts = _starts(places.repartition(parts, *SPLIT_KEYS).mapInArrow(_member_summaries, SUMMARY))
+    known = places.join(starts, SPLIT_KEYS, "left").repartition(parts, *SPLIT_KEYS)
+    return known.select(*SPLIT_KEYS, "length", "opened").mapInArrow(_member_rows, "block string, value string")
+
+
 def _unescaped(field: Column) -> Column:
     """A field's text; a backslash before any other character stands for that character."""
     pieces = F.split(field, r"\\\\", -1)  # at doubled backslashes, which hide what follows them
@@ -212,7 +257,7 @@ def read_copy_text(
     spark: SparkSession, prefix: str, schema_name: str, table_name: str, schema: T.StructType
 ) -> DataFrame:
     """A table out of gzip dump files, whatever else these hold."""
-    lines = member_lines(spark, prefix).drop("name")
-    return table_of(block_rows(lines), schema_name, table_name, schema)
+    rows = member_block_rows(*stored_members(spark, prefix))
+    return table_of(rows, schema_name, table_name, schema)
 
 

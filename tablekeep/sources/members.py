@@ -13,6 +13,7 @@ import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
@@ -168,32 +169,41 @@ def member_index(found: DataFrame) -> DataFrame:
     )
 
 
+def stored_members(
+    spark: SparkSession, prefix: str, pattern: str = "*.gz", recursive: bool = False
+) -> tuple[DataFrame, int]:
+    """:func:`member_index` of the gzip files below a prefix, and how many tasks their bytes need, or as
+    many as there are cores."""
+    found = listing(spark, prefix, pattern, recursive)
+    index = member_index(found.where("size_bytes > 0"))
+    size = found.agg(F.sum("size_bytes")).first()[0] or 0
+    return index, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def lines_at(stores: Stores, path: str, start: int, length: int | None) -> Iterator[str]:
+    """The lines of one member."""
+    system, plain = stores.of(path)
+    with system.read(plain) as stream:
+        stream.seek(start)
+        yield from lines_in(inflated(stream, length))
+
+
 def member_lines(spark: SparkSession, prefix: str, pattern: str = "*.gz", recursive: bool = False) -> DataFrame:
     """Lines of gzip files as (path, name, start, n, value): a line's member, and its number in it.
 
-    Members are dealt out to as many tasks as their bytes need, or as there are cores.
+    Members are dealt out to tasks by their bytes.
     """
-    found = listing(spark, prefix, pattern, recursive)
-    index = member_index(found.where("size_bytes > 0"))
-    size = found.agg(F.sum("size_bytes")).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stores = Stores()
         for batch in batches:
             for path, name, start, length in zip(*[c.to_pylist() for c in batch.columns]):
-                system, plain = stores.of(path)
-                with system.read(plain) as stream:
-                    stream.seek(start)
-                    held, n = [], 0
-                    for line in lines_in(inflated(stream, length)):
-                        held.append(line)
-                        if len(held) == BATCH_LINES:
-                            yield _lines(path, name, start, n, held)
-                            n, held = n + len(held), []
-                    if held:
-                        yield _lines(path, name, start, n, held)
+                lines, n = lines_at(stores, path, start, length), 0
+                while held := list(islice(lines, BATCH_LINES)):
+                    yield _lines(path, name, start, n, held)
+                    n += len(held)
 
+    index, parts = stored_members(spark, prefix, pattern, recursive)
     dealt = index.repartition(parts, "path", "start")
     return dealt.mapInArrow(read, "path string, name string, start long, n long, value string")
 

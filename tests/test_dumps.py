@@ -135,3 +135,18 @@ def test_columns_by_name(spark, root):
         read_copy_text(spark, f"{root}/d", "s", "t", df.withColumnRenamed("i", "z").schema).collect()
     with pytest.raises(ValueError, match="no column of type"):
         write_copy_text(df.select(F.array("i").alias("a")), f"{root}/e", "s", "t")
+
+
+def test_lines_are_not_taken_for_as_small_as_their_places(spark, root):
+    """The places of a few members are small, their text is not: only places may be joined by broadcast."""
+    df = spark.range(60_000).selectExpr("id AS i", "repeat('x', 1200) AS s").coalesce(1)
+    write_copy_text(df, f"{root}/d", "s", "t", member_bytes=1 << 16)
+    found = read_copy_text(spark, f"{root}/d", "s", "t", df.schema)
+    size = spark.conf.get("spark.sql.maxBroadcastTableSize", "8GB")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64MB")
+    try:
+        assert found.selectExpr("count(*)", "sum(i)", "sum(length(s))").first()[:] == (60_000, 1_799_970_000, 72_000_000)
+        lines = block_rows(member_lines(spark, f"{root}/d").drop("name"))
+        assert lines.selectExpr("count(*)", "count(DISTINCT value)").first()[:] == (60_000, 60_000)
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", size)
