@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablekeep.functions.hashing import column_of, free_name, quoted, row_hash
-from tablekeep.operators.change import row_delta
+from tablekeep.operators.change import net_changes
 
 
 def is_groupable(data_type: T.DataType) -> bool:
@@ -37,13 +37,20 @@ def delta_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(copies_column(schema.names), T.LongType())])
 
 
-def signed_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """What makes the new version of a table out of the old one."""
+def signed_delta(old: DataFrame, new: DataFrame, deltas: Sequence[DataFrame] = ()) -> DataFrame:
+    """What makes the new version of a table out of the old one and the deltas that follow it.
+
+    All are added up as signed rows at once, so the chain need not be folded first.
+    """
     names = {name: f"c{i}" for i, name in enumerate(old.columns)}
-    found = row_delta(old.toDF(*names.values()), new.select(*map(column_of, names)).toDF(*names.values()))
-    signed = F.when(F.col("change") == "inserted", F.col("copies")).otherwise(-F.col("copies"))
+    copies, rows = copies_column(list(names)), [column_of(name) for name in names]
+    known = [old.select(*rows, F.lit(-1).cast("bigint")), new.select(*rows, F.lit(1).cast("bigint"))]
+    known += [delta.select(*rows, -column_of(copies)) for delta in deltas]
+    signed = reduce(DataFrame.unionAll, known).toDF(*names.values(), "sign")
+    found = net_changes(signed, list(names.values()), "sign")
+    signs = F.when(F.col("change") == "inserted", F.col("copies")).otherwise(-F.col("copies"))
     columns = [F.col(own).alias(name) for name, own in names.items()]
-    return found.select(*columns, signed.cast("bigint").alias(copies_column(list(names))))
+    return found.select(*columns, signs.cast("bigint").alias(copies))
 
 
 def _repeated(rows: DataFrame, copies: str, names: Sequence[str]) -> DataFrame:

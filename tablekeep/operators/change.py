@@ -78,7 +78,7 @@ def row_delta(old: DataFrame, new: DataFrame, method: str = "digest") -> DataFra
     names = old.columns
     if set(names) != set(new.columns):
         raise ValueError("both versions must have the same columns")
-    own = {k: free_name(names, k) for k in ("sign", "net", "d1", "d2")}
+    own = {k: free_name(names, k) for k in ("sign", "net")}
     both = old.select(*map(column_of, names), F.lit(-1).alias(own["sign"])).unionAll(
         new.select(*map(column_of, names), F.lit(1).alias(own["sign"]))
     )
@@ -86,9 +86,14 @@ def row_delta(old: DataFrame, new: DataFrame, method: str = "digest") -> DataFra
         return _net_rows(both, names, own)
     if method != "digest":
         raise ValueError("method is one of content, digest")
-    digested = both.withColumns(
-        {own["d1"]: row_hash(old.schema), own["d2"]: row_hash(old.schema, salt=1)}
-    )
+    return net_changes(both, names, own["sign"])
+
+
+def net_changes(signed: DataFrame, names: list[str], sign: str) -> DataFrame:
+    """:func:`row_delta` by digests, of rows that a column says to be there so often, or to be missing."""
+    own = {"sign": sign, **{k: free_name([*names, sign], k) for k in ("net", "d1", "d2")}}
+    schema = signed.select(*map(column_of, names)).schema
+    digested = signed.withColumns({own["d1"]: row_hash(schema), own["d2"]: row_hash(schema, salt=1)})
     keys = [own["d1"], own["d2"]]
     uneven = digested.groupBy(*keys).agg(F.sum(own["sign"]).alias(own["net"]))
     uneven = uneven.where(F.col(own["net"]) != 0)

@@ -159,14 +159,22 @@ def read_copy(
     spark: SparkSession, path: str, format: str, schema_json: str, chain: Sequence[str] | None = None
 ) -> DataFrame:
     """A copy with the schema it was written with; a delta is folded into what it is built on."""
+    base, deltas = read_chain(spark, path, format, schema_json, chain)
+    return folded(base, deltas)
+
+
+def read_chain(
+    spark: SparkSession, path: str, format: str, schema_json: str, chain: Sequence[str] | None = None
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The whole copy that a copy is or is built on, and the deltas to be folded into it."""
     schema = schema_of(schema_json)
     if format == DELTA:
         base, *before = chain
         deltas = [spark.read.schema(delta_schema(schema)).parquet(p) for p in (*before, path)]
-        return folded(read_copy(spark, base, "parquet", schema_json), deltas)
+        return read_chain(spark, base, "parquet", schema_json)[0], deltas
     reader = spark.read.format(format).options(**FORMATS[format]["read"])
     reader = reader.option("recursiveFileLookup", "true")  # buckets are no column
-    return reader.schema(schema).load(path)
+    return reader.schema(schema).load(path), []
 
 
 def write_sketches(spark: SparkSession, rows: DataFrame, path: str) -> None:
@@ -193,12 +201,12 @@ def copy_sketches(spark: SparkSession, copies: DataFrame) -> DataFrame:
     return found.join(at, "place").drop("place")
 
 
-def write_delta(old: DataFrame, new: DataFrame, path: str) -> dict:
-    """Write what changed between two versions of a table.
+def write_delta(old: DataFrame, new: DataFrame, path: str, deltas: Sequence[DataFrame] = ()) -> dict:
+    """Write what changed between two versions of a table, the old one given by a copy and its deltas.
 
     Returns the ``rows`` written, and what they add to the table's row_count and fingerprint.
     """
-    seen, delta = Observation(), signed_delta(old, new)
+    seen, delta = Observation(), signed_delta(old, new, deltas)
     copies, own = delta.columns[-1], free_name(delta.columns, "hash64")
     hashed = delta.withColumn(own, row_hash(old.schema).cast("decimal(28,0)"))
     watched = hashed.observe(

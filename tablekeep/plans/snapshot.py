@@ -13,6 +13,7 @@ from tablekeep.operators.bags import is_groupable
 from tablekeep.plans.copies import (
     DELTA,
     measure,
+    read_chain,
     read_copy,
     same_shape,
     schema_of,
@@ -163,8 +164,8 @@ class _Run:
         if whole or not same_shape(new.schema, schema) or not is_groupable(schema):
             return self.write(table, "incremental", "changed")
         path, now = self.folder(table), measure(new)
-        old = read_copy(spark, copy["path"], copy["format"], copy["schema_json"], copy["chain"])
-        delta = write_delta(old, new, path)
+        old, deltas = read_chain(spark, copy["path"], copy["format"], copy["schema_json"], copy["chain"])
+        delta = write_delta(old, new, path, deltas)
         if delta["rows"] > options.most_changed * max(now["row_count"], 1):
             files.delete(spark, path)
             return self.write(table, "incremental", "changed")

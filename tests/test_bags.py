@@ -109,3 +109,21 @@ def test_a_damaged_chain_is_not_restored(spark, root, data, part):
     assert restore.validate_snapshot(spark, root).where("valid").isEmpty()
     with pytest.raises(restore.InvalidSnapshotError):
         restore.restore_to_folder(spark, restore.chosen_copies(spark, root), f"{root}/to")
+
+
+def test_a_delta_on_a_chain_does_not_fold_it(spark, root, monkeypatch):
+    from tablekeep.plans import copies
+
+    def version(day):
+        frame = spark.range(40).selectExpr("id AS a", f"id % 4 + IF(id % 10 = {day}, 100, 0) AS b")
+        return FrameTables(spark, {("s", "t"): frame.where(f"id <> {day}").unionAll(frame.where("id > 35"))})
+
+    options = SnapshotOptions(deltas=True)
+    with monkeypatch.context() as patch:
+        patch.delattr(copies, "folded")
+        snapshot_full(version(0), root, "d0", datetime(2024, 1, 1), options=options)
+        for day in range(1, 4):
+            snapshot_incremental(version(day), root, f"d{day}", datetime(2024, 1, 1 + day), options=options)
+    for day in range(4):
+        tables = restore.restored_tables(spark, root, as_of=datetime(2024, 1, 1 + day))
+        assert rows(tables.read("s", "t")) == rows(version(day).read("s", "t"))
