@@ -383,11 +383,11 @@ FROM customer GROUP BY ALL
 
 
 def dump_members(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents' lines written as one gzip file and read back by many tasks, counted."""
+    """The documents' lines written as one gzip file by many tasks and read back by many, counted."""
     root = scratch_folder(spark, "members")
     documents = table(spark, folder, "documents")
     lines = documents.select(F.explode(F.split("text", "\n")).alias("value"))
-    write_members(lines.coalesce(1), root, member_bytes=1 << 16)
+    write_members(lines, root, member_bytes=1 << 16, one_file=True)
     return member_lines(spark, root).groupBy("value").agg(F.count(F.lit(1)).alias("times"))
 
 

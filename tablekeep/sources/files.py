@@ -145,6 +145,23 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise IOError(f"could not rename {source} to {target}")
 
 
+def can_join(spark: SparkSession, path: str) -> bool:
+    """Whether files at a path can be made one without one process copying them all."""
+    if local_path(spark, path) is not None:
+        return True
+    fs, target = _at(spark, path)
+    return fs.hasPathCapability(target, "fs.capability.paths.concat")
+
+
+def concat(spark: SparkSession, target: str, sources: list[str]) -> None:
+    """Add files to the end of another one, by the file system itself; the files are gone then."""
+    fs, whole = _at(spark, target)
+    parts = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(sources))
+    for i, source in enumerate(sources):
+        parts[i] = _at(spark, source)[1]
+    fs.concat(whole, parts)
+
+
 def full_path(spark: SparkSession, path: str) -> str:
     """The path with its scheme, as file listings show it."""
     fs, target = _at(spark, path)

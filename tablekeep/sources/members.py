@@ -13,7 +13,7 @@ import sys
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
@@ -91,14 +91,22 @@ def write_members(
     member_bytes: int = MEMBER_BYTES,
     before: str | None = None,
     after: str | None = None,
+    one_file: bool = False,
 ) -> DataFrame:
     """Write the text column ``value`` as a gzip file for each partition that has rows.
 
     ``before`` and ``after`` are lines that each file starts and ends with. Tasks write under names of
-    their own attempts; only files of attempts that count are given their place. Returns (path,
-    members, text_bytes) of the files.
+    their own attempts; only files of attempts that count are given their place. With ``one_file`` the
+    members of all partitions, in their order, are put together as one file, which takes no such lines:
+    tasks copy them to their places in it, or the file system joins them. One that can do
+    neither, such as an object store, has it written by one task. Returns (path, members, text_bytes)
+    of the files.
     """
+    if one_file and not (before is None and after is None):
+        raise ValueError("lines before and after are for a file of each partition")
     spark, token = lines.sparkSession, uuid.uuid4().hex
+    if one_file and not files.can_join(spark, path):
+        lines = lines.coalesce(1)
     hidden = f"{path.rstrip('/')}/_writing-{token}"
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +143,8 @@ def write_members(
     done = lines.select(F.col("value").cast("string")).mapInArrow(
         written, "name string, members long, text_bytes long"
     ).collect()
+    if one_file and len(done) > 1:
+        done = [_joined(spark, hidden, sorted(done, key=lambda row: row["name"]))]
     for row in done:
         files.rename(spark, f"{hidden}/{row['name']}", f"{path.rstrip('/')}/{row['name']}")
     files.delete(spark, hidden)
@@ -142,6 +152,37 @@ def write_members(
     return spark.createDataFrame(found, "path string, members long, text_bytes long")
 
 
+def _joined(spark: SparkSession, folder: str, parts: list) -> dict:
+    """Files of members put one after the other as one file; its name, members and bytes of text."""
+    whole = f"part-{uuid.uuid4().hex}.sql.gz"
+    if files.local_path(spark, folder) is None:
+        first, *others = [f"{folder}/{row['name']}" for row in parts]
+        files.rename(spark, first, f"{folder}/{whole}")
+        files.concat(spark, f"{folder}/{whole}", others)
+    else:
+        files.write_new(spark, f"{folder}/{whole}", b"")
+        sizes = [files.size_bytes(spark, f"{folder}/{row['name']}") for row in parts]
+        starts = accumulate(sizes, initial=0)
+        places = [(f"{folder}/{row['name']}", f"{folder}/{whole}", at) for row, at in zip(parts, starts)]
+
+        def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            stores = Stores()
+            for batch in batches:
+                for source, target, start in zip(*[c.to_pylist() for c in batch.columns]):
+                    # the same bytes at the same place, however often a task is run
+                    with open(stores.of(source)[1], "rb") as part, open(stores.of(target)[1], "r+b") as file:
+                        file.seek(start)
+                        while data := part.read(CHUNK):
+                            file.write(data)
+                yield pa.record_batch([batch.column(2)], names=["start"])
+
+        frame = spark.createDataFrame(places, "source string, target string, start long")
+        frame.repartition(len(places)).mapInArrow(copied, "start long").count()
+        if files.size_bytes(spark, f"{folder}/{whole}") != sum(sizes):
+            raise OSError(f"{folder}/{whole} is not as long as its parts")
+    return {"name": whole, **{k: sum(row[k] for row in parts) for k in ("members", "text_bytes")}}
+
+
 def member_index(found: DataFrame) -> DataFrame:
     """(path, name, start, length) of all members of listed gzip files; one without a length for a
     file that does not tell."""

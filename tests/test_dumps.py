@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tablekeep.sources import copy_text, members
+from tablekeep.sources import copy_text, files, members
 from tablekeep.sources.artifacts import dump_lines
 from tablekeep.sources.copy_text import block_rows, copy_rows, plain_lines, read_copy_text, table_of, write_copy_text
 from tablekeep.sources.members import member_lines, write_members
@@ -150,3 +150,15 @@ def test_lines_are_not_taken_for_as_small_as_their_places(spark, root):
         assert lines.selectExpr("count(*)", "count(DISTINCT value)").first()[:] == (60_000, 60_000)
     finally:
         spark.conf.set("spark.sql.maxBroadcastTableSize", size)
+
+
+def test_one_file_is_written_by_many_tasks(spark, root):
+    lines = spark.range(0, 5000, 1, 7).selectExpr("concat(id, repeat('x', id % 50)) AS value").where("length(value) > 1")
+    done = write_members(lines, f"{root}/d", member_bytes=3000, one_file=True).collect()
+    assert [p["path"] for p in done] == [f"{root}/d/{n}" for n in files.children(spark, f"{root}/d")]
+    text = "".join(f"{r[0]}\n" for r in lines.collect())
+    assert gzip.open(files.local_path(spark, done[0]["path"])).read().decode() == text
+    assert done[0]["text_bytes"] == len(text) and done[0]["members"] > 7
+    found = member_lines(spark, f"{root}/d").orderBy("start", "n")
+    assert [r["value"] for r in found.collect()] == [r[0] for r in lines.collect()]
+    assert write_members(lines.where("false"), f"{root}/e", one_file=True).isEmpty()
