@@ -18,18 +18,23 @@ from __future__ import annotations
 import io
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablekeep.sources import files
+from tablekeep.sources.listing import Stores
 from tablekeep.sources.small import plain_rows, small_frame
 
 EVERY = 24  # commits from one checkpoint to the next
 BLOCK = 1000  # commits in a folder
+COMMITS_TASK = 10_000  # commits that a task writes
+COMMITS_READ = 5000  # and that one reads
+COMMIT_BYTES = 200  # of a commit's row in a checkpoint, about
+PLACE = "__place"  # the column of a row's place among those appended together
 KEPT_SECONDS = 86400
 CHECKPOINT_FILE_BYTES = 128 << 20
 
@@ -61,10 +66,73 @@ class CommitLog:
             self.checkpoint(number)
         return number
 
+    def append_each(self, rows: DataFrame) -> int:
+        """Add every row of a frame as a commit of its own and return the newest number.
+
+        Tasks write the commits at the same time, each at the number that its row's place in the frame
+        gives it, or after all of them if another writer has taken that. A commit says whose it is, so a
+        task that is run again finds what it has written. When all are there, a checkpoint takes
+        the place of those that single appends would have written on the way. Stores that
+        tasks cannot create a file in only if it is absent get the rows one by one.
+        """
+        if files.local_path(self.spark, self.folder) is None:
+            for row in rows.toLocalIterator():
+                self.append([row.asDict()])
+            return self.append([])
+        token, names = uuid.uuid4().hex, self.schema.names
+        staged = f"{self.folder}/_appending-{token}"
+        kinds = [
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in self.schema.fields
+        ]
+        rows.select(*kinds, F.monotonically_increasing_id().alias(PLACE)).write.parquet(staged)
+        kept = self.spark.read.parquet(staged)
+        counts = kept.groupBy(F.shiftright(PLACE, 33).alias("part")).count().orderBy("part").collect()
+        starts, first = {}, self._found()[0] + 1
+        after = first
+        for part, count in counts:
+            starts[part], after = after, after + count
+        kind, folder, block = to_arrow_schema(self.schema), self.folder, BLOCK
+
+        def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            stores, newest = Stores(), 0
+            for batch in batches:
+                places = batch.column(batch.num_columns - 1).to_pylist()
+                table = pa.Table.from_batches([batch]).select(names).cast(kind)
+                for i, place in enumerate(places):
+                    number = starts[place >> 33] + (place & ((1 << 33) - 1))
+                    own, other = f"{token}-{number}".encode(), after
+                    buffer = io.BytesIO()
+                    row = table.slice(i, 1).replace_schema_metadata({b"commit": own})
+                    pq.write_table(row, buffer, compression="none", use_dictionary=False, write_statistics=False)
+                    while True:
+                        path = f"{folder}/commits/{number // block:09d}/{number:012d}.parquet"
+                        system, plain = stores.of(path)
+                        if system.create_new(plain, buffer.getvalue()):
+                            break
+                        with system.read(plain) as file:
+                            if (pq.read_schema(file).metadata or {}).get(b"commit") == own:
+                                break
+                        number, other = other, other + 1
+                    newest = max(newest, number)
+            yield pa.record_batch([pa.array([newest], pa.int64())], names=["newest"])
+
+        parts = max(self.spark.sparkContext.defaultParallelism, (after - first) // COMMITS_TASK)
+        done = kept.repartition(parts).mapInArrow(written, "newest long")
+        last = max(done.agg(F.max("newest")).first()[0] or 0, first - 1)
+        files.delete(self.spark, staged)
+        checkpoint = max(self._checkpoints(), default=0)
+        known = _newest.get(self.folder, (0, 0))
+        _newest[self.folder] = max(last, known[0]), max(checkpoint, known[1])
+        if last - checkpoint >= self.every:
+            self.checkpoint(last - (last - checkpoint) % self.every)
+        return last
+
     def read(self, until: int | None = None) -> DataFrame:
         """Every row of every commit: the newest checkpoint and the commits after it.
 
-        The few commits come by way of the driver, as opening each as a table would be a job.
+        A few commits come by way of the driver, as opening each as a table would be a job; many are
+        opened by tasks.
         """
         checkpoint, commits = self._state(until)
         after = self._rows(commits)
@@ -76,19 +144,50 @@ class CommitLog:
         if not commits:
             return small_frame(self.spark, [], self.ddl)
         kind = to_arrow_schema(self.schema)
+        if len(commits) > BLOCK:
+            return self._task_rows(commits, kind)
         parts = [io.BytesIO(files.read_bytes(self.spark, self._commit(n))) for n in commits]
         rows = pa.concat_tables([pq.read_table(part, schema=kind) for part in parts])
         return self.spark.createDataFrame(rows, self.schema)
 
+    def _task_rows(self, commits: list[int], kind: pa.Schema) -> DataFrame:
+        ends = [commits[min(i + COMMITS_READ, len(commits)) - 1] for i in range(0, len(commits), COMMITS_READ)]
+        spans = [(commits[i * COMMITS_READ], end) for i, end in enumerate(ends)]
+        folder, block = self.folder, BLOCK
+
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            stores = Stores()
+            for batch in batches:
+                for first, last in zip(*[c.to_pylist() for c in batch.columns]):
+                    tables = []
+                    for number in range(first, last + 1):
+                        system, plain = stores.of(f"{folder}/commits/{number // block:09d}/{number:012d}.parquet")
+                        if system.one(plain) is not None:  # another writer's may not be there yet
+                            with system.read(plain) as file:
+                                table = pq.ParquetFile(file).read(use_threads=False)
+                            tables.append(table.replace_schema_metadata(None).cast(kind))
+                    yield from pa.concat_tables(tables).combine_chunks().to_batches()
+
+        frame = self.spark.createDataFrame(spans, "first long, last long")
+        return frame.repartition(len(spans)).mapInArrow(opened, self.schema)
+
     def checkpoint(self, number: int) -> None:
-        """Write the rows of all commits up to a number as one table."""
+        """Write the rows of all commits up to a number as one table.
+
+        Not while there are gaps below it: those who took these numbers are still at it.
+        """
         target = self._checkpoint(number)
         if files.exists(self.spark, target):
             return
         before = self._checkpoints(number)
+        commits = self._commits(max(before, default=0), number)
+        if len(commits) != number - max(before, default=0):
+            return
         size = files.size_bytes(self.spark, self._checkpoint(before[-1])) if before else 0
         hidden = f"{self.folder}/checkpoints/_{uuid.uuid4().hex}"
-        self.read(number).coalesce(1 + size // CHECKPOINT_FILE_BYTES).write.parquet(hidden)
+        rows, wide = self.read(number), 1 + (size + len(commits) * COMMIT_BYTES) // CHECKPOINT_FILE_BYTES
+        rows = rows.repartition(wide) if len(commits) > BLOCK else rows.coalesce(wide)
+        rows.write.parquet(hidden)
         try:
             files.rename(self.spark, hidden, target)
         except IOError:  # another writer has made the same one
@@ -141,4 +240,9 @@ class CommitLog:
 
     def _found(self) -> tuple[int, int]:
         checkpoint = max(self._checkpoints(), default=0)
-        return max(self._commits(checkpoint), default=checkpoint), checkpoint
+        last = checkpoint
+        for number in self._commits(checkpoint):
+            if number > last + 1:
+                break  # a gap of writers that are at it, or died
+            last = number
+        return last, checkpoint

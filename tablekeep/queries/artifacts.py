@@ -359,13 +359,17 @@ def manifest_commits(spark: SparkSession, folder: str) -> DataFrame:
     """A manifest of one commit per customer, read from its last checkpoint and what came after."""
     root = scratch_folder(spark, "commits")
     log = CommitLog(spark, f"{root}/manifest", MANIFEST, every=100)
-    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    for key, nation, balance in customers.toLocalIterator():
-        status = "failed" if balance < 0 else "ok"
-        log.append(
-            [{"snapshot_id": f"s{nation}", "run_id": f"{key:012d}", "table_name": f"t{key}",
-              "row_count": key, "kind": "full", "status": status}]
+    key = F.col("c_custkey")
+    log.append_each(
+        table(spark, folder, "customer").select(
+            F.concat(F.lit("s"), F.coalesce(F.col("c_nationkey").cast("string"), F.lit(""))).alias("snapshot_id"),
+            F.lpad(key.cast("string"), 12, "0").alias("run_id"),
+            F.concat(F.lit("t"), key).alias("table_name"),
+            key.alias("row_count"),
+            F.lit("full").alias("kind"),
+            F.when(F.col("c_acctbal") < 0, "failed").otherwise("ok").alias("status"),
         )
+    )
     return log.read().groupBy("snapshot_id", "status").agg(
         F.count(F.lit(1)).alias("commits"),
         F.sum("row_count").alias("row_count"),

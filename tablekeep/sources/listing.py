@@ -15,6 +15,7 @@ import fnmatch
 import os
 import re
 import sys
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -90,6 +91,21 @@ class _Local:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         return open(path, "xb")
 
+    def create_new(self, path: str, data: bytes) -> bool:
+        """A file that is seen whole or not at all; False if one is there."""
+        folder, name = os.path.split(path)
+        hidden = f"{folder}/_{name}.{uuid.uuid4().hex}"
+        os.makedirs(folder, exist_ok=True)
+        with open(hidden, "xb") as file:
+            file.write(data)
+        try:
+            os.link(hidden, path)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(hidden)
+        return True
+
 
 class _Remote:
     """A file system that Arrow knows."""

@@ -110,3 +110,45 @@ def test_a_manifest_is_such_a_log(spark, root):
         append_manifest(spark, root, [{**row, "schema_name": "s", "table_name": "t"}])
     assert read_manifest(spark, root).count() == 30
     assert len(manifest_log(spark, root).paths()) == 7
+
+
+def test_commits_of_many_tasks(spark, root, monkeypatch):
+    log = CommitLog(spark, root, DDL, every=100)
+    log.append([(-1, "x")])
+    frame = spark.range(0, 2530, 1, 3).selectExpr("id AS a")
+    assert log.append_each(frame) == 2531
+    assert values(log) == list(range(-1, 2530)) and values(log, 1) == [-1]
+    assert [p.rsplit("/", 1)[1] for p in log.paths()] == [
+        "000000002500", *[f"{n:012d}.parquet" for n in range(2501, 2532)]
+    ]
+    assert log.append([(7, "")]) == 2532 and log.append_each(frame.where("false")) == 2532
+    assert sorted(files.children(spark, root)) == ["checkpoints", "commits"]
+
+
+def test_commits_of_many_tasks_beside_another_writer(spark, root, monkeypatch):
+    """Numbers that another writer takes meanwhile are his, and the rows go after the others."""
+    log = CommitLog(spark, root, DDL, every=10)
+    for number in (3, 17, 31, 32):
+        files.write_new(spark, log._commit(number), b"")
+    buffer = commit_log.io.BytesIO()
+    row = commit_log.pa.Table.from_pylist([{"a": 1000, "b": "other"}], schema=commit_log.to_arrow_schema(log.schema))
+    commit_log.pq.write_table(row, buffer)
+    for number in (3, 17, 31, 32):
+        with open(files.local_path(spark, log._commit(number)), "wb") as file:
+            file.write(buffer.getvalue())
+    assert log.append_each(spark.range(30).selectExpr("id AS a")) == 34
+    assert values(log) == [*range(30), *[1000] * 4]
+    assert len(log.paths()) == 5
+
+
+def test_no_checkpoint_over_a_gap_and_gaps_are_filled(spark, root):
+    log = CommitLog(spark, root, DDL, every=4)
+    for number in (1, 2, 4, 5):
+        log.append([(number, "")])
+        commit_log._newest[log.folder] = number + (number == 2), 0
+    log.checkpoint(5)
+    assert files.children(spark, f"{root}/checkpoints") == []
+    commit_log._newest.clear()
+    assert log.append([(3, "")]) == 3
+    commit_log._newest.clear()
+    assert log.append([(6, "")]) == 6 and len(log.paths()) == 1 and values(log) == [1, 2, 3, 4, 5, 6]
