@@ -32,6 +32,7 @@ FORMATS = {
 
 
 DELTA = "delta"  # the format of copies that hold changes
+SMALL_ROW = 64  # stored bytes, up to which a row takes no more than a few digests
 
 
 def _fits_text(data_type: T.DataType) -> bool:
@@ -61,7 +62,9 @@ def write_copy(
     once. The observation sits in the write's own stage, whose tasks count once
     even if they are run again. With ``buckets`` the copy is laid out by buckets of
     its keys (see ``operators.hashtree``), with the tree of their fingerprints
-    beside it: what is made from the files read back, and so checks them.
+    beside it: what is made from the files read back, and so checks them. Each task
+    sorts its own rows into the buckets, so a bucket has up to one file per task and
+    no row is shuffled.
     """
     if buckets and format != "parquet":
         raise ValueError("only parquet copies have buckets")
@@ -73,7 +76,7 @@ def write_copy(
     seen, none = Observation(), {"row_count": 0, "fingerprint": Decimal(0)}
     own, name = free_name(df.columns, "hash64"), bucket_column(df.columns)
     if buckets:
-        rows = df.withColumn(name, bucket_of(df, keys, buckets)).hint("rebalance", name)
+        rows = df.withColumn(name, bucket_of(df, keys, buckets))
     else:
         rows = df
     watched = rows.withColumn(own, row_hash(df.schema)).observe(seen, *fingerprint_parts(F.col(own)))
@@ -146,8 +149,20 @@ def differing_parts(
 
 
 def copy_delta(spark: SparkSession, old_path: str, new_path: str, schema: T.StructType) -> DataFrame:
-    """:func:`row_delta` of two copies, which reads and shuffles differing buckets only."""
-    return row_delta(*differing_parts(spark, old_path, new_path, schema))
+    """:func:`row_delta` of two copies, which reads and shuffles differing buckets only.
+
+    Small rows are compared by content, which shuffles each once: where many changed, digests would be
+    shuffled beside them. Large ones are compared by digests, so that only changed ones need be moved.
+    """
+    small = _row_bytes(spark, new_path) <= SMALL_ROW
+    parts = differing_parts(spark, old_path, new_path, schema)
+    return row_delta(*parts, "content" if small else "digest")
+
+
+def _row_bytes(spark: SparkSession, path: str) -> float:
+    """The stored bytes per row of a copy that has a tree."""
+    rows = read_tree(spark, path).agg(F.max("row_count")).first()[0]  # the root has them all
+    return files.size_bytes(spark, path) / max(rows or 0, 1)
 
 
 def schema_of(schema_json: str) -> T.StructType:

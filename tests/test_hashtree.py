@@ -99,3 +99,46 @@ def test_copies_without_the_same_tree_are_not_compared(spark, root):
     empty = copies.write_copy(df.limit(0), f"{root}/e", buckets=4, keys=["id"])
     assert empty == {"row_count": 0, "fingerprint": 0}
     assert copies.changed_buckets(spark, f"{root}/a", f"{root}/e") == [0, 1, 2, 3]
+
+
+def test_a_copy_in_buckets_is_written_without_a_shuffle(spark, root, data, monkeypatch):
+    df = spark.read.parquet(f"{data}/lineitem.parquet")
+    monkeypatch.setattr(copies, "_write_tree", lambda *_: None)
+    context = spark.sparkContext
+    context.setJobGroup(root, "one copy")
+    try:
+        written = copies.write_copy(df, f"{root}/a", buckets=8, keys=["l_orderkey"])
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup(root)]
+    assert len([stage for job in jobs for stage in job.stageIds]) == 1
+    assert written == copies.measure(df)
+    buckets = copies.read_buckets(spark, f"{root}/a", df.schema).select("bucket").distinct()
+    assert sorted(r[0] for r in buckets.collect()) == list(range(8))
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_a_delta_of_small_rows_shuffles_each_once(spark, root, data):
+    old = spark.read.parquet(f"{data}/lineitem.parquet")
+    new = old.withColumn("l_tax", F.when(F.col("l_orderkey") % 3 == 0, 9.0).otherwise(F.col("l_tax")))
+    new = new.where("l_quantity > 2").unionAll(old.where("l_discount = 0.1"))
+    copies.write_copy(old, f"{root}/a", buckets=4, keys=["l_orderkey"])
+    copies.write_copy(new, f"{root}/b", buckets=4, keys=["l_orderkey"])
+    delta = copies.copy_delta(spark, f"{root}/a", f"{root}/b", old.schema)
+    assert _exchanges(delta) == 1
+    assert rows(delta) == rows(row_delta(old, new, "digest")) and delta.count() > 0
+
+
+def test_a_delta_of_large_rows_shuffles_digests(spark, root):
+    old = spark.range(400).select("id", F.concat(*[F.sha2(F.concat("id", F.lit(i)), 512) for i in range(4)]).alias("t"))
+    new = old.where("id <> 7").unionAll(old.where("id = 9"))
+    copies.write_copy(old, f"{root}/a", buckets=4, keys=["id"])
+    copies.write_copy(new, f"{root}/b", buckets=4, keys=["id"])
+    delta = copies.copy_delta(spark, f"{root}/a", f"{root}/b", old.schema)
+    assert _exchanges(delta) > 1
+    assert [r[:3] for r in rows(delta)] == [("deleted", 1, 7), ("inserted", 1, 9)]
+    copies.write_copy(old.limit(0), f"{root}/c", buckets=4, keys=["id"])
+    assert copies.copy_delta(spark, f"{root}/b", f"{root}/c", old.schema).count() == 399
