@@ -94,8 +94,8 @@ def _options(args: argparse.Namespace) -> dict[str, str]:
     return dict(option.split("=", 1) for option in args.jdbc_option)
 
 
-def run(spark: SparkSession, arguments: list[str]) -> DataFrame | list[str]:
-    """What a command line asks for: a report, or the paths removed."""
+def report(spark: SparkSession, arguments: list[str]) -> DataFrame:
+    """What a command line asks for, as a frame: a report, or the paths removed."""
     args = _parser().parse_args(arguments)
     if args.command == "backup":
         if args.since and not (args.jdbc_url and args.incremental):
@@ -150,13 +150,19 @@ def run(spark: SparkSession, arguments: list[str]) -> DataFrame | list[str]:
     return artifact_list(snapshots(manifest))
 
 
+def run(spark: SparkSession, arguments: list[str]) -> DataFrame | list[str]:
+    """What a command line asks for: a report, or the paths removed as a list."""
+    found = report(spark, arguments)
+    return [r["path"] for r in found.toLocalIterator()] if arguments[0] == "rotate" else found
+
+
 def main(arguments: list[str] | None = None) -> int:
     spark = (
         SparkSession.builder.appName("tablekeep")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    result = run(spark, sys.argv[1:] if arguments is None else arguments)
+    result = report(spark, sys.argv[1:] if arguments is None else arguments)
     print("\t".join(result.columns))
     for row in result.toLocalIterator():
         print("\t".join("" if v is None else str(v) for v in row))
