@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F, types as T
 
-from tablekeep.functions.times import epoch_micros
+from tablekeep.functions.times import epoch_micros_sql
 
 _PORTABLE_TEXT = (
     T.StringType,
@@ -97,26 +97,25 @@ def row_hash(schema: T.StructType, salt: int | None = None) -> Column:
 
     Hashes with different salts are independent of each other.
     """
-    columns, missing = [] if salt is None else [F.lit(salt)], []
-    for field in schema.fields:
-        value = column_of(field.name)
-        if _flat(field.dataType):
-            columns.append(value)
-            missing.append(value.isNull())
-        else:
-            columns.append(_nested(value, field.dataType))
-    return F.xxhash64(*_bit_masks(missing), *columns)
-
-
-def _bit_masks(flags: list[Column]) -> list[Column]:
+    flat = [quoted(f.name) for f in schema.fields if _flat(f.dataType)]
+    parts = _bit_masks([f"{value} IS NULL" for value in flat])
+    parts += [] if salt is None else [str(salt)]
+    if len(flat) == len(schema.fields):  # as one text, which the driver hands over at once
+        return F.expr(f"xxhash64({', '.join(parts + flat)})")
+    columns = [
+        column_of(f.name) if _flat(f.dataType) else _nested(column_of(f.name), f.dataType)
+        for f in schema.fields
+    ]
+    return F.xxhash64(*map(F.expr, parts), *columns)
+
+
+def _bit_masks(flags: list[str]) -> list[str]:
     """The flags as bits of as few bigints as hold them."""
     width = 62
     masks = []
     for start in range(0, len(flags), width):
-        mask = F.lit(0).cast("bigint")
-        for bit, flag in enumerate(flags[start : start + width]):
-            mask = mask + F.shiftleft(flag.cast("bigint"), bit)
-        masks.append(mask)
+        bits = [f"shiftleft(CAST({flag} AS BIGINT), {bit})" for bit, flag in enumerate(flags[start : start + width])]
+        masks.append(" + ".join(["0L", *bits]))
     return masks
 
 
@@ -131,73 +130,79 @@ def _is_portable(data_type: T.DataType) -> bool:
     return isinstance(data_type, _PORTABLE)
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
+def _double(value: float) -> str:
+    return f"{value!r}D"
+
 
+def _bound(value: str, name: str, use: str) -> str:
+    """What is made of a value that is computed once and then called by a name."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
-def _parts_text(power: Column | int, scaled: Column) -> Column:
-    one = scaled.cast("bigint")
-    rest = (scaled - one) * F.lit(2.0**DOUBLE_BITS)
-    two = rest.cast("bigint")
-    three = ((rest - two) * F.lit(2.0**DOUBLE_BITS)).cast("bigint")
-    return F.concat_ws("/", F.lit(power) if isinstance(power, int) else power, one, two, three)
 
+def _parts_text(power: str, scaled: str) -> str:
+    one = f"CAST({scaled} AS BIGINT)"
+    rest = f"(({scaled} - {one}) * {_double(2.0**DOUBLE_BITS)})"
+    two = f"CAST({rest} AS BIGINT)"
+    three = f"CAST(({rest} - {two}) * {_double(2.0**DOUBLE_BITS)} AS BIGINT)"
+    return f"concat_ws('/', {power}, {one}, {two}, {three})"
 
-def _scaled_text(value: Column) -> Column:
+
+def _scaled_text(value: str) -> str:
     """A finite double as whole numbers: the power it was scaled by, then its parts."""
-    power, factor = F, F
+    power, factor = [], []
     for step in range(-DOUBLE_STEPS, DOUBLE_STEPS):
-        below = F.abs(value) < F.lit(2.0 ** (DOUBLE_STEP * step + DOUBLE_ROOM))
-        power = power.when(below, step)
-        factor = factor.when(below, F.lit(2.0 ** (-DOUBLE_STEP * step)))
-    power = power.otherwise(DOUBLE_STEPS)
-    factor = factor.otherwise(F.lit(2.0 ** (-DOUBLE_STEP * DOUBLE_STEPS)))
-    both = F.struct(power.alias("power"), (value * factor).alias("scaled"))
-    return _bound(both, lambda b: _parts_text(b["power"], b["scaled"]))
+        below = f"WHEN abs({value}) < {_double(2.0 ** (DOUBLE_STEP * step + DOUBLE_ROOM))} THEN"
+        power.append(f"{below} {step}")
+        factor.append(f"{below} {_double(2.0 ** (-DOUBLE_STEP * step))}")
+    power.append(f"ELSE {DOUBLE_STEPS}")
+    factor.append(f"ELSE {_double(2.0 ** (-DOUBLE_STEP * DOUBLE_STEPS))}")
+    scaled = f"{value} * CASE {' '.join(factor)} END"
+    both = f"named_struct('power', CASE {' '.join(power)} END, 'scaled', {scaled})"
+    return _bound(both, "both", _parts_text("both.power", "both.scaled"))
 
 
-def _double_text(value: Column) -> Column:
+def _double_text(value: str) -> str:
     """A double as text: ``c`` and hundredths if it is exactly those, else whole numbers.
 
     The plain cases come first and are short; the rest is bound, which keeps the expression small.
     """
-    size = F.abs(value)
-    cents = F.floor(value * 100 + 0.5)
-    in_cents = (size < F.lit(2.0**DOUBLE_CENTS)) & (cents.cast("double") / 100 == value)
-    plain = (size < F.lit(2.0**DOUBLE_ROOM)) & (size >= F.lit(2.0 ** (DOUBLE_ROOM - DOUBLE_STEP)))
-    infinite = size == F.lit(float("inf"))
-    sign = F.when(value > 0, "inf").otherwise("-inf")
+    size, cents = f"abs({value})", f"floor({value} * 100 + 0.5D)"
+    room, least = _double(2.0**DOUBLE_ROOM), _double(2.0 ** (DOUBLE_ROOM - DOUBLE_STEP))
     return (
-        F.when(value.isNull(), None)
-        .when(in_cents, F.concat(F.lit("c"), cents))
-        .when(plain, _parts_text(0, value))
-        .when(F.isnan(value), "nan")
-        .when(infinite, sign)
-        .otherwise(_bound(value, _scaled_text))
+        f"CASE WHEN {value} IS NULL THEN NULL"
+        f" WHEN {size} < {_double(2.0**DOUBLE_CENTS)} AND CAST({cents} AS DOUBLE) / 100 = {value}"
+        f" THEN concat('c', {cents})"
+        f" WHEN {size} < {room} AND {size} >= {least} THEN {_parts_text('0', value)}"
+        f" WHEN isnan({value}) THEN 'nan'"
+        f" WHEN {size} = CAST('Infinity' AS DOUBLE) THEN CASE WHEN {value} > 0 THEN 'inf' ELSE '-inf' END"
+        f" ELSE {_bound(value, 'whole', _scaled_text('whole'))} END"
     )
 
 
-def _marked(text: Column) -> Column:
+def _marked(text: str) -> str:
     """``<length>:<text>``, or ``N`` for NULL."""
-    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N"))
+    return f"coalesce(concat(CAST(length({text}) AS STRING), ':', {text}), 'N')"
+
 
+def _portable_text(value: str, data_type: T.DataType, depth: int = 0) -> str:
+    """A value as text; NULL stays NULL.
 
-def _portable_text(value: Column, data_type: T.DataType) -> Column:
-    """A value as text; NULL stays NULL."""
+    Written as SQL, which the driver hands over at once: made of single columns it took seconds per table.
+    """
     if isinstance(data_type, T.ArrayType):
-        texts = F.transform(value, lambda e: _portable_text(e, data_type.elementType))
-        parts = F.transform(texts, _marked)
-        return F.concat(F.size(value).cast("string"), F.lit("["), F.array_join(parts, ""))
+        each, text = f"each{depth}", f"text{depth}"
+        texts = f"transform({value}, {each} -> {_portable_text(each, data_type.elementType, depth + 1)})"
+        parts = f"transform({texts}, {text} -> {_marked(text)})"
+        return f"concat(CAST(size({value}) AS STRING), '[', array_join({parts}, ''))"
     if isinstance(data_type, _PORTABLE_TIME):
-        return epoch_micros(value).cast("string")
+        return f"CAST({epoch_micros_sql(value)} AS STRING)"
     if isinstance(data_type, T.DateType):
-        return F.unix_date(value).cast("string")
+        return f"CAST(unix_date({value}) AS STRING)"
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return _double_text(value.cast("double"))
+        return _double_text(value if isinstance(data_type, T.DoubleType) else f"CAST({value} AS DOUBLE)")
     if isinstance(data_type, T.BinaryType):
-        return F.hex(value)
-    return value.cast("string")
+        return f"hex({value})"
+    return f"CAST({value} AS STRING)"
 
 
 def portable_row_hash(schema: T.StructType, columns: list[str] | None = None) -> Column:
@@ -219,8 +224,8 @@ def portable_key_text(schema: T.StructType, names: list[str]) -> Column:
     unknown = set(names) - set(portable_columns(schema))
     if unknown:
         raise ValueError(f"no portable text form for columns {sorted(unknown)}")
-    parts = [_marked(_portable_text(column_of(name), schema[name].dataType)) for name in names]
-    return F.concat(*parts) if parts else F.lit("")
+    parts = [_marked(_portable_text(quoted(name), schema[name].dataType)) for name in names]
+    return F.expr(f"concat({', '.join(parts)})") if parts else F.lit("")
 
 
 def fingerprint_parts(hash64: Column) -> list[Column]:

@@ -64,6 +64,12 @@ def epoch_micros(value: Column) -> Column:
     return (_elapsed(F.lit(EPOCH), value) * F.lit(1_000_000)).cast("bigint")
 
 
+def epoch_micros_sql(value: str) -> str:
+    """:func:`epoch_micros` of a value given as SQL."""
+    span = f"CAST({value} AS TIMESTAMP_NTZ) - CAST('{EPOCH}' AS TIMESTAMP_NTZ)"
+    return f"CAST(CAST(CAST({span} AS INTERVAL SECOND) AS DECIMAL(20, 6)) * 1000000 AS BIGINT)"
+
+
 def from_epoch(seconds: Column) -> Column:
     return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 

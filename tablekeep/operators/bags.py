@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablekeep.functions.hashing import column_of, free_name, quoted, row_hash
+from tablekeep.functions.hashing import column_of, free_name, row_hash
 from tablekeep.operators.change import net_changes
 
 
@@ -37,27 +37,30 @@ def delta_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(copies_column(schema.names), T.LongType())])
 
 
-def signed_delta(old: DataFrame, new: DataFrame, deltas: Sequence[DataFrame] = ()) -> DataFrame:
+def signed_delta(
+    old: DataFrame, new: DataFrame, deltas: Sequence[DataFrame] = (), method: str = "digest"
+) -> DataFrame:
     """What makes the new version of a table out of the old one and the deltas that follow it.
 
-    All are added up as signed rows at once, so the chain need not be folded first.
+    All are added up as signed rows at once, so the chain need not be folded first; ``method`` is
+    that of :func:`row_delta`.
     """
     names = {name: f"c{i}" for i, name in enumerate(old.columns)}
     copies, rows = copies_column(list(names)), [column_of(name) for name in names]
     known = [old.select(*rows, F.lit(-1).cast("bigint")), new.select(*rows, F.lit(1).cast("bigint"))]
     known += [delta.select(*rows, -column_of(copies)) for delta in deltas]
     signed = reduce(DataFrame.unionAll, known).toDF(*names.values(), "sign")
-    found = net_changes(signed, list(names.values()), "sign")
+    found = net_changes(signed, list(names.values()), "sign", method)
     signs = F.when(F.col("change") == "inserted", F.col("copies")).otherwise(-F.col("copies"))
     columns = [F.col(own).alias(name) for name, own in names.items()]
     return found.select(*columns, signs.cast("bigint").alias(copies))
 
 
-def _repeated(rows: DataFrame, copies: str, names: Sequence[str]) -> DataFrame:
+def _repeated(rows: DataFrame, copies: str, columns: Sequence[Column]) -> DataFrame:
     """Each row as often as its column of counts says."""
     number = free_name([*rows.columns], "number")
     times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))).alias(number)
-    return rows.where(F.col(copies) > 0).select("*", times).select(*map(column_of, names))
+    return rows.where(F.col(copies) > 0).select("*", times).select(*columns)
 
 
 def folded(base: DataFrame, deltas: Sequence[DataFrame]) -> DataFrame:
@@ -71,16 +74,13 @@ def folded(base: DataFrame, deltas: Sequence[DataFrame]) -> DataFrame:
     names, copies = base.columns, copies_column(base.columns)
     own = {k: free_name([*names, copies], k) for k in ("d1", "d2")}
     digests = {own["d1"]: row_hash(base.schema), own["d2"]: row_hash(base.schema, salt=1)}
-    chain = reduce(DataFrame.unionAll, deltas)
-    net = chain.groupBy(*map(column_of, names)).agg(F.sum(copies).alias(copies))
-    come = _repeated(net, copies, names)
+    columns, keys = [column_of(name) for name in names], list(own.values())
+    added = F.sum(copies).alias(copies)
+    net = reduce(DataFrame.unionAll, deltas).groupBy(*columns).agg(added)
+    come = _repeated(net, copies, columns)
     go = net.where(F.col(copies) < 0).withColumns(digests)
-    keys = list(own.values())
-    marked = base.withColumns(digests)
-    lost = go.select(*keys).distinct()
-    stay = marked.join(lost, keys, "left_anti").select(*map(column_of, names))
-    touched = marked.join(lost, keys, "left_semi").select(*map(column_of, names))
-    one = touched.withColumn(copies, F.lit(1).cast("bigint"))
-    rest = one.unionAll(go.select(*map(column_of, names), quoted(copies)))
-    rest = rest.groupBy(*map(column_of, names)).agg(F.sum(copies).alias(copies))
-    return stay.unionAll(_repeated(rest, copies, names)).unionAll(come)
+    marked, lost = base.withColumns(digests), go.select(*keys).distinct()
+    stay = marked.join(lost, keys, "left_anti").select(*columns)
+    one = marked.join(lost, keys, "left_semi").select(*columns, F.lit(1).cast("bigint").alias(copies))
+    rest = one.unionAll(go.drop(*keys)).groupBy(*columns).agg(added)
+    return stay.unionAll(_repeated(rest, copies, columns)).unionAll(come)

@@ -82,16 +82,16 @@ def row_delta(old: DataFrame, new: DataFrame, method: str = "digest") -> DataFra
     both = old.select(*map(column_of, names), F.lit(-1).alias(own["sign"])).unionAll(
         new.select(*map(column_of, names), F.lit(1).alias(own["sign"]))
     )
-    if method == "content":
-        return _net_rows(both, names, own)
-    if method != "digest":
-        raise ValueError("method is one of content, digest")
-    return net_changes(both, names, own["sign"])
+    return net_changes(both, names, own["sign"], method)
 
 
-def net_changes(signed: DataFrame, names: list[str], sign: str) -> DataFrame:
-    """:func:`row_delta` by digests, of rows that a column says to be there so often, or to be missing."""
+def net_changes(signed: DataFrame, names: list[str], sign: str, method: str = "digest") -> DataFrame:
+    """:func:`row_delta` of rows that a column says to be there so often, or to be missing."""
     own = {"sign": sign, **{k: free_name([*names, sign], k) for k in ("net", "d1", "d2")}}
+    if method == "content":
+        return _net_rows(signed, names, own)
+    if method != "digest":
+        raise ValueError("method is one of content, digest")
     schema = signed.select(*map(column_of, names)).schema
     digested = signed.withColumns({own["d1"]: row_hash(schema), own["d2"]: row_hash(schema, salt=1)})
     keys = [own["d1"], own["d2"]]

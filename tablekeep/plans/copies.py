@@ -165,6 +165,11 @@ def _row_bytes(spark: SparkSession, path: str) -> float:
     return files.size_bytes(spark, path) / max(rows or 0, 1)
 
 
+def small_rows(spark: SparkSession, path: str, row_count: int) -> bool:
+    """Whether a whole copy stores so few bytes a row that rows had better be moved than digests of them."""
+    return files.size_bytes(spark, path) <= SMALL_ROW * max(row_count, 1)
+
+
 def schema_of(schema_json: str) -> T.StructType:
     """The schema a manifest row holds."""
     return T.StructType.fromJson(json.loads(schema_json))
@@ -216,12 +221,15 @@ def copy_sketches(spark: SparkSession, copies: DataFrame) -> DataFrame:
     return found.join(at, "place").drop("place")
 
 
-def write_delta(old: DataFrame, new: DataFrame, path: str, deltas: Sequence[DataFrame] = ()) -> dict:
+def write_delta(
+    old: DataFrame, new: DataFrame, path: str, deltas: Sequence[DataFrame] = (), small: bool = False
+) -> dict:
     """Write what changed between two versions of a table, the old one given by a copy and its deltas.
 
+    Small rows are compared by content, as in :func:`copy_delta`: each version is read and shuffled once.
     Returns the ``rows`` written, and what they add to the table's row_count and fingerprint.
     """
-    seen, delta = Observation(), signed_delta(old, new, deltas)
+    seen, delta = Observation(), signed_delta(old, new, deltas, "content" if small else "digest")
     copies, own = delta.columns[-1], free_name(delta.columns, "hash64")
     hashed = delta.withColumn(own, row_hash(old.schema).cast("decimal(28,0)"))
     watched = hashed.observe(

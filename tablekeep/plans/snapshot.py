@@ -17,6 +17,7 @@ from tablekeep.plans.copies import (
     read_copy,
     same_shape,
     schema_of,
+    small_rows,
     write_copy,
     write_delta,
     write_sketches,
@@ -155,17 +156,18 @@ class _Run:
         )
 
 
-    def write_changes(self, table: tuple[str, str], copy) -> dict:
-        """A copy of what changed since another one, or a whole one if that is better."""
+    def write_changes(self, table: tuple[str, str], copy, now: dict | None = None) -> dict:
+        """A copy of what changed since another one, or a whole one if that is better; ``now`` has
+        the table's row count and fingerprint if they are known."""
         spark, options = self.source.spark, self.options
         new, schema = self.source.read(*table), schema_of(copy["schema_json"])
         chain = [*(copy["chain"] or ()), copy["path"]]
         whole = copy["format"] not in ("parquet", DELTA) or len(chain) >= options.longest_chain
         if whole or not same_shape(new.schema, schema) or not is_groupable(schema):
             return self.write(table, "incremental", "changed")
-        path, now = self.folder(table), measure(new)
+        path, now = self.folder(table), now or measure(new)
         old, deltas = read_chain(spark, copy["path"], copy["format"], copy["schema_json"], copy["chain"])
-        delta = write_delta(old, new, path, deltas)
+        delta = write_delta(old, new, path, deltas, small_rows(spark, chain[0], copy["row_count"]))
         if delta["rows"] > options.most_changed * max(now["row_count"], 1):
             files.delete(spark, path)
             return self.write(table, "incremental", "changed")
@@ -329,14 +331,15 @@ def snapshot_incremental(
     gone = set() if changed is not None else set(base) - set(_table_names(source.tables()))
 
     def work(table: tuple[str, str]) -> dict:
+        now = None
         if changed is not None:
             change = "changed" if table in base else "new"
         else:
-            change = _change(run, table, base.get(table))
+            change, now = _change(run, table, base.get(table))
         if change == "unchanged":
             return run.row(table, "incremental", change, "unchanged", **_known(base[table]))
         if change == "changed" and options.deltas:
-            return run.write_changes(table, base[table])
+            return run.write_changes(table, base[table], now)
         return run.write(table, "full" if change == "new" else "incremental", change)
 
     outcomes = run_jobs(spark, work, _largest_first(run, chosen), options.parallelism)
@@ -351,20 +354,21 @@ def _known(copy) -> dict:
     return {"row_count": copy["row_count"], "size_bytes": copy["size_bytes"]}
 
 
-def _change(run: _Run, table: tuple[str, str], copy) -> str:
+def _change(run: _Run, table: tuple[str, str], copy) -> tuple[str, dict | None]:
+    """What became of a table since a copy, and its row count and fingerprint if these had to be found."""
     if copy is None:
-        return "new"
+        return "new", None
     token = run.token(table)
     if token is not None and token == copy["source_state"]:
-        return "unchanged"
+        return "unchanged", None
     df = run.source.read(*table)
     if not same_shape(df.schema, schema_of(copy["schema_json"])):
-        return "changed"
+        return "changed", None
     if run.source.cheap_count and df.count() != copy["row_count"]:
-        return "changed"
+        return "changed", None
     now = measure(df)
     same = all(now[key] == copy[key] for key in ("row_count", "fingerprint"))
-    return "unchanged" if same else "changed"
+    return ("unchanged" if same else "changed"), now
 
 
 def table_measures(

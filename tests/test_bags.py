@@ -1,5 +1,6 @@
 """Deltas as signed bags, chains of them, and rotation of what chains are built on."""
 
+import hashlib
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tablekeep.operators.bags import folded, is_groupable, signed_delta
 from tablekeep.plans import restore
-from tablekeep.plans.copies import measure
+from tablekeep.plans.copies import measure, small_rows
 from tablekeep.plans.manifest import read_manifest
 from tablekeep.plans.rotation import retention_apply
 from tablekeep.plans.snapshot import SnapshotOptions, snapshot_full, snapshot_incremental
+from tablekeep.queries import snapshots as queries
 from tablekeep.sources import files
 from tablekeep.sources.tables import FrameTables
 from tests.conftest import rows
@@ -127,3 +129,56 @@ def test_a_delta_on_a_chain_does_not_fold_it(spark, root, monkeypatch):
     for day in range(4):
         tables = restore.restored_tables(spark, root, as_of=datetime(2024, 1, 1 + day))
         assert rows(tables.read("s", "t")) == rows(version(day).read("s", "t"))
+
+
+def test_small_rows_are_measured_once_and_compared_by_content(spark, root, monkeypatch):
+    from tablekeep.operators import change
+    from tablekeep.plans import snapshot
+
+    base = spark.range(2000).selectExpr("id % 50 AS a", "IF(id % 7 = 0, NULL, id % 3 / 2D) AS b")
+    later = base.where("a <> 3 OR b IS NULL").unionAll(base.where("a = 4"))
+    versions, measured = [base, later, later.unionAll(base.where("a = 3 AND b = 0"))], []
+
+    def counted(df):
+        measured.append(df)
+        return measure(df)
+
+    with monkeypatch.context() as patch:
+        patch.delattr(change, "row_hash")  # which digests of rows are made with
+        patch.setattr(snapshot, "measure", counted)
+        found, as_of = days(spark, root, versions)
+    assert [r["format"] for r in found] == ["parquet", "delta", "delta"]
+    assert len(measured) == 2
+    for i, version in enumerate(versions):
+        assert rows(as_of(i)) == rows(version)
+
+
+def test_large_rows_are_compared_by_digests(spark, root):
+    text = "concat_ws(' ', transform(sequence(1, 20), i -> sha2(CAST(id * 50 + i AS STRING), 256)))"
+    base = spark.range(60).selectExpr("id", f"{text} AS text")
+    versions = [base, base.where("id <> 3").unionAll(base.where("id = 4"))]
+    found, as_of = days(spark, root, versions)
+    assert [r["format"] for r in found] == ["parquet", "delta"]
+    assert not small_rows(spark, found[0]["path"], 60) and small_rows(spark, found[0]["path"], 10**6)
+    for i, version in enumerate(versions):
+        assert rows(as_of(i)) == rows(version)
+
+
+def test_a_day_of_the_chain_reads_its_table_once(spark, monkeypatch):
+    keys = [None, 7, 7, "", *range(100, 160)]
+    data = [(None if k is None else str(k), i) for i, k in enumerate(keys)]
+    frame = spark.createDataFrame(data, "o_orderkey string, copy int")
+    now = FrameTables(spark, {("sales", "orders"): frame})
+    monkeypatch.setattr(queries, "_present", lambda *_: now)
+
+    def often(key, day):
+        if key is None:
+            return 0
+        digit = int(hashlib.md5(key.encode()).hexdigest()[0], 16)
+        return (not 1 <= digit <= day) + (6 <= digit <= 5 + day)
+
+    for day in (0, 1, 3, 5):
+        found = queries._on_day(spark, "", day).read("sales", "orders")
+        wanted = [tuple(r) for r in frame.collect() for _ in range(often(r[0], day))]
+        assert rows(found) == sorted(wanted, key=repr)
+        assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
